@@ -114,12 +114,12 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("data_source"),
         F.when(lvl == 0, F.lit(None).cast("bigint")).otherwise(lvl.cast("bigint")).alias("level"),
         F.when(F.col("event_type") == "error", _d(0.0))
-         .otherwise(F.least(_d(1.0), F.col("value") / _d(25.0))).alias("score"),
+         .otherwise(F.least(_d(1.0), F.floor(F.col("value")).cast("double") / _d(32.0))).alias("score"),
         F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
         F.col("ts").alias("finished_at"),
         F.element_at(F.array(F.lit(42), F.lit(123), F.lit(777)),
                      (F.col("user_id") % 3 + 1).cast("int")).cast("bigint").alias("seed"),
-        F.when(F.col("user_id") % 2 == 0, "dag").otherwise("react").alias("workflow"),
+        F.when(F.col("event_id") % 2 == 0, "dag").otherwise("react").alias("workflow"),
         F.col("user_id").alias("task_key"),
     )
 
@@ -202,11 +202,11 @@ evalres AS (
          event_type AS data_source,
          CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id % 4 AS BIGINT) END AS level,
          CASE WHEN event_type = 'error' THEN 0.0::DOUBLE
-              ELSE least(1.0::DOUBLE, value / 25.0::DOUBLE) END AS score,
+              ELSE least(1.0::DOUBLE, CAST(floor(value) AS DOUBLE) / 32.0::DOUBLE) END AS score,
          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
          ts AS finished_at,
          CAST(([42, 123, 777])[CAST(user_id % 3 + 1 AS INTEGER)] AS BIGINT) AS seed,
-         CASE WHEN user_id % 2 = 0 THEN 'dag' ELSE 'react' END AS workflow,
+         CASE WHEN event_id % 2 = 0 THEN 'dag' ELSE 'react' END AS workflow,
          user_id AS task_key
   FROM events)"""
 
