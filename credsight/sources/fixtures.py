@@ -246,3 +246,143 @@ def oracle_with(*names: str, recursive: bool = False) -> str:
         add(n)
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",".join(ORACLE_CTES[n] for n in order) + "\n"
+
+
+# ---------------------------------------------------------------------------
+# Task DAGs: one graph per customer, one node per order (insertion order =
+# order key), one dependency per line item.
+# ---------------------------------------------------------------------------
+
+
+def dag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nodes(graph_id, seq, okey, iteration, spec_id, status, description, prompt,
+    answer, explanation, key_steps, confidence, uncertainties, raw_text).
+
+    ``spec_id`` is the id a plan gave the node ('' = auto id, see D1).
+    """
+    o = read_table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    b = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("okey"),
+                 F.row_number().over(w).cast("bigint").alias("seq"),
+                 F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"),
+                 F.floor("o_totalprice").alias("tp"))
+    seq, p, s = F.col("seq"), F.col("p"), F.col("s")
+    n = lambda x: F.concat(F.lit("n"), x.cast("string"))
+    spec = (F.when((p == "1-URGENT") & (s == "F"), F.concat(n(seq), F.lit("_answer")))
+            .when((p == "3-MEDIUM") & (seq > 3), F.concat(n(seq - 3), F.lit("_refine1")))
+            .when((p == "2-HIGH") & (s == "P") & (seq > 6), F.concat(n(seq - 6), F.lit("_refine2")))
+            .when((p == "5-LOW") & (s == "P"), F.lit(""))
+            .when((p == "4-NOT SPECIFIED") & (s == "P"), F.concat(F.lit("t_"), seq.cast("string")))
+            .otherwise(n(seq)))
+    code = F.col("tp") % 6
+    status = (F.when(code == 0, "").when(code == 1, "Success").when(code == 2, "Uncertain")
+              .when(code == 3, "Not Found").when(code == 4, "Failed").otherwise("Success"))
+    b = b.select("*", spec.alias("spec_id"), status.alias("status"))
+    st = F.col("status")
+    answer = (F.when(st == "Success", F.concat(F.lit("A"), (F.col("graph_id") % 17).cast("string")))
+              .when(st == "Uncertain", F.lit("maybe")).otherwise(F.lit("")))
+    return b.select(
+        "graph_id", "seq", "okey", ((seq + 2) / 3).cast("bigint").alias("iteration"), "spec_id", "status",
+        F.when(F.col("okey") % 2 == 0, F.concat(F.lit("Find  "), p))
+         .otherwise(F.concat(F.lit("find "), F.lower(p))).alias("description"),
+        F.concat(F.lit("Check status "), s).alias("prompt"),
+        answer.alias("answer"),
+        F.when(F.col("okey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("because "), p)).alias("explanation"),
+        F.lit("").alias("key_steps"),
+        F.concat((F.col("tp") % 100).cast("string"), F.lit("%")).alias("confidence"),
+        F.when(st == "Uncertain", F.lit("source conflict")).otherwise(F.lit("")).alias("uncertainties"),
+        F.when(F.col("okey") % 5 == 0, F.lit("")).otherwise(F.concat_ws(
+            "\n", F.concat(F.lit("Searched "), p), F.concat(F.lit("Observed status "), s),
+            F.concat(F.lit("Answer: "), answer))).alias("raw_text"),
+    )
+
+
+def dag_deps(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
+    """deps(graph_id, seq, dep_pos, dep_id): the node's dependency list in order."""
+    nodes = nodes if nodes is not None else dag_nodes(spark, sf_dir)
+    li = read_table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(*TOKEN_ORDER)
+    li = li.select("l_orderkey", "l_partkey", (F.row_number().over(w) - 1).cast("bigint").alias("dep_pos"))
+    j = li.join(nodes.select("graph_id", "seq", F.col("okey").alias("l_orderkey")), "l_orderkey")
+    dist = F.when(F.col("l_partkey") % 211 == 0, F.lit(0)).otherwise(1 + F.col("l_partkey") % 4)
+    return j.select("graph_id", "seq", "dep_pos",
+                    F.concat(F.lit("n"), (F.col("seq") - dist).cast("string")).alias("dep_id"))
+
+
+def dag_verdicts(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
+    """verdicts(graph_id, iteration, node_id, status): the plan at iteration k
+    judges the batch of iteration k-1; some stale verdicts target older batches."""
+    nodes = nodes if nodes is not None else dag_nodes(spark, sf_dir)
+    named = nodes.filter(F.col("spec_id") != "")
+    fresh = named.filter(F.col("status") != "").select(
+        "graph_id", (F.col("iteration") + 1).alias("iteration"), F.col("spec_id").alias("node_id"), "status")
+    stale = named.filter(F.col("seq") % 4 == 0).select(
+        "graph_id", (F.col("iteration") + 2).alias("iteration"), F.col("spec_id").alias("node_id"),
+        F.lit("Failed").alias("status"))
+    return fresh.unionByName(stale)
+
+
+ORACLE_CTES["nodes"] = """
+nodes AS (
+  SELECT graph_id, seq, okey, CAST((seq + 2) // 3 AS BIGINT) AS iteration, spec_id, status,
+         CASE WHEN okey % 2 = 0 THEN 'Find  ' || p ELSE 'find ' || lower(p) END AS description,
+         'Check status ' || s AS prompt,
+         CASE WHEN status = 'Success' THEN 'A' || CAST(graph_id % 17 AS VARCHAR)
+              WHEN status = 'Uncertain' THEN 'maybe' ELSE '' END AS answer,
+         CASE WHEN okey % 3 = 0 THEN '' ELSE 'because ' || p END AS explanation,
+         '' AS key_steps,
+         CAST(tp % 100 AS VARCHAR) || '%' AS confidence,
+         CASE WHEN status = 'Uncertain' THEN 'source conflict' ELSE '' END AS uncertainties,
+         CASE WHEN okey % 5 = 0 THEN '' ELSE 'Searched ' || p || chr(10) || 'Observed status ' || s || chr(10)
+              || 'Answer: ' || CASE WHEN status = 'Success' THEN 'A' || CAST(graph_id % 17 AS VARCHAR)
+                                    WHEN status = 'Uncertain' THEN 'maybe' ELSE '' END END AS raw_text
+  FROM (
+    SELECT *,
+      CASE WHEN p = '1-URGENT' AND s = 'F' THEN 'n' || CAST(seq AS VARCHAR) || '_answer'
+           WHEN p = '3-MEDIUM' AND seq > 3 THEN 'n' || CAST(seq - 3 AS VARCHAR) || '_refine1'
+           WHEN p = '2-HIGH' AND s = 'P' AND seq > 6 THEN 'n' || CAST(seq - 6 AS VARCHAR) || '_refine2'
+           WHEN p = '5-LOW' AND s = 'P' THEN ''
+           WHEN p = '4-NOT SPECIFIED' AND s = 'P' THEN 't_' || CAST(seq AS VARCHAR)
+           ELSE 'n' || CAST(seq AS VARCHAR) END AS spec_id,
+      CASE tp % 6 WHEN 0 THEN '' WHEN 1 THEN 'Success' WHEN 2 THEN 'Uncertain' WHEN 3 THEN 'Not Found'
+                  WHEN 4 THEN 'Failed' ELSE 'Success' END AS status
+    FROM (SELECT o_custkey AS graph_id, o_orderkey AS okey,
+                 CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS seq,
+                 o_orderpriority AS p, o_orderstatus AS s, CAST(floor(o_totalprice) AS BIGINT) AS tp
+          FROM orders)))"""
+
+ORACLE_CTES["deps"] = """
+deps AS (
+  SELECT n.graph_id, n.seq, l.dep_pos,
+         'n' || CAST(n.seq - CASE WHEN l.l_partkey % 211 = 0 THEN 0 ELSE 1 + l.l_partkey % 4 END AS VARCHAR) AS dep_id
+  FROM (SELECT l_orderkey, l_partkey,
+               CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                    l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1
+                    AS BIGINT) AS dep_pos
+        FROM lineitem) l
+  JOIN nodes n ON n.okey = l.l_orderkey)"""
+
+ORACLE_CTES["verdicts"] = """
+verdicts AS (
+  SELECT graph_id, iteration + 1 AS iteration, spec_id AS node_id, status FROM nodes
+  WHERE spec_id <> '' AND status <> ''
+  UNION ALL
+  SELECT graph_id, iteration + 2 AS iteration, spec_id AS node_id, 'Failed' AS status FROM nodes
+  WHERE spec_id <> '' AND seq % 4 = 0)"""
+
+# D1 auto ids: the k-th empty spec id of a graph (in seq order) becomes 't<k>'.
+ORACLE_CTES["gnodes"] = """
+gnodes AS (
+  SELECT nodes.*, CASE WHEN spec_id = '' THEN 't' || CAST(a.k AS VARCHAR) ELSE spec_id END AS node_id
+  FROM nodes LEFT JOIN (
+    SELECT graph_id, seq, row_number() OVER (PARTITION BY graph_id ORDER BY seq) AS k
+    FROM nodes WHERE spec_id = '') a USING (graph_id, seq))"""
+
+ORACLE_CTES["edges"] = """
+edges AS (
+  SELECT d.graph_id, s.node_id AS src, n.node_id AS dst, d.dep_pos, n.seq AS dst_seq
+  FROM deps d JOIN gnodes n ON n.graph_id = d.graph_id AND n.seq = d.seq
+  JOIN gnodes s ON s.graph_id = d.graph_id AND s.node_id = d.dep_id AND s.seq <= n.seq)"""
+
+ORACLE_DEPS.update({"nodes": [], "deps": ["nodes"], "verdicts": ["nodes"], "gnodes": ["nodes"],
+                    "edges": ["deps", "gnodes"]})
