@@ -197,7 +197,7 @@ def nodes_per_batch(nodes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 2, max_levels: int | None = None) -> DataFrame:
+def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 4, max_levels: int | None = None) -> DataFrame:
     """Longest path from a root by layered topological peeling.
 
     Each level is one join of the frontier's out-edges (a small table) with
@@ -212,9 +212,10 @@ def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 2, max_levels
     """
     spark = nodes.sparkSession
     checkpoint_dir(spark)
-    ed = e.select("graph_id", "src", "dst")
+    # the edge table is read once per level: materialise it (reliably) first
+    ed = e.select("graph_id", "src", "dst").checkpoint()
     indeg = ed.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("indeg"))
-    state = (nodes.select("graph_id", "node_id").join(indeg, ["graph_id", "node_id"], "left")
+    state = (nodes.select("graph_id", "node_id").checkpoint().join(indeg, ["graph_id", "node_id"], "left")
              .select("graph_id", "node_id", F.coalesce("indeg", F.lit(0)).cast("bigint").alias("left"))
              .withColumn("depth", F.when(F.col("left") == 0, F.lit(0).cast("bigint"))))
     state = state.checkpoint()
@@ -229,8 +230,9 @@ def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 2, max_levels
                              .otherwise(F.col("depth")))
                  .drop("dec"))
         level += 1
-        if level % checkpoint_every == 0:
-            state = state.checkpoint()
+        # materialise each level once (reliable checkpoint): the release test
+        # below and the next level both read it, and lineage stays one level deep
+        state = state.checkpoint() if level % checkpoint_every == 0 else state.cache()
         if state.filter(F.col("depth") == level).limit(1).count() == 0:
             break
     done = state.filter(F.col("depth").isNotNull()).select("graph_id", F.col("node_id").alias("src"), "depth")
@@ -260,8 +262,9 @@ def transitive_deps(nodes: DataFrame, deps: DataFrame, seeds: DataFrame, checkpo
     """
     spark = nodes.sparkSession
     checkpoint_dir(spark)
-    dl = dependency_lists(nodes, deps).select("graph_id", F.col("node_id").alias("x"), F.col("dep_id").alias("y"))
-    visited = seeds.select("graph_id", "seed_id", F.col("seed_id").alias("x")).distinct()
+    dl = (dependency_lists(nodes, deps)
+          .select("graph_id", F.col("node_id").alias("x"), F.col("dep_id").alias("y")).checkpoint())
+    visited = seeds.select("graph_id", "seed_id", F.col("seed_id").alias("x")).distinct().checkpoint()
     front = visited
     it = 0
     while True:
