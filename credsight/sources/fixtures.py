@@ -386,3 +386,105 @@ edges AS (
 
 ORACLE_DEPS.update({"nodes": [], "deps": ["nodes"], "verdicts": ["nodes"], "gnodes": ["nodes"],
                     "edges": ["deps", "gnodes"]})
+
+
+# ---------------------------------------------------------------------------
+# Chat turns with tool-call markup (from conversations) and plan texts (from
+# the DAG views).  Whole turn texts are used as parameter values.
+# ---------------------------------------------------------------------------
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turns(conv_id, turn, role, text): assistant turns carry one or two
+    ``<function=..>`` calls built around the original text."""
+    c = read_table(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    t, n = F.col("text"), F.col("turn").cast("string")
+    p = lambda key, v: F.concat(F.lit(f"<parameter={key}>"), v, F.lit("</parameter>"))
+    call = (F.when(k == 0, F.concat(F.lit("<function=search>"), p("query", t),
+                                    F.when(F.col("turn") % 3 == 0, p("query", F.concat(t, F.lit(" again")))).otherwise(F.lit("")),
+                                    F.lit("</function>")))
+            .when(k == 1, F.concat(F.lit("<function=open_page>"), p("url", F.concat(F.lit("http://x.example/"), n)),
+                                   F.lit("</function>")))
+            .when(k == 2, F.concat(F.lit("<function=recall>"), p("node_id", F.concat(F.lit("n"), n)),
+                                   F.when(F.col("turn") % 3 != 0, p("goal", t)).otherwise(F.lit("")),
+                                   F.lit("</function>")))
+            .otherwise(F.concat(F.lit("<function=finish>"), p("answer", t), p("explanation", F.lit(" because\n")),
+                                F.when(F.col("turn") % 2 == 0, p("confidence", F.lit("70%"))).otherwise(F.lit("")),
+                                F.lit("</function>"))))
+    second = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("\n<function=search>"), p("query", F.lit("more")),
+                                                      F.lit("</function>"))).otherwise(F.lit(""))
+    text = F.when(F.col("role") == "assistant", F.concat(F.lit("Thinking.\n"), call, second)).otherwise(t)
+    return c.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def plan_texts(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
+    """plans(graph_id, iteration, text): one planner reply per (graph, batch),
+    holding the batch's node specs and the verdicts on the previous batch as
+    JSON -- fenced, bare, single-quoted or missing, by iteration."""
+    nodes = nodes if nodes is not None else dag_nodes(spark, sf_dir)
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    spec = F.concat(F.lit("{"), F.lit('"id": '), q(F.col("spec_id")), F.lit(', "description": '),
+                    q(F.col("description")), F.lit(', "prompt": '), q(F.col("prompt")), F.lit("}"))
+    specs = nodes.groupBy("graph_id", "iteration").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", spec.alias("s")))),
+                                 lambda x: x["s"]), ", ").alias("specs"))
+    st = nodes.filter(F.col("spec_id") != "").select(
+        "graph_id", (F.col("iteration") + 1).alias("iteration"), "seq",
+        F.concat(q(F.col("spec_id")), F.lit(": "),
+                 q(F.when(F.col("status") == "", F.lit("Pending")).otherwise(F.col("status")))).alias("e"))
+    sts = st.groupBy("graph_id", "iteration").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "e"))), lambda x: x["e"]), ", ")
+        .alias("sts"))
+    j = specs.join(sts, ["graph_id", "iteration"], "left")
+    doc = F.concat(F.lit('{"node_statuses": {'), F.coalesce(F.col("sts"), F.lit("")), F.lit('}, "nodes": ['),
+                   F.col("specs"), F.lit("]}"))
+    m = F.col("iteration") % 4
+    text = (F.when(m == 0, F.concat(F.lit("Plan:\n```json\n"), doc, F.lit("\n```")))
+            .when(m == 1, F.concat(F.lit("Here is the plan {draft} then "), doc, F.lit(" done.")))
+            .when(m == 2, F.translate(doc, '"', "'"))
+            .otherwise(F.lit("I could not decide on a plan.")))
+    return j.select("graph_id", "iteration", text.alias("text"))
+
+
+ORACLE_CTES["turns"] = """
+turns AS (
+  SELECT conv_id, turn, role,
+    CASE WHEN role = 'assistant' THEN 'Thinking.' || chr(10) ||
+      CASE (conv_id + turn) % 4
+        WHEN 0 THEN '<function=search><parameter=query>' || text || '</parameter>'
+                    || CASE WHEN turn % 3 = 0 THEN '<parameter=query>' || text || ' again</parameter>' ELSE '' END
+                    || '</function>'
+        WHEN 1 THEN '<function=open_page><parameter=url>http://x.example/' || CAST(turn AS VARCHAR) || '</parameter></function>'
+        WHEN 2 THEN '<function=recall><parameter=node_id>n' || CAST(turn AS VARCHAR) || '</parameter>'
+                    || CASE WHEN turn % 3 <> 0 THEN '<parameter=goal>' || text || '</parameter>' ELSE '' END
+                    || '</function>'
+        ELSE '<function=finish><parameter=answer>' || text || '</parameter><parameter=explanation> because'
+             || chr(10) || '</parameter>'
+             || CASE WHEN turn % 2 = 0 THEN '<parameter=confidence>70%</parameter>' ELSE '' END || '</function>' END
+      || CASE WHEN turn % 5 = 1 THEN chr(10) || '<function=search><parameter=query>more</parameter></function>' ELSE '' END
+    ELSE text END AS text
+  FROM conversations)"""
+
+ORACLE_CTES["plans"] = """
+plans AS (
+  SELECT s.graph_id, s.iteration,
+    CASE s.iteration % 4
+      WHEN 0 THEN 'Plan:' || chr(10) || '```json' || chr(10) || doc || chr(10) || '```'
+      WHEN 1 THEN 'Here is the plan {draft} then ' || doc || ' done.'
+      WHEN 2 THEN replace(doc, '"', '''')
+      ELSE 'I could not decide on a plan.' END AS text
+  FROM (
+    SELECT sp.graph_id, sp.iteration,
+           '{"node_statuses": {' || coalesce(st.sts, '') || '}, "nodes": [' || sp.specs || ']}' AS doc
+    FROM (SELECT graph_id, iteration,
+                 string_agg('{"id": "' || spec_id || '", "description": "' || description || '", "prompt": "'
+                            || prompt || '"}', ', ' ORDER BY seq) AS specs
+          FROM nodes GROUP BY graph_id, iteration) sp
+    LEFT JOIN (SELECT graph_id, iteration + 1 AS iteration,
+                      string_agg('"' || spec_id || '": "' || CASE WHEN status = '' THEN 'Pending' ELSE status END || '"',
+                                 ', ' ORDER BY seq) AS sts
+               FROM nodes WHERE spec_id <> '' GROUP BY graph_id, iteration) st
+    USING (graph_id, iteration)) s)"""
+
+ORACLE_DEPS.update({"turns": [], "plans": ["nodes"]})
