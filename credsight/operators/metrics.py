@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsight.functions.columns import r6
-from credsight.operators.graph import dependency_lists
+from credsight.operators.graph import DEPS_NOT_FOUND, NO_DEPS, dependency_lists
 
 
 def chain_metrics(nodes: DataFrame, deps: DataFrame, closure: DataFrame) -> DataFrame:
@@ -28,3 +28,142 @@ def chain_metrics(nodes: DataFrame, deps: DataFrame, closure: DataFrame) -> Data
                     r6(F.col("chain_nodes") / F.col("n_nodes").cast("double")).alias("chain_ratio"),
                     r6(F.col("mean_deps")).alias("mean_deps"),
                     F.coalesce(F.col("answer_deps"), F.lit(0)).cast("bigint").alias("answer_deps"))
+
+
+def credit_shaping(nodes: DataFrame, closure: DataFrame, reward: DataFrame, alpha: float) -> DataFrame:
+    """executor reward = R on the answer chain, alpha * R off it; without an
+    answer node alpha falls back to 1.  ``reward(graph_id, R)``.
+    -> (graph_id, node_id, on_chain, has_answer, reward)"""
+    on = closure.select("graph_id", "node_id", F.lit(True).alias("on_chain")).distinct()
+    has = closure.select("graph_id", F.lit(True).alias("has_answer")).distinct()
+    j = (nodes.select("graph_id", "seq", "node_id").join(on, ["graph_id", "node_id"], "left")
+         .join(has, "graph_id", "left").join(reward, "graph_id", "left"))
+    oc = F.coalesce(F.col("on_chain"), F.lit(False))
+    ha = F.coalesce(F.col("has_answer"), F.lit(False))
+    r = F.when(oc | ~ha, F.col("R")).otherwise(F.lit(float(alpha)) * F.col("R"))
+    return j.select("graph_id", "seq", "node_id", oc.alias("on_chain"), ha.alias("has_answer"), r.alias("reward"))
+
+
+def knuth_hash(key, seed: int):
+    return ((key + F.lit(seed)) * F.lit(2654435761)) % F.lit(4294967296)
+
+
+def trajectory_cap(execs: DataFrame, max_traj: int, seed: int = 7) -> DataFrame:
+    """F12 + K3: keep the planner row, then on-chain executors by depth (deepest
+    first, ties by original order), then a seeded hash-random sample of
+    off-chain executors, up to ``max_traj`` rows per rollout.
+
+    One ``row_number`` per rollout; the ``<= budget`` filter is planned as a
+    group limit (partial top-k before the shuffle).
+    ``execs(graph_id, seq, on_chain, depth, ...)`` -> kept executor rows.
+    """
+    w = Window.partitionBy("graph_id").orderBy(
+        F.col("on_chain").desc(),
+        F.when(F.col("on_chain"), -F.col("depth")),
+        F.when(~F.col("on_chain"), knuth_hash(F.col("seq"), seed)),
+        F.col("seq"))
+    return execs.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= max_traj - 1).drop("_k")
+
+
+def kept_stats(execs: DataFrame, kept: DataFrame) -> DataFrame:
+    """kept / on-chain / off-chain / truncated counts and reward means;
+    the gap only when both sides are non-empty."""
+    pre = execs.groupBy("graph_id").agg(F.count_if("on_chain").alias("pre_chain"))
+    k = kept.groupBy("graph_id").agg(
+        F.count(F.lit(1)).alias("kept"), F.count_if("on_chain").alias("chain_kept"),
+        F.avg("reward").alias("exec_reward_mean"),
+        F.avg(F.when(F.col("on_chain"), F.col("reward"))).alias("chain_reward_mean"),
+        F.avg(F.when(~F.col("on_chain"), F.col("reward"))).alias("off_chain_reward_mean"))
+    j = pre.join(k, "graph_id", "left")
+    return j.select("graph_id", F.coalesce("kept", F.lit(0)).alias("kept"),
+                    F.coalesce("chain_kept", F.lit(0)).alias("chain_kept"),
+                    (F.coalesce("kept", F.lit(0)) - F.coalesce("chain_kept", F.lit(0))).alias("off_chain_kept"),
+                    F.greatest(F.col("pre_chain") - F.coalesce("chain_kept", F.lit(0)), F.lit(0)).alias("chain_truncated"),
+                    r6(F.col("exec_reward_mean")).alias("exec_reward_mean"),
+                    r6(F.col("chain_reward_mean")).alias("chain_reward_mean"),
+                    r6(F.col("off_chain_reward_mean")).alias("off_chain_reward_mean"),
+                    r6(F.col("chain_reward_mean") - F.col("off_chain_reward_mean")).alias("reward_gap"))
+
+
+def batch_cost(nodes: DataFrame, deps: DataFrame, plan_calls: DataFrame) -> DataFrame:
+    """a parallel batch costs its slowest node (max tool calls, one call
+    per dependency lookup here); steps = planner steps + sum of batch maxima."""
+    calls = (nodes.select("graph_id", "seq", "iteration")
+             .join(deps.groupBy("graph_id", "seq").agg(F.count(F.lit(1)).alias("calls")), ["graph_id", "seq"], "left")
+             .fillna(0, ["calls"]))
+    per_batch = calls.groupBy("graph_id", "iteration").agg(F.max("calls").alias("batch_max"))
+    g = per_batch.groupBy("graph_id").agg(F.sum("batch_max").alias("exec_steps"))
+    return (g.join(plan_calls, "graph_id")
+            .select("graph_id", "exec_steps", "plan_calls", (F.col("plan_calls") + F.col("exec_steps")).alias("steps")))
+
+
+def derived_counters(nodes: DataFrame, plan_calls: DataFrame) -> DataFrame:
+    """executed nodes, unique executed, grow iterations, refine count, batches."""
+    ex = F.col("status") != ""
+    g = nodes.groupBy("graph_id").agg(
+        F.count_if(ex).alias("executed_nodes"),
+        F.countDistinct(F.when(ex, F.col("node_id"))).alias("unique_executed"),
+        F.count_if(F.col("node_id").contains("_refine")).alias("refine_nodes"),
+        F.countDistinct("iteration").alias("n_batches"))
+    return g.join(plan_calls, "graph_id").select(
+        "graph_id", "executed_nodes", "unique_executed", "refine_nodes", "n_batches", "plan_calls",
+        F.greatest(F.col("plan_calls") - 1, F.lit(0)).alias("grow_iterations"))
+
+
+def node_metrics(nodes: DataFrame, context: DataFrame) -> DataFrame:
+    """dep_ratio = upstream tokens / prompt tokens (0 when none), and the
+    execution status class.  Tokens are counted as whitespace-separated words."""
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    j = nodes.join(context, ["graph_id", "node_id"])
+    up = F.when(F.col("context").isin(NO_DEPS, DEPS_NOT_FOUND), F.lit(0)).otherwise(words(F.col("context")))
+    pt = words(F.col("prompt")) + up
+    cls = (F.when(F.col("status").isin("Success", "Uncertain", "Not Found"), "completed")
+           .when(F.col("status") == "Failed", "failed").otherwise("exception"))
+    return j.select("graph_id", "node_id", up.cast("bigint").alias("upstream_tokens"), pt.cast("bigint").alias("prompt_tokens"),
+                    r6(F.when(pt > 0, up / pt).otherwise(F.lit(0.0))).alias("dep_ratio"), cls.alias("exec_status"))
+
+
+def tool_counts(calls: DataFrame) -> DataFrame:
+    """tool calls by kind per conversation; external = search + open_page."""
+    fn = F.col("function")
+    return calls.groupBy("conv_id").agg(
+        F.count_if(fn == "search").alias("n_search"), F.count_if(fn == "open_page").alias("n_open_page"),
+        F.count_if(fn == "recall").alias("n_recall"), F.count_if(fn == "finish").alias("n_finish"),
+        F.count_if(fn.isin("search", "open_page")).alias("n_external"))
+
+
+def context_budget(turns: DataFrame, limit: int, ratio: float = 0.95, warn_at: float = 0.85,
+                   min_out: int = 256) -> DataFrame:
+    """F2-F4 per conversation (a conversation is bounded by the turn cap):
+
+    F2 overflow: a turn that would push the context past ratio*limit is
+    discarded and its tokens counted as truncated; discarded turns do not
+    add -- an exact ordered fold over the turn array.
+    F3 first turn whose running usage reaches warn_at*limit (one-shot warning).
+    F4 first turn where limit - usage < min_out (context exhausted).
+    """
+    words = F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))
+    t = turns.select("conv_id", "turn", words.cast("bigint").alias("n"))
+    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("ts"))
+    cap = float(ratio * limit)
+    init = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("dropped"),
+                    F.lit(0).cast("bigint").alias("trunc"))
+    fold = F.aggregate("ts", init, lambda acc, x: F.when(
+        (acc["used"] + x["n"]).cast("double") > F.lit(cap),
+        F.struct(acc["used"].alias("used"), (acc["dropped"] + 1).alias("dropped"), (acc["trunc"] + x["n"]).alias("trunc")))
+        .otherwise(F.struct((acc["used"] + x["n"]).alias("used"), acc["dropped"].alias("dropped"),
+                            acc["trunc"].alias("trunc"))))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = t.withColumn("cum", F.sum("n").over(w))
+    first = cum.groupBy("conv_id").agg(
+        F.min(F.when(F.col("cum").cast("double") >= F.lit(warn_at * limit), F.col("turn"))).alias("warn_turn"),
+        F.min(F.when(F.lit(limit) - F.col("cum") < F.lit(min_out), F.col("turn"))).alias("exhausted_turn"))
+    return g.select("conv_id", fold.alias("f")).select(
+        "conv_id", F.col("f.used").alias("used"), F.col("f.dropped").alias("dropped_turns"),
+        F.col("f.trunc").alias("truncated_tokens")).join(first, "conv_id")
+
+
+def iteration_log(plan_rows: DataFrame, exec_rows: DataFrame) -> DataFrame:
+    """one log with both planner and execution rows."""
+    return (plan_rows.withColumn("kind", F.lit("plan"))
+            .unionByName(exec_rows.withColumn("kind", F.lit("exec")), allowMissingColumns=True))
