@@ -12,23 +12,20 @@ from credsight.operators import rules as R
 from credsight.operators import sampling as K
 from credsight.plans.catalog import query
 from credsight.plans.q_graph import _CLOSURE_SQL, _DEPTH_SQL
-from credsight.sources.fixtures import (chat_turns, dag_deps, dag_nodes, dag_verdicts, oracle_with, tokens,
-                                        trajectories)
+from credsight.sources.fixtures import chat_turns, dag_inputs, oracle_with, tokens, trajectories
 from credsight.sources.tables import read_table
 
 ALPHA, MAX_TRAJ = 0.5, 11
 
 
 def _graph(spark, sf):
-    raw = dag_nodes(spark, sf)
-    n = G.resolve_ids(raw)
-    d = dag_deps(spark, sf, raw)
+    n, d, v = dag_inputs(spark, sf)
     seeds = G.answer_nodes(n).select("graph_id", F.col("answer_node_id").alias("seed_id"))
-    return raw, n, d, seeds
+    return v, n, d, seeds
 
 
 def _credit(spark, sf, with_depth=False):
-    raw, n, d, seeds = _graph(spark, sf)
+    v, n, d, seeds = _graph(spark, sf)
     cl = G.transitive_deps(n, d, seeds)
     fa = G.final_answer(n).select("graph_id", F.when(F.col("final_answer").isNotNull(), 1.0).otherwise(0.0).alias("R"))
     c = M.credit_shaping(n, cl, fa, ALPHA)
@@ -106,8 +103,8 @@ g AS (SELECT graph_id, sum(bm) AS exec_steps FROM pb GROUP BY graph_id)
 SELECT graph_id, CAST(exec_steps AS BIGINT) AS exec_steps, plan_calls, CAST(plan_calls + exec_steps AS BIGINT) AS steps
 FROM g JOIN pc USING (graph_id)""")
 def q_batch_cost(spark, sf):
-    raw, n, d, _ = _graph(spark, sf)
-    return M.batch_cost(n, d, _plan_calls(n, dag_verdicts(spark, sf, raw)))
+    v, n, d, _ = _graph(spark, sf)
+    return M.batch_cost(n, d, _plan_calls(n, v))
 
 
 @query("derived_counters", "F7", oracle_with("gnodes", "verdicts") + _PLAN_CALLS_SQL + """
@@ -117,8 +114,8 @@ SELECT graph_id, count(*) FILTER (WHERE status <> '') AS executed_nodes,
        max(plan_calls) AS plan_calls, greatest(max(plan_calls) - 1, 0) AS grow_iterations
 FROM gnodes JOIN pc USING (graph_id) GROUP BY graph_id""")
 def q_derived_counters(spark, sf):
-    raw, n, _, _ = _graph(spark, sf)
-    return M.derived_counters(n, _plan_calls(n, dag_verdicts(spark, sf, raw)))
+    v, n, _, _ = _graph(spark, sf)
+    return M.derived_counters(n, _plan_calls(n, v))
 
 
 @query("tool_counts", "F6", oracle_with("turns") + """,
@@ -194,8 +191,7 @@ UNION ALL
 SELECT graph_id, iteration, 'exec', NULL::BIGINT, count(*), count(*) FILTER (WHERE status = 'Failed')
 FROM gnodes GROUP BY ALL""")
 def q_iteration_log(spark, sf):
-    raw, n, _, _ = _graph(spark, sf)
-    v = dag_verdicts(spark, sf, raw)
+    v, n, _, _ = _graph(spark, sf)
     plan_rows = v.groupBy("graph_id", "iteration").agg(F.count(F.lit(1)).alias("n_verdicts"))
     exec_rows = n.groupBy("graph_id", "iteration").agg(F.count(F.lit(1)).alias("n_nodes"),
                                                        F.count_if(F.col("status") == "Failed").alias("n_failed"))

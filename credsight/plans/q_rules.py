@@ -8,15 +8,13 @@ from credsight.functions.columns import r6, sql_r6
 from credsight.operators import graph as G
 from credsight.operators import rules as R
 from credsight.plans.catalog import query
-from credsight.sources.fixtures import dag_deps, dag_nodes, dag_verdicts, oracle_with
+from credsight.sources.fixtures import dag_inputs, oracle_with
 
 PAT = R"^(.+?)_refine(\d+)$"
 
 
 def _inputs(spark, sf):
-    raw = dag_nodes(spark, sf)
-    n = G.resolve_ids(raw)
-    return n, dag_deps(spark, sf, raw), dag_verdicts(spark, sf, raw)
+    return dag_inputs(spark, sf)
 
 
 def _viol(spark, sf):

@@ -488,3 +488,19 @@ plans AS (
     USING (graph_id, iteration)) s)"""
 
 ORACLE_DEPS.update({"turns": [], "plans": ["nodes"]})
+
+
+def dag_inputs(spark: SparkSession, sf_dir: str, materialise: bool = True):
+    """(nodes with resolved ids, deps, verdicts) for the DAG and rule queries.
+
+    The rule plans read these tables a dozen times; with ``materialise`` each
+    is computed once and written as a reliable checkpoint (shared
+    ``spark.checkpoint.dir``), which also cuts the lineage a lost executor
+    would otherwise recompute.
+    """
+    from credsight.operators.graph import resolve_ids
+    raw = dag_nodes(spark, sf_dir)
+    n, d, v = resolve_ids(raw), dag_deps(spark, sf_dir, raw), dag_verdicts(spark, sf_dir, raw)
+    if materialise:
+        n, d, v = n.checkpoint(), d.checkpoint(), v.checkpoint()
+    return n, d, v
