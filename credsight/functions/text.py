@@ -148,3 +148,19 @@ def backoff_total(attempts: Column) -> Column:
     total = F.aggregate(F.sequence(F.lit(0), attempts - 1), F.lit(0).cast("bigint"),
                         lambda acc, i: acc + F.least(F.pow(F.lit(2), i).cast("bigint"), F.lit(BACKOFF_CAP)))
     return F.when(attempts > 0, total).otherwise(F.lit(0).cast("bigint"))
+
+
+# Message templates of the prompt renderer (C18); the wording is
+# ours -- the reference's prompt texts are content, not computation.
+SYSTEM_TEMPLATE = "You are a research agent. Write %s-style search queries."
+USER_TEMPLATE = "Question: %s\nTask: %s"
+
+
+def render_messages(ability: Column, question: Column, task_id: Column) -> Column:
+    """Chat messages of a task row: a system message chosen by the
+    search style (C17) and a user message holding the question; a missing
+    task id renders as 'unknown'."""
+    return F.array(
+        F.struct(F.lit("system").alias("role"), F.format_string(SYSTEM_TEMPLATE, search_style(ability)).alias("content")),
+        F.struct(F.lit("user").alias("role"),
+                 F.format_string(USER_TEMPLATE, question, F.coalesce(task_id, F.lit("unknown"))).alias("content")))

@@ -401,3 +401,47 @@ def ledger_text(nodes: DataFrame) -> DataFrame:
                    ).otherwise(F.lit(""))
     return j.select("graph_id", F.concat(F.lit("### Statuses\n"), F.col("statuses"), budget, front).alias("ledger"))
 
+
+
+def _node_block(n: DataFrame, deps: DataFrame, nodes_all: DataFrame) -> DataFrame:
+    """One C14-style text block per node of ``n`` (deps listed in order)."""
+    dl = (dependency_lists(nodes_all, deps).groupBy("graph_id", "node_id")
+          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))),
+                                        lambda x: x["dep_id"]), ", ").alias("deps_str")))
+    j = n.join(dl, ["graph_id", "node_id"], "left")
+    deps_part = F.when(F.col("deps_str").isNotNull(), F.concat(F.lit(" (deps: "), F.col("deps_str"), F.lit(")"))) \
+        .otherwise(F.lit(""))
+    status = F.when(F.col("status") == "", F.lit(AWAITING)).otherwise(F.col("status"))
+    block = F.concat_ws(
+        "\n",
+        F.concat(F.lit("["), F.col("node_id"), F.lit("]: "), F.col("description")),
+        F.concat(F.lit("    Status: "), status, deps_part),
+        _line("    Answer: ", F.col("answer")), _line("    Explanation: ", F.col("explanation")),
+        _line("    Key Steps: ", F.col("key_steps")), _line("    Confidence: ", F.col("confidence")),
+        _line("    Uncertainties: ", F.col("uncertainties")), F.lit(""))
+    return j.select("graph_id", "iteration", "seq", "node_id", block.alias("block"))
+
+
+def delta_text(nodes: DataFrame, deps: DataFrame, applied: DataFrame, plans_df: DataFrame) -> DataFrame:
+    """Delta shown to the planner at plan k -- the status changes applied
+    by plan k-1 and the results of batch k-1 -- or ``[No new results]``.
+    ``applied`` = D12 output; ``plans_df(graph_id, iteration)``."""
+    seqs = nodes.select("graph_id", "node_id", "seq")
+    ch = (applied.join(seqs, ["graph_id", "node_id"])
+          .select("graph_id", (F.col("iteration") + 1).alias("iteration"), "seq",
+                  F.concat(F.lit("["), F.col("node_id"), F.lit("]: "), F.col("status")).alias("l"))
+          .groupBy("graph_id", "iteration")
+          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "l"))), lambda x: x["l"]), "\n")
+               .alias("changes")))
+    nb = (_node_block(nodes, deps, nodes).withColumn("iteration", F.col("iteration") + 1)
+          .groupBy("graph_id", "iteration")
+          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))),
+                                        lambda x: x["block"]), "\n").alias("results")))
+    j = plans_df.join(ch, ["graph_id", "iteration"], "left").join(nb, ["graph_id", "iteration"], "left")
+    parts = F.concat_ws(
+        "\n",
+        F.when(F.col("changes").isNotNull(), F.concat(F.lit("=== Status Changes ===\n"), F.col("changes"), F.lit("\n"))),
+        F.when(F.col("results").isNotNull(), F.concat(F.lit("=== New Execution Results ===\n"), F.col("results"))))
+    return j.select("graph_id", "iteration",
+                    F.when(F.col("changes").isNull() & F.col("results").isNull(), F.lit("[No new results]"))
+                    .otherwise(parts).alias("delta"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from credsight.operators import graph as G
 from credsight.plans.catalog import query
-from credsight.sources.fixtures import dag_inputs, dag_nodes, dag_verdicts, oracle_with
+from credsight.sources.fixtures import dag_inputs, dag_nodes, dag_verdicts, oracle_with  # noqa: F401
 
 
 def _g(spark, sf, materialise: bool = False):
@@ -294,3 +294,33 @@ FROM st LEFT JOIN rb USING (graph_id) LEFT JOIN fr USING (graph_id)""")
 def q_dag_ledger(spark, sf):
     n, _ = _g(spark, sf)
     return G.ledger_text(n)
+
+
+@query("dag_delta_text", "C15,D12", oracle_with("gnodes", "deps", "verdicts") + _APPLY_SQL + _DL + """,
+P AS (SELECT graph_id, iteration FROM gnodes UNION SELECT graph_id, iteration FROM verdicts),
+ch AS (SELECT a.graph_id, a.iteration + 1 AS iteration,
+              string_agg('[' || a.node_id || ']: ' || a.status, chr(10) ORDER BY n.seq) AS changes
+       FROM applied a JOIN gnodes n USING (graph_id, node_id) GROUP BY ALL),
+ds AS (SELECT graph_id, node_id, string_agg(dep_id, ', ' ORDER BY dep_pos) AS deps_str FROM dl GROUP BY ALL),
+blk AS (SELECT n.graph_id, n.iteration + 1 AS iteration, n.seq, concat_ws(chr(10),
+          '[' || n.node_id || ']: ' || n.description,
+          '    Status: ' || CASE WHEN n.status = '' THEN 'Awaiting Evaluation' ELSE n.status END
+             || CASE WHEN ds.deps_str IS NOT NULL THEN ' (deps: ' || ds.deps_str || ')' ELSE '' END,
+          CASE WHEN n.answer <> '' THEN '    Answer: ' || n.answer END,
+          CASE WHEN n.explanation <> '' THEN '    Explanation: ' || n.explanation END,
+          CASE WHEN n.key_steps <> '' THEN '    Key Steps: ' || n.key_steps END,
+          CASE WHEN n.confidence <> '' THEN '    Confidence: ' || n.confidence END,
+          CASE WHEN n.uncertainties <> '' THEN '    Uncertainties: ' || n.uncertainties END, '') AS b
+        FROM gnodes n LEFT JOIN ds USING (graph_id, node_id)),
+nb AS (SELECT graph_id, iteration, string_agg(b, chr(10) ORDER BY seq) AS results FROM blk GROUP BY ALL)
+SELECT P.graph_id, P.iteration,
+       CASE WHEN changes IS NULL AND results IS NULL THEN '[No new results]'
+            ELSE concat_ws(chr(10),
+                   CASE WHEN changes IS NOT NULL THEN '=== Status Changes ===' || chr(10) || changes || chr(10) END,
+                   CASE WHEN results IS NOT NULL THEN '=== New Execution Results ===' || chr(10) || results END) END AS delta
+FROM P LEFT JOIN ch USING (graph_id, iteration) LEFT JOIN nb USING (graph_id, iteration)""")
+def q_dag_delta_text(spark, sf):
+    from credsight.operators.rules import plans
+    n, d, v = dag_inputs(spark, sf)
+    ap = G.applicable_verdicts(n, v)
+    return G.delta_text(n, d, ap, plans(n, v))

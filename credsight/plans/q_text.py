@@ -181,3 +181,19 @@ def q_text_backoff(spark, sf):
     e = read_table(spark, sf, "events")
     g = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n_errors"))
     return g.select("user_id", "n_errors", X.backoff_total(F.col("n_errors")).alias("total_wait"))
+
+
+@query("text_prompts", "C18,C17", """
+SELECT item_id, CAST(k AS INTEGER) AS msg_idx, CASE WHEN k = 0 THEN 'system' ELSE 'user' END AS role,
+       CASE WHEN k = 0 THEN 'You are a research agent. Write '
+                            || CASE WHEN item_id % 2 = 0 THEN 'keyword' ELSE 'sentence' END || '-style search queries.'
+            ELSE 'Question: ' || text || chr(10) || 'Task: ' || CASE WHEN item_id % 5 = 0 THEN 'unknown'
+                                                                    ELSE 'bench-' || CAST(item_id AS VARCHAR) END END AS content
+FROM benchmark, range(0, 2) r(k)""")
+def q_text_prompts(spark, sf):
+    b = read_table(spark, sf, "benchmark")
+    ability = F.when(F.col("item_id") % 2 == 0, F.lit("WebSearch")).otherwise(F.lit("QA"))
+    tid = F.when(F.col("item_id") % 5 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("bench-"), F.col("item_id").cast("string")))
+    m = b.select("item_id", F.posexplode(X.render_messages(ability, F.col("text"), tid)).alias("msg_idx", "m"))
+    return m.select("item_id", "msg_idx", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
