@@ -79,3 +79,38 @@ def q_stream_adaptive_kl(spark, sf):
     st = S.stream_table(spark, path, max_files=1).drop("year")
     out = S.run_append(S.adaptive_kl_stream(st, init=0.05, target=0.02, horizon=10000), "l4")
     return out.select("step", r6(F.col("kl")).alias("kl"), "n", r6(F.col("kl_coef")).alias("kl_coef"))
+
+
+@query("stream_group_credit", "L5,H2", oracle_with("traj") + f""",
+st AS (SELECT uid, count(*) AS g_n, CASE WHEN count(*) = 1 THEN 0.0::DOUBLE ELSE avg(score) END AS g_mean,
+              CASE WHEN count(*) = 1 THEN 1.0::DOUBLE ELSE stddev_samp(score) END AS g_std FROM traj GROUP BY uid)
+SELECT traj_id, {sql_r6('(score - g_mean) / (g_std + 1e-6::DOUBLE)')} AS adv FROM traj JOIN st USING (uid)""")
+def q_stream_group_credit(spark, sf):
+    from credsight.sources.fixtures import tokens, trajectories
+    traj = trajectories(spark, sf, tokens(spark, sf)).select("traj_id", "uid", "score", "batch_idx")
+    expected = traj.groupBy("uid").agg(F.count(F.lit(1)).alias("g_expected"))
+    path = S.materialise_in_order(traj.withColumn("chunk", (F.col("batch_idx") / 5000).cast("bigint")), "l5-traj",
+                                  "chunk")
+    st = S.group_complete_stats(S.stream_table(spark, path, max_files=1).drop("chunk"), expected, "l5")
+    t = spark.read.parquet(path)
+    return t.join(st, "uid").select(
+        "traj_id", r6((F.col("score") - F.col("g_mean")) / (F.col("g_std") + F.lit(1e-6))).alias("adv"))
+
+
+def q_stream_validation(spark, sf):
+    from credsight.operators.rules import plans
+    from credsight.sources.fixtures import dag_inputs
+    n, d, v = dag_inputs(spark, sf)
+    keys = plans(n, v).withColumn("chunk", (F.col("iteration") / 4).cast("bigint"))
+    path = S.materialise_in_order(keys, "l8-plans", "chunk")
+    out = S.validate_stream(S.stream_table(spark, path, max_files=1), n, d, v, "l8")
+    return out.select("graph_id", "iteration", "rule", "node_id", "message")
+
+
+def _register_validation():
+    from credsight.plans.q_rules import _V_SQL
+    query("stream_validation", "L8", _V_SQL + "SELECT graph_id, iteration, rule, node_id, message FROM viol")(
+        q_stream_validation)
+
+
+_register_validation()

@@ -203,3 +203,60 @@ def adaptive_kl_stream(steps: DataFrame, init: float, target: float, horizon: in
     return steps.groupBy("run_id").applyInPandasWithState(
         update, _KL_OUT, _KL_STATE, "append", GroupStateTimeout.NoTimeout)
 
+
+
+# ---------------------------------------------------------------------------
+# L5 group-complete credit, L8 streaming plan validation
+# ---------------------------------------------------------------------------
+
+
+def group_complete_stats(traj_stream: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """Per-group (count, sum, sum of squares) as a built-in streaming
+    aggregation (map-side partial, so a hot group is pre-combined), emitted
+    once per group when all of its expected rollouts have arrived.
+
+    ``expected(uid, g_expected)``.  -> (uid, g_n, g_mean, g_std) with the
+    singleton rule (mean 0, std 1)."""
+    spark = traj_stream.sparkSession
+    area = _area(spark, name)
+    out = f"{area}/out"
+    agg = traj_stream.groupBy("uid").agg(F.count(F.lit(1)).alias("g_n"), F.sum("score").alias("s1"),
+                                          F.sum(F.col("score") * F.col("score")).alias("s2"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        done = batch.join(expected, "uid").filter(F.col("g_n") == F.col("g_expected"))
+        done.drop("g_expected").write.mode("append").parquet(out)
+
+    q = (agg.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt")
+         .outputMode("update").trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    n = F.col("g_n").cast("double")
+    var = (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - F.lit(1.0))
+    return r.select("uid", "g_n",
+                    F.when(F.col("g_n") == 1, F.lit(0.0)).otherwise(F.col("s1") / n).alias("g_mean"),
+                    F.when(F.col("g_n") == 1, F.lit(1.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("g_std"))
+
+
+def validate_stream(plan_keys: DataFrame, nodes: DataFrame, deps: DataFrame, verdicts: DataFrame,
+                    name: str) -> DataFrame:
+    """Run the batch rules (E1-E9) on plans as they arrive.  Each
+    micro-batch restricts the stored tables to the graphs it touches
+    (semi-joins), validates those plans and appends their violations."""
+    from credsight.operators.rules import violations
+    spark = plan_keys.sparkSession
+    area = _area(spark, name)
+    out = f"{area}/out"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        keys = batch.select("graph_id", "iteration").distinct()
+        g = keys.select("graph_id").distinct()
+        n = nodes.join(g, "graph_id", "left_semi")
+        d = deps.join(g, "graph_id", "left_semi")
+        v = verdicts.join(g, "graph_id", "left_semi")
+        violations(n, d, v).join(keys, ["graph_id", "iteration"], "left_semi").write.mode("append").parquet(out)
+
+    q = (plan_keys.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
