@@ -128,11 +128,12 @@ SELECT graph_id, iteration,
 FROM expect""")
 def q_text_plan_parse(spark, sf):
     p = plan_texts(spark, sf)
-    blk = X.json_block(F.col("text"))
-    parsed = X.parse_plan(blk)
-    st = F.map_filter(parsed["node_statuses"], lambda k, v: v.isin(*X.PLAN_STATUSES))
-    kept = F.filter(parsed["nodes"], lambda n: n["description"].isNotNull() & n["prompt"].isNotNull())
-    return p.select("graph_id", "iteration", X.plan_error(F.col("text")).alias("error"),
+    # locate and parse each reply once; every later column reads these
+    p = p.withColumn("blk", X.json_block(F.col("text")))
+    p = p.withColumn("parsed", X.parse_plan(F.col("blk")))
+    st = F.map_filter(F.col("parsed")["node_statuses"], lambda k, v: v.isin(*X.PLAN_STATUSES))
+    kept = F.filter(F.col("parsed")["nodes"], lambda n: n["description"].isNotNull() & n["prompt"].isNotNull())
+    return p.select("graph_id", "iteration", X.plan_error_of(F.col("blk"), F.col("parsed")).alias("error"),
                     F.coalesce(F.size(st), F.lit(0)).cast("bigint").alias("n_statuses"),
                     F.coalesce(F.size(kept), F.lit(0)).cast("bigint").alias("n_nodes"))
 

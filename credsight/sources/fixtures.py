@@ -66,11 +66,17 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traj_sums(tok: DataFrame) -> DataFrame:
-    """Per-trajectory scalars; partial aggregation, no token arrays shuffled."""
-    return tok.groupBy("traj_id").agg(
+    """Per-trajectory scalars in one pass over the tokens: score, lengths and
+    the number of runs of negative process mask (H4's violation count, a lag
+    inside the trajectory window)."""
+    w = Window.partitionBy("traj_id").orderBy("pos")
+    neg = (F.col("pmask") < 0).cast("int")
+    start = ((neg == 1) & (F.coalesce(F.lag(neg, 1).over(w), F.lit(0)) == 0)).cast("int")
+    return tok.select("traj_id", "reward", "mask", start.alias("vstart")).groupBy("traj_id").agg(
         F.sum("reward").alias("score"),
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum("mask").cast("bigint").alias("n_valid"),
+        F.sum("vstart").cast("bigint").alias("n_violations"),
     )
 
 
@@ -97,6 +103,7 @@ def trajectories(spark: SparkSession, sf_dir: str, tok: DataFrame | None = None)
         F.when(F.col("o_orderstatus") == "O", -score).otherwise(score).alias("raw_score"),
         F.coalesce(F.col("n_tokens"), F.lit(0).cast("bigint")).alias("n_tokens"),
         F.coalesce(F.col("n_valid"), F.lit(0).cast("bigint")).alias("n_valid"),
+        F.coalesce(F.col("n_violations"), F.lit(0).cast("bigint")).alias("n_violations"),
         (F.col("o_totalprice") / _d(131072.0) - _d(2.0)).alias("baseline"),
     )
 
