@@ -219,7 +219,7 @@ def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 4, max_levels
              .select("graph_id", "node_id", F.coalesce("indeg", F.lit(0)).cast("bigint").alias("left"))
              .withColumn("depth", F.when(F.col("left") == 0, F.lit(0).cast("bigint"))))
     state = state.checkpoint()
-    level = 0
+    level, cached = 0, []
     while max_levels is None or level < max_levels:
         front = state.filter(F.col("depth") == level).select("graph_id", F.col("node_id").alias("src"))
         dec = (ed.join(front, ["graph_id", "src"])
@@ -230,10 +230,17 @@ def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 4, max_levels
                              .otherwise(F.col("depth")))
                  .drop("dec"))
         level += 1
-        # materialise each level once (reliable checkpoint): the release test
-        # below and the next level both read it, and lineage stays one level deep
-        state = state.checkpoint() if level % checkpoint_every == 0 else state.cache()
-        if state.filter(F.col("depth") == level).limit(1).count() == 0:
+        # materialise each level once: cached, with a reliable checkpoint every
+        # few levels so lineage (and recomputation after a lost executor) stays short
+        if level % checkpoint_every == 0:
+            state = state.checkpoint()
+        else:
+            state = state.cache()
+        released = state.filter(F.col("depth") == level).count()  # full pass: the cache is complete
+        for old in cached:
+            old.unpersist()
+        cached = [state] if level % checkpoint_every else []
+        if released == 0:
             break
     done = state.filter(F.col("depth").isNotNull()).select("graph_id", F.col("node_id").alias("src"), "depth")
     partial = (ed.join(done, ["graph_id", "src"])
@@ -266,17 +273,25 @@ def transitive_deps(nodes: DataFrame, deps: DataFrame, seeds: DataFrame, checkpo
           .select("graph_id", F.col("node_id").alias("x"), F.col("dep_id").alias("y")).checkpoint())
     visited = seeds.select("graph_id", "seed_id", F.col("seed_id").alias("x")).distinct().checkpoint()
     front = visited
-    it = 0
+    it, cached = 0, []
     while True:
         nxt = (front.join(dl, ["graph_id", "x"]).select("graph_id", "seed_id", F.col("y").alias("x")).distinct()
                .join(visited, ["graph_id", "seed_id", "x"], "left_anti"))
         it += 1
-        nxt = nxt.checkpoint()  # materialised once: counted, unioned and expanded next
-        if nxt.limit(1).count() == 0:
+        # materialised once per round (it is counted, unioned and expanded next);
+        # a reliable checkpoint every few rounds bounds the lineage
+        nxt = nxt.checkpoint() if it % checkpoint_every == 0 else nxt.cache()
+        n_new = nxt.count()
+        if n_new == 0:
             break
         visited = visited.unionByName(nxt)
         if it % checkpoint_every == 0:
             visited = visited.checkpoint()
+            for old in cached:
+                old.unpersist()
+            cached = []
+        else:
+            cached.append(nxt)
         front = nxt
     return visited.withColumnRenamed("x", "node_id")
 
