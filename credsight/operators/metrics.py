@@ -167,3 +167,39 @@ def iteration_log(plan_rows: DataFrame, exec_rows: DataFrame) -> DataFrame:
     """one log with both planner and execution rows."""
     return (plan_rows.withColumn("kind", F.lit("plan"))
             .unionByName(exec_rows.withColumn("kind", F.lit("exec")), allowMissingColumns=True))
+
+
+# Failure / end-reason vocabularies (F8, F9) and the caps they use.
+MAX_EXECUTOR_TURNS = 4
+MAX_PLAN_ITERATIONS = 30
+
+
+def failure_taxonomy(budget: DataFrame, calls: DataFrame, turns: DataFrame,
+                     max_turns: int = MAX_EXECUTOR_TURNS) -> DataFrame:
+    """F8: why an executor run ended, first matching reason wins:
+    context_overflow (turns were discarded, F2) > max_turn (turn cap reached
+    without finish) > unfinished (no finish call: the fallback record) > completed."""
+    fin = calls.groupBy("conv_id").agg(F.count_if(F.col("function") == "finish").alias("n_finish"))
+    nt = turns.filter(F.col("role") == "assistant").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    j = budget.select("conv_id", "dropped_turns").join(nt, "conv_id", "left").join(fin, "conv_id", "left")
+    nf = F.coalesce(F.col("n_finish"), F.lit(0))
+    reason = (F.when(F.col("dropped_turns") > 0, "context_overflow")
+              .when((F.coalesce(F.col("n_turns"), F.lit(0)) >= max_turns) & (nf == 0), "max_turn")
+              .when(nf == 0, "unfinished").otherwise("completed"))
+    return j.select("conv_id", reason.alias("reason"))
+
+
+def end_reason(nodes: DataFrame, plan_replies: DataFrame, plan_calls: DataFrame,
+               max_iterations: int = MAX_PLAN_ITERATIONS) -> DataFrame:
+    """session end reason per rollout, in the reference's priority order
+    over the events the tables carry: answer executed > parse error on the
+    last planner reply > iteration cap > incomplete."""
+    ans = nodes.groupBy("graph_id").agg(
+        F.count_if(F.col("node_id").endswith("_answer") & (F.col("status") != "")).alias("n_answer_done"))
+    last = plan_replies.groupBy("graph_id").agg(F.max_by("error", "iteration").alias("last_error"),
+                                                F.max("iteration").alias("last_it"))
+    j = plan_calls.join(ans, "graph_id", "left").join(last, "graph_id", "left")
+    reason = (F.when(F.coalesce(F.col("n_answer_done"), F.lit(0)) > 0, "answer")
+              .when(F.col("last_error").isNotNull(), "parse_error")
+              .when(F.col("plan_calls") >= max_iterations, "max_iterations").otherwise("incomplete"))
+    return j.select("graph_id", reason.alias("reason"))

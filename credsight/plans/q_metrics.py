@@ -229,3 +229,54 @@ def q_resample_draw(spark, sf):
     w = K.resample_weights(traj, "pow", 2.0)
     d = K.weighted_draw(w, "traj_id", "weight", seed=3)
     return d.groupBy("traj_id").agg(F.count(F.lit(1)).alias("times_drawn"))
+
+
+@query("failure_taxonomy", "F8", """
+WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+f(conv_id, r, used, dropped) AS (
+  SELECT conv_id, r, CASE WHEN CAST(n AS DOUBLE) > 2850.0 THEN 0 ELSE n END, CASE WHEN CAST(n AS DOUBLE) > 2850.0 THEN 1 ELSE 0 END
+  FROM t WHERE r = 1
+  UNION ALL
+  SELECT f.conv_id, t.r, CASE WHEN CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN f.used ELSE f.used + t.n END,
+         f.dropped + CASE WHEN CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN 1 ELSE 0 END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1),
+b AS (SELECT conv_id, arg_max(dropped, r) AS dropped FROM f GROUP BY conv_id),
+""" + oracle_with("turns")[len("WITH "):] + """,
+c AS (SELECT conv_id, count(*) AS n_turns,
+             sum(len(regexp_extract_all(text, '(?s)<function=(finish)>', 1))) AS n_finish
+      FROM turns WHERE role = 'assistant' GROUP BY conv_id)
+SELECT b.conv_id, CASE WHEN dropped > 0 THEN 'context_overflow'
+                       WHEN coalesce(n_turns, 0) >= 4 AND coalesce(n_finish, 0) = 0 THEN 'max_turn'
+                       WHEN coalesce(n_finish, 0) = 0 THEN 'unfinished' ELSE 'completed' END AS reason
+FROM b LEFT JOIN c USING (conv_id)""")
+def q_failure_taxonomy(spark, sf):
+    conv = read_table(spark, sf, "conversations")
+    budget = M.context_budget(conv, limit=3000)
+    t = chat_turns(spark, sf)
+    calls = (t.filter(F.col("role") == "assistant")
+             .select("conv_id", F.explode(extract_calls(F.col("text"))).alias("c")).select("conv_id", "c.function"))
+    return M.failure_taxonomy(budget, calls, t)
+
+
+@query("end_reason", "F9", oracle_with("gnodes", "verdicts", "plans") + """,
+pc AS (SELECT graph_id, count(*) AS plan_calls FROM (
+         SELECT graph_id, iteration FROM gnodes UNION SELECT graph_id, iteration FROM verdicts) GROUP BY graph_id),
+ans AS (SELECT graph_id, count(*) FILTER (WHERE ends_with(node_id, '_answer') AND status <> '') AS n_done
+        FROM gnodes GROUP BY graph_id),
+lst AS (SELECT graph_id, max(iteration) % 4 = 3 AS last_bad FROM plans GROUP BY graph_id)
+SELECT pc.graph_id, CASE WHEN coalesce(n_done, 0) > 0 THEN 'answer' WHEN last_bad THEN 'parse_error'
+                         WHEN plan_calls >= 30 THEN 'max_iterations' ELSE 'incomplete' END AS reason
+FROM pc LEFT JOIN ans USING (graph_id) LEFT JOIN lst USING (graph_id)""")
+def q_end_reason(spark, sf):
+    from credsight.functions.text import json_block, parse_plan, plan_error_of
+    from credsight.sources.fixtures import plan_texts
+    v, n, _, _ = _graph(spark, sf)
+    p = plan_texts(spark, sf, dag_nodes_raw(spark, sf)).withColumn("blk", json_block(F.col("text")))
+    p = p.withColumn("error", plan_error_of(F.col("blk"), parse_plan(F.col("blk"))))
+    return M.end_reason(n, p, _plan_calls(n, v))
+
+
+def dag_nodes_raw(spark, sf):
+    from credsight.sources.fixtures import dag_nodes
+    return dag_nodes(spark, sf)
