@@ -13,7 +13,7 @@ cap, which bounds those aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsight.functions.ordering import running_sums
@@ -305,10 +305,16 @@ def applicable_verdicts(nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
     """A plan's verdicts apply only to nodes of the most recent executed
     batch before the plan (a turn without a reply keeps the old batch).
     -> (graph_id, iteration, node_id, status) of the verdicts that apply."""
-    batches = nodes.select("graph_id", F.col("iteration").alias("b")).distinct()
-    plans = verdicts.select("graph_id", "iteration").distinct()
-    prev = (plans.join(batches, "graph_id").filter(F.col("b") < F.col("iteration"))
-            .groupBy("graph_id", "iteration").agg(F.max("b").alias("prev_b")))
+    # distinct (graph, iteration) keys of batches and plans; the latest batch
+    # before each plan is a running value over that small per-graph list
+    # (bounded by the iteration cap) -- no plan x batch pairs are formed
+    keys = (nodes.select("graph_id", "iteration", F.col("iteration").alias("b"))
+            .unionByName(verdicts.select("graph_id", "iteration", F.lit(None).cast("bigint").alias("b")))
+            .groupBy("graph_id", "iteration").agg(F.max("b").alias("b")))
+    w = Window.partitionBy("graph_id").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
+    prev = (keys.withColumn("prev_b", F.max("b").over(w))
+            .join(verdicts.select("graph_id", "iteration").distinct(), ["graph_id", "iteration"])
+            .filter(F.col("prev_b").isNotNull()).select("graph_id", "iteration", "prev_b"))
     v = verdicts.join(prev, ["graph_id", "iteration"])
     n = nodes.select("graph_id", "node_id", F.col("iteration").alias("node_it"))
     return v.join(n, ["graph_id", "node_id"]).filter(F.col("node_it") == F.col("prev_b")).select(
