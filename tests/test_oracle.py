@@ -13,7 +13,7 @@ SUBSET = ["adv_grpo", "adv_role_penalised", "adv_fold_process", "adv_passk", "ad
           "adv_rfpp", "loss_ppo_seq_norm", "loss_geo_mean", "kl_adaptive", "eval_grouping_sets",
           "eval_running_mean", "eval_chunks", "dag_edges", "dag_depth", "dag_closure", "dag_ledger",
           "rule_messages", "text_params", "text_plan_parse", "topk_search", "open_page", "resample_draw",
-          "stream_sessions"]
+          "stream_sessions", "stream_running_mean", "stream_group_credit", "dag_delta_text", "end_reason"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("CREDSIGHT_ALL_ORACLES") else SUBSET
 
 
