@@ -242,6 +242,10 @@ def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 4, max_levels
         cached = [state] if level % checkpoint_every else []
         if released == 0:
             break
+    if cached:  # hand back checkpointed data only; release every cache the loop made
+        state = state.checkpoint()
+        for old in cached:
+            old.unpersist()
     done = state.filter(F.col("depth").isNotNull()).select("graph_id", F.col("node_id").alias("src"), "depth")
     partial = (ed.join(done, ["graph_id", "src"])
                .groupBy("graph_id", F.col("dst").alias("node_id")).agg((F.max("depth") + 1).alias("pdepth")))
@@ -293,6 +297,10 @@ def transitive_deps(nodes: DataFrame, deps: DataFrame, seeds: DataFrame, checkpo
         else:
             cached.append(nxt)
         front = nxt
+    if cached:
+        visited = visited.checkpoint()
+    for old in cached + [nxt]:
+        old.unpersist()
     return visited.withColumnRenamed("x", "node_id")
 
 
