@@ -22,6 +22,9 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A repeated parameter name keeps the last value
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # graph loops checkpoint every few levels; files of levels no longer
+    # referenced are removed by the context cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
