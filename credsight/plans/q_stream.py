@@ -23,20 +23,20 @@ def q_stream_running_mean(spark, sf):
 
 
 @query("stream_windowed_score", "L2", _EV + f"""
-SELECT CAST(date_trunc('day', finished_at) AS TIMESTAMP) AS window_start, data_source,
+SELECT CAST(epoch(date_trunc('day', finished_at)) AS BIGINT) AS window_start_s, data_source,
        {sql_r6('avg(score)')} AS mean_score,
        {sql_r6("avg(CASE WHEN status = 'failed' THEN 1.0 ELSE 0.0 END)")} AS failure_rate, count(*) AS n
 FROM evalres GROUP BY ALL""")
 def q_stream_windowed_score(spark, sf):
-    out = S.run_update(S.windowed_scores(S.results_stream(spark, sf)), "l2", ["window_start", "data_source"])
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "data_source",
+    out = S.run_update(S.windowed_scores(S.results_stream(spark, sf)), "l2", ["window_start_s", "data_source"])
+    return out.select("window_start_s", "data_source",
                       r6(F.col("mean_score")).alias("mean_score"), r6(F.col("failure_rate")).alias("failure_rate"), "n")
 
 
 @query("stream_dedup", "L3", """
 SELECT DISTINCT user_id, event_type FROM events""")
 def q_stream_dedup(spark, sf):
-    ev = S.stream_table(spark, f"{sf.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = S.stream_table(spark, f"{sf.rstrip('/')}/events.parquet").withColumn("ts", S.utc_instant(F.col("ts")))
     out = S.run_append(S.dedup_within_watermark(ev, ["user_id", "event_type"], "ts", "1 hour"), "l3")
     return out.select("user_id", "event_type")
 
@@ -45,13 +45,13 @@ def q_stream_dedup(spark, sf):
 WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 5400 SECOND THEN 1 ELSE 0 END)
                           OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 5400 SECOND AS session_end, count(*) AS n_events
+SELECT user_id, epoch_us(min(ts)) AS session_start_us, epoch_us(max(ts) + INTERVAL 5400 SECOND) AS session_end_us,
+       count(*) AS n_events
 FROM s GROUP BY user_id, sid""")
 def q_stream_sessions(spark, sf):
-    ev = S.stream_table(spark, f"{sf.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = S.stream_table(spark, f"{sf.rstrip('/')}/events.parquet").withColumn("ts", S.utc_instant(F.col("ts")))
     out = S.run_complete(S.sessions(ev, "user_id", "ts"), "l6")
-    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
-                      F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_events")
+    return out.select("user_id", "session_start_us", "session_end_us", "n_events")
 
 
 @query("stream_static_lookup", "L7", oracle_with("gnodes", "deps") + """

@@ -118,6 +118,16 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+def utc_instant(c):
+    """A naive wall-clock timestamp read as UTC, as an event-time TIMESTAMP.
+
+    Watermarks need TIMESTAMP; a plain cast would read the wall clock in the
+    session time zone, so window bounds would move with that setting.
+    """
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
 def results_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation results arriving as the ``events`` files (same mapping as the batch view)."""
     e = stream_table(spark, f"{sf_dir.rstrip('/')}/events.parquet")
@@ -126,7 +136,7 @@ def results_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit(0.0))
          .otherwise(F.least(F.lit(1.0), F.floor(F.col("value")).cast("double") / F.lit(32.0))).alias("score"),
         F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
-        F.col("ts").cast("timestamp").alias("finished_at"), "user_id")
+        utc_instant(F.col("ts")).alias("finished_at"), "user_id")
 
 
 def running_by_source(res: DataFrame) -> DataFrame:
@@ -142,7 +152,8 @@ def windowed_scores(res: DataFrame, window: str = "1 day", late: str = "10 minut
     return (w.groupBy(F.window("finished_at", window).alias("w"), "data_source")
             .agg(F.avg("score").alias("mean_score"), F.avg((F.col("status") == "failed").cast("double"))
                  .alias("failure_rate"), F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), "data_source", "mean_score", "failure_rate", "n"))
+            .select(F.unix_seconds(F.col("w.start")).alias("window_start_s"), "data_source", "mean_score",
+                    "failure_rate", "n"))
 
 
 # ---------------------------------------------------------------------------
@@ -160,7 +171,8 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int = 5400) -> D
     return (events.withWatermark(ts, f"{gap_seconds} seconds")
             .groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("s"))
             .agg(F.count(F.lit(1)).alias("n_events"))
-            .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events"))
+            .select(key, F.unix_micros(F.col("s.start")).alias("session_start_us"),
+                    F.unix_micros(F.col("s.end")).alias("session_end_us"), "n_events"))
 
 
 def stream_static_lookup(dep_stream: DataFrame, nodes: DataFrame) -> DataFrame:
