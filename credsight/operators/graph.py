@@ -212,40 +212,42 @@ def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 4, max_levels
     """
     spark = nodes.sparkSession
     checkpoint_dir(spark)
-    # the edge table is read once per level: materialise it (reliably) first
-    ed = e.select("graph_id", "src", "dst").checkpoint()
+    # The edge table is read by every level and the state is rewritten by
+    # every level: partition both once on their join keys (a checkpoint keeps
+    # that partitioning), so per level only the small frontier and decrement
+    # tables are shuffled.
+    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ed = e.select("graph_id", "src", "dst").repartition(n_part, "graph_id", "src").checkpoint()
     indeg = ed.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("indeg"))
-    state = (nodes.select("graph_id", "node_id").checkpoint().join(indeg, ["graph_id", "node_id"], "left")
+    state = (nodes.select("graph_id", "node_id").join(indeg, ["graph_id", "node_id"], "left")
              .select("graph_id", "node_id", F.coalesce("indeg", F.lit(0)).cast("bigint").alias("left"))
              .withColumn("depth", F.when(F.col("left") == 0, F.lit(0).cast("bigint"))))
-    state = state.checkpoint()
-    level, cached = 0, []
-    while max_levels is None or level < max_levels:
-        front = state.filter(F.col("depth") == level).select("graph_id", F.col("node_id").alias("src"))
+    state = state.repartition(n_part, "graph_id", "node_id").checkpoint()
+
+    def peel(st: DataFrame, lv: int) -> DataFrame:
+        front = st.filter(F.col("depth") == lv).select("graph_id", F.col("node_id").alias("src"))
         dec = (ed.join(front, ["graph_id", "src"])
                .groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("dec")))
-        state = (state.join(dec, ["graph_id", "node_id"], "left")
-                 .withColumn("left", F.col("left") - F.coalesce("dec", F.lit(0)))
-                 .withColumn("depth", F.when(F.col("depth").isNull() & (F.col("left") == 0), F.lit(level + 1))
-                             .otherwise(F.col("depth")))
-                 .drop("dec"))
-        level += 1
-        # materialise each level once: cached, with a reliable checkpoint every
-        # few levels so lineage (and recomputation after a lost executor) stays short
-        if level % checkpoint_every == 0:
-            state = state.checkpoint()
-        else:
-            state = state.cache()
-        released = state.filter(F.col("depth") == level).count()  # full pass: the cache is complete
-        for old in cached:
-            old.unpersist()
-        cached = [state] if level % checkpoint_every else []
-        if released == 0:
-            break
-    if cached:  # hand back checkpointed data only; release every cache the loop made
+        return (st.join(dec, ["graph_id", "node_id"], "left")
+                .withColumn("left", F.col("left") - F.coalesce("dec", F.lit(0)))
+                .withColumn("depth", F.when(F.col("depth").isNull() & (F.col("left") == 0), F.lit(lv + 1))
+                            .otherwise(F.col("depth")))
+                .drop("dec"))
+
+    level = 0
+    while max_levels is None or level < max_levels:
+        # a group of levels is planned lazily and materialised once (reliable
+        # checkpoint): one job per group instead of one per level, and a lost
+        # executor recomputes at most one group.  Levels past convergence are
+        # no-ops (an empty frontier releases nothing).
+        for _ in range(checkpoint_every):
+            if max_levels is not None and level >= max_levels:
+                break
+            state = peel(state, level)
+            level += 1
         state = state.checkpoint()
-        for old in cached:
-            old.unpersist()
+        if state.filter(F.col("depth") == level).limit(1).count() == 0:  # reads the checkpoint
+            break
     done = state.filter(F.col("depth").isNotNull()).select("graph_id", F.col("node_id").alias("src"), "depth")
     partial = (ed.join(done, ["graph_id", "src"])
                .groupBy("graph_id", F.col("dst").alias("node_id")).agg((F.max("depth") + 1).alias("pdepth")))
