@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from credsight.llm import op1_bpe, op2_decontaminate
+from credsight.llm import op1_bpe, op2_decontaminate, op8_langid, op9_chat
 
 QUERIES = {
     "op1_bpe": op1_bpe.op1_bpe,
     "op2_decontaminate": op2_decontaminate.op2_decontaminate,
+    "op8_langid": op8_langid.op8_langid,
+    "op9_chat": op9_chat.op9_chat,
 }
 
 ORACLES = {
     "op2_decontaminate": op2_decontaminate.ORACLE,
+    "op9_chat": op9_chat.ORACLE,
 }
