@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from credsight.llm import op1_bpe, op2_decontaminate, op8_langid, op9_chat
+from credsight.llm import (
+    op1_bpe,
+    op2_decontaminate,
+    op3_quality,
+    op8_langid,
+    op9_chat,
+    op10_fingerprint,
+)
 
 QUERIES = {
     "op1_bpe": op1_bpe.op1_bpe,
     "op2_decontaminate": op2_decontaminate.op2_decontaminate,
+    "op3_quality": op3_quality.op3_quality,
     "op8_langid": op8_langid.op8_langid,
     "op9_chat": op9_chat.op9_chat,
+    "op10_fingerprint": op10_fingerprint.op10_fingerprint,
 }
 
 ORACLES = {
