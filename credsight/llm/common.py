@@ -26,6 +26,9 @@ WORD_BYTES = bytes(
 
 U64 = np.uint64
 
+#: longest text a classifier is fitted on (scoring takes every whole text)
+FIT_CHARS = 40_000
+
 
 def words(text: str | None) -> list[bytes]:
     """Normalised words of a text as UTF-8 bytes; null has none."""
@@ -110,9 +113,9 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def label_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str,
                  modulus: int, held: int, per_class: int) -> DataFrame:
-    """Bounded training sample: (text, y) of at most ``per_class`` labelled
+    """Bounded training sample: (_id, text, y) of at most ``per_class`` labelled
     documents of each class outside the held-out fold, chosen by the order of
-    a hash of doc_id.  Label rows with a null id or label are left out; an id
+    a hash of doc_id; one of them longer than ``FIT_CHARS`` is left out.  Label rows with a null id or label are left out; an id
     labelled twice counts once, with its larger label.
     """
     lab = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()
@@ -126,5 +129,5 @@ def label_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label:
     rows = picked.collect()          # at most 2 * per_class ids
     ids = spark.createDataFrame([(r[0], int(r[1])) for r in rows], "_id long, y int")
     # the id list is bounded by per_class, so the text table is not shuffled
-    return (docs.where(F.col("text").isNotNull())
+    return (docs.where(F.length("text") <= FIT_CHARS)
             .join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("_id", "text", "y"))

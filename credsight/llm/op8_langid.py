@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,8 @@ from credsight.llm.common import fold, map_arrow, table
 
 DIM, N, MODULUS, HELD, TEMPERATURE = 512, 3, 3, 1, 0.02
 UND = "und"
-_NOT_LETTER = regex.compile(r"\P{L}+")
+#: True for the code points that are letters
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def letter_vector(c: str) -> np.ndarray:
@@ -81,10 +81,14 @@ class Profiles:
 
     def vector(self, text: str | None) -> np.ndarray | None:
         """Sum of the n-gram vectors, None if the text has no letter."""
-        t = _NOT_LETTER.sub(" ", text.lower()).strip() if text else ""
-        if not t:
+        if not text:
             return None
-        c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        letter = _LETTER[c]
+        if not letter.any():
+            return None
+        # every run of other characters is one boundary
+        c = np.where(letter, c, 32)[np.concatenate([[True], letter[1:] | letter[:-1]])]
         n = len(c) - N + 1
         key = np.zeros(n, np.int64)
         for j in range(N):

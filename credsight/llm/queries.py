@@ -6,6 +6,8 @@ from credsight.llm import (
     op1_bpe,
     op2_decontaminate,
     op3_quality,
+    op5_tokens,
+    op6_toxicity,
     op8_langid,
     op9_chat,
     op10_fingerprint,
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_bpe": op1_bpe.op1_bpe,
     "op2_decontaminate": op2_decontaminate.op2_decontaminate,
     "op3_quality": op3_quality.op3_quality,
+    "op5_tokens": op5_tokens.op5_tokens,
+    "op6_toxicity": op6_toxicity.op6_toxicity,
     "op8_langid": op8_langid.op8_langid,
     "op9_chat": op9_chat.op9_chat,
     "op10_fingerprint": op10_fingerprint.op10_fingerprint,
