@@ -6,6 +6,7 @@ from credsight.llm import (
     op1_bpe,
     op2_decontaminate,
     op3_quality,
+    op4_jaccard,
     op5_tokens,
     op6_toxicity,
     op8_langid,
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_bpe": op1_bpe.op1_bpe,
     "op2_decontaminate": op2_decontaminate.op2_decontaminate,
     "op3_quality": op3_quality.op3_quality,
+    "op4_jaccard": op4_jaccard.op4_jaccard,
     "op5_tokens": op5_tokens.op5_tokens,
     "op6_toxicity": op6_toxicity.op6_toxicity,
     "op8_langid": op8_langid.op8_langid,
