@@ -9,6 +9,7 @@ from credsight.llm import (
     op4_jaccard,
     op5_tokens,
     op6_toxicity,
+    op7_lines,
     op8_langid,
     op9_chat,
     op10_fingerprint,
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_jaccard": op4_jaccard.op4_jaccard,
     "op5_tokens": op5_tokens.op5_tokens,
     "op6_toxicity": op6_toxicity.op6_toxicity,
+    "op7_lines": op7_lines.op7_lines,
     "op8_langid": op8_langid.op8_langid,
     "op9_chat": op9_chat.op9_chat,
     "op10_fingerprint": op10_fingerprint.op10_fingerprint,
@@ -28,5 +30,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_decontaminate": op2_decontaminate.ORACLE,
+    "op7_lines": op7_lines.ORACLE,
     "op9_chat": op9_chat.ORACLE,
 }
