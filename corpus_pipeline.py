@@ -27,11 +27,11 @@ from credsight.session import checkpoint_dir
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = op6_toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
-    return op6_toxicity.classify(docs, net, docs.columns).where("predicted = 0").select(*docs.columns)
+    return op6_toxicity.classify(docs, net, docs.columns, ("_tox_score", "_tox")).where("_tox = 0").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = op7_lines.dedup_lines(docs).select(*docs.columns)
+    out = op7_lines.dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

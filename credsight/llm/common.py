@@ -93,7 +93,10 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str |
 
 
 def schema_with(df: DataFrame, extra: str) -> T.StructType:
-    return T.StructType(list(df.schema.fields) + list(T._parse_datatype_string(extra).fields))
+    """Columns of ``df`` and the extra ones; an extra column replaces one of its name."""
+    new = T._parse_datatype_string(extra).fields
+    names = {f.name.lower() for f in new}
+    return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + list(new))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -204,7 +204,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Encode, decode the ids again and return both digests with the id count."""
     path, pattern = _source(path, pattern)
-    d = docs.select(*keep, F.col(text).alias("_text"))
+    d = docs.select(*keep, F.col(text).alias("_llm_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         c = codec(path, pattern)
@@ -217,7 +217,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         return {k: batch.column(i) for i, k in enumerate(keep)} | {
             "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": dec_sha}
 
-    schema = schema_with(d.select(*keep), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = schema_with(docs.select(*keep), "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return map_arrow(d, run, schema)
 
 

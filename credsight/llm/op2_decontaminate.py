@@ -8,7 +8,7 @@ several scans, each adding its hits to those found before, and the result is
 the same.  A task rolls a hash over the words of a document, tests it against
 a bit table and verifies every candidate on the words themselves.
 
-Null text has no words and no hits.  An item without words has no windows;
+Null text has no words and no hits, also under ``remove="spans"``.  An item without words has no windows;
 an item with a null id marks hits but is not listed.  Repeated items are listed
 once, repeated documents give repeated rows; other columns pass through.
 """
@@ -111,10 +111,13 @@ class _Handle:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS,
-         text: str = "text") -> DataFrame:
+         text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` plus ``n_words``, ``hit_words`` (sorted word positions inside an
-    occurrence) and ``hit_items`` (sorted ids as text, distinct)."""
+    occurrence) and ``hit_items`` (sorted ids as text, distinct), their names
+    after ``prefix``; they replace columns of the same names."""
     spark = docs.sparkSession
+    new = [prefix + x for x in ("n_words", "hit_words", "hit_items")]
+    docs = docs.drop(*new)
     wins = benchmark_windows(benchmark, n)
     n_win = wins.count()
     blocks = max(1, -(-n_win // max_windows))
@@ -125,7 +128,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
     else:
         parts = [wins]
     names = docs.columns
-    added = "n_words long, hit_words array<int>, hit_items array<string>"
+    added = "{} long, {} array<int>, {} array<string>".format(*new)
     out = docs
     for k, part in enumerate(parts):
         handle = _Handle(spark.sparkContext.broadcast([(bytes(r[0]), list(r[1])) for r in part.collect()]),
@@ -146,7 +149,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
                 n_words.append(len(ws))
                 hit.append(sorted(pos))
                 items.append(sorted(ids))
-            return cols | {"n_words": n_words, "hit_words": hit, "hit_items": items}
+            return cols | dict(zip(new, (n_words, hit, items)))
 
         schema = schema_with(docs, added)
         out = map_arrow(out, run, schema)
@@ -176,15 +179,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     words together, so the cut text is scanned again until it has no hit)."""
     names = docs.columns
     if remove == "documents":
-        found = scan(docs, benchmark, n, max_windows)
-        return found.where(F.size("hit_words") == 0).select(*names)
+        found = scan(docs, benchmark, n, max_windows, prefix="_dc_")
+        return found.where(F.size("_dc_hit_words") == 0).select(*names)
     if remove != "spans":
         raise ValueError("remove must be 'documents' or 'spans'")
     spark = docs.sparkSession
     cur = docs
     while True:
-        found = checkpointed(spark, scan(cur, benchmark, n, max_windows))
-        if found.where(F.size("hit_words") > 0).limit(1).count() == 0:
+        found = checkpointed(spark, scan(cur, benchmark, n, max_windows, prefix="_dc_"))
+        if found.where(F.size("_dc_hit_words") > 0).limit(1).count() == 0:
             return found.select(*names)
 
         def run(batch: pa.RecordBatch) -> dict:

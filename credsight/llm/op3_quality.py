@@ -149,7 +149,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Mode
 def classify(docs: DataFrame, model: Model, ratio: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` columns plus score and predicted."""
     spark = docs.sparkSession
-    d = docs.select(*keep, F.col("text").alias("_text"))
+    d = docs.select(*keep, F.col("text").alias("_llm_text"))
     # two vectors of 2**BITS numbers
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), (ratio * ratio).astype(np.float32)))
     bias = model.bias
@@ -167,7 +167,7 @@ def classify(docs: DataFrame, model: Model, ratio: np.ndarray, keep: list[str])
             "score": score, "predicted": [int(s >= THRESHOLD) for s in score]}
 
     model = Model(None, model.bias, model.a, model.b)
-    return map_arrow(d, run, schema_with(d.select(*keep), "score double, predicted int"))
+    return map_arrow(d, run, schema_with(docs.select(*keep), "score double, predicted int"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

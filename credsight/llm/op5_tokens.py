@@ -139,14 +139,14 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
     if path is None or pattern is None:
         import public_tokenizers as P
         path, pattern = path or P.path(VOCABULARY), pattern or P.PATTERN
-    d = docs.select(*keep, docs[text].alias("_text"))
+    d = docs.select(*keep, docs[text].alias("_llm_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         got = counter(path, pattern).count(batch.column(len(keep)).to_pylist())
         return {c: batch.column(i) for i, c in enumerate(keep)} | {
             "n_pretokens": [a for a, _ in got], "n_tokens": [b for _, b in got]}
 
-    return map_arrow(d, run, schema_with(d.select(*keep), "n_pretokens long, n_tokens long"))
+    return map_arrow(d, run, schema_with(docs.select(*keep), "n_pretokens long, n_tokens long"))
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,12 +352,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Net:
     return Net().fit([(t, y) for _, t, y in sorted((r[0], r[1], r[2]) for r in rows)])
 
 
-def classify(docs: DataFrame, net: Net, keep: list[str]) -> DataFrame:
-    """``keep`` columns plus score and predicted."""
+def classify(docs: DataFrame, net: Net, keep: list[str],
+             names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns plus score and predicted, which replace columns of their names."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(net)                # a few MB, fixed by the model's size
     key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
-    d = docs.select(*keep, F.col("text").alias("_text"))
+    d = docs.select(*keep, F.col("text").alias("_llm_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         if key not in _SCORERS:
@@ -368,9 +369,9 @@ def classify(docs: DataFrame, net: Net, keep: list[str]) -> DataFrame:
         for a in range(0, len(text), 256):
             score += _SCORERS[key].score(text[a:a + 256].to_pylist())
         return {c: batch.column(i) for i, c in enumerate(keep)} | {
-            "score": score, "predicted": [int(s >= THRESHOLD) for s in score]}
+            names[0]: score, names[1]: [int(s >= THRESHOLD) for s in score]}
 
-    return map_arrow(d, run, schema_with(d.select(*keep), "score double, predicted int"))
+    return map_arrow(d, run, schema_with(docs.select(*keep), f"{names[0]} double, {names[1]} int"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

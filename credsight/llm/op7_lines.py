@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsight.llm.common import U64, HashCache, checkpointed, hash_words, map_arrow, table, words
+from credsight.llm.common import U64, HashCache, checkpointed, hash_words, map_arrow, schema_with, table, words
 
 THRESHOLD, SLOT_BITS, BLOCK, SLICE_WORDS = 0.8, 18, 256, 100_000
 _CACHE = HashCache()
@@ -269,8 +269,9 @@ def later_matches(docs: DataFrame, classes: DataFrame, threshold: float, block:
 
 
 # -- 5. result -------------------------------------------------------------
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """``docs`` with the later matches removed from ``text``, plus n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, counts: bool = True) -> DataFrame:
+    """``docs`` with the later matches removed from ``text``; with ``counts``
+    also n_lines and n_removed, which replace columns of their names."""
     spark = docs.sparkSession
     level = rarity(docs)
     classes = checkpointed(spark, line_classes(line_rows(docs, level, threshold)))
@@ -298,9 +299,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
             text.append("\n".join(stay))
             total.append(len(lines))
             removed.append(len(lines) - len(stay))
-        return {n: batch.column(i) for i, n in enumerate(names)} | {"text": text, "n_lines": total, "n_removed": removed}
+        return {n: batch.column(i) for i, n in enumerate(names)} | {"text": text} | (
+            {"n_lines": total, "n_removed": removed} if counts else {})
 
-    return map_arrow(j, run, T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_lines long, n_removed long").fields]))
+    return map_arrow(j, run, schema_with(docs, "n_lines long, n_removed long") if counts else docs.schema)
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

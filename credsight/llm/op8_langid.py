@@ -148,7 +148,7 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], keep: list[str]) ->
     """``keep`` columns plus lang_pred and score."""
     names = list(protos)
     m = np.array([protos[k] / max(np.linalg.norm(protos[k]), 1e-9) for k in names], np.float32).reshape(len(names), DIM)
-    d = docs.select(*keep, F.col("text").alias("_text"))
+    d = docs.select(*keep, F.col("text").alias("_llm_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         p = profiles()
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], keep: list[str]) ->
         return {c: batch.column(i) for i, c in enumerate(keep)} | {"lang_pred": lang, "score": score}
 
     from credsight.llm.common import schema_with
-    return map_arrow(d, run, schema_with(d.select(*keep), "lang_pred string, score double"))
+    return map_arrow(d, run, schema_with(docs.select(*keep), "lang_pred string, score double"))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
