@@ -37,6 +37,8 @@ LENGTH, STRIDE, HIDDEN, ATT = 32, 16, 8, 8
 WORD_BITS, GRAM_BITS, PRIOR_BITS, WORD_DIM, GRAM_DIM = 14, 15, 20, 6, 6
 DIM = WORD_DIM + GRAM_DIM + 3
 PER_CLASS, EPOCHS, BATCH, RATE, STUTTER = 2000, 6, 128, 0.08, 0.2
+#: a small sample is gone through more often, for so many steps in all
+MIN_STEPS = 240
 F32 = np.float32
 
 
@@ -237,7 +239,8 @@ class Net:
         win_doc, win_at = np.array(win_doc), np.array(win_at)
         begin = np.searchsorted(win_doc, np.arange(len(docs) + 1))
         level = scorer.evidence([d for d, _ in docs])          # first epoch: the strongest evidence
-        for _ in range(epochs):
+        picks = int((y == 1).sum() + 3 * (y == 0).sum())
+        for _ in range(max(epochs, -(-MIN_STEPS // -(-picks // BATCH)))):
             pick = []
             for i, t in enumerate(y):
                 a, b = begin[i], begin[i + 1]
