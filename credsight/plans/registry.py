@@ -1,10 +1,8 @@
 """M1-M3: user extension surface.
 
-* M1 estimator registry: decorator + lookup; registering a *different*
-  function under an existing name raises; unknown names raise.  Accepts a
-  string or an Enum member (its ``.value``).
-* M2 policy-loss registry: decorator overwrites silently; unknown name
-  raises with the supported list.
+* M1 ``ESTIMATORS``: a name keeps its operator, another one is refused.
+* M2 ``POLICY_LOSSES``: the last operator under a name counts.
+  Names are strings or Enum members; an unknown name raises and lists the known.
 * M3 KL controller factory: ``fixed`` / ``adaptive``.
 
 Registered callables are DataFrame operators, ``(DataFrame..., **cfg) -> DataFrame``.
@@ -18,45 +16,40 @@ from functools import partial
 from credsight.operators import advantage as A
 from credsight.operators import losses as L
 
-ADV_ESTIMATORS: dict[str, object] = {}
-POLICY_LOSSES: dict[str, object] = {}
 
+class Registry:
+    """Named DataFrame operators.
 
-def _key(name) -> str:
-    return name.value if isinstance(name, Enum) else str(name)
+    ``replace=False``: a name keeps its first operator, offering another one is
+    an error; ``replace=True``: the last operator given under a name counts.
+    """
 
+    def __init__(self, what: str, replace: bool):
+        self.what, self.replace, self.entries = what, replace, {}
 
-def register_adv_est(name):
-    def deco(fn):
-        k = _key(name)
-        if k in ADV_ESTIMATORS and ADV_ESTIMATORS[k] is not fn:
-            raise ValueError(f"Adv estimator {k} has already been registered: {ADV_ESTIMATORS[k]} vs {fn}")
-        ADV_ESTIMATORS[k] = fn
-        return fn
-    return deco
+    def add(self, name, op=None):
+        """Register ``op``; without it, a decorator that does."""
+        if op is None:
+            return lambda fn: self.add(name, fn)
+        key = getattr(name, "value", name)
+        if not self.replace and self.entries.get(key, op) is not op:
+            raise ValueError(f"{self.what} {key!r} belongs to another operator")
+        self.entries[key] = op
+        return op
 
+    def find(self, name):
+        key = getattr(name, "value", name)
+        try:
+            return self.entries[key]
+        except KeyError:
+            raise ValueError(f"no {self.what} {key!r}; there are {', '.join(sorted(self.entries))}") from None
 
-def get_adv_estimator_fn(name):
-    k = _key(name)
-    if k not in ADV_ESTIMATORS:
-        raise ValueError(f"Unknown advantage estimator: {k}")
-    return ADV_ESTIMATORS[k]
 
-
-def register_policy_loss(name):
-    def deco(fn):
-        POLICY_LOSSES[_key(name)] = fn
-        return fn
-    return deco
-
-
-def get_policy_loss_fn(name):
-    k = _key(name)
-    if k not in POLICY_LOSSES:
-        raise ValueError(f"Unsupported loss mode: {k}. Supported modes are: {list(POLICY_LOSSES)}")
-    return POLICY_LOSSES[k]
+ESTIMATORS = Registry("estimator", replace=False)
+POLICY_LOSSES = Registry("policy loss", replace=True)
 
 
+# Estimator names that configurations use.
 class AdvantageEstimator(str, Enum):
     GAE = "gae"
     GRPO = "grpo"
@@ -88,13 +81,13 @@ for _e, _fn in [
     (AdvantageEstimator.GPG, A.gpg),
     (AdvantageEstimator.RLOO_VECTORIZED, A.rloo_vectorized),
 ]:
-    register_adv_est(_e)(_fn)
+    ESTIMATORS.add(_e, _fn)
 
 for _n, _fn in [
     ("vanilla", L.ppo_loss), ("gspo", L.gspo_loss), ("gpg", L.gpg_loss), ("clip_cov", L.clip_cov_loss),
     ("kl_cov", L.kl_cov_loss), ("geo_mean", L.geo_mean_loss), ("rollout_correction", L.rollout_correction_loss),
 ]:
-    register_policy_loss(_n)(_fn)
+    POLICY_LOSSES.add(_n, _fn)
 
 
 def kl_controller(kind: str, init_kl_coef: float, target_kl: float | None = None, horizon: int | None = None):
@@ -103,6 +96,6 @@ def kl_controller(kind: str, init_kl_coef: float, target_kl: float | None = None
         return partial(L.fixed_kl, init=init_kl_coef)
     if kind == "adaptive":
         if horizon is None or horizon <= 0:
-            raise ValueError(f"horizon must be larger than 0. Got {horizon}")
+            raise ValueError("an adaptive KL coefficient needs a positive horizon")
         return partial(L.adaptive_kl, init=init_kl_coef, target=target_kl, horizon=horizon)
-    raise NotImplementedError(f"Unknown kl_ctrl.type: {kind}")
+    raise NotImplementedError(f"KL controller {kind!r}; there are 'fixed' and 'adaptive'")

@@ -60,24 +60,32 @@ def test_violation_runs(spark):
     assert A.violation_runs(tok).first().n_violations == 3
 
 
-def _py_gae(r, v, m, g, lam):
-    nextv, last, out = 0.0, 0.0, [0.0] * len(r)
-    for t in reversed(range(len(r))):
-        delta = r[t] + g * nextv - v[t]
-        lg = delta + g * lam * last
-        nextv = v[t] * m[t] + (1 - m[t]) * nextv
-        last = lg * m[t] + (1 - m[t]) * last
-        out[t] = last
-    return out
-
-
-def test_gae_scan_matches_loop(spark):
-    r, v, m = [0.1, -0.3, 0.0, 1.0, 0.5], [0.2, 0.1, 0.4, 0.3, 0.0], [1, 0, 1, 1, 0]
-    tok = spark.createDataFrame([Row(traj_id=7, pos=i, reward=r[i], value=v[i], mask=m[i]) for i in range(5)])
-    raw = A._token_arrays(tok).mapInPandas(A._scan_fn("gae", 0.9, 0.8), A._SCAN_SCHEMA)
-    got = [x.raw for x in raw.orderBy("pos").collect()]
-    for a, b in zip(got, _py_gae(r, v, m, 0.9, 0.8)):
-        assert math.isclose(a, b, abs_tol=1e-12)
+def test_gae_scan_on_hand_worked_tokens(spark):
+    # valid tokens 0, 2, 3; gamma 1/2, lambda 1/2:
+    # delta_3 = 1 - 3 = -2; delta_2 = 0 + 3/2 - 4 = -5/2; delta_0 = 1 + 4/2 - 2 = 1
+    # adv_3 = -2; adv_2 = -5/2 - 2/4 = -3; adv_0 = 1 - 3/4 = 1/4; token 1 shows adv_2, token 4 shows 0
+    r, v, m = [1.0, -7.0, 0.0, 1.0, 9.0], [2.0, 5.0, 4.0, 3.0, 6.0], [1, 0, 1, 1, 0]
+    tok = spark.createDataFrame([Row(traj_id=t, pos=i, reward=r[i], value=v[i], mask=m[i]) for t in (7, 8) for i in range(5)])
+    raw = A._token_arrays(tok).mapInPandas(A._scan_fn("gae", 0.5, 0.5), A._SCAN_SCHEMA)
+    assert [x.raw for x in raw.orderBy("traj_id", "pos").collect()] == [0.25, -3.0, -3.0, -2.0, 0.0] * 2
+
+
+def test_return_scan_starts_anew_before_masked_tokens(spark):
+    # gamma 1/2: token 4 -> 8; 3 -> 4 + 8/2 = 8; 2 (masked) -> 2 + 8/2 = 6; 1 does not see 2 -> 2; 0 -> 1 + 2/2 = 2
+    r, m = [1.0, 2.0, 2.0, 4.0, 8.0], [1, 1, 0, 1, 1]
+    tok = spark.createDataFrame([Row(traj_id=1, pos=i, reward=r[i], value=0.0, mask=m[i]) for i in range(5)])
+    raw = A._token_arrays(tok).mapInPandas(A._scan_fn("rfpp", 0.5, 1.0), A._SCAN_SCHEMA)
+    assert [x.raw for x in raw.orderBy("pos").collect()] == [2.0, 2.0, 6.0, 8.0, 8.0]
+
+
+def test_last_object_of_a_text():
+    from credsight.functions.text import last_object
+    cases = {"a {b} c {d {e} f} g": "{d {e} f}", "{x} }": None, "{x}": "{x}", "no": None, "} {": None, "{é} {": None,
+             "{y}} {": "{y}", "{a{b}}": "{a{b}}", "}{z}": "{z}", "": None}
+    for text, want in cases.items():
+        assert last_object(text) == want, text
+    assert last_object(None) is None
+
 
 
 def test_token_mean_invariant_under_repartition(spark):
@@ -155,9 +163,9 @@ def test_duplicate_parameter_last_wins_and_missing(spark):
 
 def test_json_block_brace_inside_string_and_quotes(spark):
     # quirk kept: quoting is ignored, so a brace inside a string unbalances the scan
-    assert X._brace_scan_one('x {"a": "}"} y') is None
-    assert X._brace_scan_one("pre {a} mid {b {c}} end") == "{b {c}}"
-    assert X._brace_scan_one("no braces") is None
+    assert X.last_object('x {"a": "}"} y') is None
+    assert X.last_object("pre {a} mid {b {c}} end") == "{b {c}}"
+    assert X.last_object("no braces") is None
     df = spark.createDataFrame([Row(t="```json\n{'node_statuses': {}, 'nodes': []}\n```"),
                                 Row(t='{"node_statuses": [], "nodes": []}'), Row(t="nothing")])
     out = df.select(X.plan_error(F.col("t")).alias("e")).collect()

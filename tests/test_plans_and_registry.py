@@ -32,22 +32,22 @@ def test_passk_uses_group_limit(spark):
 
 
 def test_estimator_registry():
-    assert Reg.get_adv_estimator_fn("grpo") is Reg.get_adv_estimator_fn(Reg.AdvantageEstimator.GRPO)
+    grpo = Reg.ESTIMATORS.find("grpo")
+    assert grpo is Reg.ESTIMATORS.find(Reg.AdvantageEstimator.GRPO)
+    with pytest.raises(ValueError, match="grpo"):
+        Reg.ESTIMATORS.find("nope")
     with pytest.raises(ValueError):
-        Reg.get_adv_estimator_fn("nope")
-    with pytest.raises(ValueError):
-        Reg.register_adv_est("grpo")(lambda df: df)
-    same = Reg.ADV_ESTIMATORS["grpo"]
-    assert Reg.register_adv_est("grpo")(same) is same
+        Reg.ESTIMATORS.add("grpo")(lambda df: df)
+    assert Reg.ESTIMATORS.add("grpo", grpo) is grpo
 
 
 def test_loss_registry_and_kl_controller():
-    f = lambda df: df
-    Reg.register_policy_loss("vanilla_copy")(f)
-    Reg.register_policy_loss("vanilla_copy")(f)            # overwrite is silent
-    assert Reg.get_policy_loss_fn("vanilla_copy") is f
-    with pytest.raises(ValueError, match="Supported modes"):
-        Reg.get_policy_loss_fn("nope")
+    f, g = (lambda df: df), (lambda df: df)
+    Reg.POLICY_LOSSES.add("vanilla_copy", g)
+    Reg.POLICY_LOSSES.add("vanilla_copy")(f)              # the last one counts
+    assert Reg.POLICY_LOSSES.find("vanilla_copy") is f
+    with pytest.raises(ValueError, match="vanilla"):
+        Reg.POLICY_LOSSES.find("nope")
     with pytest.raises(ValueError):
         Reg.kl_controller("adaptive", 0.1, 0.1, 0)
     with pytest.raises(NotImplementedError):
