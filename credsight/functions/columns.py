@@ -43,24 +43,34 @@ def clip(c: Column, lo, hi) -> Column:
     return F.greatest(lo, F.least(hi, c))
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, NULL when b is 0 or NULL."""
-    return F.try_divide(a, F.nullif(b, F.lit(0)))
-
-
-def masked_mean_agg(x: Column, m: Column) -> Column:
-    """Aggregate: sum(x*m) / (sum(m) + 1e-8)."""
-    return F.sum(x * m) / (F.sum(m).cast("double") + d(EPS_MASK))
-
-
-def relu(c: Column) -> Column:
-    return F.greatest(c, d(0.0))
+#: multiplier and modulus of the mixing steps: products stay below 2**62
+MIX, MIX_MOD = 1103515245, 2147483647
+
+
+def mix_hash(key: Column, *more: Column | int) -> Column:
+    """Deterministic hash of whole numbers to [0, 2**31 - 1), the same on any
+    engine: chained multiply-and-reduce steps that cannot overflow."""
+    h = F.pmod(key.cast("bigint"), F.lit(MIX_MOD))
+    for m in more:
+        m = m if isinstance(m, Column) else F.lit(m)
+        h = F.pmod(h * F.lit(MIX) + F.pmod(m.cast("bigint"), F.lit(MIX_MOD)) + F.lit(12345), F.lit(MIX_MOD))
+    for _ in range(2):
+        # square the low half into the product, so that neighbouring keys part ways
+        h = F.pmod(h * F.lit(MIX) + F.pmod(h, F.lit(46337)) * F.pmod(h, F.lit(46337)) + F.lit(12345), F.lit(MIX_MOD))
+    return h
+
+
+def sql_mix_hash(key: str, *more: str | int) -> str:
+    """DuckDB twin of :func:`mix_hash`."""
+    mod = lambda x: f"((({x}) % {MIX_MOD} + {MIX_MOD}) % {MIX_MOD})"
+    h = mod(f"CAST({key} AS BIGINT)")
+    for m in more:
+        h = f"(({h} * {MIX} + {mod(f'CAST({m} AS BIGINT)')} + 12345) % {MIX_MOD})"
+    for _ in range(2):
+        h = f"list_transform([{h}], lambda x: (x * {MIX} + (x % 46337) * (x % 46337) + 12345) % {MIX_MOD})[1]"
+    return h
 
 
 def normalise_text(c: Column) -> Column:
     """Collapse any whitespace run to one space, trim, lower-case."""
     return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-
-
-def sgn(c: Column) -> Column:
-    return F.signum(c)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from credsight.session import checkpoint_dir
+
 
 def running_sums(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
                  values: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
@@ -45,19 +47,21 @@ def running_sums(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
             if pdf.empty:
                 continue
             if by:
-                keys = pdf[by].astype(str).agg("\x1f".join, axis=1) if len(by) > 1 else pdf[by[0]].astype(str)
-                new_grp = keys.ne(keys.shift())
-                if carry_key is not None:
-                    new_grp.iloc[0] = keys.iloc[0] != carry_key
-                grp = new_grp.cumsum()
+                # a new group begins where any key column differs from the row before (nulls are equal)
+                keys = pdf[by]
+                before = keys.shift()
+                differs = (keys.ne(before) & ~(keys.isna() & before.isna())).any(axis=1)
+                here = tuple(None if pd.isna(x) else x for x in keys.iloc[0])
+                differs.iloc[0] = here != carry_key
+                grp = differs.cumsum()
             else:
-                keys = None
+                here = None
                 grp = pd.Series(np.zeros(len(pdf), dtype=np.int64))
             cnt = grp.groupby(grp).cumcount().to_numpy() + 1
             sums = {v: pdf[v].astype("float64").groupby(grp.to_numpy()).cumsum().to_numpy() for v in values}
             # continue the running values of the group that spans batch boundaries
             if carry is not None:
-                first = (grp == grp.iloc[0]).to_numpy() & (not by or keys.iloc[0] == carry_key)
+                first = (grp == grp.iloc[0]).to_numpy() & (here == carry_key)
                 cnt = cnt + np.where(first, carry[0], 0)
                 for v in values:
                     sums[v] = sums[v] + np.where(first, carry[1][v], 0.0)
@@ -65,11 +69,13 @@ def running_sums(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
             pdf["_lc"] = cnt.astype(np.int64)
             for v in values:
                 pdf[f"_ls_{v}"] = sums[v]
-            carry_key = keys.iloc[-1] if by else None
+            carry_key = tuple(None if pd.isna(x) else x for x in keys.iloc[-1]) if by else None
             carry = (int(cnt[-1]), {v: float(sums[v][-1]) for v in values})
             yield pdf
 
-    loc = r.mapInPandas(local, schema)
+    # computed once: range bounds that were sampled again could move rows between partitions
+    checkpoint_dir(spark)
+    loc = r.mapInPandas(local, schema).checkpoint()
     # totals per partition are the local value at the partition's last row
     tot = (loc.groupBy("_pid", *by).agg(
         F.max("_lc").alias("_tc"),

@@ -11,14 +11,17 @@ or more to it.
 2. Lines with equal sets form a class; its first line stands for it, all others
    go.  A class has its rarest ``n - ceil(t n) + 1`` tokens (the prefix), the
    set size and a 128-bit map of its tokens.
-3. Classes that share a prefix token are candidates if their sizes, the token's
-   positions and the bit maps allow the threshold (each is an upper bound of
-   the overlap, so nothing is lost).  A left semi join only says which class
-   has a candidate in which bucket; pairs are never listed.
+3. Classes that share a prefix token (32 bits of its hash) are candidates if
+   their sizes, the token's positions and the bit maps allow the threshold
+   (each is an upper bound of the overlap, so nothing is lost).  A left semi
+   join only says which class has a candidate in which bucket; pairs are never
+   listed.
 4. Only these classes' token sets are read again and brought together by
    bucket, in blocks of at most ``BLOCK`` classes; each is compared with the
    earlier ones until one matches.  A class that matches an earlier one goes.
-5. The lines that stay are listed by document and joined to the documents.
+5. The lines that stay are listed by document.  Documents that lose a line (a
+   fixed-size bit table of text hashes holds them, and few others) are joined
+   to their list; the rest pass unshuffled.
 
 Null text stays null and has no lines; an empty text has one line without
 words.  A null doc_id sorts last.  Rows that repeat both id and text are one
@@ -38,11 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsight.llm.common import U64, HashCache, checkpointed, hash_words, map_arrow, schema_with, table, words
+from credsight.llm.common import U64, HashCache, checkpointed, hash_words, map_arrow, schema_with, stored, table, words
 
 THRESHOLD, SLOT_BITS, BLOCK, SLICE_WORDS = 0.8, 18, 256, 100_000
 _CACHE = HashCache()
 _EPS = 1e-9
+#: a line with a word (see ``common.WORD_BYTES``)
+_WORDY = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -56,13 +61,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
-            for t in b.column(0):
-                h = hash_words(words(t.as_py()), _CACHE)
-                if len(h):
-                    counts += np.bincount((h >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS) \
-                        if len(h) > 50_000 else 0
-                    if len(h) <= 50_000:
-                        np.add.at(counts, (h >> U64(64 - SLOT_BITS)).astype(np.int64), 1)
+            for a in range(0, b.num_rows, 100):
+                h = hash_words([w for t in b.column(0).slice(a, 100).to_pylist() for w in words(t)], _CACHE)
+                counts += np.bincount((h >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
 
@@ -109,7 +110,7 @@ def _slices(texts: list[str | None]):
         yield rows
 
 
-_LINE = ("fp binary, doc_id long, th long, line int, n int, prefix array<bigint>, b0 long, b1 long")
+_LINE = ("fp binary, doc_id long, th long, line int, n int, prefix array<int>, b0 long, b1 long")
 
 
 def line_rows(docs: DataFrame, level: np.ndarray, threshold: float) -> DataFrame:
@@ -141,7 +142,7 @@ def line_rows(docs: DataFrame, level: np.ndarray, threshold: float) -> DataFrame
             pa.array(fps, pa.binary()), pa.array([ids[r[0]] for r in rows], pa.int64()),
             pa.array([ths[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
             pa.array(n.astype(np.int32)),
-            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tok[at].view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((tok[at] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
             pa.array(maps[0]), pa.array(maps[1])],
             ["fp", "doc_id", "th", "line", "n", "prefix", "b0", "b1"])
 
@@ -156,20 +157,40 @@ def line_classes(lines: DataFrame) -> DataFrame:
 
 
 # -- 3. candidates ---------------------------------------------------------
+_BIG = 0xFFFF
+
+
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(token, fp): classes with a possible partner in the bucket of the token."""
-    p = classes.select("fp", "n", "b0", "b1", F.posexplode("prefix").alias("i", "token"))
+    """(bucket, fp, pos): classes with a possible partner in the bucket.
+
+    A prefix row is three numbers: 32 bits of the token with size and position
+    (16 bits each, 65535: that many or more, then neither is used), and the bit
+    map, which also names the class.  Classes with equal size and map are each
+    other's candidates in a bucket of their own.
+    """
+    packed = (F.shiftleft(F.col("token").cast("long"), 32)
+              + F.shiftleft(F.least("n", F.lit(_BIG)).cast("long"), 16) + F.least("i", F.lit(_BIG)).cast("long"))
+    p = classes.select("n", "b0", "b1", F.posexplode("prefix").alias("i", "token")).select(packed.alias("p"), "b0", "b1")
     a, b = p.alias("a"), p.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
+    token = lambda x: F.shiftright(F.col(f"{x}.p"), 32)
+    size = lambda x: F.shiftright(F.col(f"{x}.p"), 16).bitwiseAND(F.lit(_BIG))
+    at = lambda x: F.col(f"{x}.p").bitwiseAND(F.lit(_BIG))
+    na, nb, ia, ib = size("a"), size("b"), at("a"), at("b")
     need = (na + nb) * (threshold / (1 + threshold)) - _EPS
     lost = lambda x, y: sum(  # noqa: E731  tokens of x that y cannot have
         (F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in ("b0", "b1")), F.lit(0))
-    return a.join(
-        b, (F.col("a.token") == F.col("b.token")) & (F.col("a.fp") != F.col("b.fp"))
-        & (na >= nb * threshold - _EPS) & (nb >= na * threshold - _EPS)
-        # the first common prefix token may be earlier: tokens before it still count on both sides
-        & (F.least(F.col("a.i"), F.col("b.i")) + F.least(na - F.col("a.i"), nb - F.col("b.i")) >= need)
-        & (na - lost("a", "b") >= need) & (nb - lost("b", "a") >= need), "left_semi").select("token", "fp")
+    fits = ((na >= nb * threshold - _EPS) & (nb >= na * threshold - _EPS)
+            # the first common prefix token may be earlier: tokens before it still count on both sides
+            & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= need)
+            & (na - lost("a", "b") >= need) & (nb - lost("b", "a") >= need))
+    hit = a.join(b, (token("a") == token("b"))
+                 & ((F.col("a.b0") != F.col("b.b0")) | (F.col("a.b1") != F.col("b.b1")) | (na != nb))
+                 & ((na == _BIG) | (nb == _BIG) | fits), "left_semi").select(
+        F.shiftright("p", 32).alias("bucket"), F.shiftright("p", 16).bitwiseAND(F.lit(_BIG)).alias("m"), "b0", "b1")
+    c = classes.select("fp", "pos", F.least("n", F.lit(_BIG)).cast("long").alias("m"), "b0", "b1")
+    twins = c.groupBy("m", "b0", "b1").agg(F.count("*").alias("k")).where("k > 1").select(
+        F.xxhash64("m", "b0", "b1").alias("bucket"), "m", "b0", "b1")
+    return hit.unionByName(twins).join(c, ["m", "b0", "b1"]).select("bucket", "fp", "pos").distinct()
 
 
 # -- 4. verification -------------------------------------------------------
@@ -185,24 +206,24 @@ def _bitmap(frame: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return np.packbits(out)
 
 
-def _with_bit(docs: DataFrame, bitmap: np.ndarray, bits: int = 24) -> DataFrame:
-    """(doc_id, th, text) rows whose text hash may be in the bit table."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _by_bit(frame: DataFrame, bitmap: np.ndarray, column: str, value: bool, bits: int = 24) -> DataFrame:
+    """Rows whose hash is in the bit table (``value``), or the others; a null hash is not."""
+    shared = frame.sparkSession.sparkContext.broadcast(bitmap)      # 2**bits bits
+    at = frame.columns.index(column)
 
     def run(batches):
         for b in batches:
-            s = np.mod(b.column(1).to_numpy(zero_copy_only=False), 1 << bits)
-            yield b.filter(pa.array((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)))
+            s = np.mod(b.column(at).fill_null(0).to_numpy(zero_copy_only=False), 1 << bits)
+            yield b.filter(pa.array(((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool) == value))
 
-    d = _identified(docs)
-    return d.mapInArrow(run, d.schema)
+    return frame.mapInArrow(run, frame.schema)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, set): tokens of the first lines of the wanted classes (fp, pos)."""
     w = wanted.select("fp", F.col("pos.doc_id").alias("w_id"), F.col("pos.th").alias("w_th"), F.col("pos.line").alias("line"))
     by_doc = w.groupBy("w_id", "w_th").agg(F.collect_list(F.struct("line", "fp")).alias("lines"))
-    d = _with_bit(docs, _bitmap(w, "w_th"))
+    d = _by_bit(_identified(docs), _bitmap(w, "w_th"), "th", True)
     j = d.join(by_doc, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "lines")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -238,17 +259,16 @@ def later_matches(docs: DataFrame, classes: DataFrame, threshold: float, block:
     """(fp) of the classes whose first line matches an earlier line."""
     spark = docs.sparkSession
     cand = checkpointed(spark, candidates(classes, threshold))
-    wanted = cand.select("fp").distinct().join(classes.select("fp", "pos"), "fp")
-    wanted = checkpointed(spark, wanted)
-    sizes = cand.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    m = (cand.join(sizes, "token")
+    wanted = cand.select("fp", "pos").distinct()
+    sizes = cand.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    m = (cand.join(sizes, "bucket")
          .withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-         .select("token", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "fp"))
+         .select("bucket", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "fp"))
     full = class_sets(docs, wanted).join(wanted, "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (m.join(full, "fp").select("token", "bi", "bj", "blk", "fp", "pos.nul", "pos.doc_id", "pos.th", "pos.line", "set")
-            .repartition(n, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj"))
+    rows = (m.join(full, "fp").select("bucket", "bi", "bj", "blk", "fp", "pos.nul", "pos.doc_id", "pos.th", "pos.line", "set")
+            .repartition(n, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj"))
 
     def verify(batches):
         at, group = None, []
@@ -274,28 +294,40 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     also n_lines and n_removed, which replace columns of their names."""
     spark = docs.sparkSession
     level = rarity(docs)
-    classes = checkpointed(spark, line_classes(line_rows(docs, level, threshold)))
+    classes = stored(spark, line_classes(line_rows(docs, level, threshold)), "line-classes")
     gone = later_matches(docs, classes, threshold, block)
     kept = (classes.select("fp", "pos").join(gone, "fp", "left_anti")
             .groupBy(F.col("pos.doc_id").alias("_ld_id"), F.col("pos.th").alias("_ld_h"))
             .agg(F.collect_list("pos.line").alias("_ld_lines")))       # lines of one document
+    kept = checkpointed(spark, kept)
+    # only texts that lose a line meet the list of their lines; the others need no shuffle
+    d = docs.withColumn("_ld_th", F.xxhash64("text"))
+    has_words = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORDY)))
+    touched = (d.where("text is not null").select("doc_id", "_ld_th", has_words.alias("n"))
+               .join(kept.select("_ld_id", "_ld_h", F.size("_ld_lines").alias("k")),
+                     (F.col("_ld_th") == F.col("_ld_h")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
+               .where(F.col("n") != F.coalesce("k", F.lit(0))))
     names = docs.columns
     at_text = names.index("text")
-    j = docs.withColumn("_ld_th", F.xxhash64("text")).join(
+    bits = _bitmap(touched, "_ld_th")
+    j = _by_bit(d, bits, "_ld_th", True).join(
         kept, (F.col("_ld_th") == F.col("_ld_h")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left"
-    ).select(*names, "_ld_lines")
+    ).select(*names, F.coalesce("_ld_lines", F.array().cast("array<int>")).alias("_ld_lines"))
+    # no list: every line stays
+    j = j.unionByName(_by_bit(d, bits, "_ld_th", False).select(*names, F.lit(None).cast("array<int>").alias("_ld_lines")))
 
     def run(batch: pa.RecordBatch) -> dict:
         text, total, removed = [], [], []
         for t, ls in zip(batch.column(at_text), batch.column(len(names))):
-            t, ls = t.as_py(), set(ls.as_py() or ())
+            t, ls = t.as_py(), ls.as_py()
             if t is None:
                 text.append(None)
                 total.append(0)
                 removed.append(0)
                 continue
             lines = t.split("\n")
-            stay = [x for i, x in enumerate(lines) if i in ls or not words(x)]
+            ls = None if ls is None else set(ls)
+            stay = lines if ls is None else [x for i, x in enumerate(lines) if i in ls or not words(x)]
             text.append("\n".join(stay))
             total.append(len(lines))
             removed.append(len(lines) - len(stay))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credsight.functions.columns import mix_hash
 from credsight.functions.ordering import running_sums
 
 # Benchmarks whose ability is forced to web search (A3).
@@ -93,14 +94,9 @@ def fan_out(df: DataFrame, n: int) -> DataFrame:
             .withColumn("sample_idx", F.col("sample_idx").cast("bigint")))
 
 
-def knuth_hash(key: Column, seed: int) -> Column:
-    """Deterministic multiplicative hash (same value on any engine / cluster)."""
-    return ((key + F.lit(seed)) * F.lit(2654435761)) % F.lit(4294967296)
-
-
 def shuffle_batches(df: DataFrame, key: str, seed: int, batch: int = 32, minibatch: int = 16) -> DataFrame:
     """Seeded shuffle, then batch and minibatch ids in shuffled order."""
-    h = df.withColumn("_h", knuth_hash(F.col(key), seed))
+    h = df.withColumn("_h", mix_hash(F.col(key), seed))
     r = running_sums(h, ["_h", key])
     return r.select(*df.columns,
                     ((F.col("_rank") - 1) / F.lit(batch)).cast("bigint").alias("batch_id"),

@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credsight.functions.ordering import running_sums
 from credsight.session import checkpoint_dir
 
 # Fixed values of the DAG format.
@@ -33,13 +32,11 @@ REFINE_BUDGET = 3
 
 
 def resolve_ids(nodes: DataFrame) -> DataFrame:
-    """D1 auto id: the k-th node of a graph with an empty id becomes ``t<k>``.
-
-    The running count uses distributed prefix sums (no per-graph window).
-    """
-    empty = nodes.filter(F.col("spec_id") == "").select("graph_id", "seq")
-    k = running_sums(empty, ["seq"], ["graph_id"]).select(
-        "graph_id", "seq", F.concat(F.lit("t"), F.col("_rank").cast("string")).alias("auto_id"))
+    """D1 auto id: the k-th node of a graph with an empty id becomes ``t<k>``
+    (one window per graph, which the plan cap bounds)."""
+    w = Window.partitionBy("graph_id").orderBy("seq")
+    k = nodes.filter(F.col("spec_id") == "").select(
+        "graph_id", "seq", F.concat(F.lit("t"), F.row_number().over(w).cast("string")).alias("auto_id"))
     return (nodes.join(k, ["graph_id", "seq"], "left")
             .withColumn("node_id", F.when(F.col("spec_id") == "", F.col("auto_id")).otherwise(F.col("spec_id")))
             .drop("auto_id"))
@@ -69,12 +66,17 @@ def has_node(keys: DataFrame, nodes: DataFrame, id_col: str = "node_id") -> Data
     return keys.join(hit, ["graph_id", id_col], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def apply_updates(nodes: DataFrame, updates: DataFrame) -> DataFrame:
-    """D3: partial update by key.  ``updates(graph_id, node_id, <field>...)``;
+def apply_updates(nodes: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """D3: partial update by key.  Several updates of a node are one, its fields
+    taken from the last in the column ``order`` (needed if they may differ).  ``updates(graph_id, node_id, <field>...)``;
     NULL fields keep the stored value; unknown ids change nothing (reported
     by :func:`unknown_updates`).  A text transcript updates raw_text only."""
-    fields = [c for c in updates.columns if c not in ("graph_id", "node_id")]
-    u = updates.select("graph_id", "node_id", *[F.col(c).alias(f"_u_{c}") for c in fields])
+    fields = [c for c in updates.columns if c not in ("graph_id", "node_id", order)]
+    if order is None:
+        last = [F.first(c, ignorenulls=True) for c in fields]
+    else:        # per field, the last value that is not null
+        last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))) for c in fields]
+    u = updates.groupBy("graph_id", "node_id").agg(*[x.alias(f"_u_{c}") for x, c in zip(last, fields)])
     j = nodes.join(u, ["graph_id", "node_id"], "left")
     for c in fields:
         j = j.withColumn(c, F.coalesce(F.col(f"_u_{c}"), F.col(c))).drop(f"_u_{c}")

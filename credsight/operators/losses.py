@@ -376,18 +376,26 @@ def kl_reward(tok: DataFrame, kl_ratio: float, score: str = "reward") -> DataFra
                       (F.col(score) - (F.col("old_logp") - F.col("ref_logp")) * d(kl_ratio)).alias("reward_kl"))
 
 
-def adaptive_kl(steps: DataFrame, init: float, target: float, horizon: int) -> DataFrame:
+def adaptive_kl(steps: DataFrame, init: float, target: float, horizon: int, run: str | None = None) -> DataFrame:
     """I4: kl coefficient after each step: value *= 1 + clip(kl/target - 1, +-0.2) * n / horizon.
 
-    ``steps(step, kl, n)`` holds one row per training step (a small table);
-    the running product is exp(sum(ln(mult))) over an ordered window --
-    valid because every multiplier is positive when n/horizon < 5.
+    ``steps(step, kl, n)`` holds one row per training step, of one run or of
+    several (``run`` names their column; each run has its own coefficient and
+    its own task).  The product is split into logarithms of the absolute
+    factors, a count of negative ones and a count of zeros, so a factor of 0 or
+    below (n / horizon of 5 or more) takes part like any other.
     """
     if horizon <= 0:
         raise ValueError("horizon must be > 0")
+    keys = [run] if run else []
     mult = d(1.0) + clip(F.col("kl") / d(target) - d(1.0), -0.2, 0.2) * F.col("n").cast("double") / d(horizon)
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.select("step", "kl", "n", (d(init) * F.exp(F.sum(F.log(mult)).over(w))).alias("kl_coef"))
+    t = steps.select(*keys, "step", "kl", "n", mult.alias("_m"))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.sum(F.when(F.col("_m") != 0, F.log(F.abs(F.col("_m")))).otherwise(d(0.0))).over(w)
+    odd = F.pmod(F.sum((F.col("_m") < 0).cast("bigint")).over(w), F.lit(2))
+    zero = F.max(F.col("_m") == 0).over(w)
+    coef = F.when(zero, d(0.0)).otherwise(d(init) * F.exp(size) * F.when(odd == 1, d(-1.0)).otherwise(d(1.0)))
+    return t.select(*keys, "step", "kl", "n", coef.alias("kl_coef"))
 
 
 def fixed_kl(steps: DataFrame, init: float) -> DataFrame:

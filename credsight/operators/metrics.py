@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credsight.functions.columns import r6
+from credsight.functions.columns import mix_hash, r6
 from credsight.operators.graph import DEPS_NOT_FOUND, NO_DEPS, dependency_lists
 
 
@@ -44,10 +44,6 @@ def credit_shaping(nodes: DataFrame, closure: DataFrame, reward: DataFrame, alph
     return j.select("graph_id", "seq", "node_id", oc.alias("on_chain"), ha.alias("has_answer"), r.alias("reward"))
 
 
-def knuth_hash(key, seed: int):
-    return ((key + F.lit(seed)) * F.lit(2654435761)) % F.lit(4294967296)
-
-
 def trajectory_cap(execs: DataFrame, max_traj: int, seed: int = 7) -> DataFrame:
     """F12 + K3: keep the planner row, then on-chain executors by depth (deepest
     first, ties by original order), then a seeded hash-random sample of
@@ -60,7 +56,7 @@ def trajectory_cap(execs: DataFrame, max_traj: int, seed: int = 7) -> DataFrame:
     w = Window.partitionBy("graph_id").orderBy(
         F.col("on_chain").desc(),
         F.when(F.col("on_chain"), -F.col("depth")),
-        F.when(~F.col("on_chain"), knuth_hash(F.col("seq"), seed)),
+        F.when(~F.col("on_chain"), mix_hash(F.col("graph_id"), F.col("seq"), seed)),
         F.col("seq"))
     return execs.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= max_traj - 1).drop("_k")
 
@@ -133,34 +129,35 @@ def tool_counts(calls: DataFrame) -> DataFrame:
 
 
 def context_budget(turns: DataFrame, limit: int, ratio: float = 0.95, warn_at: float = 0.85,
-                   min_out: int = 256) -> DataFrame:
+                   min_out: int = 256, observation: str = "user") -> DataFrame:
     """F2-F4 per conversation (a conversation is bounded by the turn cap):
 
-    F2 overflow: a turn that would push the context past ratio*limit is
-    discarded and its tokens counted as truncated; discarded turns do not
-    add -- an exact ordered fold over the turn array.
-    F3 first turn whose running usage reaches warn_at*limit (one-shot warning).
-    F4 first turn where limit - usage < min_out (context exhausted).
+    F2 overflow: an observation (a turn of role ``observation``) that would push
+    the context past ratio*limit is discarded and its tokens counted as
+    truncated; the model's own turns always stay.  F3/F4 look at the live
+    context, without what was discarded: the first turn after which it reaches
+    warn_at*limit, and the first after which limit - used < min_out.
+    An exact ordered fold over the turn array.
     """
-    words = F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))
-    t = turns.select("conv_id", "turn", words.cast("bigint").alias("n"))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("ts"))
-    cap = float(ratio * limit)
-    init = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("dropped"),
-                    F.lit(0).cast("bigint").alias("trunc"))
-    fold = F.aggregate("ts", init, lambda acc, x: F.when(
-        (acc["used"] + x["n"]).cast("double") > F.lit(cap),
-        F.struct(acc["used"].alias("used"), (acc["dropped"] + 1).alias("dropped"), (acc["trunc"] + x["n"]).alias("trunc")))
-        .otherwise(F.struct((acc["used"] + x["n"]).alias("used"), acc["dropped"].alias("dropped"),
-                            acc["trunc"].alias("trunc"))))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = t.withColumn("cum", F.sum("n").over(w))
-    first = cum.groupBy("conv_id").agg(
-        F.min(F.when(F.col("cum").cast("double") >= F.lit(warn_at * limit), F.col("turn"))).alias("warn_turn"),
-        F.min(F.when(F.lit(limit) - F.col("cum") < F.lit(min_out), F.col("turn"))).alias("exhausted_turn"))
-    return g.select("conv_id", fold.alias("f")).select(
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    t = turns.select("conv_id", "turn", words.cast("bigint").alias("n"),
+                     F.coalesce(F.col("role") == observation, F.lit(False)).alias("obs"))
+    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n", "obs"))).alias("ts"))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast(turns.schema["turn"].dataType)
+    init = F.struct(zero.alias("used"), zero.alias("dropped"), zero.alias("trunc"), none.alias("warn"), none.alias("out"))
+
+    def step(acc, x):
+        drop = x["obs"] & ((acc["used"] + x["n"]).cast("double") > F.lit(float(ratio * limit)))
+        used = F.when(drop, acc["used"]).otherwise(acc["used"] + x["n"])
+        return F.struct(
+            used.alias("used"), (acc["dropped"] + drop.cast("bigint")).alias("dropped"),
+            F.when(drop, acc["trunc"] + x["n"]).otherwise(acc["trunc"]).alias("trunc"),
+            F.coalesce(acc["warn"], F.when(used.cast("double") >= F.lit(float(warn_at * limit)), x["turn"])).alias("warn"),
+            F.coalesce(acc["out"], F.when(F.lit(limit) - used < F.lit(min_out), x["turn"])).alias("out"))
+
+    return g.select("conv_id", F.aggregate("ts", init, step).alias("f")).select(
         "conv_id", F.col("f.used").alias("used"), F.col("f.dropped").alias("dropped_turns"),
-        F.col("f.trunc").alias("truncated_tokens")).join(first, "conv_id")
+        F.col("f.trunc").alias("truncated_tokens"), F.col("f.warn").alias("warn_turn"), F.col("f.out").alias("exhausted_turn"))
 
 
 def iteration_log(plan_rows: DataFrame, exec_rows: DataFrame) -> DataFrame:

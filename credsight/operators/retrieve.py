@@ -1,11 +1,10 @@
 """Batch retrieval.
 
-B1/B2 top-k cosine search.  The query batch is small and its size is
-checked before it is shipped to the tasks (``MAX_QUERIES`` per pass; larger
-batches run as several passes).  Each corpus partition scores its rows
-against the query matrix with numpy and keeps only its own top-k per query,
-so at most ``k x partitions`` candidates per query reach the final
-``row_number`` -- no pair table is ever materialised.
+B1/B2 top-k cosine search.  Queries and corpus are both cut into hash blocks
+of a bounded number of rows; every pair of blocks is scored with numpy in a
+task of its own, which returns the k best documents of each of its queries.
+The block results (k per query and corpus block) are merged by rank.  Nothing
+is collected, no pair table exists and neither side has to fit in memory.
 """
 
 from __future__ import annotations
@@ -16,84 +15,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_QUERIES = 4096          # queries shipped to the tasks per pass (size bound)
-MAX_DIM = 8192              # embedding width accepted (size bound of one query row)
+QUERY_BLOCK = 1024          # rows of a block (target; blocks are hash blocks)
+CORPUS_BLOCK = 32_768
 
 # Recall outcome texts.
 RECALL_UNKNOWN = "Node %s not found. Available nodes: %s"
 RECALL_EMPTY = "Node %s has no transcript."
 RECALL_NONE = "No lines in the transcript of node %s match the goal."
-RECALL_MAX_LINES = 20
-
-_HIT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()),
-                     T.StructField("score", T.DoubleType())])
-
-
-def _topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int):
-    qn = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
-
-    def fn(batches):
-        best_s = np.full((len(qids), 0), -np.inf)
-        best_d = np.zeros((len(qids), 0), dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            emb = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(emb, axis=1)
-            ok = norms > 0
-            emb, ids = emb[ok] / norms[ok, None], pdf["doc_id"].to_numpy()[ok]
-            if len(ids) == 0:
-                continue
-            sims = qn @ emb.T                                   # (Q, B)
-            s = np.concatenate([best_s, sims], axis=1)
-            dd = np.concatenate([best_d, np.broadcast_to(ids, sims.shape)], axis=1)
-            keep = min(k, s.shape[1])
-            # order by score desc, then doc id asc; keep the partition's top-k
-            order = np.lexsort((dd, -s), axis=1)[:, :keep]
-            best_s = np.take_along_axis(s, order, axis=1)
-            best_d = np.take_along_axis(dd, order, axis=1)
-        if best_s.shape[1]:
-            yield pd.DataFrame({"qid": np.repeat(qids, best_s.shape[1]),
-                                "doc_id": best_d.ravel(), "score": best_s.ravel()})
-    return fn
-
-
-def topk_search(corpus: DataFrame, queries: DataFrame, k: int | str = 10) -> DataFrame:
+RECALL_MAX_LINES = 20        # default of the excerpt length
+
+def _unit(vecs) -> np.ndarray:
+    m = np.vstack([np.asarray(v, dtype=np.float64) for v in vecs])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1.0)          # a zero vector has similarity 0 to everything
+
+
+def _block_topk(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """The ``k`` best documents of every query of one pair of blocks; ties go to the lesser id."""
+    if q.empty or c.empty:
+        return pd.DataFrame({"row": [], "qid": [], "k": [], "doc_id": [], "score": []})
+    c = c.sort_values("doc_id", kind="stable")
+    docs = c["doc_id"].to_numpy()
+    sims = _unit(q["vec"]) @ _unit(c["vec"]).T
+    out = []
+    for row, qid, k, s in zip(q["row"], q["qid"], q["k"], sims):
+        k = min(int(k), len(s))
+        if k <= 0:
+            continue
+        # partial selection, with everything that ties with the k-th value, then an exact order
+        low = np.partition(s, len(s) - k)[len(s) - k]
+        at = np.flatnonzero(s >= low)
+        at = at[np.argsort(-s[at], kind="stable")][:k]
+        out.append(pd.DataFrame({"row": row, "qid": qid, "k": k, "doc_id": docs[at], "score": s[at]}))
+    return pd.concat(out) if out else pd.DataFrame({"row": [], "qid": [], "k": [], "doc_id": [], "score": []})
+
+
+def topk_search(corpus: DataFrame, queries: DataFrame, k: int | str = 10,
+                query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """B1/B2: top-k documents per query by cosine similarity.
 
     ``corpus(doc_id, vec array<double>)``; ``queries(qid, vec array<double>[, k])``;
-    ``k`` is an int or the name of a per-query k column (B2).
+    ``k`` is an int or the name of a per-query k column (B2).  Rows without a
+    vector have no similarity and are left out.  A null qid is a query too.
     -> (qid, rank, doc_id, score)
     """
-    per_row_k = isinstance(k, str)
-    kmax = queries.agg(F.max(k)).first()[0] if per_row_k else k
-    n_q, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    if not n_q or not kmax:
-        return queries.sparkSession.createDataFrame([], "qid bigint, rank int, doc_id bigint, score double")
-    if dim > MAX_DIM:
-        raise ValueError(f"embedding width {dim} exceeds {MAX_DIM}")
-    passes = []
-    qcols = ["qid", "vec"] + ([k] if per_row_k else [])
-    ordered = queries.select(*qcols).withColumn("_b", (F.col("qid") % ((n_q + MAX_QUERIES - 1) // MAX_QUERIES)))
-    n_pass = (n_q + MAX_QUERIES - 1) // MAX_QUERIES
-    for b in range(n_pass):
-        # bounded by MAX_QUERIES x MAX_DIM doubles: safe to ship to every task
-        rows = ordered.filter(F.col("_b") == b).select("qid", "vec").collect()
-        if not rows:
-            continue
-        qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        qmat = np.array([r["vec"] for r in rows], dtype=np.float64)
-        passes.append(corpus.select("doc_id", "vec").mapInPandas(_topk_fn(qids, qmat, int(kmax)), _HIT))
-    cand = passes[0]
-    for p in passes[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    if per_row_k:
-        ranked = ranked.join(queries.select("qid", k), "qid").filter(F.col("rank") <= F.col(k)).drop(k)
-    else:
-        ranked = ranked.filter(F.col("rank") <= k)
-    return ranked.select("qid", "rank", "doc_id", "score")
+    kcol = F.col(k) if isinstance(k, str) else F.lit(k)
+    q = queries.where(F.col("vec").isNotNull()).select(
+        F.xxhash64("qid", "vec").alias("row"), "qid", "vec", kcol.cast("int").alias("k"))
+    c = corpus.where(F.col("vec").isNotNull()).select("doc_id", "vec")
+    nq = max(1, -(-q.count() // query_block))
+    nc = max(1, -(-c.count() // corpus_block))
+    q = (q.withColumn("qb", F.pmod(F.col("row"), F.lit(nq)).cast("int"))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))))
+    c = (c.withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(nc)).cast("int"))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
+    qid, did = queries.schema["qid"].dataType, corpus.schema["doc_id"].dataType
+    hit = T.StructType([T.StructField("row", T.LongType()), T.StructField("qid", qid), T.StructField("k", T.IntegerType()),
+                        T.StructField("doc_id", did), T.StructField("score", T.DoubleType())])
+    cand = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
+        lambda a, b: _block_topk(a, b), hit)
+    w = Window.partitionBy("row", "qid").orderBy(F.col("score").desc(), "doc_id")
+    return (cand.withColumn("rank", F.row_number().over(w)).where("rank <= k")
+            .select("qid", "rank", "doc_id", "score"))
 
 
 def centroids(emb: DataFrame, key: str = "label", vec: str = "embedding") -> DataFrame:
@@ -108,29 +91,31 @@ def open_page(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Open a page by docid **or** url.  Two equi-joins unioned and
     de-duplicated (an OR condition would plan as a nested-loop join).
     ``requests(req_id, docid, url)`` -> (req_id, page_id, url, html) (NULL page when missing)."""
-    by_id = requests.filter(F.col("docid").isNotNull()).join(
-        pages.select(F.col("page_id").alias("docid"), "page_id", F.col("url").alias("page_url"), "html"), "docid")
-    by_url = requests.filter(F.col("docid").isNull() & F.col("url").isNotNull()).join(
-        pages.select("page_id", F.col("url"), F.col("url").alias("page_url"), "html"), "url")
-    hits = (by_id.select("req_id", "page_id", "page_url", "html")
-            .unionByName(by_url.select("req_id", "page_id", "page_url", "html"))
-            .dropDuplicates(["req_id", "page_id"]))
+    page = pages.select("page_id", F.col("url").alias("page_url"), "html")
+    by_id = (requests.where(F.col("docid").isNotNull())
+             .join(page, F.col("docid") == F.col("page_id")).select("req_id", "page_id", "page_url", "html"))
+    # a url is tried when there is no docid, and when the docid is unknown
+    left = requests.where(F.col("url").isNotNull()).join(by_id.select("req_id"), "req_id", "left_anti")
+    by_url = left.join(page, F.col("url") == F.col("page_url")).select("req_id", "page_id", "page_url", "html")
+    hits = by_id.unionByName(by_url).dropDuplicates(["req_id", "page_id"])
     return requests.select("req_id").join(hits, "req_id", "left")
 
 
-def keyword_excerpt(raw_text, goal):
+def keyword_excerpt(raw_text, goal, max_lines: int = RECALL_MAX_LINES):
     """Lines of the transcript that contain any goal keyword (lower-cased
-    substring match), first 20 of them; empty goal matches nothing."""
+    substring match), the first ``max_lines`` of them; empty goal matches nothing."""
     kws = F.filter(F.split(F.lower(F.trim(goal)), r"\s+"), lambda w: w != "")
     lines = F.split(raw_text, "\n")
     hit = F.filter(lines, lambda ln: F.exists(kws, lambda kw: F.lower(ln).contains(kw)))
-    return F.slice(hit, 1, RECALL_MAX_LINES)
+    return F.slice(hit, 1, max_lines)
 
 
 def recall(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """B4 + B5: recall lookup with the two error outcomes.
     ``requests(req_id, graph_id, node_id, goal)`` -> (req_id, outcome, text)."""
-    avail = nodes.groupBy("graph_id").agg(F.array_join(F.transform(
+    known = nodes.select("graph_id", "node_id")
+    asked = requests.join(known, ["graph_id", "node_id"], "left_anti").select("graph_id").distinct()
+    avail = nodes.join(asked, "graph_id", "left_semi").groupBy("graph_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("seq", "node_id"))), lambda x: x["node_id"]), ", ").alias("avail"))
     n = nodes.select("graph_id", "node_id", "raw_text")
     j = requests.join(n, ["graph_id", "node_id"], "left").join(avail, "graph_id", "left")

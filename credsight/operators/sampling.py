@@ -5,54 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credsight.functions.columns import MIX_MOD, mix_hash
 from credsight.functions.ordering import running_sums
 
-_HASH_MOD = 4294967296
 
+METHODS = ("pow", "max_min", "max_random")
 
-def resample_weights(traj: DataFrame, method: str = "pow", p: float = 2.0, score: str = "score") -> DataFrame:
+
+def resample_weights(traj: DataFrame, method: str | dict[str, str] = "pow", p: float = 2.0, score: str = "score") -> DataFrame:
     """K1: pow -> |s|^p; max_min -> 1 at the batch max or min else 0;
     max_random -> 0.4 at the max else 0.1; then + 1e-8 with floor 1e-8.
-    The batch extremes are one aggregate row attached by broadcast."""
-    s = F.col(score)
-    if method == "pow":
-        w = F.pow(F.abs(s), F.lit(float(p)))
-        out = traj.withColumn("weight", w)
-    elif method in ("max_min", "max_random"):
-        ext = traj.agg(F.max(score).alias("_mx"), F.min(score).alias("_mn"))
-        t = traj.crossJoin(F.broadcast(ext))
-        w = (F.when((s == F.col("_mx")) | (s == F.col("_mn")), F.lit(1.0)).otherwise(F.lit(0.0)) if method == "max_min"
-             else F.when(s == F.col("_mx"), F.lit(0.4)).otherwise(F.lit(0.1)))
-        out = t.withColumn("weight", w).drop("_mx", "_mn")
-    else:
-        raise ValueError(f"Unsupported reweight_method: {method}")
-    return out.withColumn("weight", F.greatest(F.col("weight") + F.lit(1e-8), F.lit(1e-8)))
+    ``method`` is one name (column ``weight``) or {column: name} for several in
+    one pass.  The batch extremes are one aggregate row attached by broadcast."""
+    columns = {"weight": method} if isinstance(method, str) else method
+    if bad := [m for m in columns.values() if m not in METHODS]:
+        raise ValueError(f"resampling method {bad[0]!r}; there are {', '.join(METHODS)}")
+    s, mx, mn = F.col(score), F.col("_mx"), F.col("_mn")
+    raw = {"pow": F.pow(F.abs(s), F.lit(float(p))),
+           "max_min": F.when((s == mx) | (s == mn), F.lit(1.0)).otherwise(F.lit(0.0)),
+           "max_random": F.when(s == mx, F.lit(0.4)).otherwise(F.lit(0.1))}
+    t = traj
+    if set(columns.values()) != {"pow"}:
+        t = traj.crossJoin(F.broadcast(traj.agg(F.max(score).alias("_mx"), F.min(score).alias("_mn"))))
+    floor = F.lit(1e-8)
+    return t.select(*traj.columns, *[F.greatest(raw[m] + floor, floor).alias(c) for c, m in columns.items()])
+
+
+def uniform(key, seed: int):
+    """Two independent hashes of a whole number as one value in [0, 1)."""
+    return (mix_hash(key, seed).cast("double")
+            + mix_hash(key, seed + 1).cast("double") / F.lit(float(MIX_MOD))) / F.lit(float(MIX_MOD))
 
 
 def weighted_draw(items: DataFrame, key: str, weight: str, seed: int = 0, n: int | None = None) -> DataFrame:
-    """K2: draw ``n`` (default: as many as items) keys with replacement, with
-    probability proportional to ``weight``.
+    """K2: resample ``n`` rows (default: as many as items) with replacement,
+    each draw independent, with probability proportional to ``weight``.
 
     Items own the interval [cum_before, cum) of the cumulative weight; draw j
-    takes u_j = hash(j, seed) / 2^32 * total.  Intervals and draws are merged
-    in one global order with distributed prefix sums: the number of interval
+    takes u_j = uniform(j, seed) * total.  Intervals and draws are merged in
+    one global order with distributed prefix sums: the number of interval
     starts at or before u_j is the index of the interval that contains it --
-    an exact range join without a nested loop.  -> (draw_id, key)
+    an exact range join without a nested loop.  -> draw_id and every column of
+    ``items``, a row for each draw.
     """
-    cum = running_sums(items.select(key, weight), [key], values=[weight])
-    total = cum.agg(F.max(f"_cum_{weight}")).first()[0]
-    count = cum.count() if n is None else n
-    iv = cum.select(F.col(key).alias("_key"), (F.col(f"_cum_{weight}") - F.col(weight)).alias("_pos"),
-                    F.lit(0).alias("_kind"), F.col("_rank").alias("_iv"), F.lit(1.0).alias("_one"),
-                    F.lit(None).cast("bigint").alias("_draw"))
-    spark = items.sparkSession
-    draws = spark.range(count).select(
-        F.lit(None).cast(items.schema[key].dataType).alias("_key"),
-        (((F.col("id") + F.lit(seed)) * F.lit(2654435761)) % F.lit(_HASH_MOD)).cast("double")
-        / F.lit(float(_HASH_MOD)) * F.lit(float(total)),
-        F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_iv"), F.lit(0.0).alias("_one"),
-        F.col("id").alias("_draw")).toDF("_key", "_pos", "_kind", "_iv", "_one", "_draw")
-    merged = running_sums(iv.unionByName(draws), ["_pos", "_kind", "_iv", "_draw"], values=["_one"])
-    picks = merged.filter(F.col("_kind") == 1).select(F.col("_draw").alias("draw_id"),
-                                                      F.col("_cum__one").cast("bigint").alias("_iv"))
-    return picks.join(iv.select("_iv", F.col("_key").alias(key)), "_iv").select("draw_id", key)
+    cum = running_sums(items, [key], values=[weight]).checkpoint()
+    total, count = cum.agg(F.max(f"_cum_{weight}"), F.count(F.lit(1))).first()
+    if not count:
+        return items.select(F.lit(None).cast("bigint").alias("draw_id"), "*")
+    starts = cum.select((F.col(f"_cum_{weight}") - F.col(weight)).alias("_pos"), F.lit(0).alias("_kind"),
+                        F.col("_rank").alias("_id"), F.lit(1.0).alias("_one"))
+    draws = items.sparkSession.range(count if n is None else n).select(
+        (uniform(F.col("id"), seed) * F.lit(float(total))).alias("_pos"), F.lit(1).alias("_kind"),
+        F.col("id").alias("_id"), F.lit(0.0).alias("_one"))
+    merged = running_sums(starts.unionByName(draws), ["_pos", "_kind", "_id"], values=["_one"])
+    picks = merged.filter(F.col("_kind") == 1).select(F.col("_id").alias("draw_id"),
+                                                      F.col("_cum__one").cast("bigint").alias("_rank"))
+    return picks.join(cum.select("_rank", *items.columns), "_rank").select("draw_id", *items.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credsight.functions.columns import r6, sql_r6
+from credsight.functions.columns import r6, sql_mix_hash, sql_r6
 from credsight.operators import evaluate as V
 from credsight.plans.catalog import query
 from credsight.sources.fixtures import eval_results, oracle_with, tasks
@@ -144,8 +144,8 @@ def q_rollout_fanout(spark, sf):
     return V.fan_out(tasks(spark, sf).select("row_idx"), 8).select("row_idx", "sample_idx")
 
 
-@query("train_batches", "A11", oracle_with("tasks") + """,
-h AS (SELECT row_idx, ((row_idx + 42) * 2654435761) % 4294967296 AS hv FROM tasks),
+@query("train_batches", "A11", oracle_with("tasks") + f""",
+h AS (SELECT row_idx, {sql_mix_hash('row_idx', 42)} AS hv FROM tasks),
 r AS (SELECT row_idx, row_number() OVER (ORDER BY hv, row_idx) - 1 AS i FROM h)
 SELECT row_idx, CAST(i // 32 AS BIGINT) AS batch_id, CAST(i // 16 AS BIGINT) AS minibatch_id FROM r""")
 def q_train_batches(spark, sf):

@@ -228,24 +228,36 @@ def q_kl_reward(spark, sf):
 
 
 def _steps_spark(spark, sf):
-    """One training step per order month: mean k1 KL and token count of that month."""
+    """A run for each order priority, a training step for each month: mean k1 KL and token count."""
     t = tokens(spark, sf)
     o = spark.read.parquet(f"{sf}/orders.parquet").select(
-        F.col("o_orderkey").alias("traj_id"), F.date_format("o_orderdate", "yyyyMM").cast("bigint").alias("step"))
-    return (t.join(o, "traj_id").groupBy("step")
+        F.col("o_orderkey").alias("traj_id"), F.col("o_orderpriority").alias("run"), F.date_format("o_orderdate", "yyyyMM").cast("bigint").alias("step"))
+    return (t.join(o, "traj_id").groupBy("run", "step")
             .agg(F.avg(F.col("logp") - F.col("ref_logp")).alias("kl"), F.count(F.lit(1)).alias("n")))
 
 
-@query("kl_adaptive", "I4,M3", oracle_with("tok") + f""",
-st AS (SELECT CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS step, avg(logp - ref_logp) AS kl, count(*) AS n
-       FROM tok JOIN orders ON tok.traj_id = orders.o_orderkey GROUP BY 1),
-m AS (SELECT step, kl, n, 1.0::DOUBLE + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, kl / 0.02::DOUBLE - 1.0::DOUBLE))
-                                 * CAST(n AS DOUBLE) / 10000.0::DOUBLE AS mult FROM st)
-SELECT step, {sql_r6('kl')} AS kl, n,
-       {sql_r6('0.05::DOUBLE * exp(sum(ln(mult)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS kl_coef
-FROM m""")
+_KL_RUNS = """,
+st AS (SELECT o_orderpriority AS run, CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS step, avg(logp - ref_logp) AS kl, count(*) AS n
+       FROM tok JOIN orders ON tok.traj_id = orders.o_orderkey GROUP BY ALL),
+m AS (SELECT run, step, kl, n, 1.0::DOUBLE + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, kl / 0.02::DOUBLE - 1.0::DOUBLE))
+                                 * CAST(n AS DOUBLE) / {horizon}::DOUBLE AS mult FROM st),
+c AS (SELECT *, product(mult) OVER (PARTITION BY run ORDER BY step) AS p FROM m)
+"""
+
+
+@query("kl_adaptive", "I4,M3", oracle_with("tok") + _KL_RUNS.format(horizon="10000.0") + f"""
+SELECT run, step, {sql_r6('kl')} AS kl, n, {sql_r6('0.05::DOUBLE * p')} AS kl_coef FROM c""")
 def q_kl_adaptive(spark, sf):
     from credsight.plans.registry import kl_controller
     ctl = kl_controller("adaptive", init_kl_coef=0.05, target_kl=0.02, horizon=10000)
-    out = ctl(_steps_spark(spark, sf))
-    return out.select("step", r6(F.col("kl")).alias("kl"), "n", r6(F.col("kl_coef")).alias("kl_coef"))
+    out = ctl(_steps_spark(spark, sf), run="run")
+    return out.select("run", "step", r6(F.col("kl")).alias("kl"), "n", r6(F.col("kl_coef")).alias("kl_coef"))
+
+
+@query("kl_adaptive_steep", "I4", oracle_with("tok") + _KL_RUNS.format(horizon="20.0") + """
+SELECT run, step, CAST(sign(p) AS INTEGER) AS sgn, round(ln(abs(p)), 4) AS log_change FROM c""")
+def q_kl_adaptive_steep(spark, sf):
+    """Steps of many horizons: factors of 0 and below, so the coefficient changes its sign."""
+    out = L.adaptive_kl(_steps_spark(spark, sf), 1.0, 0.02, 20, run="run")
+    return out.select("run", "step", F.signum("kl_coef").cast("int").alias("sgn"),
+                      F.round(F.log(F.abs("kl_coef")), 4).alias("log_change"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credsight.functions.columns import r6, sql_r6
+from credsight.functions.columns import r6, sql_mix_hash, sql_r6
 from credsight.functions.text import extract_calls
 from credsight.operators import graph as G
 from credsight.operators import metrics as M
@@ -58,7 +58,7 @@ def _cap_sql() -> str:
 ex AS (SELECT c.*, dep.depth FROM credit c JOIN dep USING (graph_id, node_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY on_chain DESC,
                    CASE WHEN on_chain THEN -depth END NULLS LAST,
-                   CASE WHEN NOT on_chain THEN ((seq + 7) * 2654435761) % 4294967296 END NULLS LAST, seq) AS k FROM ex),
+                   CASE WHEN NOT on_chain THEN {sql_mix_hash('graph_id', 'seq', 7)} END NULLS LAST, seq) AS k FROM ex),
 kept AS (SELECT * FROM rk WHERE k <= {MAX_TRAJ - 1})
 """
     return oracle_with("edges", recursive=True) + body
@@ -126,33 +126,34 @@ SELECT conv_id, count(*) FILTER (WHERE function = 'search') AS n_search,
        count(*) FILTER (WHERE function = 'open_page') AS n_open_page,
        count(*) FILTER (WHERE function = 'recall') AS n_recall, count(*) FILTER (WHERE function = 'finish') AS n_finish,
        count(*) FILTER (WHERE function IN ('search', 'open_page')) AS n_external
-FROM c GROUP BY conv_id""")
+FROM (SELECT DISTINCT conv_id FROM turns) LEFT JOIN c USING (conv_id) GROUP BY conv_id""")
 def q_tool_counts(spark, sf):
-    t = chat_turns(spark, sf).filter(F.col("role") == "assistant")
-    c = t.select("conv_id", F.explode(extract_calls(F.col("text"))).alias("c")).select("conv_id", "c.function")
-    return M.tool_counts(c)
+    t = chat_turns(spark, sf)
+    # an assistant turn without a call, like any other turn, counts as a row without function
+    calls = F.when(F.col("role") == "assistant", extract_calls(F.col("text")))
+    return M.tool_counts(t.select("conv_id", F.explode_outer(calls).alias("c")).select("conv_id", "c.function"))
 
 
-@query("context_budget", "F2,F3,F4", """
-WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n,
+_BUDGET_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role = 'user' AS obs,
+                  CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
-f(conv_id, r, used, dropped, trunc) AS (
-  SELECT conv_id, r, CASE WHEN CAST(n AS DOUBLE) > 2850.0 THEN 0 ELSE n END, CASE WHEN CAST(n AS DOUBLE) > 2850.0 THEN 1 ELSE 0 END,
-         CASE WHEN CAST(n AS DOUBLE) > 2850.0 THEN n ELSE 0 END FROM t WHERE r = 1
+f(conv_id, r, turn, used, dropped, trunc) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  FROM conversations GROUP BY conv_id
   UNION ALL
-  SELECT f.conv_id, t.r,
-         CASE WHEN CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN f.used ELSE f.used + t.n END,
-         f.dropped + CASE WHEN CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN 1 ELSE 0 END,
-         f.trunc + CASE WHEN CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN t.n ELSE 0 END
+  SELECT f.conv_id, t.r, t.turn,
+         f.used + CASE WHEN obs AND CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN 0 ELSE t.n END,
+         f.dropped + CASE WHEN obs AND CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN 1 ELSE 0 END,
+         f.trunc + CASE WHEN obs AND CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN t.n ELSE 0 END
   FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1),
-last AS (SELECT conv_id, arg_max(used, r) AS used, arg_max(dropped, r) AS dropped_turns, arg_max(trunc, r) AS truncated_tokens
-         FROM f GROUP BY conv_id),
-cum AS (SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM t),
-fr AS (SELECT conv_id, min(turn) FILTER (WHERE CAST(c AS DOUBLE) >= 2550.0) AS warn_turn,
-              min(turn) FILTER (WHERE 3000 - c < 256) AS exhausted_turn FROM cum GROUP BY conv_id)
-SELECT conv_id, CAST(used AS BIGINT) AS used, CAST(dropped_turns AS BIGINT) AS dropped_turns,
-       CAST(truncated_tokens AS BIGINT) AS truncated_tokens, warn_turn, exhausted_turn
-FROM last JOIN fr USING (conv_id)""")
+budget AS (SELECT conv_id, arg_max(used, r) AS used, arg_max(dropped, r) AS dropped_turns, arg_max(trunc, r) AS truncated_tokens,
+                  min(turn) FILTER (WHERE CAST(used AS DOUBLE) >= 2550.0) AS warn_turn,
+                  min(turn) FILTER (WHERE 3000 - used < 256) AS exhausted_turn FROM f GROUP BY conv_id)"""
+
+
+@query("context_budget", "F2,F3,F4", _BUDGET_SQL + """
+SELECT conv_id, used, dropped_turns, truncated_tokens, warn_turn, exhausted_turn FROM budget""")
 def q_context_budget(spark, sf):
     return M.context_budget(read_table(spark, sf, "conversations"), limit=3000)
 
@@ -209,47 +210,35 @@ SELECT traj_id, {sql_r6('greatest(pow(abs(score), 2.0) + 1e-8, 1e-8)')} AS w_pow
 FROM traj, ext""")
 def q_resample_weights(spark, sf):
     traj = trajectories(spark, sf, tokens(spark, sf)).select("traj_id", "score")
-    a = K.resample_weights(traj, "pow", 2.0).select("traj_id", F.col("weight").alias("w_pow"))
-    b = K.resample_weights(traj, "max_min").select("traj_id", F.col("weight").alias("w_max_min"))
-    c = K.resample_weights(traj, "max_random").select("traj_id", F.col("weight").alias("w_max_random"))
-    j = a.join(b, "traj_id").join(c, "traj_id")
+    j = K.resample_weights(traj, {"w_pow": "pow", "w_max_min": "max_min", "w_max_random": "max_random"})
     return j.select("traj_id", *[r6(F.col(x)).alias(x) for x in ("w_pow", "w_max_min", "w_max_random")])
 
 
 @query("resample_draw", "K2", oracle_with("traj") + """,
-w AS (SELECT traj_id, greatest(pow(abs(score), 2.0) + 1e-8, 1e-8) AS wt FROM traj),
-c AS (SELECT traj_id, sum(wt) OVER (ORDER BY traj_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - wt AS lo,
+w AS (SELECT traj_id, score, greatest(pow(abs(score), 2.0) + 1e-8, 1e-8) AS wt FROM traj),
+c AS (SELECT traj_id, score, sum(wt) OVER (ORDER BY traj_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - wt AS lo,
              sum(wt) OVER (ORDER BY traj_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM w),
 tot AS (SELECT max(hi) AS total, count(*) AS n FROM c),
-d AS (SELECT id AS draw_id, CAST(((id + 3) * 2654435761) % 4294967296 AS DOUBLE) / 4294967296.0 * total AS u
+d AS (SELECT id AS draw_id, (CAST(""" + sql_mix_hash('id', 3) + """ AS DOUBLE)
+             + CAST(""" + sql_mix_hash('id', 4) + """ AS DOUBLE) / 2147483647.0::DOUBLE) / 2147483647.0::DOUBLE * total AS u
       FROM tot, range(0, (SELECT n FROM tot)) r(id))
-SELECT c.traj_id, count(*) AS times_drawn FROM d JOIN c ON d.u >= c.lo AND d.u < c.hi GROUP BY c.traj_id""")
+SELECT c.traj_id, count(*) AS times_drawn, round(sum(score), 6) AS score_sum FROM d JOIN c ON d.u >= c.lo AND d.u < c.hi GROUP BY c.traj_id""")
 def q_resample_draw(spark, sf):
     traj = trajectories(spark, sf, tokens(spark, sf)).select("traj_id", "score")
     w = K.resample_weights(traj, "pow", 2.0)
     d = K.weighted_draw(w, "traj_id", "weight", seed=3)
-    return d.groupBy("traj_id").agg(F.count(F.lit(1)).alias("times_drawn"))
+    return d.groupBy("traj_id").agg(F.count(F.lit(1)).alias("times_drawn"), F.round(F.sum("score"), 6).alias("score_sum"))
 
 
-@query("failure_taxonomy", "F8", """
-WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n,
-                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
-f(conv_id, r, used, dropped) AS (
-  SELECT conv_id, r, CASE WHEN CAST(n AS DOUBLE) > 2850.0 THEN 0 ELSE n END, CASE WHEN CAST(n AS DOUBLE) > 2850.0 THEN 1 ELSE 0 END
-  FROM t WHERE r = 1
-  UNION ALL
-  SELECT f.conv_id, t.r, CASE WHEN CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN f.used ELSE f.used + t.n END,
-         f.dropped + CASE WHEN CAST(f.used + t.n AS DOUBLE) > 2850.0 THEN 1 ELSE 0 END
-  FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1),
-b AS (SELECT conv_id, arg_max(dropped, r) AS dropped FROM f GROUP BY conv_id),
+@query("failure_taxonomy", "F8", _BUDGET_SQL + """,
 """ + oracle_with("turns")[len("WITH "):] + """,
 c AS (SELECT conv_id, count(*) AS n_turns,
              sum(len(regexp_extract_all(text, '(?s)<function=(finish)>', 1))) AS n_finish
       FROM turns WHERE role = 'assistant' GROUP BY conv_id)
-SELECT b.conv_id, CASE WHEN dropped > 0 THEN 'context_overflow'
+SELECT b.conv_id, CASE WHEN dropped_turns > 0 THEN 'context_overflow'
                        WHEN coalesce(n_turns, 0) >= 4 AND coalesce(n_finish, 0) = 0 THEN 'max_turn'
                        WHEN coalesce(n_finish, 0) = 0 THEN 'unfinished' ELSE 'completed' END AS reason
-FROM b LEFT JOIN c USING (conv_id)""")
+FROM budget b LEFT JOIN c USING (conv_id)""")
 def q_failure_taxonomy(spark, sf):
     conv = read_table(spark, sf, "conversations")
     budget = M.context_budget(conv, limit=3000)
