@@ -13,10 +13,12 @@ cap, which bounds those aggregates.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credsight.session import checkpoint_dir
+
 
 # Fixed values of the DAG format.
 AWAITING = "Awaiting Evaluation"
@@ -199,64 +201,62 @@ def nodes_per_batch(nodes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def depths(nodes: DataFrame, e: DataFrame, checkpoint_every: int = 4, max_levels: int | None = None) -> DataFrame:
+def _blocks(spark) -> int:
+    """Blocks of graphs for the grouped passes: several per shuffle partition, so a
+    block is a fraction of a partition.  A graph itself is bounded by the plan cap."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _codes(*frames: pd.DataFrame) -> tuple[list[np.ndarray], pd.DataFrame]:
+    """One number for each distinct (graph, id) over several two-column frames."""
+    cat = pd.concat([f.set_axis(["graph_id", "id"], axis=1) for f in frames if len(f)] or [
+        frames[0].set_axis(["graph_id", "id"], axis=1)], ignore_index=True)
+    codes = cat.groupby(["graph_id", "id"], sort=False, dropna=False).ngroup().to_numpy()
+    first = ~pd.Series(codes).duplicated().to_numpy()
+    cuts = np.cumsum([len(f) for f in frames])[:-1]
+    return np.split(codes, cuts), cat[first].reset_index(drop=True)
+
+
+def _depth_block(nodes: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    """Topological peeling of all graphs of a block at once."""
+    (node, src, dst), keys = _codes(nodes[["graph_id", "node_id"]], e[["g", "s"]], e[["g", "t"]])
+    n = len(keys)
+    left = np.bincount(dst, minlength=n)
+    depth = np.where(left == 0, 0, -1)
+    front, level = left == 0, 0
+    while front.any():
+        hit = dst[front[src]]
+        left = left - np.bincount(hit, minlength=n)
+        level += 1
+        front = (depth < 0) & (left == 0)
+        depth[front] = level
+    done = depth >= 0
+    shown = np.maximum(depth, 0)
+    got = done[src]
+    reach = np.zeros(n, np.int64)
+    np.maximum.at(reach, dst[got], depth[src[got]] + 1)      # behind a cycle: what the processed parents give
+    shown = np.where(done, shown, reach)
+    return pd.DataFrame({"graph_id": nodes["graph_id"], "node_id": nodes["node_id"],
+                         "depth": shown[node], "processed": done[node]})
+
+
+def depths(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """Longest path from a root by layered topological peeling.
 
-    Each level is one join of the frontier's out-edges (a small table) with
-    the remaining in-degree counts; lineage is cut with a reliable
-    checkpoint into ``spark.checkpoint.dir`` every few levels, so a lost
-    executor recomputes at most a few levels.  The loop runs (depth + 1)
-    times, bounded by the planner's iteration cap.  Nodes on or behind a
-    cycle are never released; they keep the depth their processed parents
-    gave them (0 when none), and their graph is flagged cyclic.
+    Graphs are small (the planner's cap) and many: nodes and edges meet once,
+    in hash blocks of whole graphs, and one numpy pass peels all graphs of a
+    block level by level.  Nodes on or behind a cycle are never released; they
+    keep the depth their processed parents gave them (0 when none), and their
+    graph is flagged cyclic.
 
     -> (graph_id, node_id, depth, processed)
     """
-    spark = nodes.sparkSession
-    checkpoint_dir(spark)
-    # The edge table is read by every level and the state is rewritten by
-    # every level: partition both once on their join keys (a checkpoint keeps
-    # that partitioning), so per level only the small frontier and decrement
-    # tables are shuffled.
-    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ed = e.select("graph_id", "src", "dst").repartition(n_part, "graph_id", "src").checkpoint()
-    indeg = ed.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("indeg"))
-    state = (nodes.select("graph_id", "node_id").join(indeg, ["graph_id", "node_id"], "left")
-             .select("graph_id", "node_id", F.coalesce("indeg", F.lit(0)).cast("bigint").alias("left"))
-             .withColumn("depth", F.when(F.col("left") == 0, F.lit(0).cast("bigint"))))
-    state = state.repartition(n_part, "graph_id", "node_id").checkpoint()
-
-    def peel(st: DataFrame, lv: int) -> DataFrame:
-        front = st.filter(F.col("depth") == lv).select("graph_id", F.col("node_id").alias("src"))
-        dec = (ed.join(front, ["graph_id", "src"])
-               .groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("dec")))
-        return (st.join(dec, ["graph_id", "node_id"], "left")
-                .withColumn("left", F.col("left") - F.coalesce("dec", F.lit(0)))
-                .withColumn("depth", F.when(F.col("depth").isNull() & (F.col("left") == 0), F.lit(lv + 1))
-                            .otherwise(F.col("depth")))
-                .drop("dec"))
-
-    level = 0
-    while max_levels is None or level < max_levels:
-        # a group of levels is planned lazily and materialised once (reliable
-        # checkpoint): one job per group instead of one per level, and a lost
-        # executor recomputes at most one group.  Levels past convergence are
-        # no-ops (an empty frontier releases nothing).
-        for _ in range(checkpoint_every):
-            if max_levels is not None and level >= max_levels:
-                break
-            state = peel(state, level)
-            level += 1
-        state = state.checkpoint()
-        if state.filter(F.col("depth") == level).limit(1).count() == 0:  # reads the checkpoint
-            break
-    done = state.filter(F.col("depth").isNotNull()).select("graph_id", F.col("node_id").alias("src"), "depth")
-    partial = (ed.join(done, ["graph_id", "src"])
-               .groupBy("graph_id", F.col("dst").alias("node_id")).agg((F.max("depth") + 1).alias("pdepth")))
-    return (state.join(partial, ["graph_id", "node_id"], "left")
-            .select("graph_id", "node_id",
-                    F.coalesce(F.col("depth"), F.col("pdepth"), F.lit(0)).cast("bigint").alias("depth"),
-                    F.col("depth").isNotNull().alias("processed")))
+    block = F.pmod(F.xxhash64("graph_id"), F.lit(_blocks(nodes.sparkSession))).alias("_blk")
+    n = nodes.select("graph_id", "node_id", block)
+    ed = e.select(F.col("graph_id").alias("g"), F.col("src").alias("s"), F.col("dst").alias("t"), block.alias("_eblk"))
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+    return n.groupBy("_blk").cogroup(ed.groupBy("_eblk")).applyInPandas(
+        _depth_block, f"graph_id {kind}, node_id string, depth bigint, processed boolean")
 
 
 def graph_depth(d: DataFrame) -> DataFrame:
@@ -268,44 +268,38 @@ def graph_depth(d: DataFrame) -> DataFrame:
                     .otherwise(F.col("max_depth_raw")).alias("max_depth"), "n_unprocessed")
 
 
-def transitive_deps(nodes: DataFrame, deps: DataFrame, seeds: DataFrame, checkpoint_every: int = 3) -> DataFrame:
+def _closure_block(dl: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+    """All (seed, reached id) pairs of a block: a frontier over the dependency lists."""
+    (x, y, s), keys = _codes(dl[["graph_id", "x"]], dl[["graph_id", "y"]], seeds[["g", "s"]])
+    s = np.unique(s)
+    n = len(keys)
+    order = np.argsort(x, kind="stable")
+    y = y[order]
+    begin = np.searchsorted(x[order], np.arange(n + 1))
+    seen = front = s * n + s
+    while len(front):
+        seed, at = front // n, front % n
+        count = begin[at + 1] - begin[at]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[at], count)
+        front = np.setdiff1d(np.unique(np.repeat(seed, count) * n + y[step]), seen, assume_unique=True)
+        seen = np.union1d(seen, front)
+    ids = keys["id"].to_numpy()
+    return pd.DataFrame({"graph_id": keys["graph_id"].to_numpy()[seen // n], "seed_id": ids[seen // n], "node_id": ids[seen % n]})
+
+
+def transitive_deps(nodes: DataFrame, deps: DataFrame, seeds: DataFrame) -> DataFrame:
     """Transitive dependencies of each seed node, including itself; ids
     not in the graph are included (they just do not expand); cycle-safe.
 
-    Semi-naive loop: frontier joined with dependency lists, minus what was
-    already visited.  ``seeds(graph_id, seed_id)``.  -> (graph_id, seed_id, node_id)
+    As in :func:`depths`, hash blocks of whole graphs meet once.
+    ``seeds(graph_id, seed_id)``.  -> (graph_id, seed_id, node_id)
     """
-    spark = nodes.sparkSession
-    checkpoint_dir(spark)
-    dl = (dependency_lists(nodes, deps)
-          .select("graph_id", F.col("node_id").alias("x"), F.col("dep_id").alias("y")).checkpoint())
-    visited = seeds.select("graph_id", "seed_id", F.col("seed_id").alias("x")).distinct().checkpoint()
-    front = visited
-    it, cached = 0, []
-    while True:
-        nxt = (front.join(dl, ["graph_id", "x"]).select("graph_id", "seed_id", F.col("y").alias("x")).distinct()
-               .join(visited, ["graph_id", "seed_id", "x"], "left_anti"))
-        it += 1
-        # materialised once per round (it is counted, unioned and expanded next);
-        # a reliable checkpoint every few rounds bounds the lineage
-        nxt = nxt.checkpoint() if it % checkpoint_every == 0 else nxt.cache()
-        n_new = nxt.count()
-        if n_new == 0:
-            break
-        visited = visited.unionByName(nxt)
-        if it % checkpoint_every == 0:
-            visited = visited.checkpoint()
-            for old in cached:
-                old.unpersist()
-            cached = []
-        else:
-            cached.append(nxt)
-        front = nxt
-    if cached:
-        visited = visited.checkpoint()
-    for old in cached + [nxt]:
-        old.unpersist()
-    return visited.withColumnRenamed("x", "node_id")
+    block = F.pmod(F.xxhash64("graph_id"), F.lit(_blocks(nodes.sparkSession))).alias("_blk")
+    dl = dependency_lists(nodes, deps).select("graph_id", F.col("node_id").alias("x"), F.col("dep_id").alias("y"), block)
+    sd = seeds.select(F.col("graph_id").alias("g"), F.col("seed_id").alias("s"), block.alias("_sblk"))
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+    return dl.groupBy("_blk").cogroup(sd.groupBy("_sblk")).applyInPandas(
+        _closure_block, f"graph_id {kind}, seed_id string, node_id string")
 
 
 # ---------------------------------------------------------------------------

@@ -9,8 +9,8 @@ from credsight.plans.catalog import query
 from credsight.sources.fixtures import dag_inputs, dag_nodes, dag_verdicts, oracle_with  # noqa: F401
 
 
-def _g(spark, sf, materialise: bool = False):
-    n, d, _ = dag_inputs(spark, sf, materialise=materialise)
+def _g(spark, sf):
+    n, d, _ = dag_inputs(spark, sf)
     return n, d
 
 
@@ -92,7 +92,7 @@ SELECT n.graph_id, n.node_id,
             WHEN n_found = 0 THEN '[Upstream dependencies not found in graph]' ELSE ctx END AS context
 FROM gnodes n LEFT JOIN agg USING (graph_id, node_id)""")
 def q_dag_upstream_context(spark, sf):
-    n, d = _g(spark, sf, materialise=True)
+    n, d = _g(spark, sf)
     return G.upstream_context(n, d)
 
 
@@ -162,7 +162,7 @@ dep AS (SELECT graph_id, node_id, CAST(depth AS BIGINT) AS depth, true AS proces
 @query("dag_depth", "D9", oracle_with("edges", recursive=True) + _DEPTH_SQL + """
 SELECT graph_id, node_id, depth, processed FROM dep""")
 def q_dag_depth(spark, sf):
-    n, d = _g(spark, sf, materialise=True)
+    n, d = _g(spark, sf)
     return G.depths(n, G.edges(n, d))
 
 
@@ -172,7 +172,7 @@ SELECT graph_id, count(*) FILTER (WHERE NOT processed) > 0 AS cyclic,
        count(*) FILTER (WHERE NOT processed) AS n_unprocessed
 FROM dep GROUP BY graph_id""")
 def q_dag_cycles(spark, sf):
-    n, d = _g(spark, sf, materialise=True)
+    n, d = _g(spark, sf)
     return G.graph_depth(G.depths(n, G.edges(n, d)))
 
 
@@ -187,7 +187,7 @@ cl(graph_id, seed_id, node_id) AS (
 
 
 def _closure(spark, sf):
-    n, d = _g(spark, sf, materialise=True)
+    n, d = _g(spark, sf)
     seeds = G.answer_nodes(n).select("graph_id", F.col("answer_node_id").alias("seed_id"))
     return n, d, G.transitive_deps(n, d, seeds)
 
@@ -238,7 +238,7 @@ SELECT nd.graph_id, nd.seq, node_id, status, answer, CAST(n_deps AS INTEGER) AS
        CAST(coalesce(ne.n_edges, 0) AS INTEGER) AS n_edges
 FROM nd LEFT JOIN ne USING (graph_id)""")
 def q_dag_roundtrip(spark, sf):
-    n, d = _g(spark, sf, materialise=True)
+    n, d = _g(spark, sf)
     docs = G.serialize(n, d, G.edges(n, d))
     back = G.deserialize(docs)
     return back.select("graph_id", "seq", "node_id", "status", "answer",

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credsight.functions.columns import r6, sql_r6
+from credsight.functions.columns import normalise_text, r6, sql_r6
 from credsight.operators import graph as G
 from credsight.operators import rules as R
 from credsight.plans.catalog import query
-from credsight.sources.fixtures import dag_inputs, oracle_with
+from credsight.sources.fixtures import dag_inputs, oracle_with, rule_inputs
 
 PAT = R"^(.+?)_refine(\d+)$"
 
 
-def _inputs(spark, sf):
-    return dag_inputs(spark, sf)
-
-
-def _viol(spark, sf):
-    n, d, v = _inputs(spark, sf)
+def _viol(spark, sf, rule=None):
+    n, d, v = rule_inputs(spark, sf, rule)
     return n, v, R.violations(n, d, v)
 
 
@@ -129,7 +125,7 @@ for _name, _rule in [("rule_status", "R_STATUS"), ("rule_empty", "R_EMPTY"), ("r
                      ("rule_refine", "R_REFINE"), ("rule_dup", "R_DUP")]:
     def _mk(rule):
         def fn(spark, sf):
-            v = _viol(spark, sf)[2]
+            v = _viol(spark, sf, rule)[2]
             return v.filter(F.col("rule") == rule).select("graph_id", "iteration", "node_id", "message")
         return fn
     query(_name, {"R_STATUS": "E1", "R_EMPTY": "E2", "R_PENDING": "E3", "R_ANSWER_ISOLATION": "E4", "DEP": "E5,E6,E7",
@@ -190,11 +186,11 @@ def q_rule_penalty(spark, sf):
 
 
 @query("text_normalise", "C9", """
-SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS norm FROM documents""")
+SELECT doc_id, lower(trim(regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'))) AS norm FROM documents""")
 def q_text_normalise(spark, sf):
     from credsight.sources.tables import read_table
     d = read_table(spark, sf, "documents")
-    return d.select("doc_id", F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))).alias("norm"))
+    return d.select("doc_id", normalise_text(F.col("text")).alias("norm"))
 
 
 @query("text_refine_parse", "C10", oracle_with("gnodes") + f"""
@@ -202,7 +198,7 @@ SELECT graph_id, node_id, regexp_extract(node_id, '{PAT}', 1) AS root,
        TRY_CAST(regexp_extract(node_id, '{PAT}', 2) AS BIGINT) AS n
 FROM gnodes WHERE contains(node_id, '_refine')""")
 def q_text_refine_parse(spark, sf):
-    n, _, _ = _inputs(spark, sf)
+    n, _, _ = dag_inputs(spark, sf)
     m, root, num = R.refine_parse(F.col("node_id"))
     return n.filter(F.col("node_id").contains("_refine")).select(
         "graph_id", "node_id", F.coalesce(root, F.lit("")).alias("root"), num.alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from credsight.functions.columns import r6, sql_r6
 from credsight.operators import graph as G
 from credsight.plans.catalog import query
-from credsight.plans.q_losses import _steps_spark
+from credsight.plans.q_losses import _KL_RUNS, _steps_spark
 from credsight.sources.fixtures import dag_deps, dag_nodes, oracle_with
 from credsight.streaming import streams as S
 
@@ -65,20 +65,15 @@ def q_stream_static_lookup(spark, sf):
     return out.select("graph_id", "n_deps", "n_found")
 
 
-@query("stream_adaptive_kl", "L4", oracle_with("tok") + f""",
-st AS (SELECT CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS step, avg(logp - ref_logp) AS kl, count(*) AS n
-       FROM tok JOIN orders ON tok.traj_id = orders.o_orderkey GROUP BY 1),
-m AS (SELECT step, kl, n, 1.0::DOUBLE + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, kl / 0.02::DOUBLE - 1.0::DOUBLE))
-                                 * CAST(n AS DOUBLE) / 10000.0::DOUBLE AS mult FROM st)
-SELECT step, {sql_r6('kl')} AS kl, n,
-       {sql_r6('0.05::DOUBLE * exp(sum(ln(mult)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS kl_coef
-FROM m""")
+@query("stream_adaptive_kl", "L4", oracle_with("tok") + _KL_RUNS.format(horizon="10000.0") + f"""
+SELECT run, step, {sql_r6('kl')} AS kl, n, {sql_r6('0.05::DOUBLE * p')} AS kl_coef FROM c""")
 def q_stream_adaptive_kl(spark, sf):
-    steps = _steps_spark(spark, sf).withColumn("run_id", F.lit(0).cast("bigint"))
-    path = S.materialise_in_order(steps.withColumn("year", (F.col("step") / 100).cast("bigint")), "l4-steps", "year")
-    st = S.stream_table(spark, path, max_files=1).drop("year")
+    steps = _steps_spark(spark, sf).withColumn("year", (F.col("step") / 100).cast("bigint"))
+    # a file for each year: seven small aggregates, in the order in which the steps were taken
+    path = S.materialise_in_order(steps, "l4-steps", "year")
+    st = S.stream_table(spark, path, max_files=1).select(F.col("run").alias("run_id"), "step", "kl", "n")
     out = S.run_append(S.adaptive_kl_stream(st, init=0.05, target=0.02, horizon=10000), "l4")
-    return out.select("step", r6(F.col("kl")).alias("kl"), "n", r6(F.col("kl_coef")).alias("kl_coef"))
+    return out.select(F.col("run_id").alias("run"), "step", r6(F.col("kl")).alias("kl"), "n", r6(F.col("kl_coef")).alias("kl_coef"))
 
 
 @query("stream_group_credit", "L5,H2", oracle_with("traj") + f""",
@@ -89,9 +84,8 @@ def q_stream_group_credit(spark, sf):
     from credsight.sources.fixtures import tokens, trajectories
     traj = trajectories(spark, sf, tokens(spark, sf)).select("traj_id", "uid", "score", "batch_idx")
     expected = traj.groupBy("uid").agg(F.count(F.lit(1)).alias("g_expected"))
-    path = S.materialise_in_order(traj.withColumn("chunk", (F.col("batch_idx") / 5000).cast("bigint")), "l5-traj",
-                                  "chunk")
-    st = S.group_complete_stats(S.stream_table(spark, path, max_files=1).drop("chunk"), expected, "l5")
+    path = S.materialise(traj, "l5-traj", partitions=8)          # groups are spread over the files
+    st = S.group_complete_stats(S.stream_table(spark, path, max_files=2), expected, "l5")
     t = spark.read.parquet(path)
     return t.join(st, "uid").select(
         "traj_id", r6((F.col("score") - F.col("g_mean")) / (F.col("g_std") + F.lit(1e-6))).alias("adv"))
@@ -99,11 +93,11 @@ def q_stream_group_credit(spark, sf):
 
 def q_stream_validation(spark, sf):
     from credsight.operators.rules import plans
-    from credsight.sources.fixtures import dag_inputs
-    n, d, v = dag_inputs(spark, sf)
-    keys = plans(n, v).withColumn("chunk", (F.col("iteration") / 4).cast("bigint"))
-    path = S.materialise_in_order(keys, "l8-plans", "chunk")
-    out = S.validate_stream(S.stream_table(spark, path, max_files=1), n, d, v, "l8")
+    from credsight.sources.fixtures import rule_inputs
+    n, d, v = rule_inputs(spark, sf)
+    d = d.checkpoint()                 # every micro-batch reads it
+    path = S.materialise(plans(n, v), "l8-plans", partitions=6)
+    out = S.validate_stream(S.stream_table(spark, path, max_files=2), n, d, v, "l8")
     return out.select("graph_id", "iteration", "rule", "node_id", "message")
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from credsight.session import checkpoint_dir
 from credsight.sources.tables import read_table
 
 # Fixed values of the rollout domain (status vocabulary, role suffixes).
@@ -497,17 +498,27 @@ plans AS (
 ORACLE_DEPS.update({"turns": [], "plans": ["nodes"]})
 
 
-def dag_inputs(spark: SparkSession, sf_dir: str, materialise: bool = True):
-    """(nodes with resolved ids, deps, verdicts) for the DAG and rule queries.
-
-    The rule plans read these tables a dozen times; with ``materialise`` each
-    is computed once and written as a reliable checkpoint (shared
-    ``spark.checkpoint.dir``), which also cuts the lineage a lost executor
-    would otherwise recompute.
-    """
+def dag_inputs(spark: SparkSession, sf_dir: str):
+    """(nodes with resolved ids, deps, verdicts) for the DAG queries, as plain
+    plans: each query scans and shuffles only the columns it reads."""
     from credsight.operators.graph import resolve_ids
     raw = dag_nodes(spark, sf_dir)
-    n, d, v = resolve_ids(raw), dag_deps(spark, sf_dir, raw), dag_verdicts(spark, sf_dir, raw)
-    if materialise:
-        n, d, v = n.checkpoint(), d.checkpoint(), v.checkpoint()
-    return n, d, v
+    return resolve_ids(raw), dag_deps(spark, sf_dir, raw), dag_verdicts(spark, sf_dir, raw)
+
+
+#: what the rules read of a node; the two texts only for R_DUP
+RULE_COLUMNS = ["graph_id", "seq", "iteration", "node_id", "status"]
+
+
+def rule_inputs(spark: SparkSession, sf_dir: str, rule: str | None = None):
+    """Inputs of the rule plans, which read nodes and verdicts a dozen times:
+    both are narrowed to the columns of the wanted rule and written once."""
+    n, d, v = dag_inputs(spark, sf_dir)
+    checkpoint_dir(spark)
+    texts = ["description", "prompt"]
+    if rule in (None, "R_DUP"):
+        n = n.select(*RULE_COLUMNS, *texts).checkpoint()
+    else:
+        n = n.select(*RULE_COLUMNS).checkpoint()
+        n = n.select("*", *[F.lit(None).cast("string").alias(c) for c in texts])
+    return n, d.select("graph_id", "seq", "dep_pos", "dep_id"), v.select("graph_id", "iteration", "node_id", "status").checkpoint()

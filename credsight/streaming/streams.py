@@ -24,9 +24,21 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from credsight.session import checkpoint_dir
 
 
-def _area(spark: SparkSession, name: str) -> str:
+def _area(spark: SparkSession, name: str, job: str | None = None) -> str:
+    """Folder of a stream's offsets, state and output.  A caller that names its
+    ``job`` gets the same folder again and so goes on where it stopped."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/credsight-streams/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/credsight-streams/{name}-{job or uuid.uuid4().hex[:12]}"
+
+
+def _write_batch(batch: DataFrame, out: str, batch_id: int) -> None:
+    """A micro-batch has a folder of its own; written again after a failure, it replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+
+
+def _read_batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    fields = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+    return spark.read.schema(fields).parquet(out)
 
 
 def stream_table(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -52,10 +64,10 @@ def materialise(df: DataFrame, name: str, partitions: int | None = None) -> str:
     return path
 
 
-def run_append(sdf: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode stream to completion; return what it wrote."""
+def run_append(sdf: DataFrame, name: str, job: str | None = None) -> DataFrame:
+    """Run an append-mode stream to completion; return all that the job wrote."""
     spark = sdf.sparkSession
-    area = _area(spark, name)
+    area = _area(spark, name, job)
     q = (sdf.writeStream.format("parquet").option("path", f"{area}/out")
          .option("checkpointLocation", f"{area}/ckpt").outputMode("append")
          .trigger(availableNow=True).start())
@@ -90,20 +102,17 @@ def materialise_in_order(df: DataFrame, name: str, chunk_col: str) -> str:
     return path
 
 
-def run_update(sdf: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def run_update(sdf: DataFrame, name: str, keys: list[str], job: str | None = None) -> DataFrame:
     """Run an update-mode stream to completion through ``foreachBatch``;
     return the latest value per key."""
     spark = sdf.sparkSession
-    area = _area(spark, name)
+    area = _area(spark, name, job)
     out = f"{area}/out"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out)
-
-    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt")
+    q = (sdf.writeStream.foreachBatch(lambda batch, batch_id: _write_batch(batch, out, batch_id))
+         .option("checkpointLocation", f"{area}/ckpt")
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest(spark.read.parquet(out), keys)
+    return latest(_read_batches(spark, out, sdf.schema), keys)
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -187,29 +196,28 @@ def stream_static_lookup(dep_stream: DataFrame, nodes: DataFrame) -> DataFrame:
 # L4 adaptive KL coefficient as state
 # ---------------------------------------------------------------------------
 
-_KL_OUT = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("step", T.LongType()),
+_KL_OUT = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("step", T.LongType()),
                         T.StructField("kl", T.DoubleType()), T.StructField("n", T.LongType()),
                         T.StructField("kl_coef", T.DoubleType())])
-_KL_STATE = T.StructType([T.StructField("coef", T.DoubleType()), T.StructField("last_step", T.LongType())])
+_KL_STATE = T.StructType([T.StructField("coef", T.DoubleType())])
 
 
 def adaptive_kl_stream(steps: DataFrame, init: float, target: float, horizon: int) -> DataFrame:
     """L4: the adaptive KL controller as per-run state.  Each micro-batch
     brings new steps of a run; they are applied in step order to the stored
-    coefficient (value *= 1 + clip(kl/target - 1, +-0.2) * n / horizon)."""
+    coefficient (value *= 1 + clip(kl/target - 1, +-0.2) * n / horizon).  A step
+    that arrives late takes part too: factors commute, so the coefficient ends
+    where the batch one does, only the order of the values in between differs."""
 
     def update(key, pdfs, state):
-        coef, last = (state.get if state.exists else (init, -1))
+        coef = state.get[0] if state.exists else init
         rows = pd.concat(list(pdfs)).sort_values("step")
         out = []
         for step, kl, n in zip(rows["step"], rows["kl"], rows["n"]):
-            if step <= last:
-                continue
             err = min(max(kl / target - 1.0, -0.2), 0.2)
             coef = coef * (1.0 + err * n / horizon)
-            last = int(step)
             out.append((key[0], int(step), float(kl), int(n), float(coef)))
-        state.update((float(coef), int(last)))
+        state.update((float(coef),))
         yield pd.DataFrame(out, columns=["run_id", "step", "kl", "n", "kl_coef"])
 
     return steps.groupBy("run_id").applyInPandasWithState(
@@ -222,32 +230,25 @@ def adaptive_kl_stream(steps: DataFrame, init: float, target: float, horizon: in
 # ---------------------------------------------------------------------------
 
 
-def group_complete_stats(traj_stream: DataFrame, expected: DataFrame, name: str) -> DataFrame:
-    """Per-group (count, sum, sum of squares) as a built-in streaming
-    aggregation (map-side partial, so a hot group is pre-combined), emitted
-    once per group when all of its expected rollouts have arrived.
-
-    ``expected(uid, g_expected)``.  -> (uid, g_n, g_mean, g_std) with the
-    singleton rule (mean 0, std 1)."""
-    spark = traj_stream.sparkSession
-    area = _area(spark, name)
-    out = f"{area}/out"
-    agg = traj_stream.groupBy("uid").agg(F.count(F.lit(1)).alias("g_n"), F.sum("score").alias("s1"),
-                                          F.sum(F.col("score") * F.col("score")).alias("s2"))
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        done = batch.join(expected, "uid").filter(F.col("g_n") == F.col("g_expected"))
-        done.drop("g_expected").write.mode("append").parquet(out)
+def group_complete_stats(traj_stream: DataFrame, expected: DataFrame, name: str, job: str | None = None,
+                         incomplete: bool = False) -> DataFrame:
+    """Per-group count, mean and sample deviation as a built-in streaming
+    aggregation (map-side partial with mergeable centred moments, so a hot
+    group is pre-combined and the variance does not cancel).
 
-    q = (agg.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt")
-         .outputMode("update").trigger(availableNow=True).start())
-    q.awaitTermination()
-    r = spark.read.parquet(out)
-    n = F.col("g_n").cast("double")
-    var = (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - F.lit(1.0))
-    return r.select("uid", "g_n",
-                    F.when(F.col("g_n") == 1, F.lit(0.0)).otherwise(F.col("s1") / n).alias("g_mean"),
-                    F.when(F.col("g_n") == 1, F.lit(1.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("g_std"))
+    A group counts once all of its expected rollouts have arrived; at the end
+    of a run, ``incomplete=True`` (the timeout of a closing job) also returns
+    the groups still waiting, with the statistics of what came.
+    ``expected(uid, g_expected)``.  -> (uid, g_n, g_mean, g_std, complete) with
+    the singleton rule (mean 0, std 1)."""
+    agg = traj_stream.groupBy("uid").agg(F.count(F.lit(1)).alias("g_n"), F.avg("score").alias("m"),
+                                         F.stddev_samp("score").alias("s"))
+    r = run_update(agg, name, ["uid"], job)
+    j = r.join(expected, "uid", "left").withColumn("complete", F.coalesce(F.col("g_n") >= F.col("g_expected"), F.lit(False)))
+    one = F.col("g_n") == 1
+    return (j if incomplete else j.where("complete")).select(
+        "uid", "g_n", F.when(one, F.lit(0.0)).otherwise(F.col("m")).alias("g_mean"),
+        F.when(one, F.lit(1.0)).otherwise(F.col("s")).alias("g_std"), "complete")
 
 
 def validate_stream(plan_keys: DataFrame, nodes: DataFrame, deps: DataFrame, verdicts: DataFrame,
@@ -266,7 +267,7 @@ def validate_stream(plan_keys: DataFrame, nodes: DataFrame, deps: DataFrame, ver
         n = nodes.join(g, "graph_id", "left_semi")
         d = deps.join(g, "graph_id", "left_semi")
         v = verdicts.join(g, "graph_id", "left_semi")
-        violations(n, d, v).join(keys, ["graph_id", "iteration"], "left_semi").write.mode("append").parquet(out)
+        _write_batch(violations(n, d, v).join(keys, ["graph_id", "iteration"], "left_semi"), out, batch_id)
 
     q = (plan_keys.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt")
          .trigger(availableNow=True).start())
