@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credsight.functions.columns import clip, d
+from credsight.functions.ordering import running_sums
+from credsight.functions.columns import mix_hash, clip, d
 
 AGG_MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm")
 
@@ -135,7 +136,12 @@ def ppo_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), mode: str = "token-
 # ---------------------------------------------------------------------------
 
 
-def gspo_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), adv: str = "adv") -> DataFrame:
+def _weighted(pg: Column, weights: str | None) -> Column:
+    """Token losses times the rollout importance weights, if a column of them is named."""
+    return pg if weights is None else pg * F.col(weights)
+
+
+def gspo_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), adv: str = "adv", weights: str | None = None) -> DataFrame:
     """Sequence ratio exp(min(mean_t(logp - old), 10)) on every token;
     always seq-mean-token-mean."""
     nkl = F.col("logp") - F.col("old_logp")
@@ -146,7 +152,7 @@ def gspo_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), adv: str = "adv")
     r = F.exp(F.least(F.col("seq_kl"), d(10.0)))
     pg1 = -a * r
     pg2 = -a * clip(r, 1 - cfg.low, 1 + cfg.high)
-    t = t.select("traj_id", "mask", F.greatest(pg1, pg2).alias("pg"), (pg2 > pg1).cast("int").alias("is_clip"),
+    t = t.select("traj_id", "mask", _weighted(F.greatest(pg1, pg2), weights).alias("pg"), (pg2 > pg1).cast("int").alias("is_clip"),
                  (-(F.col("logp") - F.col("old_logp"))).alias("neg_nkl"))
     return agg_loss(t, "pg", "mask", "seq-mean-token-mean", extra=[
         masked_mean(F.col("is_clip")).alias("pg_clipfrac"),
@@ -155,9 +161,9 @@ def gspo_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), adv: str = "adv")
     ])
 
 
-def gpg_loss(tok: DataFrame, mode: str = "token-mean", adv: str = "adv") -> DataFrame:
+def gpg_loss(tok: DataFrame, mode: str = "token-mean", adv: str = "adv", weights: str | None = None) -> DataFrame:
     """-logp * A."""
-    t = tok.select("traj_id", "mask", (-F.col("logp") * F.col(adv)).alias("pg"))
+    t = tok.select("traj_id", "mask", _weighted(-F.col("logp") * F.col(adv), weights).alias("pg"))
     return agg_loss(t, "pg", "mask", mode)
 
 
@@ -174,12 +180,13 @@ def _valid_means(tok: DataFrame, adv: str) -> DataFrame:
 
 
 def clip_cov_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), mode: str = "token-mean", adv: str = "adv",
-                  clip_cov_ratio: float = 0.0002, lb: float = 1.0, ub: float = 5.0, seed: int = 0) -> DataFrame:
+                  clip_cov_ratio: float = 0.0002, lb: float = 1.0, ub: float = 5.0, seed: int = 0,
+                  weights: str | None = None) -> DataFrame:
     """Zero the loss of k random tokens whose covariance lies in (lb, ub).
 
-    k = max(floor(ratio * valid tokens), 1).  "Random" is a seeded hash
-    order on (traj_id, pos), so the pick is reproducible on any cluster.
-    The pick is a TakeOrdered of k rows (k is a small fraction of the batch).
+    k = max(floor(ratio * valid tokens), 1).  "Random" is a seeded hash order
+    on (traj_id, pos), so the pick is the same on any engine and cluster.  k
+    grows with the batch, so the k first are found by distributed ranks.
     """
     if clip_cov_ratio <= 0:
         raise ValueError("clip_cov_ratio must be > 0")
@@ -188,19 +195,20 @@ def clip_cov_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), mode: str = "t
     pg1 = -a * ratio
     pg2 = -a * clip(ratio, 1 - cfg.low, 1 + cfg.high)
     mu = _valid_means(tok, adv)
+    keep = [weights] if weights else []
     t = tok.crossJoin(F.broadcast(mu)).select(
-        "traj_id", "pos", "mask", "logp", "old_logp",
+        "traj_id", "pos", "mask", "logp", "old_logp", *keep,
         F.greatest(pg1, pg2).alias("pg_raw"),
         ((pg2 > pg1) & (F.col("mask") > 0)).alias("clip_origin"),
         ((a - F.col("mu_a")) * (F.col("logp") - F.col("mu_l"))).alias("cov"),
         F.greatest(F.floor(d(clip_cov_ratio) * F.col("n_valid")), F.lit(1)).alias("k"))
-    cand = t.filter((F.col("mask") > 0) & ~F.col("clip_origin") & (F.col("cov") > lb) & (F.col("cov") < ub))
-    k = int(mu.select(F.greatest(F.floor(d(clip_cov_ratio) * F.col("n_valid")), F.lit(1))).first()[0])
-    picked = (cand.select("traj_id", "pos", F.xxhash64("traj_id", "pos", F.lit(seed)).alias("h"))
-              .orderBy("h", "traj_id", "pos").limit(k).select("traj_id", "pos", F.lit(0).alias("corr0")))
+    cand = t.filter((F.col("mask") > 0) & ~F.col("clip_origin") & (F.col("cov") > lb) & (F.col("cov") < ub)).select(
+        "traj_id", "pos", "k", mix_hash(F.col("traj_id"), F.col("pos"), seed).alias("h"))
+    picked = (running_sums(cand, ["h", "traj_id", "pos"]).where(F.col("_rank") <= F.col("k"))
+              .select("traj_id", "pos", F.lit(0).alias("corr0")))
     t = t.join(picked, ["traj_id", "pos"], "left")
     corr = F.when(F.col("corr0").isNotNull(), 0).otherwise(1)
-    t = t.select("traj_id", "mask", (F.col("pg_raw") * corr).alias("pg"), (corr == 0).cast("int").alias("zeroed"),
+    t = t.select("traj_id", "mask", _weighted(F.col("pg_raw") * corr, weights).alias("pg"), (corr == 0).cast("int").alias("zeroed"),
                  (-(F.col("logp") - F.col("old_logp"))).alias("neg_nkl"))
     return agg_loss(t, "pg", "mask", mode, extra=[
         masked_mean(F.col("zeroed")).alias("pg_clipfrac"),
@@ -208,32 +216,27 @@ def clip_cov_loss(tok: DataFrame, cfg: ClipConfig = ClipConfig(), mode: str = "t
 
 
 def kl_cov_loss(tok: DataFrame, mode: str = "token-mean", adv: str = "adv",
-                kl_cov_ratio: float = 0.0002, ppo_kl_coef: float = 1.0) -> DataFrame:
+                kl_cov_ratio: float = 0.0002, ppo_kl_coef: float = 1.0, weights: str | None = None) -> DataFrame:
     """The top max(1, floor(n * ratio)) valid tokens by covariance use
     -A*r + coef*|delta| instead of -A*r; reported KL = masked mean |delta|.
 
-    The top-k is a global TakeOrdered (k rows), ties broken by (traj_id, pos).
+    The top is found by distributed ranks, ties broken by (traj_id, pos).
     """
     if kl_cov_ratio <= 0:
         raise ValueError("kl_cov_ratio must be > 0")
     valid = tok.filter(F.col("mask") > 0)
-    mu = valid.agg(F.avg(adv).alias("mu_a"), F.avg("logp").alias("mu_l"), F.count(F.lit(1)).alias("nv"))
-    nv = mu.select("nv").first()[0]
-    k = max(1, int(nv * kl_cov_ratio)) if nv else 0
+    mu = valid.agg(F.avg(adv).alias("mu_a"), F.avg("logp").alias("mu_l"),
+                   F.greatest(F.floor(F.count(F.lit(1)) * d(kl_cov_ratio)), F.lit(1)).alias("k"))
     delta = F.col("logp") - F.col("old_logp")
-    base = tok.select("traj_id", "pos", "mask", (-F.col(adv) * F.exp(delta)).alias("pg1"),
+    keep = [weights] if weights else []
+    base = tok.select("traj_id", "pos", "mask", *keep, (-F.col(adv) * F.exp(delta)).alias("pg1"),
                       F.abs(delta).alias("absd"))
-    if k > 0:
-        top = (valid.crossJoin(F.broadcast(mu))
-               .select("traj_id", "pos", ((F.col(adv) - F.col("mu_a")) * (F.col("logp") - F.col("mu_l"))).alias("cov"))
-               .orderBy(F.col("cov").desc(), "traj_id", "pos").limit(k)
-               .select("traj_id", "pos", F.lit(1).alias("hit")))
-        base = base.join(top, ["traj_id", "pos"], "left")
-    else:
-        base = base.withColumn("hit", F.lit(None).cast("int"))
-    t = base.select("traj_id", "mask", "absd",
-                    F.when(F.col("hit").isNotNull(), F.col("pg1") + d(ppo_kl_coef) * F.col("absd"))
-                    .otherwise(F.col("pg1")).alias("pg"))
+    cov = valid.crossJoin(F.broadcast(mu)).select(
+        "traj_id", "pos", "k", (-(F.col(adv) - F.col("mu_a")) * (F.col("logp") - F.col("mu_l"))).alias("low"))
+    top = (running_sums(cov, ["low", "traj_id", "pos"]).where(F.col("_rank") <= F.col("k"))
+           .select("traj_id", "pos", F.lit(1).alias("hit")))
+    pg = F.when(F.col("hit").isNotNull(), F.col("pg1") + d(ppo_kl_coef) * F.col("absd")).otherwise(F.col("pg1"))
+    t = base.join(top, ["traj_id", "pos"], "left").select("traj_id", "mask", "absd", _weighted(pg, weights).alias("pg"))
     return agg_loss(t, "pg", "mask", mode, extra=[masked_mean(F.col("absd")).alias("ppo_kl")])
 
 
@@ -242,21 +245,25 @@ def kl_cov_loss(tok: DataFrame, mode: str = "token-mean", adv: str = "adv",
 # ---------------------------------------------------------------------------
 
 
-def geo_mean_loss(tok: DataFrame, traj_ids: DataFrame, cfg: ClipConfig = ClipConfig(), adv: str = "adv") -> DataFrame:
+def geo_mean_loss(tok: DataFrame, traj_ids: DataFrame, cfg: ClipConfig = ClipConfig(), adv: str = "adv",
+                  weights: str | None = None) -> DataFrame:
     """Sequence-level geometric-mean ratio; plain mean over all rows of the
-    batch (``traj_ids`` lists every trajectory, including empty ones)."""
+    batch (``traj_ids`` lists every trajectory, including empty ones).  Token
+    ``weights`` become one per sequence, their geometric mean over valid tokens."""
     delta = F.col("logp") - F.col("old_logp")
     s = F.signum(F.col(adv))
     dcl = clip(delta, -cfg.low, cfg.high)
     dmin = s * F.least(s * delta, s * dcl)
     t = tok.select("traj_id", "mask", F.col(adv).alias("a"), delta.alias("delta"),
                    (dmin * F.col("mask")).alias("dm"), (F.col(adv) * F.col("mask")).alias("am"),
+                   (F.log(F.col(weights) + d(1e-10)) * F.col("mask") if weights else d(0.0)).alias("lw"),
                    (delta != dcl).alias("clipped"))
-    per = t.groupBy("traj_id").agg(F.sum("dm").alias("dm"), F.sum("am").alias("am"),
+    per = t.groupBy("traj_id").agg(F.sum("lw").alias("lw"), F.sum("dm").alias("dm"), F.sum("am").alias("am"),
                                    F.sum("mask").cast("double").alias("n"))
     rows = traj_ids.select("traj_id").join(per, "traj_id", "left").select(
         (-(F.coalesce(F.col("am"), d(0.0)) / (F.coalesce(F.col("n"), d(0.0)) + d(1e-8)))
-         * F.exp(F.coalesce(F.col("dm"), d(0.0)) / (F.coalesce(F.col("n"), d(0.0)) + d(1e-8)))).alias("pg"))
+         * F.exp((F.coalesce(F.col("dm"), d(0.0)) + F.coalesce(F.col("lw"), d(0.0)))
+                 / (F.coalesce(F.col("n"), d(0.0)) + d(1e-8)))).alias("pg"))
     loss = rows.agg(F.avg("pg").alias("pg_loss"))
     met = t.agg(masked_mean(F.col("clipped") & (F.col("a") > 0)).alias("pg_clipfrac"),
                 masked_mean(-F.col("delta")).alias("ppo_kl"),
@@ -332,7 +339,8 @@ def rollout_correction_loss(tok: DataFrame, rc: RolloutCorrection = RolloutCorre
         m = m * ((r >= d(lo)) & (r <= d(up))).cast("int")
     if rc.veto_threshold is not None:
         m = m * F.when(F.col("min_ratio") < d(rc.veto_threshold), 0).otherwise(1)
-    t = t.withColumn("emask", m if rc.rollout_rs is not None or rc.veto_threshold is not None else F.col("mask"))
+    # without rejection the loss keeps the original mask, veto or not
+    t = t.withColumn("emask", m if rc.rollout_rs is not None else F.col("mask"))
     if rc.rollout_is is not None:
         t = t.withColumn("w", F.least(ratio_of[rc.rollout_is], d(rc.is_threshold)))
         if rc.batch_normalize:

@@ -37,24 +37,10 @@ def query(name: str, ops: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    """Import every query module (registration happens on import)."""
-    from credsight.plans import (  # noqa: F401
-        q_advantage,
-    )
+    """Import every query module (registration happens on import); a missing one is an error."""
     import importlib
-    import importlib.util
-    for mod in _OPTIONAL:
-        if importlib.util.find_spec(mod) is not None:
-            importlib.import_module(mod)
-
-
-_OPTIONAL = [
-    "credsight.plans.q_losses",
-    "credsight.plans.q_eval",
-    "credsight.plans.q_graph",
-    "credsight.plans.q_rules",
-    "credsight.plans.q_text",
-    "credsight.plans.q_metrics",
-    "credsight.plans.q_retrieve",
-    "credsight.plans.q_stream",
-]
+    for name in MODULES:
+        importlib.import_module(f"credsight.plans.{name}")
+
+
+MODULES = ["q_advantage", "q_losses", "q_eval", "q_graph", "q_rules", "q_text", "q_metrics", "q_retrieve", "q_stream"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credsight.functions.columns import d, r6, sql_r6
+from credsight.functions.columns import d, r6, sql_mix_hash, sql_r6
 from credsight.operators import losses as L
 from credsight.plans.catalog import query
 from credsight.sources.fixtures import oracle_with, tokens, trajectories
@@ -122,12 +122,82 @@ def q_loss_gpg(spark, sf):
     return _round_all(L.gpg_loss(_tok(spark, sf)))
 
 
-@query("loss_clip_cov", "J6")
+def _clip_cov_sql(weight: str = "1.0::DOUBLE") -> str:
+    r = "exp(logp - old_logp)"
+    return oracle_with("tok") + _TK + f""",
+mu AS (SELECT {_mm('adv')} AS mu_a, {_mm('logp')} AS mu_l, greatest(CAST(floor(0.002::DOUBLE * CAST(sum(mask) AS DOUBLE)) AS BIGINT), 1) AS k FROM tk),
+z AS (SELECT tk.*, -adv * {r} AS pg1, -adv * greatest({LO!r}::DOUBLE, least({HI!r}::DOUBLE, {r})) AS pg2,
+             (adv - mu_a) * (logp - mu_l) AS cov, k, {weight} AS w FROM tk, mu),
+pick AS (SELECT traj_id, pos FROM (
+           SELECT traj_id, pos, k, row_number() OVER (ORDER BY {sql_mix_hash('traj_id', 'pos', 0)}, traj_id, pos) AS rk FROM z
+           WHERE mask > 0 AND NOT (pg2 > pg1) AND cov > 0.05 AND cov < 5.0) WHERE rk <= k),
+x AS (SELECT z.traj_id, z.mask, CASE WHEN pick.pos IS NULL THEN greatest(pg1, pg2) * w ELSE 0.0::DOUBLE END AS pg,
+             CASE WHEN pick.pos IS NULL THEN 0 ELSE 1 END AS zeroed, -(logp - old_logp) AS neg_nkl
+      FROM z LEFT JOIN pick USING (traj_id, pos))
+SELECT {sql_r6(_agg_sql('token-mean', 'x', 'pg'))} AS pg_loss,
+       {sql_r6(f"(SELECT {_mm('zeroed')} FROM x)")} AS pg_clipfrac,
+       {sql_r6(f"(SELECT {_mm('neg_nkl')} FROM x)")} AS ppo_kl"""
+
+
+@query("loss_clip_cov", "J6", _clip_cov_sql())
 def q_loss_clip_cov(spark, sf):
-    """Rows-only check: the random pick uses an engine-specific hash order."""
     return _round_all(L.clip_cov_loss(_tok(spark, sf), CFG, lb=0.05, ub=5.0, clip_cov_ratio=0.002))
 
 
+# the same losses with rollout importance weights, 1 + value / 4
+_W = "(1.0::DOUBLE + value / 4.0::DOUBLE)"
+
+
+def _tok_w(spark, sf):
+    return _tok(spark, sf).withColumn("w", F.lit(1.0) + F.col("value") / F.lit(4.0))
+
+
+@query("loss_clip_cov_w", "J6", _clip_cov_sql(_W))
+def q_loss_clip_cov_w(spark, sf):
+    return _round_all(L.clip_cov_loss(_tok_w(spark, sf), CFG, lb=0.05, ub=5.0, clip_cov_ratio=0.002, weights="w"))
+
+
+@query("loss_gpg_w", "J5", oracle_with("tok") + _TK + f""",
+x AS (SELECT traj_id, mask, -logp * adv * {_W} AS pg FROM tk)
+SELECT {sql_r6(_agg_sql('token-mean', 'x', 'pg'))} AS pg_loss""")
+def q_loss_gpg_w(spark, sf):
+    return _round_all(L.gpg_loss(_tok_w(spark, sf), weights="w"))
+
+
+@query("loss_gspo_w", "J4", oracle_with("tok") + _TK + f""",
+sq AS (SELECT traj_id, exp(least(sum((logp - old_logp) * mask) / CAST(greatest(sum(mask), 1) AS DOUBLE), 10.0::DOUBLE)) AS r
+       FROM tk GROUP BY traj_id),
+x AS (SELECT traj_id, mask, {_W} * greatest(-adv * r, -adv * greatest({LO!r}::DOUBLE, least({HI!r}::DOUBLE, r))) AS pg
+      FROM tk JOIN sq USING (traj_id))
+SELECT {sql_r6(_agg_sql('seq-mean-token-mean', 'x', 'pg'))} AS pg_loss""")
+def q_loss_gspo_w(spark, sf):
+    return _round_all(L.gspo_loss(_tok_w(spark, sf), CFG, weights="w").select("pg_loss"))
+
+
+@query("loss_kl_cov_w", "J7", oracle_with("tok") + _TK + f""",
+v AS (SELECT * FROM tk WHERE mask > 0),
+mu AS (SELECT avg(adv) AS mu_a, avg(logp) AS mu_l, greatest(1, CAST(floor(count(*) * 0.0002::DOUBLE) AS BIGINT)) AS k FROM v),
+top AS (SELECT traj_id, pos FROM (SELECT traj_id, pos, k, row_number() OVER (
+          ORDER BY (adv - mu_a) * (logp - mu_l) DESC, traj_id, pos) AS rk FROM v, mu) WHERE rk <= k),
+x AS (SELECT tk.traj_id, tk.mask, {_W} * (-adv * exp(logp - old_logp)
+             + CASE WHEN top.pos IS NOT NULL THEN abs(logp - old_logp) ELSE 0.0::DOUBLE END) AS pg
+      FROM tk LEFT JOIN top USING (traj_id, pos))
+SELECT {sql_r6(_agg_sql('token-mean', 'x', 'pg'))} AS pg_loss""")
+def q_loss_kl_cov_w(spark, sf):
+    return _round_all(L.kl_cov_loss(_tok_w(spark, sf), weights="w").select("pg_loss"))
+
+
+@query("loss_geo_mean_w", "J8", oracle_with("traj") + _TK + f""",
+h AS (SELECT traj_id, mask, adv, sign(adv) * least(sign(adv) * (logp - old_logp), sign(adv)
+             * greatest(-{CFG.low!r}::DOUBLE, least({CFG.high!r}::DOUBLE, logp - old_logp))) AS dmin, ln({_W} + 1e-10) AS lw FROM tk),
+per AS (SELECT traj_id, sum(dmin * mask) AS dm, sum(adv * mask) AS am, sum(lw * mask) AS lw, CAST(sum(mask) AS DOUBLE) + 1e-8 AS n
+        FROM h GROUP BY traj_id)
+SELECT {sql_r6('avg(coalesce(-(am / n) * exp(dm / n) * exp(lw / n), 0.0::DOUBLE))')} AS pg_loss FROM traj LEFT JOIN per USING (traj_id)""")
+def q_loss_geo_mean_w(spark, sf):
+    t = _tok_w(spark, sf)
+    return _round_all(L.geo_mean_loss(t, trajectories(spark, sf, t), CFG, weights="w").select("pg_loss"))
+
+
 @query("loss_kl_cov", "J7", oracle_with("tok") + _TK + f""",
 v AS (SELECT * FROM tk WHERE mask > 0),
 mu AS (SELECT avg(adv) AS mu_a, avg(logp) AS mu_l, count(*) AS nv FROM v),
@@ -205,6 +275,39 @@ def q_loss_rollout_correction(spark, sf):
     return _round_all(L.rollout_correction_loss(_tok(spark, sf), RC))
 
 
+def _rc_sql(w: str, emask: str, norm: bool = False) -> str:
+    """Sequence-level correction; ``w`` and ``emask`` over r (token ratio), sr (sequence ratio), mr (least valid ratio)."""
+    wn = "w / wn" if norm else "w"
+    return oracle_with("tok") + _TK + f""",
+a AS (SELECT traj_id, pos, mask, adv, logp, old_logp, greatest(-20.0::DOUBLE, least(20.0::DOUBLE, logp - old_logp)) AS ld FROM tk),
+sq AS (SELECT traj_id, exp(greatest(-20.0::DOUBLE, least(20.0::DOUBLE, sum(ld * mask)))) AS sr,
+              min(exp(ld)) FILTER (WHERE mask > 0) AS mr FROM a GROUP BY traj_id),
+b AS (SELECT a.*, exp(ld) AS r, sr, mr FROM a JOIN sq USING (traj_id)),
+c AS (SELECT *, {w} AS w, {emask} AS emask FROM b),
+nm AS (SELECT sum(w * emask) / (CAST(sum(emask) AS DOUBLE) + 1e-8) AS wn FROM c),
+x AS (SELECT traj_id, mask, emask, logp, old_logp, {wn} AS w, -adv * logp * {wn} AS pg FROM c, nm)
+SELECT {sql_r6(_agg_sql('seq-mean-token-sum', 'x', 'pg', 'emask'))} AS pg_loss,
+       {sql_r6(f"(SELECT {_mm('-(logp - old_logp)', 'emask')} FROM x)")} AS ppo_kl,
+       {sql_r6(f"(SELECT {_mm('w')} FROM x)")} AS is_weight_mean,
+       {sql_r6('(SELECT CAST(sum(emask) AS DOUBLE) / CAST(greatest(sum(mask), 1) AS DOUBLE) FROM x)')} AS rs_kept_frac"""
+
+
+@query("loss_rc_sequence", "J11", _rc_sql(
+    "least(sr, 1.2::DOUBLE)",
+    f"mask * CASE WHEN sr >= {1 / 1.3!r}::DOUBLE AND sr <= 1.3::DOUBLE THEN 1 ELSE 0 END * CASE WHEN mr < 0.9::DOUBLE THEN 0 ELSE 1 END", True))
+def q_loss_rc_sequence(spark, sf):
+    rc = L.RolloutCorrection(rollout_is="sequence", is_threshold=1.2, rollout_rs="sequence", rs_threshold=1.3,
+                             veto_threshold=0.9, batch_normalize=True)
+    return _round_all(L.rollout_correction_loss(_tok(spark, sf), rc))
+
+
+@query("loss_rc_veto", "J11", _rc_sql("least(r, 1.1::DOUBLE)", "mask"))
+def q_loss_rc_veto(spark, sf):
+    """A veto without rejection leaves the mask as it is."""
+    rc = L.RolloutCorrection(rollout_is="token", is_threshold=1.1, rollout_rs=None, veto_threshold=0.95)
+    return _round_all(L.rollout_correction_loss(_tok(spark, sf), rc))
+
+
 # I1-I3 --------------------------------------------------------------------
 
 @query("kl_estimators", "I2,I3", oracle_with("tok") + f"""

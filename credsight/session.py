@@ -52,8 +52,9 @@ def ensure_session_settings(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
-    when neither is set -- local tests -- a scratch folder is created.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Where
+    neither is set, a local master -- tests -- gets a scratch folder; on a
+    cluster executors could not read each other's files there, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -61,6 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="credsight-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
