@@ -175,3 +175,37 @@ def summary_json(res: DataFrame) -> DataFrame:
     lvl = by_level(res).agg(F.sort_array(F.collect_list(F.struct("level", "mean_score", "pct", "correct", "total")))
                             .alias("by_level"))
     return ov.crossJoin(src).crossJoin(lvl).select(F.to_json(F.struct("overall", "by_source", "by_level")).alias("summary"))
+
+
+def result_record(runs: DataFrame, score: str = "score", stats: tuple[str, ...] = ("dag_stats", "env_stats")) -> DataFrame:
+    """A run's record: score 0 and status failed without output (a null
+    ``score`` column), stats the first of the map columns that has an entry."""
+    some = [F.when(F.size(F.coalesce(F.col(c), F.create_map().cast("map<string,bigint>"))) > 0, F.col(c)) for c in stats]
+    return runs.select(
+        *[c for c in runs.columns if c not in (score, "status", *stats)],
+        F.coalesce(F.col(score), F.lit(0.0)).alias("score"),
+        F.when(F.col(score).isNull(), "failed").otherwise("success").alias("status"),
+        F.coalesce(*some, F.create_map().cast("map<string,bigint>")).alias("stats"))
+
+
+def write_results(res: DataFrame, path: str, detail: tuple[str, ...] = ("instance_id", "data_source", "level", "score", "status")) -> None:
+    """The detail as JSON lines, written in parallel, and beside it the
+    summary document (avg_score, by_source, by_level)."""
+    def part(key: str, rows: DataFrame):
+        g = rows.groupBy(F.col(key).cast("string").alias("k")).agg(F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("count"))
+        entry = F.struct("k", F.struct("avg_score", "count").alias("v"))
+        return g.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(f"by_{key}"))
+
+    res.select(*detail).write.mode("overwrite").json(f"{path}/results")
+    doc = (res.agg(F.avg("score").alias("avg_score"))
+           .crossJoin(part("data_source", res).withColumnRenamed("by_data_source", "by_source"))
+           .crossJoin(part("level", res.where(F.col("level").isNotNull()))))
+    doc.write.mode("overwrite").json(f"{path}/summary")
+
+
+def read_results(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(summary, detail) as written by :func:`write_results`."""
+    group = "map<string,struct<avg_score:double,count:bigint>>"
+    summary = spark.read.schema(f"avg_score double, by_source {group}, by_level {group}").json(f"{path}/summary")
+    detail = spark.read.schema("instance_id string, data_source string, level bigint, score double, status string").json(f"{path}/results")
+    return summary, detail

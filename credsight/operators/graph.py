@@ -379,8 +379,13 @@ def deserialize(docs: DataFrame) -> DataFrame:
                     F.coalesce(v["query_doc"]["answer"], F.lit("")).alias("answer"), "n_edges")
 
 
-def state_text(nodes: DataFrame, deps: DataFrame) -> DataFrame:
-    """C14: full graph state for the planner, nodes in insertion order."""
+# Fixed value: state of a graph without nodes (C14).
+EMPTY_GRAPH = "[Empty graph - initial planning]"
+
+
+def state_text(nodes: DataFrame, deps: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """C14: full graph state for the planner, nodes in insertion order.
+    ``graphs(graph_id)`` lists all graphs; one without nodes has a text of its own."""
     dl = (dependency_lists(nodes, deps).groupBy("graph_id", "node_id")
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))),
                                         lambda x: x["dep_id"]), ", ").alias("deps_str")))
@@ -399,8 +404,12 @@ def state_text(nodes: DataFrame, deps: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))),
                                  lambda x: x["b"]), "\n").alias("body"))
-    return g.select("graph_id", F.concat(F.lit("Total nodes: "), F.col("n").cast("string"),
-                                         F.lit("\n\n=== Executed Nodes ===\n"), F.col("body")).alias("state_text"))
+    out = g.select("graph_id", F.concat(F.lit("Total nodes: "), F.col("n").cast("string"),
+                                        F.lit("\n\n=== Executed Nodes ===\n"), F.col("body")).alias("state_text"))
+    if graphs is None:
+        return out
+    return graphs.select("graph_id").distinct().join(out, "graph_id", "left").select(
+        "graph_id", F.coalesce("state_text", F.lit(EMPTY_GRAPH)).alias("state_text"))
 
 
 def ledger_text(nodes: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from credsight.functions.columns import r6, sql_mix_hash, sql_r6
 from credsight.operators import evaluate as V
 from credsight.plans.catalog import query
+from credsight.session import checkpoint_dir
 from credsight.sources.fixtures import eval_results, oracle_with, tasks
 from credsight.sources.tables import read_table
 
@@ -80,6 +83,48 @@ def q_eval_summary_json(spark, sf):
     return V.summary_json(eval_results(spark, sf))
 
 
+@query("eval_results_sink", "A7", oracle_with("evalres") + f"""
+SELECT 'overall' AS kind, CAST(NULL AS VARCHAR) AS key, {sql_r6('avg(score)')} AS avg_score, count(*) AS n FROM evalres
+UNION ALL SELECT 'source', data_source, {sql_r6('avg(score)')}, count(*) FROM evalres GROUP BY data_source
+UNION ALL SELECT 'level', CAST(level AS VARCHAR), {sql_r6('avg(score)')}, count(*) FROM evalres WHERE level IS NOT NULL GROUP BY level
+UNION ALL SELECT 'result ' || status, instance_id, {sql_r6('score')}, 1 FROM evalres""")
+def q_eval_results_sink(spark, sf):
+    """Written as JSON and read back: the summary's entries and every result."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/eval-results/{uuid.uuid4().hex}"
+    V.write_results(eval_results(spark, sf), path)
+    summary, detail = V.read_results(spark, path)
+    null = F.lit(None).cast("string")
+    rows = summary.select(F.lit("overall").alias("kind"), null.alias("key"), "avg_score").crossJoin(
+        detail.agg(F.count(F.lit(1)).alias("n")))
+    for kind, col in (("source", "by_source"), ("level", "by_level")):
+        rows = rows.unionByName(summary.select(F.explode(col).alias("key", "v")).select(
+            F.lit(kind).alias("kind"), "key", F.col("v.avg_score").alias("avg_score"), F.col("v.count").alias("n")))
+    rows = rows.unionByName(detail.select(F.concat(F.lit("result "), "status").alias("kind"), F.col("instance_id").alias("key"),
+                                          F.col("score").alias("avg_score"), F.lit(1).cast("bigint").alias("n")))
+    return rows.withColumn("avg_score", r6(F.col("avg_score")))
+
+
+@query("eval_result_record", "A6", """
+SELECT 'inst-' || CAST(event_id AS VARCHAR) AS instance_id,
+       CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE value END AS score,
+       CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
+       CASE WHEN event_id % 3 = 0 THEN 'turns' WHEN event_id % 2 = 0 THEN 'steps' END AS stat,
+       CASE WHEN event_id % 3 = 0 OR event_id % 2 = 0 THEN user_id END AS stat_value
+FROM events""")
+def q_eval_result_record(spark, sf):
+    e = read_table(spark, sf, "events")
+    empty = F.create_map().cast("map<string,bigint>")
+    uid = F.col("user_id").cast("bigint")
+    runs = e.select(
+        F.concat(F.lit("inst-"), F.col("event_id").cast("string")).alias("instance_id"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("score"),
+        F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("turns"), uid)).otherwise(empty).alias("dag_stats"),
+        F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("steps"), uid)).alias("env_stats"))
+    r = V.result_record(runs)
+    return r.select("instance_id", "score", "status", F.get(F.map_keys("stats"), 0).alias("stat"),
+                    F.get(F.map_values("stats"), 0).alias("stat_value"))
+
+
 # A: task rows ----------------------------------------------------------------
 
 @query("task_items", "A1,A3,A5,A12", oracle_with("tasks") + """
