@@ -10,7 +10,7 @@ or more to it.
    gives right results, rarity keeps the buckets small.
 2. Lines with equal sets form a class; its first line stands for it, all others
    go.  A class has its rarest ``n - ceil(t n) + 1`` tokens (the prefix), the
-   set size and a 128-bit map of its tokens.
+   set size and a 256-bit map of its tokens.
 3. Classes that share a prefix token (32 bits of its hash) are candidates if
    their sizes, the token's positions and the bit maps allow the threshold
    (each is an upper bound of the overlap, so nothing is lost).  A left semi
@@ -110,7 +110,7 @@ def _slices(texts: list[str | None]):
         yield rows
 
 
-_LINE = ("fp binary, doc_id long, th long, line int, n int, prefix array<int>, b0 long, b1 long")
+_LINE = ("fp binary, doc_id long, th long, line int, n int, prefix array<int>, b0 long, b1 long, b2 long, b3 long")
 
 
 def line_rows(docs: DataFrame, level: np.ndarray, threshold: float) -> DataFrame:
@@ -134,43 +134,53 @@ def line_rows(docs: DataFrame, level: np.ndarray, threshold: float) -> DataFrame
         take = prefix_size(n, threshold)
         offsets = np.concatenate([[0], np.cumsum(take)])
         at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take) + np.repeat(begin, take)
-        bit = tok & U64(127)
+        bit = tok & U64(255)
         one = U64(1) << (bit & U64(63))
-        maps = [np.bitwise_or.reduceat(np.where((bit >> U64(6)) == k, one, U64(0)), begin).view(np.int64) for k in (0, 1)]
+        maps = [np.bitwise_or.reduceat(np.where((bit >> U64(6)) == k, one, U64(0)), begin).view(np.int64) for k in range(4)]
         fps = [xxhash.xxh3_128_digest(tok[s:s + k].tobytes()) for s, k in zip(begin.tolist(), n.tolist())]
         return pa.RecordBatch.from_arrays([
             pa.array(fps, pa.binary()), pa.array([ids[r[0]] for r in rows], pa.int64()),
             pa.array([ths[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
             pa.array(n.astype(np.int32)),
             pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((tok[at] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
-            pa.array(maps[0]), pa.array(maps[1])],
-            ["fp", "doc_id", "th", "line", "n", "prefix", "b0", "b1"])
+            *[pa.array(m) for m in maps]],
+            ["fp", "doc_id", "th", "line", "n", "prefix", "b0", "b1", "b2", "b3"])
 
     return _identified(docs).mapInArrow(run, _LINE)
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
-    """(fp, pos, n, prefix, b0, b1): pos is the first line, null ids last."""
+    """(fp, lid, pos, n, prefix, b0 to b3): lid a hash that names the class, pos its first line, null ids last."""
     pos = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "th", "line")
     return lines.groupBy("fp").agg(F.min(pos).alias("pos"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-                                   F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+                                   *[F.first(b).alias(b) for b in ("b0", "b1", "b2", "b3")]).withColumn("lid", F.xxhash64("fp"))
 
 
 # -- 3. candidates ---------------------------------------------------------
-_BIG = 0xFFFF
+_BIG, SHORT = 0xFFFF, 80
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, fp, pos): classes with a possible partner in the bucket.
+    """(bucket, lid): classes with a possible partner in the bucket of a token.
 
-    A prefix row is three numbers: 32 bits of the token with size and position
-    (16 bits each, 65535: that many or more, then neither is used), and the bit
-    map, which also names the class.  Classes with equal size and map are each
-    other's candidates in a bucket of their own.
+    A prefix row is a few numbers: 32 bits of the token with size and position
+    (16 bits each, 65535: that many or more, then neither is used), the class
+    and its bit map, folded to 128 bits for short sets.
     """
+    both = classes.select("lid", "n", "b0", "b1", "b2", "b3", F.posexplode("prefix").alias("i", "token"))
+    # a pair whose larger set has at most SHORT tokens meets among the short sets; else its smaller set
+    # has more than threshold * SHORT, and both meet among the long ones
+    short = both.where(F.col("n") <= SHORT).select(
+        "lid", "n", "i", "token", F.col("b0").bitwiseOR(F.col("b2")).alias("b0"), F.col("b1").bitwiseOR(F.col("b3")).alias("b1"))
+    long = both.where(F.col("n") > F.lit(threshold * SHORT - 1))
+    return _possible(short, ["b0", "b1"], threshold).unionByName(_possible(long, ["b0", "b1", "b2", "b3"], threshold)).distinct()
+
+
+def _possible(rows: DataFrame, words: list[str], threshold: float) -> DataFrame:
+    """(bucket, lid) of the prefix rows that have a possible partner among them."""
     packed = (F.shiftleft(F.col("token").cast("long"), 32)
               + F.shiftleft(F.least("n", F.lit(_BIG)).cast("long"), 16) + F.least("i", F.lit(_BIG)).cast("long"))
-    p = classes.select("n", "b0", "b1", F.posexplode("prefix").alias("i", "token")).select(packed.alias("p"), "b0", "b1")
+    p = rows.select(packed.alias("p"), "lid", *words)
     a, b = p.alias("a"), p.alias("b")
     token = lambda x: F.shiftright(F.col(f"{x}.p"), 32)
     size = lambda x: F.shiftright(F.col(f"{x}.p"), 16).bitwiseAND(F.lit(_BIG))
@@ -178,19 +188,13 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     na, nb, ia, ib = size("a"), size("b"), at("a"), at("b")
     need = (na + nb) * (threshold / (1 + threshold)) - _EPS
     lost = lambda x, y: sum(  # noqa: E731  tokens of x that y cannot have
-        (F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in ("b0", "b1")), F.lit(0))
+        (F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in words), F.lit(0))
     fits = ((na >= nb * threshold - _EPS) & (nb >= na * threshold - _EPS)
             # the first common prefix token may be earlier: tokens before it still count on both sides
             & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= need)
             & (na - lost("a", "b") >= need) & (nb - lost("b", "a") >= need))
-    hit = a.join(b, (token("a") == token("b"))
-                 & ((F.col("a.b0") != F.col("b.b0")) | (F.col("a.b1") != F.col("b.b1")) | (na != nb))
-                 & ((na == _BIG) | (nb == _BIG) | fits), "left_semi").select(
-        F.shiftright("p", 32).alias("bucket"), F.shiftright("p", 16).bitwiseAND(F.lit(_BIG)).alias("m"), "b0", "b1")
-    c = classes.select("fp", "pos", F.least("n", F.lit(_BIG)).cast("long").alias("m"), "b0", "b1")
-    twins = c.groupBy("m", "b0", "b1").agg(F.count("*").alias("k")).where("k > 1").select(
-        F.xxhash64("m", "b0", "b1").alias("bucket"), "m", "b0", "b1")
-    return hit.unionByName(twins).join(c, ["m", "b0", "b1"]).select("bucket", "fp", "pos").distinct()
+    return a.join(b, (token("a") == token("b")) & (F.col("a.lid") != F.col("b.lid"))
+                  & ((na == _BIG) | (nb == _BIG) | fits), "left_semi").select(F.shiftright("p", 32).alias("bucket"), "lid")
 
 
 # -- 4. verification -------------------------------------------------------
@@ -220,26 +224,26 @@ def _by_bit(frame: DataFrame, bitmap: np.ndarray, column: str, value: bool, bits
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, set): tokens of the first lines of the wanted classes (fp, pos)."""
-    w = wanted.select("fp", F.col("pos.doc_id").alias("w_id"), F.col("pos.th").alias("w_th"), F.col("pos.line").alias("line"))
-    by_doc = w.groupBy("w_id", "w_th").agg(F.collect_list(F.struct("line", "fp")).alias("lines"))
+    """(lid, set): tokens of the first lines of the wanted classes (lid, pos)."""
+    w = wanted.select("lid", F.col("pos.doc_id").alias("w_id"), F.col("pos.th").alias("w_th"), F.col("pos.line").alias("line"))
+    by_doc = w.groupBy("w_id", "w_th").agg(F.collect_list(F.struct("line", "lid")).alias("lines"))
     d = _by_bit(_identified(docs), _bitmap(w, "w_th"), "th", True)
     j = d.join(by_doc, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "lines")
 
     def run(batch: pa.RecordBatch) -> dict:
-        fp, sets = [], []
+        lids, sets = [], []
         for t, ls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             split = t.split("\n")
             for x in ls:
-                fp.append(x["fp"])
+                lids.append(x["lid"])
                 sets.append(np.unique(hash_words(words(split[x["line"]]), _CACHE)).tobytes())
-        return {"fp": fp, "set": sets}
+        return {"lid": lids, "set": sets}
 
-    return map_arrow(j, run, "fp binary, set binary").dropDuplicates(["fp"])
+    return map_arrow(j, run, "lid long, set binary").dropDuplicates(["lid"])
 
 
-def _matches(members: list[tuple], cross: bool, threshold: float) -> list[bytes]:
-    """fps of the members that have an earlier match; members are (blk, fp, pos, set)."""
+def _matches(members: list[tuple], cross: bool, threshold: float) -> list[int]:
+    """lids of the members that have an earlier match; members are (blk, lid, pos, set)."""
     members.sort(key=lambda m: m[2])
     sets = [np.frombuffer(m[3], U64) for m in members]
     out = []
@@ -256,18 +260,24 @@ def _matches(members: list[tuple], cross: bool, threshold: float) -> list[bytes]
 
 
 def later_matches(docs: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(fp) of the classes whose first line matches an earlier line."""
+    """(lid) of the classes whose first line matches an earlier line."""
     spark = docs.sparkSession
-    cand = checkpointed(spark, candidates(classes, threshold))
-    wanted = cand.select("fp", "pos").distinct()
-    sizes = cand.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    cand = stored(spark, candidates(classes, threshold), "line-candidates")
+    wanted = _by_bit(classes.select("lid", "pos"), _bitmap(cand, "lid"), "lid", True).join(
+        cand.select("lid").distinct(), "lid")
+    # near copies of a line share most of their prefix: buckets with the same members are kept once
+    same = cand.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("lid")).alias("x"),
+                                      F.min("lid").alias("a"), F.max("lid").alias("b"))
+    sizes = (same.where("c > 1").groupBy("c", "x", "a", "b").agg(F.min("bucket").alias("bucket"))
+             .select("bucket", F.ceil(F.col("c") / block).cast("int").alias("nb")))
     m = (cand.join(sizes, "bucket")
-         .withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+         .withColumn("blk", F.pmod(F.xxhash64("lid"), F.col("nb")).cast("int"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-         .select("bucket", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "fp"))
-    full = class_sets(docs, wanted).join(wanted, "fp")
+         .select("bucket", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "lid"))
+    wanted = checkpointed(spark, wanted)
+    full = class_sets(docs, wanted).join(wanted, "lid")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (m.join(full, "fp").select("bucket", "bi", "bj", "blk", "fp", "pos.nul", "pos.doc_id", "pos.th", "pos.line", "set")
+    rows = (m.join(full, "lid").select("bucket", "bi", "bj", "blk", "lid", "pos.nul", "pos.doc_id", "pos.th", "pos.line", "set")
             .repartition(n, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj"))
 
     def verify(batches):
@@ -281,11 +291,11 @@ def later_matches(docs: DataFrame, classes: DataFrame, threshold: float, block:
                         found += _matches(group, at[1] != at[2], threshold)
                     at, group = r[:3], []
                 group.append((r[3], r[4], (r[5], r[6] or 0, r[7], r[8]), r[9]))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["lid"])
         if len(group) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(_matches(group, at[1] != at[2], threshold), pa.binary())], ["fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(_matches(group, at[1] != at[2], threshold), pa.int64())], ["lid"])
 
-    return rows.mapInArrow(verify, "fp binary").distinct()
+    return rows.mapInArrow(verify, "lid long").distinct()
 
 
 # -- 5. result -------------------------------------------------------------
@@ -294,9 +304,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     also n_lines and n_removed, which replace columns of their names."""
     spark = docs.sparkSession
     level = rarity(docs)
-    classes = stored(spark, line_classes(line_rows(docs, level, threshold)), "line-classes")
+    classes = stored(spark, line_classes(line_rows(docs, level, threshold)).drop("fp"), "line-classes")
     gone = later_matches(docs, classes, threshold, block)
-    kept = (classes.select("fp", "pos").join(gone, "fp", "left_anti")
+    kept = (classes.select("lid", "pos").join(gone, "lid", "left_anti")
             .groupBy(F.col("pos.doc_id").alias("_ld_id"), F.col("pos.th").alias("_ld_h"))
             .agg(F.collect_list("pos.line").alias("_ld_lines")))       # lines of one document
     kept = checkpointed(spark, kept)

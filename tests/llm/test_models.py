@@ -91,11 +91,11 @@ def test_toxicity_gradients_agree_with_differences():
     net = m.Net()
     docs = [m.words(t) for t in ("a fine day out", "you awful thing", "nice and calm words here", "awful awful you")]
     y = np.array([0, 1, 0, 1])
-    net.set_priors(docs, y)
     vocab, ids, mask = {}, np.zeros((4, m.LENGTH), np.int64), np.zeros((4, m.LENGTH), m.F32)
     for j, d in enumerate(docs):
         ids[j, :len(d)] = [vocab.setdefault(w, len(vocab)) for w in d]
         mask[j, :len(d)] = 1
+    net.set_priors(list(vocab), [ids[j, :len(d)] for j, d in enumerate(docs)], y)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     base = {k: v.copy() for k, v in net.p.items()}
 
@@ -124,7 +124,8 @@ def test_windows_cover_the_text_and_the_worst_counts():
     for n in (1, 31, 32, 33, 48, 49, 1000):
         s = m.window_starts(n)
         assert s[0] == 0 and max(s[-1] + m.LENGTH, n) == max(n, m.LENGTH) and all(b - a <= m.STRIDE for a, b in zip(s, s[1:]))
-    rows = [("calm words in a row " * 5, 0), ("you vile creature " * 2, 1)] * 30
+    calm, vile = "calm words in a row ", "you vile creature "
+    rows = [(calm * n, 0) for n in range(1, 31)] + [(calm * (n % 7) + vile * (1 + n % 3) + calm * (n % 5), 1) for n in range(30)]
     sc = m.Scorer(m.Net().fit(rows, epochs=3))
     low, high = sc.score(["calm words in a row " * 400, "calm words in a row " * 200 + "you vile creature " * 3 + "calm words " * 200])
     assert low < 0.5 < high and sc.score([None, "", "?!"]) == [0.0, 0.0, 0.0]
