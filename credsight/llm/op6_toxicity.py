@@ -97,19 +97,16 @@ class Net:
         self.ready = False
 
     # -- inputs -----------------------------------------------------------
-    def set_priors(self, docs: list[list[bytes]], y: np.ndarray) -> None:
-        """Class log-ratios of words and character n-grams by document frequency."""
-        vocab: dict[bytes, int] = {}
-        sets = [np.fromiter({vocab.setdefault(w, len(vocab)) for w in d}, np.int64) for d in docs]
-        ws = list(vocab)
+    def set_priors(self, ws: list[bytes], docs: list[np.ndarray], y: np.ndarray) -> None:
+        """Class log-ratios of words and character n-grams by document frequency;
+        documents are arrays of numbers of the words ``ws``."""
         slots = word_slots(ws)
-        own, gs = gram_slots(ws)
-        begin = np.searchsorted(own, np.arange(len(ws) + 1))
         cw = np.ones((2, 1 << PRIOR_BITS))
         cg = np.ones((2, 1 << PRIOR_BITS))
-        for s, t in zip(sets, y):
-            cw[t][np.unique(slots[s])] += 1
-            cg[t][np.unique(np.concatenate([gs[begin[i]:begin[i + 1]] for i in s]))] += 1
+        for d, t in zip(docs, y):
+            mine = np.unique(d)
+            cw[t][np.unique(slots[mine])] += 1
+            cg[t][np.unique(gram_slots([ws[i] for i in mine])[1])] += 1
         n = np.array([(y == 0).sum(), (y == 1).sum()]) + 2.0
         self.word_prior = (np.log(cw[1] / n[1]) - np.log(cw[0] / n[0])).astype(F32) / 2
         self.gram_prior = (np.log(cg[1] / n[1]) - np.log(cg[0] / n[0])).astype(F32) / 2
@@ -221,24 +218,36 @@ class Net:
             p[name] -= RATE / 4 * v / np.sqrt(q)
         return float(-np.mean(y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7)))
 
+    def over_vocabulary(self, ws: list[bytes], what) -> np.ndarray:
+        """``what(input rows)`` of all words, some thousand at a time."""
+        return np.concatenate([what(self.inputs(ws[a:a + 20_000])[0]) for a in range(0, len(ws), 20_000)])
+
     def fit(self, rows: list[tuple[str, int]], seed: int = 3, epochs: int = EPOCHS) -> "Net":
-        docs = [(words(t), y) for t, y in rows]
-        docs = [(d, y) for d, y in docs if d]
-        y = np.array([t for _, t in docs], np.int64)
+        vocab: dict[bytes, int] = {}
+        docs, y = [], []
+        for t, label in rows:
+            d = words(t)
+            if d:
+                docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int32))
+                y.append(label)
+        y = np.array(y, np.int64)
         if len(set(y.tolist())) < 2:
             return self
-        self.set_priors([d for d, _ in docs], y)
+        ws = list(vocab)
+        del vocab
+        self.set_priors(ws, docs, y)
         rng = np.random.default_rng(seed)
         acc: dict = {}
-        scorer = Scorer(self)
-        win_doc, win_at = [], []
-        for i, (d, _) in enumerate(docs):
-            for s in window_starts(len(d)):
-                win_doc.append(i)
-                win_at.append(s)
-        win_doc, win_at = np.array(win_doc), np.array(win_at)
+        flat = np.concatenate(docs)
+        base = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        starts = [window_starts(len(d)) for d in docs]
+        win_doc = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
+        win_at = base[win_doc] + np.concatenate(starts)
+        win_len = np.minimum(LENGTH, np.diff(base))[win_doc]
         begin = np.searchsorted(win_doc, np.arange(len(docs) + 1))
-        level = scorer.evidence([d for d, _ in docs])          # first epoch: the strongest evidence
+        # first epoch: a window is as bad as the strongest evidence of one of its words
+        strong = self.over_vocabulary(ws, lambda x: x[:, -3] + x[:, -2])[flat]
+        level = np.array([strong[a:a + n].max() for a, n in zip(win_at, win_len)])
         picks = int((y == 1).sum() + 3 * (y == 0).sum())
         for _ in range(max(epochs, -(-MIN_STEPS // -(-picks // BATCH)))):
             pick = []
@@ -250,27 +259,38 @@ class Net:
             pick = rng.permutation(np.array(pick))
             for k in range(0, len(pick), BATCH):
                 part = pick[k:k + BATCH]
-                vocab: dict[bytes, int] = {}
                 ids = np.zeros((len(part), LENGTH), np.int64)
                 mask = np.zeros((len(part), LENGTH), F32)
                 for j, w in enumerate(part):
-                    ws = docs[win_doc[w]][0][win_at[w]:win_at[w] + LENGTH]
+                    mine = flat[win_at[w]:win_at[w] + win_len[w]]
                     if y[win_doc[w]] == 0 and rng.random() < STUTTER:
                         times = int(rng.integers(2, LENGTH))
-                        ws = [x for x in ws[int(rng.integers(0, len(ws))):] for _ in range(times)][:LENGTH]
-                    ids[j, :len(ws)] = [vocab.setdefault(x, len(vocab)) for x in ws]
-                    mask[j, :len(ws)] = 1
-                self.step(list(vocab), ids, mask, y[win_doc[part]].astype(F32), acc)
-            scorer = Scorer(self)
-            level = scorer.windows([d for d, _ in docs])
+                        mine = np.repeat(mine[int(rng.integers(0, len(mine))):], times)[:LENGTH]
+                    ids[j, :len(mine)] = mine
+                    mask[j, :len(mine)] = 1
+                own, ids = np.unique(ids, return_inverse=True)
+                self.step([ws[i] for i in own], ids.reshape(len(part), LENGTH), mask, y[win_doc[part]].astype(F32), acc)
+            table = self.over_vocabulary(ws, self.gates)
+            level = _window_logits(self, table, flat, win_at, win_len)
         self.ready = True
         return self
 
 
+def _window_logits(net: Net, table: np.ndarray, flat: np.ndarray, at: np.ndarray, size: np.ndarray,
+                   chunk: int = 2048) -> np.ndarray:
+    """Logits of the windows that begin at ``at`` of a text of word numbers."""
+    out = [np.empty(0, F32)]
+    for a in range(0, len(at), chunk):
+        pos = at[a:a + chunk, None] + np.arange(LENGTH)
+        mask = (np.arange(LENGTH) < size[a:a + chunk, None]).astype(F32)
+        out.append(net.run(table, flat[np.minimum(pos, len(flat) - 1)], mask))
+    return np.concatenate(out)
+
+
 class Scorer:
     """Window logits with a bounded table of the gate inputs of known words."""
 
-    LIMIT, CHUNK = 120_000, 2048
+    LIMIT = 120_000
 
     def __init__(self, net: Net):
         self.net = net
@@ -284,10 +304,9 @@ class Scorer:
             new = {w for d in docs for w in d}
         if new:
             ws = list(new)
-            rows = [self.net.gates(self.net.inputs(ws[a:a + 20_000])[0]) for a in range(0, len(ws), 20_000)]
             for w in ws:
                 self.index[w] = len(self.index)
-            self.table = np.concatenate([self.table, *rows])
+            self.table = np.concatenate([self.table, self.net.over_vocabulary(ws, self.net.gates)])
         get = self.index.__getitem__
         return np.fromiter((get(w) for d in docs for w in d), np.int64, sum(map(len, docs)))
 
@@ -303,22 +322,9 @@ class Scorer:
         out = []
         for part in _slices(docs):
             ids, lay = self._ids(part), self._layout(part)
-            for a in range(0, len(lay), self.CHUNK):
-                w = lay[a:a + self.CHUNK]
-                at = w[:, :1] + np.arange(LENGTH)
-                mask = (np.arange(LENGTH) < w[:, 1:]).astype(F32)
-                out.append(self.net.run(self.table, ids[np.minimum(at, len(ids) - 1)], mask))
+            out.append(_window_logits(self.net, self.table, ids, lay[:, 0], lay[:, 1]))
         return np.concatenate(out) if out else np.empty(0, F32)
 
-    def evidence(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Largest evidence of a word in each window."""
-        out = []
-        for d in docs:
-            x = self.net.inputs(d)[0]
-            v = x[:, -3] + x[:, -2]
-            out += [float(v[s:s + LENGTH].max()) for s in window_starts(len(d))]
-        return np.array(out)
-
     def score(self, texts: list[str | None]) -> list[float]:
         out = [0.0] * len(texts)
         if not self.net.ready:
