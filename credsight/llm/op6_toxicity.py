@@ -101,13 +101,14 @@ class Net:
         """Class log-ratios of words and character n-grams by document frequency;
         documents are arrays of numbers of the words ``ws``."""
         slots = word_slots(ws)
-        cw = np.ones((2, 1 << PRIOR_BITS))
-        cg = np.ones((2, 1 << PRIOR_BITS))
+        n = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
+        # pseudo-counts in proportion to the classes: what was never seen has ratio 0
+        cw = np.repeat(2 * n[:, None] / n.sum(), 1 << PRIOR_BITS, axis=1)
+        cg = cw.copy()
         for d, t in zip(docs, y):
             mine = np.unique(d)
             cw[t][np.unique(slots[mine])] += 1
             cg[t][np.unique(gram_slots([ws[i] for i in mine])[1])] += 1
-        n = np.array([(y == 0).sum(), (y == 1).sum()]) + 2.0
         self.word_prior = (np.log(cw[1] / n[1]) - np.log(cw[0] / n[0])).astype(F32) / 2
         self.gram_prior = (np.log(cg[1] / n[1]) - np.log(cg[0] / n[0])).astype(F32) / 2
 
@@ -248,12 +249,14 @@ class Net:
         # first epoch: a window is as bad as the strongest evidence of one of its words
         strong = self.over_vocabulary(ws, lambda x: x[:, -3] + x[:, -2])[flat]
         level = np.array([strong[a:a + n].max() for a, n in zip(win_at, win_len)])
-        picks = int((y == 1).sum() + 3 * (y == 0).sum())
+        # a rare class is shown more often, at most four times as often
+        again = int(min(4, max(1, (y == 0).sum() // (y == 1).sum())))
+        picks = int(again * (y == 1).sum() + 3 * (y == 0).sum())
         for _ in range(max(epochs, -(-MIN_STEPS // -(-picks // BATCH)))):
             pick = []
             for i, t in enumerate(y):
                 a, b = begin[i], begin[i + 1]
-                pick.append(a + int(np.argmax(level[a:b])))
+                pick += [a + int(np.argmax(level[a:b]))] * (again if t else 1)
                 if t == 0:
                     pick += rng.integers(a, b, 2).tolist()
             pick = rng.permutation(np.array(pick))
