@@ -161,8 +161,10 @@ def _job(members: list[tuple], threshold: float) -> list[tuple]:
 def verified_links(sig: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Copy classes (fp, rep, n_docs) and the job rows (fp, root, n_classes, n_linked)."""
     spark = sig.sparkSession
-    classes = sig.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"),
-                                    F.min("key").alias("rep_key"), F.first("bands").alias("bands"))
+    # the row of least id stands for a class, one without an id only if there is no other
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "key"))
+    classes = sig.groupBy("fp").agg(least.alias("r"), F.count("*").alias("n_docs"), F.first("bands").alias("bands")).select(
+        "fp", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), "n_docs", "bands")
     spread = classes.select("fp", F.posexplode("bands").alias("band", "h"))
     # equal buckets are found by count, xor, least and largest member: all of them partial aggregates
     same = (spread.groupBy("h", "band").agg(
