@@ -13,7 +13,10 @@ of at most ``PER_CLASS`` labelled documents of each class outside the held-out
 fold, none longer than ``FIT_CHARS``.  Labels are of documents, not windows: in
 every epoch a toxic document contributes its worst window under the current
 model, a clean one its worst window and two others, some of them with every
-word repeated (saying a harmless word often is not toxic).
+word repeated (saying a harmless word often is not toxic).  The log-ratios that
+a document is trained with leave out the document itself, as those of a new
+document do, and the learned vectors of most words are blanked in a step, so
+that they cannot stand in for the evidence by heart.
 
 For scoring, the gate inputs of a word are computed once and looked up
 afterwards.  Texts without words (null, empty, only punctuation) score 0.
@@ -39,6 +42,8 @@ DIM = WORD_DIM + GRAM_DIM + 3
 PER_CLASS, EPOCHS, BATCH, RATE, STUTTER = 2000, 6, 128, 0.08, 0.2
 #: a small sample is gone through more often, for so many steps in all
 MIN_STEPS = 240
+#: share of a step's words without learned vectors
+BLANK = 0.9
 F32 = np.float32
 
 
@@ -112,17 +117,27 @@ class Net:
         self.word_prior = (np.log(cw[1] / n[1]) - np.log(cw[0] / n[0])).astype(F32) / 2
         self.gram_prior = (np.log(cg[1] / n[1]) - np.log(cg[0] / n[0])).astype(F32) / 2
 
-    def inputs(self, ws: list[bytes]):
-        """Input rows of distinct words, and what the backward pass needs."""
+        def without(c: np.ndarray, t: int) -> np.ndarray:
+            least, m, c = 2 * n[t] / n.sum(), n.copy(), c.copy()
+            m[t], c[t] = max(n[t] - 1, 1), np.maximum(c[t] - 1, least)
+            return ((np.log(c[1] / m[1]) - np.log(c[0] / m[0])) / 2).astype(F32)
+
+        # by label of a document: the ratios of its words without the document itself
+        self.own_word = np.stack([without(cw, 0), without(cw, 1)])
+        self.own_gram = np.stack([without(cg, 0), without(cg, 1)])
+
+    def inputs(self, ws: list[bytes], label: np.ndarray | None = None):
+        """Input rows of distinct words, and what the backward pass needs; in
+        training, words of documents of a label."""
         slots = word_slots(ws)
         own, gs = gram_slots(ws)
         begin = np.searchsorted(own, np.arange(len(ws)))      # every <word> has a gram: words have a byte
         n = np.diff(np.append(begin, len(own))).astype(F32)[:, None]
-        pri = self.gram_prior[gs]
+        pri = self.gram_prior[gs] if label is None else self.own_gram[label[own], gs]
         x = np.empty((len(ws), DIM), F32)
         x[:, :WORD_DIM] = self.p["word"][_coarse(slots, WORD_BITS)]
         x[:, WORD_DIM:WORD_DIM + GRAM_DIM] = np.add.reduceat(self.p["gram"][_coarse(gs, GRAM_BITS)], begin) / n
-        x[:, -3] = self.word_prior[slots]
+        x[:, -3] = self.word_prior[slots] if label is None else self.own_word[label, slots]
         x[:, -2] = np.maximum.reduceat(pri, begin)
         x[:, -1] = np.add.reduceat(pri, begin) / n[:, 0]
         return x, (slots, own, gs, n)
@@ -162,9 +177,12 @@ class Net:
         return (logit, (s, a, e, pooled, tape)) if keep else logit
 
     # -- training ---------------------------------------------------------
-    def step(self, ws: list[bytes], ids: np.ndarray, mask: np.ndarray, y: np.ndarray, acc: dict) -> float:
+    def step(self, ws: list[bytes], ids: np.ndarray, mask: np.ndarray, y: np.ndarray, acc: dict,
+             label: np.ndarray | None = None, blank: np.ndarray | None = None) -> float:
         p = self.p
-        x, (slots, own, gs, n) = self.inputs(ws)
+        x, (slots, own, gs, n) = self.inputs(ws, label)
+        if blank is not None:
+            x[blank, :WORD_DIM + GRAM_DIM] = 0
         g = self.gates(x)
         logit, (s, a, e, pooled, tape) = self.run(g, ids, mask, keep=True)
         prob = _sigmoid(logit)
@@ -208,6 +226,8 @@ class Net:
             q = acc.setdefault(name, np.full_like(p[name], 1e-6))
             q += v * v
             p[name] -= RATE * v / np.sqrt(q)
+        if blank is not None:
+            dx[blank] = 0
         # hashed vectors: only the touched rows
         gw = np.zeros_like(p["word"])
         np.add.at(gw, _coarse(slots, WORD_BITS), dx[:, :WORD_DIM])
@@ -219,22 +239,23 @@ class Net:
             p[name] -= RATE / 4 * v / np.sqrt(q)
         return float(-np.mean(y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7)))
 
-    def over_vocabulary(self, ws: list[bytes], what) -> np.ndarray:
+    def over_vocabulary(self, ws: list[bytes], what, label: np.ndarray | None = None) -> np.ndarray:
         """``what(input rows)`` of all words, some thousand at a time."""
-        return np.concatenate([what(self.inputs(ws[a:a + 20_000])[0]) for a in range(0, len(ws), 20_000)])
+        return np.concatenate([what(self.inputs(ws[a:a + 20_000], None if label is None else label[a:a + 20_000])[0])
+                               for a in range(0, len(ws), 20_000)])
 
     def fit(self, rows: list[tuple[str, int]], seed: int = 3, epochs: int = EPOCHS) -> "Net":
-        vocab: dict[bytes, int] = {}
+        vocab: dict[tuple[bytes, int], int] = {}          # a word is another one in documents of the other label
         docs, y = [], []
         for t, label in rows:
             d = words(t)
             if d:
-                docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int32))
+                docs.append(np.array([vocab.setdefault((w, label), len(vocab)) for w in d], np.int32))
                 y.append(label)
         y = np.array(y, np.int64)
         if len(set(y.tolist())) < 2:
             return self
-        ws = list(vocab)
+        ws, of = [w for w, _ in vocab], np.array([t for _, t in vocab], np.int64)
         del vocab
         self.set_priors(ws, docs, y)
         rng = np.random.default_rng(seed)
@@ -247,7 +268,7 @@ class Net:
         win_len = np.minimum(LENGTH, np.diff(base))[win_doc]
         begin = np.searchsorted(win_doc, np.arange(len(docs) + 1))
         # first epoch: a window is as bad as the strongest evidence of one of its words
-        strong = self.over_vocabulary(ws, lambda x: x[:, -3] + x[:, -2])[flat]
+        strong = self.over_vocabulary(ws, lambda x: x[:, -3] + x[:, -2], of)[flat]
         level = np.array([strong[a:a + n].max() for a, n in zip(win_at, win_len)])
         # a rare class is shown more often, at most four times as often
         again = int(min(4, max(1, (y == 0).sum() // (y == 1).sum())))
@@ -272,9 +293,11 @@ class Net:
                     ids[j, :len(mine)] = mine
                     mask[j, :len(mine)] = 1
                 own, ids = np.unique(ids, return_inverse=True)
-                self.step([ws[i] for i in own], ids.reshape(len(part), LENGTH), mask, y[win_doc[part]].astype(F32), acc)
-            table = self.over_vocabulary(ws, self.gates)
+                self.step([ws[i] for i in own], ids.reshape(len(part), LENGTH), mask, y[win_doc[part]].astype(F32), acc,
+                          of[own], rng.random(len(own)) < BLANK)
+            table = self.over_vocabulary(ws, self.gates, of)
             level = _window_logits(self, table, flat, win_at, win_len)
+        del self.own_word, self.own_gram
         self.ready = True
         return self
 

@@ -1,6 +1,7 @@
 """Quality, toxicity and language: held-out accuracy, edge rows, folds."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from llm_cases import EDGES, make_docs
@@ -34,6 +35,23 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(r.held_out == (crc(i, 5) == 0) and 0 <= r.score <= 1 for i, r in got.items())
 
 
+def test_toxicity_finds_the_held_out_documents_with_toxic_words(spark):
+    got = {r.doc_id: r for r in op6_toxicity.op6_toxicity(spark, SF).collect()}
+    text = {r.doc_id: set(op6_toxicity.words(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None and r.doc_id in text]
+    # words of at least four toxic documents, seven times as frequent there as in clean ones
+    seen, n = [Counter(), Counter()], Counter(r.toxic for r in labels)
+    for r in labels:
+        seen[r.toxic].update(text[r.doc_id])
+    toxic = {w for w, c in seen[1].items() if c >= 4 and c / n[1] > 7 * (seen[0][w] + 1) / n[0]}
+    held = [(r, got[r.doc_id].predicted) for r in labels if got[r.doc_id].held_out]
+    # the floors before class weights, on what a text can show, and the later bound on clean documents
+    assert np.mean([r.toxic == b for r, b in held]) > 0.98
+    assert np.mean([b for r, b in held if r.toxic == 1 and text[r.doc_id] & toxic]) > 0.95
+    assert np.mean([b for r, b in held if r.toxic == 0]) < 0.01
+    assert np.mean([b for r, b in held if r.toxic == 1]) > 0.9
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in op8_langid.op8_langid(spark, sf).collect()}
