@@ -127,20 +127,37 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def label_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str,
                  modulus: int, held: int, per_class: int) -> DataFrame:
     """Bounded training sample: (_id, text, y) of at most ``per_class`` labelled
-    documents of each class outside the held-out fold, chosen by the order of
-    a hash of doc_id; one of them longer than ``FIT_CHARS`` is left out.  Label rows with a null id or label are left out; an id
-    labelled twice counts once, with its larger label.
+    documents of each class outside the held-out fold, one row per id.  The ids are
+    taken from those that documents holds: texts of up to ``FIT_CHARS`` by the order
+    of a hash of doc_id; where a class has too few, longer ones, the shortest first,
+    while the class stays within ``per_class * FIT_CHARS`` characters (the first
+    document always counts); last, texts without words.  An id with several texts
+    counts with the one that comes first by this order.  Rows with a null id,
+    label or text are left out; an id labelled twice counts once, with its larger
+    label.
     """
     lab = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()
                         & (fold(F.col("doc_id"), modulus) != held))
            .groupBy("doc_id").agg(F.max(label).alias("y")))
-    picked = None
+    # one narrow row per id: no text is shuffled
+    best = (docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+            .groupBy("doc_id").agg(F.min(F.struct(
+                (~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).alias("wordless"),
+                F.greatest(F.length("text"), F.lit(FIT_CHARS)).alias("over"),
+                F.length("text").alias("size"), F.xxhash64("text").alias("print"))).alias("b"))
+            .select("doc_id", "b.*"))
+    ids = []
     for y in (0, 1):
-        part = (lab.where(F.col("y") == y)
-                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-        picked = part if picked is None else picked.unionByName(part)
-    rows = picked.collect()          # at most 2 * per_class ids
-    ids = spark.createDataFrame([(r[0], int(r[1])) for r in rows], "_id long, y int")
-    # the id list is bounded by per_class, so the text table is not shuffled
-    return (docs.where(F.length("text") <= FIT_CHARS)
-            .join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("_id", "text", "y"))
+        rows = (best.join(lab.where(F.col("y") == y), "doc_id")
+                .orderBy("wordless", "over", F.xxhash64("doc_id"), "doc_id").limit(per_class)
+                .select("doc_id", "size", "print").collect())          # at most per_class ids
+        room = per_class * FIT_CHARS
+        for k, r in enumerate(rows):
+            room -= r[1]
+            if room >= 0 or k == 0:
+                ids.append((r[0], y, r[1], r[2]))
+    chosen = spark.createDataFrame(ids, "_id long, y int, _size int, _print long")
+    # the id list is bounded by per_class, so the text table is not shuffled; rows left that repeat id and text are equal
+    return (docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["_id"]) & (F.length("text") == chosen["_size"])
+                      & (F.xxhash64("text") == chosen["_print"]))
+            .select("_id", "text", "y").dropDuplicates(["_id"]))

@@ -7,6 +7,7 @@ import numpy as np
 from llm_cases import EDGES, make_docs
 
 from credsight.llm import op3_quality, op6_toxicity, op8_langid
+from credsight.llm.common import label_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -96,6 +97,23 @@ def test_models_without_labels_score_every_row(spark):
     assert op6_toxicity.classify(make_docs(spark, []), net, ["doc_id"]).count() == 0
 
 
+def test_label_sample_fills_from_documents_at_hand_and_takes_an_id_once(spark):
+    long = "long words " * 4_000
+    docs = make_docs(spark, [(i, f"good words {i}") for i in range(10)] + [(3, "good words 3"), (4, "other text of the id")]
+                     + [(i, long + str(i)) for i in range(10, 16)] + [(i, "?!") for i in range(16, 40)] + [(90, None)])
+    # class 0: short texts among many ids that documents does not hold; class 1: long or wordless texts only
+    labels = spark.createDataFrame([(i, 0) for i in [*range(10), *range(1000, 3000), 90]] + [(i, 1) for i in range(10, 40)],
+                                   "doc_id long, toxic int")
+    got = label_sample(spark, docs, labels, "toxic", 5, 0, 200).collect()
+    free = [i for i in range(40) if crc(i, 5) != 0]
+    assert sorted(r._id for r in got) == free and all(r.y == (r._id >= 10) for r in got)
+    few = [r._id for r in label_sample(spark, docs, labels, "toxic", 5, 0, 3).collect()]
+    assert len(few) == len(set(few)) and sum(i < 10 for i in few) == 3
+    assert {i for i in few if i >= 10} <= set(range(10, 16)) and sum(i >= 10 for i in few) == 2   # 3 * FIT_CHARS hold two of them
+    net = op6_toxicity.train(spark, docs, labels)
+    assert net.ready
+
+
 def test_margin_model_separates_and_scores_empty_text():
     rows = [(op3_quality.features(t), y) for t, y in [("good plain words", 1), ("more plain words", 1), ("BAD!! LOUD!!", 0), ("LOUD!! BAD!!", 0)] * 5]
     model, ratio = op3_quality.fit(rows)
