@@ -13,6 +13,7 @@ from credsight.llm import (
     op8_langid,
     op9_chat,
     op10_fingerprint,
+    op12_align,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_langid": op8_langid.op8_langid,
     "op9_chat": op9_chat.op9_chat,
     "op10_fingerprint": op10_fingerprint.op10_fingerprint,
+    "op12_align": op12_align.op12_align,
 }
 
 ORACLES = {
