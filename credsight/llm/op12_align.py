@@ -15,9 +15,9 @@ B both end; a *link* is a token of A and one of B whose bytes overlap.
   the bytes decide.
 * Both tokenizers cut before a space that follows a word or ASCII sign (A by its
   split pattern, B because no piece holds a space after another character, which
-  is checked when the model is read).  Such *chunks* are aligned on their own and
-  those of up to 64 characters are remembered, so a word is aligned once per
-  worker while it stays in the bounded memo.
+  is checked when the model is read).  Such *chunks* are independent: those of up
+  to 64 characters are remembered, so a word is aligned once per worker while it
+  stays in the bounded memo, and the new ones are encoded side by side in one call.
 * The number of documents that hold an id pair linked is counted from one
   partial sum per Arrow batch.  The counts return to the documents in blocks of at
   most about ``MAX_PAIRS`` pairs (all pairs of one A id in the same block), one
@@ -33,8 +33,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,10 @@ from pyspark.sql import functions as F
 from credsight.llm.common import map_arrow, stored, table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MEMO_CHARS, MEMO_ENTRIES, MAX_PAIRS = 64, 300_000, 2_000_000
+MEMO_CHARS, MEMO_ENTRIES, FRESH_ENTRIES, MAX_PAIRS = 64, 100_000, 60_000, 2_000_000
+AT_ONCE = 400                     # chunks encoded as one text: the merge queues of both libraries stay small
+NO_TOKENS = (0, 0, 0, b"", b"")
+_PIECE = attrgetter("id", "begin", "end")
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,42 +67,46 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+_OPEN = re.compile(r"[^!-~\w] ")
+
+
+def closed(chunk: str) -> bool:
+    """Both tokenizers cut between such an end and a space."""
+    return chunk[-1:].isalnum() or "!" <= chunk[-1:] <= "~"
+
+
 def chunks(text: str) -> list[str]:
-    """``space + text`` cut before every space that follows a letter, digit or
-    ASCII sign; spaces at the end stay with the last chunk."""
+    """``space + text`` cut before every space that follows a letter, digit or ASCII
+    sign; spaces at the end stay with the last chunk.  Returned without the space
+    that each chunk begins with."""
+    if text[:1] != " " and text[-1:] != " " and not _OPEN.search(text):
+        return text.split(" ")
     body = text.rstrip(" ")
-    out, cur = [], ""
+    out, cur = [], []
     for p in body.split(" "):
-        cur += " " + p
-        if p and ("!" <= p[-1] <= "~" or p[-1].isalnum()):
-            out.append(cur)
-            cur = ""
+        cur.append(p)
+        if closed(p):
+            out.append(" ".join(cur))
+            cur = []
     if cur or not out:
-        out.append(cur)
+        out.append(" ".join(cur))
     out[-1] += text[len(body):]
     return out
 
 
-def token_ends(lengths: list[int], spans: list[tuple[int, int]]) -> list[int]:
-    """Byte ends of the tokens: coarse cuts where two spans meet, decoded lengths
-    between them.  Where a coarse cut and the bytes disagree the bytes decide."""
-    out, at, base, run = [], 0, 0, 0
-    last = len(lengths) - 1
-    for i, n in enumerate(lengths):
-        run += n
-        begin, end = spans[i]
-        if i == last or (end == spans[i + 1][0] and end > begin and spans[i + 1][1] > end):
-            if end != base + run:                    # spans of another text than the bytes'
-                end = base + run
-            if at == i:
-                out.append(end)
-            else:                                    # tokens that share a character
-                e = base
-                for k in range(at, i + 1):
-                    e += lengths[k]
-                    out.append(e)
-            at, base, run = i + 1, end, 0
-    return out
+def token_ends(lengths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Byte ends of the tokens: coarse cuts where two non-empty spans meet, decoded
+    lengths from the last such cut between them.  Where the cuts and the bytes
+    disagree, the bytes decide."""
+    total = np.cumsum(lengths)
+    if not len(total):
+        return total
+    cut = np.ones(len(total), bool)
+    cut[:-1] = (end[:-1] == begin[1:]) & (end[:-1] > begin[:-1]) & (end[1:] > begin[1:])
+    last = np.maximum.accumulate(np.where(cut, np.arange(len(total)), -1))     # latest coarse cut at or before a token
+    base = np.where(last < 0, 0, end[last] - total[last])
+    out = np.where(cut, end, base + total)
+    return out if (out == total).all() else total
 
 
 class Aligner:
@@ -121,73 +130,111 @@ class Aligner:
         self.code = np.uint32 if len(self.a_bytes) * self.width < 1 << 32 else np.uint64
         # chunks are independent only if no piece goes on with a space
         self.cut = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.memo: dict[str, tuple | None] = {}
+        # chunks met again, and chunks met once
+        self.memo: dict[str, tuple] = {}
+        self.fresh: dict[str, tuple] = {}
+        # ids as text, by what follows: another token of the same side, or the end of the side
+        self.a_text, self.b_text = (np.array([f"{i}{end}".encode() for i in range(n) for end in ends], object)
+                                    for n, ends in ((len(self.a_bytes), ",|"), (self.width, ",;")))
+        self.some_without = False
 
     def _chunks(self, text: str) -> list[str]:
-        return chunks(text) if self.cut else [" " + text]
-
-    def align(self, todo: list[str]) -> Iterator[tuple | None]:
-        """Per chunk (A ids, A ends, B ids, B ends), offsets from the chunk's begin; None where the bytes differ."""
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        enc = self.a.encode_batch(todo, add_special_tokens=False)
-        protos = self.b.encode([c[1:] for c in todo], return_type="proto", num_threads=1)
-        for c, ea, eb in zip(todo, enc, protos):
-            raw = c.encode()
-            a_ids = ea.ids
-            b_spans = [(p.id, p.begin + 1, p.end + 1) for p in eb.pieces]     # the added space comes first
-            b_ids = [p[0] for p in b_spans]
-            a_tok = [a_bytes[i] for i in a_ids]
-            b_tok = [b_bytes[i] for i in b_ids]
-            if b"".join(a_tok) != raw or b"".join(b_tok) != raw:
-                yield None
-                continue
-            spans = ea.offsets
-            if len(raw) != len(c):                        # characters to bytes
-                at = [0]
-                for x in c:
-                    at.append(at[-1] + len(x.encode()))
-                spans = [(at[s], at[e]) for s, e in spans]
-            yield (a_ids, token_ends(list(map(len, a_tok)), spans), b_ids,
-                   token_ends(list(map(len, b_tok)), [p[1:] for p in b_spans]))
-
-    def entry(self, found: tuple | None) -> tuple | None:
-        """(n_a, n_b, n_groups, groups as text, link codes) of an aligned chunk."""
-        if found is None:
+        return chunks(text) if self.cut else [text]
+
+    def align(self, text: str) -> tuple | None:
+        """(A ids, A ends, B ids, B ends) of ``space + text``, ends in bytes; None where
+        the token bytes differ from it."""
+        raw = b" " + text.encode()
+        enc = self.a.encode(" " + text, add_special_tokens=False)
+        pieces = list(map(_PIECE, self.b.encode(text, return_type="proto").pieces))
+        a_tok = list(map(self.a_bytes.__getitem__, enc.ids))
+        b_tok = [self.b_bytes[i] for i, _, _ in pieces]
+        if b"".join(a_tok) != raw or b"".join(b_tok) != raw:
             return None
-        a_ids, a_end, b_ids, b_end = found
-        groups, codes, i, j, ga, gb = [], [], 0, 0, 0, 0
-        w = self.width
-        while i < len(a_ids):
-            codes.append(a_ids[i] * w + b_ids[j])
-            x, y = a_end[i], b_end[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(",".join(map(str, a_ids[ga:i])) + "|" + ",".join(map(str, b_ids[gb:j])))
-                ga, gb = i, j
-        return len(a_ids), len(b_ids), len(groups), ";".join(groups), codes
+        a_span = np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(a_tok)).reshape(-1, 2)
+        if len(raw) != len(text) + 1:                     # characters to bytes
+            begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            a_span = np.append(begins, len(raw))[a_span]
+        b = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(b_tok)).reshape(-1, 3)
+        sizes = [np.fromiter(map(len, t), np.int64, len(t)) for t in (a_tok, b_tok)]
+        # B's spans are those of the text without the added space
+        return (np.array(enc.ids, np.int64), token_ends(sizes[0], a_span[:, 0], a_span[:, 1]),
+                b[:, 0], token_ends(sizes[1], b[:, 1] + 1, b[:, 2] + 1))
+
+    def run(self, todo: list[str]) -> list[tuple]:
+        """(n_a, n_b, n_groups, groups as text, link codes) of every chunk, or ``NO_TOKENS``.
+        Chunks are encoded side by side in one text, which both tokenizers cut between them."""
+        found, base = [], 0
+        for k in range(0, len(todo), AT_ONCE):
+            x = self.align(" ".join(todo[k:k + AT_ONCE]))
+            if x is None:
+                found = None
+                break
+            found.append((x[0], x[1] + base, x[2], x[3] + base))
+            base = found[-1][1][-1]
+        ends = np.cumsum([len(c.encode()) + 1 for c in todo])
+        if found is not None:
+            a_ids, a_end, b_ids, b_end = map(np.concatenate, zip(*found))
+            a_last = np.append(b_end, -1)[np.searchsorted(b_end, a_end)] == a_end
+            common = a_end[a_last]
+        if found is None or not (np.append(common, -1)[np.searchsorted(common, ends)] == ends).all():
+            if len(todo) == 1:
+                self.some_without = True
+                return [NO_TOKENS]
+            half = len(todo) // 2
+            return self.run(todo[:half]) + self.run(todo[half:])
+        cuts = np.sort(np.concatenate([a_end, b_end]), kind="stable")
+        cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)]      # a link for each stretch between neighbouring cuts
+        codes = (a_ids[np.searchsorted(a_end, cuts)] * self.width + b_ids[np.searchsorted(b_end, cuts)]).astype(self.code).tobytes()
+        size = np.dtype(self.code).itemsize
+        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        a_upto, b_upto = np.searchsorted(a_end, common, "right"), np.searchsorted(b_end, common, "right")
+        b_last = common[b_group] == b_end
+        parts = np.empty(len(a_ids) + len(b_ids), object)
+        # a group's A tokens come before its B tokens
+        parts[np.arange(len(a_ids)) + np.append(0, b_upto)[a_group]] = self.a_text[2 * a_ids + a_last]
+        parts[np.arange(len(b_ids)) + a_upto[b_group]] = self.b_text[2 * b_ids + b_last]
+        parts = parts.tolist()
+        at = [[0, *np.searchsorted(x, ends, "right").tolist()] for x in (a_end, b_end, common, cuts)]
+        return [(a1 - a0, b1 - b0, g1 - g0, b"".join(parts[a0 + b0:a1 + b1]), codes[c0 * size:c1 * size])
+                for a0, a1, b0, b1, g0, g1, c0, c1 in zip(*(y for x in at for y in (x, x[1:])))]
 
     def entries(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
-        """Entries of every text's chunks; None for a text without tokens.  Chunks
-        new to the memo are aligned in one call for a few texts at a time."""
+        """Entries of every text's chunks; None for a text without tokens."""
         at = 0
         while at < len(texts):
-            group, size = [], 0
+            group, missing, size = [], set(), 0
+            get = self.memo.get
             while at < len(texts) and size < 200_000:     # bounds the characters held at once
-                group.append(self._chunks(texts[at]) if texts[at] else None)
+                cs = self._chunks(texts[at]) if texts[at] else []
+                es = list(map(get, cs))
+                if None in es:
+                    missing.update(c for c, e in zip(cs, es) if e is None)
+                group.append((cs, es))
                 size += len(texts[at] or "")
                 at += 1
-            memo = self.memo
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            new = list({c for cs in group if cs for c in cs if c not in memo})
-            memo.update(zip(new, map(self.entry, self.align(new))))
-            for cs in group:
-                es = list(map(memo.__getitem__, cs)) if cs else None
-                yield es if es and None not in es else None
-            for c in new:
-                if len(c) > MEMO_CHARS:
-                    del memo[c]
+            now = {c: self.fresh[c] for c in missing if c in self.fresh}
+            again = list(now)
+            new = [c for c in missing if c not in now]
+            joint = [c for c in new if closed(c)] if self.cut else []
+            now.update(zip(joint, self.run(joint) if joint else ()))
+            for c in new:                                 # a text's end may be open to what would follow
+                if c not in now:
+                    now[c] = self.run([c])[0]
+            for cs, es in group:
+                if None in es:
+                    es = [now[c] if e is None else e for c, e in zip(cs, es)]
+                yield es if es and not (self.some_without and any(e is NO_TOKENS for e in es)) else None
+            self._remember(again, new, now)
+
+    def _remember(self, again: list[str], new: list[str], now: dict[str, tuple]) -> None:
+        """Words met a second time stay longer than the many that never come again."""
+        for c in again:
+            self.memo[c] = self.fresh.pop(c)
+        self.fresh.update((c, now[c]) for c in new if len(c) <= MEMO_CHARS)
+        for kept, most in ((self.memo, MEMO_ENTRIES), (self.fresh, FRESH_ENTRIES)):
+            if len(kept) > most:
+                kept.clear()
 
 
 _ALIGNERS: dict = {}
@@ -216,18 +263,10 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
         out: dict[str, list] = {n: [] for n in ("a_ids", "a_ends", "b_ids", "b_ends", "cuts")}
         for t in batch.column(1):
             text = t.as_py()
-            found = list(al.align(al._chunks(text))) if text else []
-            rows: list[list[int]] = [[], [], [], []]
-            base = 0
-            for f in found if None not in found else []:
-                rows[0] += f[0]
-                rows[1] += [base + e for e in f[1]]
-                rows[2] += f[2]
-                rows[3] += [base + e for e in f[3]]
-                base = rows[1][-1]
-            for name, r in zip(out, rows):
-                out[name].append(r)
-            out["cuts"].append(sorted(set(rows[1]) & set(rows[3])))
+            found = al.align(text) if text else None
+            rows = found if found is not None else [np.empty(0, np.int64)] * 4
+            for name, r in zip(out, (*rows, np.intersect1d(rows[1], rows[3]))):
+                out[name].append(r.tolist())
         return out | {"doc_id": batch.column(0)}
 
     arrays = ", ".join(f"{n} array<int>" for n in ("a_ids", "a_ends", "b_ids", "b_ends", "cuts"))
@@ -245,13 +284,13 @@ def linked_pairs(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataF
         out: dict[str, list] = {n: [] for n in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")}
         for es in al.entries(batch.column(1).to_pylist()):
             n_a, n_b, n_groups, groups, codes = zip(*es) if es else [()] * 5
-            codes = np.fromiter(chain.from_iterable(codes), al.code)
+            codes = np.frombuffer(b"".join(codes), al.code)
             uniq, times = np.unique(codes, return_counts=True)
             out["n_a"].append(sum(n_a))
             out["n_b"].append(sum(n_b))
             out["n_groups"].append(sum(n_groups))
             out["n_links"].append(len(codes))
-            out["groups_sha256"].append(hashlib.sha256(";".join(groups).encode()).hexdigest() if es else "")
+            out["groups_sha256"].append(hashlib.sha256(b"".join(groups)[:-1]).hexdigest() if es else "")
             out["pairs"].append(uniq.tobytes())
             out["times"].append(times.astype(np.uint32).tobytes())
         return out | {"doc_id": batch.column(0)}

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,10 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
+def codes(es):
+    return np.frombuffer(b"".join(e[4] for e in es), AL.code).tolist()
+
+
 ODD = ["  two  spaces ", " ", "\n", "a\n  b", "tab\t x ", "naïve café 😀 end", "\U00010348 कखा x́ y", "▁ low", "a▁b",
        "</s><s><|endoftext|> <unk> <0x0A>", "it's we'll", "x" * 3000, "日本語 テキスト 。 続く", " nb   em", "a\u0085 b\u001c c", "\x00 nul",
        "﻿bom", "１２ ½ ²"]
@@ -79,7 +84,7 @@ def test_odd_texts(text):
     a, b, groups, links = brute_text(text)
     es = next(AL.entries([text]))
     got = (0, 0, 0, [], "") if es is None else (
-        sum(e[0] for e in es), sum(e[1] for e in es), sum(e[2] for e in es), [c for e in es for c in e[4]], ";".join(e[3] for e in es))
+        sum(e[0] for e in es), sum(e[1] for e in es), sum(e[2] for e in es), codes(es), b"".join(e[3] for e in es)[:-1].decode())
     assert got[:3] == (len(a), len(b), len(groups))
     assert [divmod(c, AL.width) for c in got[3]] == links
     assert got[4] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
@@ -90,15 +95,34 @@ def test_odd_texts(text):
 def test_chunks_equal_whole_texts(text):
     a, b, groups, links = brute_text(text)
     es = next(AL.entries([text])) or []
-    assert [c for e in es for c in e[4]] == [x * AL.width + y for x, y in links]
+    assert codes(es) == [x * AL.width + y for x, y in links]
     assert (sum(e[0] for e in es), sum(e[1] for e in es), sum(e[2] for e in es)) == (len(a), len(b), len(groups))
 
 
+def ends(lengths, spans):
+    s = np.array(spans, np.int64).reshape(-1, 2)
+    return op12.token_ends(np.array(lengths, np.int64), s[:, 0], s[:, 1]).tolist()
+
+
 def test_token_ends_refine_shared_characters():
-    assert op12.token_ends([2, 1, 1, 1], [(0, 2), (2, 4), (2, 4), (4, 5)]) == [2, 3, 4, 5]
-    assert op12.token_ends([1, 1, 2], [(0, 2), (2, 2), (2, 4)]) == [1, 2, 4]      # an empty span is no cut
-    assert op12.token_ends([3, 1], [(0, 1), (1, 2)]) == [3, 4]                    # the bytes decide
-    assert op12.token_ends([], []) == []
+    assert ends([2, 1, 1, 1], [(0, 2), (2, 4), (2, 4), (4, 5)]) == [2, 3, 4, 5]
+    assert ends([1, 1, 2], [(0, 2), (2, 2), (2, 4)]) == [1, 2, 4]      # an empty span is no cut
+    assert ends([3, 1], [(0, 1), (1, 2)]) == [3, 4]                    # the bytes decide
+    assert ends([], []) == []
+
+
+def test_chunks_side_by_side_with_some_without_tokens():
+    todo = ["a", "▁", " b.", "naïve", "x▁y", "😀1"]
+    assert AL.run(todo) == [AL.run([c])[0] for c in todo]
+    assert AL.run(["▁"]) == [op12.NO_TOKENS]
+
+
+def test_memo_keeps_words_met_again():
+    al = op12.Aligner(*op12.default_paths())
+    want = [codes(es) for es in al.entries(["one two two", "one three"])]
+    assert set(al.fresh) == {"one", "two", "three"} and not al.memo      # one call: words of the same group are not met again
+    assert [codes(es) for es in al.entries(["one two two", "one three"])] == want
+    assert set(al.memo) == {"one", "two", "three"}
 
 
 def test_spans_of_a_table(spark):
