@@ -13,7 +13,9 @@ from credsight.llm import (
     op8_langid,
     op9_chat,
     op10_fingerprint,
+    op11_bayes,
     op12_align,
+    op13_rank,
 )
 
 QUERIES = {
@@ -27,11 +29,14 @@ QUERIES = {
     "op8_langid": op8_langid.op8_langid,
     "op9_chat": op9_chat.op9_chat,
     "op10_fingerprint": op10_fingerprint.op10_fingerprint,
+    "op11_bayes": op11_bayes.op11_bayes,
     "op12_align": op12_align.op12_align,
+    "op13_rank": op13_rank.op13_rank,
 }
 
 ORACLES = {
     "op2_decontaminate": op2_decontaminate.ORACLE,
     "op7_lines": op7_lines.ORACLE,
     "op9_chat": op9_chat.ORACLE,
+    "op13_rank": op13_rank.ORACLE,
 }
