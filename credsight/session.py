@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for every job in this package.
 SESSION_DEFAULTS = {
@@ -67,3 +68,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="credsight-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Materialise once as Parquet in the shared checkpoint folder and read it
+    back: the lineage is cut, later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{SCRATCH}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: folders that the library writes below the shared checkpoint folder
+SCRATCH, STREAMS = "credsight-tables", "credsight-streams"
+
+
+def clean_up(spark: SparkSession, streams: bool = False) -> list[str]:
+    """Remove the tables that :func:`stored` left, with ``streams`` also the
+    offsets, state and output of all streams.  Frames that still read them become
+    unreadable, so call it when their results are written.  Returns the folders removed."""
+    base = checkpoint_dir(spark).rstrip("/")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = []
+    for name in (SCRATCH, STREAMS) if streams else (SCRATCH,):
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if path.getFileSystem(conf).delete(path, True):
+            gone.append(name)
+    return gone

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credsight.session import checkpoint_dir
+from credsight.session import stored
 from credsight.sources.tables import read_table
 
 # Fixed values of the rollout domain (status vocabulary, role suffixes).
@@ -278,7 +278,9 @@ def dag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda x: F.concat(F.lit("n"), x.cast("string"))
     spec = (F.when((p == "1-URGENT") & (s == "F"), F.concat(n(seq), F.lit("_answer")))
             .when((p == "3-MEDIUM") & (seq > 3), F.concat(n(seq - 3), F.lit("_refine1")))
-            .when((p == "2-HIGH") & (s == "P") & (seq > 6), F.concat(n(seq - 6), F.lit("_refine2")))
+            # a second refine follows the first by one batch (even seq) or by two or three
+            .when((p == "2-HIGH") & (s == "P") & (seq > 6) & (seq % 2 == 0), F.concat(n(seq - 6), F.lit("_refine2")))
+            .when((p == "2-HIGH") & (s == "P") & (seq > 10) & (seq % 2 == 1), F.concat(n(seq - 10), F.lit("_refine2")))
             .when((p == "5-LOW") & (s == "P"), F.lit(""))
             .when((p == "4-NOT SPECIFIED") & (s == "P"), F.concat(F.lit("t_"), seq.cast("string")))
             .otherwise(n(seq)))
@@ -291,6 +293,8 @@ def dag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(st == "Uncertain", F.lit("maybe")).otherwise(F.lit("")))
     return b.select(
         "graph_id", "seq", "okey", ((seq + 2) / 3).cast("bigint").alias("iteration"), "spec_id", "status",
+        # as the execution left it: failed, or awaiting a verdict
+        F.when(st == "Failed", st).otherwise(F.lit("")).alias("exec_status"),
         F.when(F.col("okey") % 2 == 0, F.concat(F.lit("Find  "), p))
          .otherwise(F.concat(F.lit("find "), F.lower(p))).alias("description"),
         F.concat(F.lit("Check status "), s).alias("prompt"),
@@ -319,11 +323,14 @@ def dag_deps(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -
 
 def dag_verdicts(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     """verdicts(graph_id, iteration, node_id, status): the plan at iteration k
-    judges the batch of iteration k-1; some stale verdicts target older batches."""
+    judges the batch of iteration k-1; some stale verdicts target older batches.
+    Some verdicts differ from the stored status, which was revised after the session,
+    and some nodes that failed get none."""
     nodes = nodes if nodes is not None else dag_nodes(spark, sf_dir)
     named = nodes.filter(F.col("spec_id") != "")
-    fresh = named.filter(F.col("status") != "").select(
-        "graph_id", (F.col("iteration") + 1).alias("iteration"), F.col("spec_id").alias("node_id"), "status")
+    said = F.when(F.col("okey") % 7 == 3, F.lit("Uncertain")).otherwise(F.col("status"))
+    fresh = named.filter((F.col("status") != "") & ~((F.col("status") == "Failed") & (F.col("okey") % 3 == 1))).select(
+        "graph_id", (F.col("iteration") + 1).alias("iteration"), F.col("spec_id").alias("node_id"), said.alias("status"))
     stale = named.filter(F.col("seq") % 4 == 0).select(
         "graph_id", (F.col("iteration") + 2).alias("iteration"), F.col("spec_id").alias("node_id"),
         F.lit("Failed").alias("status"))
@@ -333,6 +340,7 @@ def dag_verdicts(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = Non
 ORACLE_CTES["nodes"] = """
 nodes AS (
   SELECT graph_id, seq, okey, CAST((seq + 2) // 3 AS BIGINT) AS iteration, spec_id, status,
+         CASE status WHEN 'Failed' THEN 'Failed' ELSE '' END AS exec_status,
          CASE WHEN okey % 2 = 0 THEN 'Find  ' || p ELSE 'find ' || lower(p) END AS description,
          'Check status ' || s AS prompt,
          CASE WHEN status = 'Success' THEN 'A' || CAST(graph_id % 17 AS VARCHAR)
@@ -348,7 +356,8 @@ nodes AS (
     SELECT *,
       CASE WHEN p = '1-URGENT' AND s = 'F' THEN 'n' || CAST(seq AS VARCHAR) || '_answer'
            WHEN p = '3-MEDIUM' AND seq > 3 THEN 'n' || CAST(seq - 3 AS VARCHAR) || '_refine1'
-           WHEN p = '2-HIGH' AND s = 'P' AND seq > 6 THEN 'n' || CAST(seq - 6 AS VARCHAR) || '_refine2'
+           WHEN p = '2-HIGH' AND s = 'P' AND seq % 2 = 0 AND seq > 6 THEN 'n' || CAST(seq - 6 AS VARCHAR) || '_refine2'
+           WHEN p = '2-HIGH' AND s = 'P' AND seq % 2 = 1 AND seq > 10 THEN 'n' || CAST(seq - 10 AS VARCHAR) || '_refine2'
            WHEN p = '5-LOW' AND s = 'P' THEN ''
            WHEN p = '4-NOT SPECIFIED' AND s = 'P' THEN 't_' || CAST(seq AS VARCHAR)
            ELSE 'n' || CAST(seq AS VARCHAR) END AS spec_id,
@@ -372,8 +381,9 @@ deps AS (
 
 ORACLE_CTES["verdicts"] = """
 verdicts AS (
-  SELECT graph_id, iteration + 1 AS iteration, spec_id AS node_id, status FROM nodes
-  WHERE spec_id <> '' AND status <> ''
+  SELECT graph_id, iteration + 1 AS iteration, spec_id AS node_id,
+         CASE WHEN okey % 7 = 3 THEN 'Uncertain' ELSE status END AS status FROM nodes
+  WHERE spec_id <> '' AND status <> '' AND NOT (status = 'Failed' AND okey % 3 = 1)
   UNION ALL
   SELECT graph_id, iteration + 2 AS iteration, spec_id AS node_id, 'Failed' AS status FROM nodes
   WHERE spec_id <> '' AND seq % 4 = 0)"""
@@ -506,19 +516,13 @@ def dag_inputs(spark: SparkSession, sf_dir: str):
     return resolve_ids(raw), dag_deps(spark, sf_dir, raw), dag_verdicts(spark, sf_dir, raw)
 
 
-#: what the rules read of a node; the two texts only for R_DUP
-RULE_COLUMNS = ["graph_id", "seq", "iteration", "node_id", "status"]
+#: what the rules read of a node
+RULE_COLUMNS = ["graph_id", "seq", "iteration", "node_id", "exec_status", "description", "prompt"]
 
 
-def rule_inputs(spark: SparkSession, sf_dir: str, rule: str | None = None):
-    """Inputs of the rule plans, which read nodes and verdicts a dozen times:
-    both are narrowed to the columns of the wanted rule and written once."""
+def rule_inputs(spark: SparkSession, sf_dir: str):
+    """Inputs of the rule plans: nodes and verdicts, which several rules read,
+    are narrowed and written once."""
     n, d, v = dag_inputs(spark, sf_dir)
-    checkpoint_dir(spark)
-    texts = ["description", "prompt"]
-    if rule in (None, "R_DUP"):
-        n = n.select(*RULE_COLUMNS, *texts).checkpoint()
-    else:
-        n = n.select(*RULE_COLUMNS).checkpoint()
-        n = n.select("*", *[F.lit(None).cast("string").alias(c) for c in texts])
-    return n, d.select("graph_id", "seq", "dep_pos", "dep_id"), v.select("graph_id", "iteration", "node_id", "status").checkpoint()
+    return (stored(n.select(*RULE_COLUMNS), "rule-nodes"), d.select("graph_id", "seq", "dep_pos", "dep_id"),
+            stored(v.select("graph_id", "iteration", "node_id", "status"), "rule-verdicts"))

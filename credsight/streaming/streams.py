@@ -1,4 +1,5 @@
-"""Incremental versions of the rollout analytics on Structured Streaming.
+"""Incremental versions of the rollout analytics on Structured Streaming
+(keyed state with timers: ``stateful``).
 
 Every stream reads files (the given parquet tables, or tables Spark derived
 and wrote under ``spark.checkpoint.dir``), runs with ``availableNow`` so a
@@ -15,20 +16,18 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from credsight.session import checkpoint_dir
+from credsight.session import STREAMS, checkpoint_dir
 
 
 def _area(spark: SparkSession, name: str, job: str | None = None) -> str:
     """Folder of a stream's offsets, state and output.  A caller that names its
     ``job`` gets the same folder again and so goes on where it stopped."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/credsight-streams/{name}-{job or uuid.uuid4().hex[:12]}"
+    return f"{base}/{STREAMS}/{name}-{job or uuid.uuid4().hex[:12]}"
 
 
 def _write_batch(batch: DataFrame, out: str, batch_id: int) -> None:
@@ -72,33 +71,22 @@ def run_append(sdf: DataFrame, name: str, job: str | None = None) -> DataFrame:
          .option("checkpointLocation", f"{area}/ckpt").outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{area}/out")
+    return spark.read.schema(sdf.schema).parquet(f"{area}/out")
 
 
-def run_complete(sdf: DataFrame, name: str) -> DataFrame:
-    """Run a complete-mode stream to completion; every micro-batch rewrites
-    the whole (small, aggregated) result, and the last one is returned."""
-    spark = sdf.sparkSession
-    area = _area(spark, name)
-    out = f"{area}/out"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt")
-         .outputMode("complete").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def materialise_in_order(df: DataFrame, name: str, chunk_col: str) -> str:
-    """Write a derived table as successive appends, one per value of
-    ``chunk_col`` in increasing order, so a file stream sees them in order.
-    ``chunk_col`` must have few distinct values (e.g. a year)."""
+def materialise_in_order(df: DataFrame, name: str, ts: str, parts: int = 6, files: int = 4, last: DataFrame | None = None) -> str:
+    """Write a derived table as ``parts`` successive appends in the order of ``ts``, cut at
+    its quantiles, so a file stream with ``max_files=files`` sees about one part a micro-batch.
+    ``last``, a closing row, is appended at the end."""
     path = _area(df.sparkSession, name) + "/data"
-    chunks = [r[0] for r in df.select(chunk_col).distinct().orderBy(chunk_col).collect()]
-    for c in chunks:
-        df.filter(F.col(chunk_col) == c).coalesce(1).write.mode("append").parquet(path)
+    # parts - 1 numbers, whatever the table's size
+    at = F.unix_micros(ts)
+    bounds = sorted(set(df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
+    for lo, hi in zip([None, *bounds], [*bounds, None]):
+        part = df if lo is None else df.where(at > lo)
+        (part if hi is None else part.where(at <= hi)).repartition(files).write.mode("append").parquet(path)
+    if last is not None:
+        last.write.mode("append").parquet(path)
     return path
 
 
@@ -176,9 +164,9 @@ def dedup_within_watermark(events: DataFrame, keys: list[str], ts: str, delay: s
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int = 5400) -> DataFrame:
-    """Session windows with a 5400 s inactivity timeout."""
-    return (events.withWatermark(ts, f"{gap_seconds} seconds")
-            .groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("s"))
+    """Session windows that end after 5400 s without an event, over a stream with a
+    watermark on ``ts`` (the deadline counted from the first event is L6 in ``stateful``)."""
+    return (events.groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("s"))
             .agg(F.count(F.lit(1)).alias("n_events"))
             .select(key, F.unix_micros(F.col("s.start")).alias("session_start_us"),
                     F.unix_micros(F.col("s.end")).alias("session_end_us"), "n_events"))
@@ -192,39 +180,6 @@ def stream_static_lookup(dep_stream: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_deps"), F.count("hit").alias("n_found"))
 
 
-# ---------------------------------------------------------------------------
-# L4 adaptive KL coefficient as state
-# ---------------------------------------------------------------------------
-
-_KL_OUT = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("step", T.LongType()),
-                        T.StructField("kl", T.DoubleType()), T.StructField("n", T.LongType()),
-                        T.StructField("kl_coef", T.DoubleType())])
-_KL_STATE = T.StructType([T.StructField("coef", T.DoubleType())])
-
-
-def adaptive_kl_stream(steps: DataFrame, init: float, target: float, horizon: int) -> DataFrame:
-    """L4: the adaptive KL controller as per-run state.  Each micro-batch
-    brings new steps of a run; they are applied in step order to the stored
-    coefficient (value *= 1 + clip(kl/target - 1, +-0.2) * n / horizon).  A step
-    that arrives late takes part too: factors commute, so the coefficient ends
-    where the batch one does, only the order of the values in between differs."""
-
-    def update(key, pdfs, state):
-        coef = state.get[0] if state.exists else init
-        rows = pd.concat(list(pdfs)).sort_values("step")
-        out = []
-        for step, kl, n in zip(rows["step"], rows["kl"], rows["n"]):
-            err = min(max(kl / target - 1.0, -0.2), 0.2)
-            coef = coef * (1.0 + err * n / horizon)
-            out.append((key[0], int(step), float(kl), int(n), float(coef)))
-        state.update((float(coef),))
-        yield pd.DataFrame(out, columns=["run_id", "step", "kl", "n", "kl_coef"])
-
-    return steps.groupBy("run_id").applyInPandasWithState(
-        update, _KL_OUT, _KL_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-
 # ---------------------------------------------------------------------------
 # L5 group-complete credit, L8 streaming plan validation
 # ---------------------------------------------------------------------------

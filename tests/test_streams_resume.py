@@ -32,19 +32,6 @@ def test_a_batch_written_twice_replaces_itself(spark, tmp_path):
     assert S._read_batches(spark, out, d.schema).groupBy("_batch").count().orderBy("_batch").collect() == [(0, 3), (1, 3)]
 
 
-def test_late_steps_take_part(spark, tmp_path):
-    path = f"{tmp_path}/steps"
-    schema = "run_id string, step long, kl double, n long"
-    feed(spark, path, [("a", 2, 1.0, 10), ("b", 1, 0.0, 10)], schema)
-    feed(spark, path, [("a", 1, 0.0, 10), ("a", 3, 1.0, 10)], schema)
-    st = S.stream_table(spark, path, max_files=1)
-    got = S.run_append(S.adaptive_kl_stream(st, 1.0, 0.02, 10), "t-late").collect()
-    assert len(got) == 4
-    # the factors are 1.2, 0.8 and 1.2 for a, in whatever order they came
-    assert {round(r.kl_coef, 9) for r in got if r.run_id == "a" and r.step == 3} == {round(1.2 * 0.8 * 1.2, 9)}
-    assert [round(r.kl_coef, 9) for r in got if r.run_id == "b"] == [0.8]
-
-
 def test_groups_that_wait_are_returned_on_request(spark, tmp_path):
     path = f"{tmp_path}/traj"
     feed(spark, path, [("g", 1e8 + 1.0), ("h", 2.0)], "uid string, score double")
