@@ -8,22 +8,25 @@ words is one shingle.  Documents are linked where
 1. Documents of equal sets are one *class* (128-bit print of the set).
 2. Classes meet in the buckets of ``bands`` MinHash bands; buckets with the same
    members are kept once.
-3. Rounds choose which members of a bucket to compare.  In a *leader* round every
-   member whose component is not its leader's is compared with the bucket's
-   leader: one row per member, never pairs of members.  Links merge components; a
-   bucket whose members are all of one component is finished.  What is left after
-   ``LEADERS`` rounds is compared whole: the members outside the bucket's largest
-   component, in blocks of ``BLOCK``, with all members, in salted runs of ``RUN``.
-   Pairs of one component are skipped, they cannot change a component.
+3. In a *leader* round every member whose component is not its leader's is compared
+   with the bucket's leader: one row per member, never pairs of members.  Links
+   merge components; a bucket whose members are all of one component is finished.
+   Leader rounds go on while a bucket has more than ``REST`` members outside its
+   largest component, ``LEADERS`` at most.  What is left is compared whole: the
+   members outside the largest component, in blocks of ``BLOCK``, with all members,
+   in salted runs of ``RUN``.  Pairs of one component are skipped, they cannot
+   change a component.
 4. A compared pair is first *screened*: its 8-bit signatures (hashes other than
    the bands') are compared in batches of ``STEP``; after every batch the pair is
    dropped if the posterior probability that its similarity reaches the threshold,
    given the matches so far and a uniform prior, is below ``MISS``.  Survivors are
-   verified on the full shingle sets, which travel only for members of
-   surviving pairs.
-5. Components come from alternating large-star and small-star steps over the
-   links; the minima are written before they are joined, so that the join of a
-   node with very many links can be split at run time.
+   verified on the full shingle sets; in the last round these travel only for
+   members of surviving pairs.
+5. Components come from contraction: every node points to the neighbour that comes
+   first by a hash (another one each step), the links are renamed, loops and
+   repeats go, until none is left.  Minima are partial aggregates, and they are
+   written before they are joined, so that the join of a node with very many links
+   can be split at run time.
 
 Missed links: a pair at the threshold shares no band with probability
 1 - ``RECALL``, and is dropped by the screen with at most about 6 * ``MISS``.  No
@@ -53,7 +56,7 @@ from credsight.llm.common import U64, HashCache, hash_words, map_arrow, shingles
 
 K, PERCENT, RECALL, MAX_ROWS = 4, 80, 0.9999, 160
 CHECKS, STEP, MISS = 96, 16, 2e-5
-LEADERS, BLOCK, RUN, HELD = 2, 256, 4096, 4_000_000       # HELD: shingles a job may hold at once
+LEADERS, REST, BLOCK, RUN, HELD = 6, 2048, 256, 1024, 4_000_000       # HELD: shingles a job may hold at once
 U32 = np.uint32
 _CACHE = HashCache()
 
@@ -246,41 +249,38 @@ def _batch(rows: list[tuple], names: list[str], verify: bool) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root) of every node of the undirected edges (a, b); root is the least node of the component."""
+    """(fp, root) of every node of the undirected edges (a, b); the root is some node of the component."""
     spark = edges.sparkSession
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if not large:
-            both = both.where("b < a")
-        # written first: the join has two plain inputs and a hot node's side can be split
-        low = stored(spark, both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "op11-low")
-        j = both.join(low, "a")
-        out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else \
-            j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        return stored(spark, out.where("a <> b").distinct(), "op11-star")
-
-    cur, seen = edges.where("a <> b"), None
+    cur, steps = edges.where("a <> b"), []
     while True:
-        cur = star(star(cur, True), False)
-        now = tuple(cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == seen or not now[0]:
-            return cur.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-        seen = now
+        turn = F.lit(len(steps))
+        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("k"), "b")).alias("m"))
+        to = stored(spark, first.select("a", F.when(F.col("m.k") < F.xxhash64("a", turn), F.col("m.b")).otherwise(F.col("a")).alias("to")), "op11-to")
+        steps.append(to)
+        cur = stored(spark, cur.join(to, "a").select("b", F.col("to").alias("x")).join(to.withColumnRenamed("a", "b"), "b")
+                     .select(F.col("x").alias("a"), F.col("to").alias("b")).where("a <> b").distinct(), "op11-renamed")
+        if cur.isEmpty():
+            break
+    out = steps.pop().withColumnRenamed("to", "root")
+    while steps:
+        out = steps.pop().join(out.withColumnRenamed("a", "to"), "to", "left").select("a", F.coalesce("root", "to").alias("root"))
+    return stored(spark, out.withColumnRenamed("a", "fp"), "op11-roots")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """(h, c, fp, n): members of the buckets of at least two classes; of buckets with the same members one."""
+    """(h, c, lo, fp, n): members of the buckets of at least two classes, with the least of
+    them; of buckets with the same members one."""
     spread = classes.select("fp", "n", F.posexplode("bands").alias("band", "h"))
     # equal buckets are found by count, xor, least and largest member: all of them partial aggregates
     same = spread.groupBy("h", "band").agg(
         F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("c > 1")
-    jobs = same.groupBy("c", "x", "lo", "hi").agg(F.min(F.struct("band", "h")).alias("j")).select(F.col("j.h").alias("h"), "c")
-    return spread.select("fp", "n", "h").join(stored(classes.sparkSession, jobs, "op11-buckets"), "h").select("h", "c", "fp", "n")
+    jobs = same.groupBy("c", "x", "lo", "hi").agg(F.min(F.struct("band", "h")).alias("j")).select(F.col("j.h").alias("h"), "c", "lo")
+    return spread.select("fp", "n", "h").join(stored(classes.sparkSession, jobs, "op11-buckets"), "h").select("h", "c", "lo", "fp", "n")
 
 
 def full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(fp, n, sig, set) of the classes of ``need`` (fp, rep_id, th, n, sig): the shingles of their representative."""
+    """(fp, n, sig, set) of the classes ``need`` (fp, rep_id, th, n, sig): the shingles of their representative."""
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     rows = d.join(need.withColumnRenamed("th", "want"), (F.col("th") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
 
@@ -301,13 +301,15 @@ def full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 def _leader_rows(m: DataFrame, turn: int) -> DataFrame:
     """Every member of another component than its bucket's leader, and the leaders."""
     spark = m.sparkSession
-    lead = m.groupBy("h").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("k"), "fp", "root")).alias("l"),
-                              F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    lead = stored(spark, lead.select("h", F.col("l.fp").alias("leader"), F.col("l.root").alias("l_root")), "op11-leaders")
-    flow = (m.join(lead, "h").where("root <> l_root")
-            .withColumn("salt", F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / RUN)).cast("int"))
-            .groupBy("leader", "l_root", "fp", "root").agg(F.min("salt").alias("salt")))
-    flow = stored(spark, flow, "op11-flow")
+    if turn == 0:                                  # every class is a component; the least member leads
+        flow = m.where("fp <> lo").withColumns({"leader": F.col("lo"), "l_root": F.col("lo")})
+    else:
+        lead = m.groupBy("h").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("k"), "fp", "root")).alias("l"),
+                                  F.min("root").alias("lo_root"), F.max("root").alias("hi_root")).where("lo_root <> hi_root")
+        lead = stored(spark, lead.select("h", F.col("l.fp").alias("leader"), F.col("l.root").alias("l_root")), "op11-leaders")
+        flow = m.join(lead, "h").where("root <> l_root")
+    flow = stored(spark, flow.withColumn("salt", F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / RUN)).cast("int"))
+                  .groupBy("leader", "l_root", "fp", "root").agg(F.min("salt").alias("salt")), "op11-flow")
     job = F.xxhash64("leader").alias("job")
     one = flow.select(job, F.lit(0).alias("blk"), "salt", F.lit(1).alias("side"), "fp", "root", F.lit(False).alias("rest"))
     held = flow.select("leader", "l_root", "salt").distinct().select(
@@ -316,26 +318,35 @@ def _leader_rows(m: DataFrame, turn: int) -> DataFrame:
     return one.unionByName(held)
 
 
-def _block_rows(m: DataFrame) -> DataFrame:
-    """Members outside their bucket's largest component in blocks, against all members in runs."""
-    spark = m.sparkSession
+def _open_buckets(m: DataFrame) -> DataFrame:
+    """(h, most, all, rest, nb): buckets of several components, their largest one, the members outside it and their blocks."""
     per = m.groupBy("h", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     big = per.groupBy("h").agg(F.max(F.struct("k", "root", "n")).alias("b"), F.sum("k").alias("all"), F.sum("n").alias("n")).where("all > b.k")
-    blocks = F.ceil(F.greatest((F.col("all") - F.col("b.k")) / BLOCK, (F.col("n") - F.col("b.n")) / HELD)).cast("int")
-    big = stored(spark, big.select("h", F.col("b.root").alias("most"), "all", blocks.alias("nb")), "op11-open")
+    rest = F.col("all") - F.col("b.k")
+    blocks = F.ceil(F.greatest(rest / BLOCK, (F.col("n") - F.col("b.n")) / HELD)).cast("int")
+    return big.select("h", F.col("b.root").alias("most"), "all", rest.alias("outside"), blocks.alias("nb"))
+
+
+def _block_rows(m: DataFrame, big: DataFrame) -> DataFrame:
+    """Members outside their bucket's largest component in blocks, against all members in runs."""
     x = (m.join(big, "h").withColumn("rest", F.col("root") != F.col("most"))
          .withColumn("ns", F.ceil(F.col("all") / RUN).cast("int")))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("nb")).cast("int")
     run = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("ns")).cast("int")
-    held = x.where("rest").withColumn("blk", own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
-    flow = x.withColumn("salt", run).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cols = [F.col("h").alias("job"), "blk", "salt"]
-    return held.select(*cols, F.lit(0).alias("side"), "fp", "root", "rest").unionByName(
-        flow.select(*cols, F.lit(1).alias("side"), "fp", "root", "rest"))
+    # both sides of a member's rows in one pass over the join
+    held = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: F.struct(
+        own.alias("blk"), s.alias("salt"), F.lit(0).alias("side")))).otherwise(F.array())
+    flow = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: F.struct(
+        b.alias("blk"), run.alias("salt"), F.lit(1).alias("side")))
+    return x.select(F.col("h").alias("job"), F.explode(F.concat(held, flow)).alias("j"), "fp", "root", "rest").select(
+        "job", "j.blk", "j.salt", "j.side", "fp", "root", "rest")
+
+
+_COLUMNS = ("job", "blk", "salt", "side", "fp", "root", "rest", "n", "sig")
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
-    """Signatures, and the classes with their component: (fp, root, rep_null, rep_id, th, c_id)."""
+    """Signatures, and the classes with their component: (fp, rep_id, th, component_id, component_th)."""
     spark = docs.sparkSession
     bands, rows = choose_bands(percent, recall)
     sig = stored(spark, signatures(docs, bands, rows), "op11-signatures")
@@ -344,20 +355,31 @@ def grouped(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, lea
                .select("fp", "n", F.col("r.doc_id").alias("rep_id"), F.col("r.th").alias("th"), "bands", "sig"))
     classes = stored(spark, classes, "op11-classes")
     members = stored(spark, bucket_members(classes), "op11-members")
-    need = members.select("fp").distinct().join(classes.drop("bands"), "fp")
-    full = stored(spark, full_sets(docs, need), "op11-sets")
-    links, roots = [], None
-    for turn in range(leaders + 1):
-        m = members.withColumn("root", F.col("fp")) if roots is None else (
-            members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-        cand = _leader_rows(m, turn) if turn < leaders else _block_rows(m)
-        flagged = stored(spark, _jobs(cand.join(full.drop("set"), "fp").select(
-            "job", "blk", "salt", "side", "fp", "root", "rest", "n", "sig"), percent, False), "op11-screened")
-        found = stored(spark, _jobs(flagged.join(full, "fp").select(
-            "job", "blk", "salt", "side", "fp", "root", "rest", "n", "sig", "set"), percent, True), "op11-links")
-        links.append(found)
+    full = stored(spark, full_sets(docs, classes.drop("bands").join(members, "fp", "left_semi")), "op11-sets")
+    links, roots, turn = [], None, 0
+    while True:
+        m, big = members.withColumn("root", F.col("fp")), None
+        if roots is not None:
+            m = stored(spark, members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "op11-rooted")
+        last = turn >= leaders
+        if turn or last:
+            big = stored(spark, _open_buckets(m), "op11-open")
+            outside = big.agg(F.max("outside")).first()[0]
+            if outside is None:
+                break
+            last = last or outside <= REST
+        if last:
+            # most pairs are dropped here: screen on signatures first, then bring the sets of the others
+            cand = stored(spark, _jobs(_block_rows(m, big).join(full.drop("set"), "fp").select(*_COLUMNS), percent, False), "op11-screened")
+        else:
+            cand = _leader_rows(m, turn)
+        found = stored(spark, _jobs(cand.join(full, "fp").select(*_COLUMNS, "set"), percent, True), "op11-links")
         if not found.isEmpty():
+            links.append(found)
             roots = components(reduce(DataFrame.unionByName, links))
+        turn += 1
+        if last:
+            break
     c = classes.select("fp", "rep_id", "th")
     c = c.withColumn("root", F.col("fp")) if roots is None else c.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = c.groupBy("root").agg(F.min(F.struct(F.col("rep_id").isNull().alias("nul"), "rep_id", "th")).alias("f"))
