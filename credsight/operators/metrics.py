@@ -81,11 +81,11 @@ def kept_stats(execs: DataFrame, kept: DataFrame) -> DataFrame:
                     r6(F.col("chain_reward_mean") - F.col("off_chain_reward_mean")).alias("reward_gap"))
 
 
-def batch_cost(nodes: DataFrame, deps: DataFrame, plan_calls: DataFrame) -> DataFrame:
-    """a parallel batch costs its slowest node (max tool calls, one call
-    per dependency lookup here); steps = planner steps + sum of batch maxima."""
-    calls = (nodes.select("graph_id", "seq", "iteration")
-             .join(deps.groupBy("graph_id", "seq").agg(F.count(F.lit(1)).alias("calls")), ["graph_id", "seq"], "left")
+def batch_cost(nodes: DataFrame, calls: DataFrame, plan_calls: DataFrame) -> DataFrame:
+    """a parallel batch costs its slowest node (most model calls of a node's
+    run); steps = planner steps + sum of batch maxima.  ``calls(graph_id, seq, calls)``;
+    a node without a run costs nothing."""
+    calls = (nodes.select("graph_id", "seq", "iteration").join(calls, ["graph_id", "seq"], "left")
              .fillna(0, ["calls"]))
     per_batch = calls.groupBy("graph_id", "iteration").agg(F.max("calls").alias("batch_max"))
     g = per_batch.groupBy("graph_id").agg(F.sum("batch_max").alias("exec_steps"))
@@ -93,6 +93,14 @@ def batch_cost(nodes: DataFrame, deps: DataFrame, plan_calls: DataFrame) -> Data
             .select("graph_id", "exec_steps", "plan_calls", (F.col("plan_calls") + F.col("exec_steps")).alias("steps")))
 
 
+def model_calls(nodes: DataFrame, turns: DataFrame) -> DataFrame:
+    """Model calls of a node's run: the non-blank assistant turns of its conversation
+    ``turns(conv_id, role, text)``, where ``nodes.okey`` names the conversation."""
+    said = turns.where((F.col("role") == "assistant") & F.col("text").rlike(r"\S"))
+    n = said.groupBy(F.col("conv_id").alias("okey")).agg(F.count(F.lit(1)).alias("calls"))
+    return nodes.select("graph_id", "seq", "okey").join(n, "okey").select("graph_id", "seq", "calls")
+
+
 def derived_counters(nodes: DataFrame, plan_calls: DataFrame) -> DataFrame:
     """executed nodes, unique executed, grow iterations, refine count, batches."""
     ex = F.col("status") != ""
@@ -188,15 +196,14 @@ def failure_taxonomy(budget: DataFrame, calls: DataFrame, turns: DataFrame,
 
 def end_reason(nodes: DataFrame, plan_replies: DataFrame, plan_calls: DataFrame,
                max_iterations: int = MAX_PLAN_ITERATIONS) -> DataFrame:
-    """session end reason per rollout, in the reference's priority order
-    over the events the tables carry: answer executed > parse error on the
-    last planner reply > iteration cap > incomplete."""
-    ans = nodes.groupBy("graph_id").agg(
-        F.count_if(F.col("node_id").endswith("_answer") & (F.col("status") != "")).alias("n_answer_done"))
-    last = plan_replies.groupBy("graph_id").agg(F.max_by("error", "iteration").alias("last_error"),
-                                                F.max("iteration").alias("last_it"))
+    """session end reason per rollout, from graphs and planner replies: the answer
+    node (D7) has an answer, whatever its status > parse error on the last reply >
+    iteration cap > incomplete.  (From an event log: ``sessions.session_ends``.)"""
+    is_ans = F.col("node_id").endswith("_answer")
+    ans = nodes.groupBy("graph_id").agg(F.max_by(F.when(is_ans, F.col("answer")), F.when(is_ans, F.col("seq"))).alias("said"))
+    last = plan_replies.groupBy("graph_id").agg(F.max_by("error", "iteration").alias("last_error"))
     j = plan_calls.join(ans, "graph_id", "left").join(last, "graph_id", "left")
-    reason = (F.when(F.coalesce(F.col("n_answer_done"), F.lit(0)) > 0, "answer")
+    reason = (F.when(F.coalesce(F.col("said"), F.lit("")) != "", "answer")
               .when(F.col("last_error").isNotNull(), "parse_error")
               .when(F.col("plan_calls") >= max_iterations, "max_iterations").otherwise("incomplete"))
     return j.select("graph_id", reason.alias("reason"))

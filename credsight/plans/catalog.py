@@ -43,4 +43,4 @@ def load_all() -> None:
         importlib.import_module(f"credsight.plans.{name}")
 
 
-MODULES = ["q_advantage", "q_losses", "q_eval", "q_graph", "q_rules", "q_text", "q_metrics", "q_retrieve", "q_stream"]
+MODULES = ["q_advantage", "q_losses", "q_eval", "q_graph", "q_rules", "q_text", "q_metrics", "q_sessions", "q_retrieve", "q_stream"]

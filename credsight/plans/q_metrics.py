@@ -95,16 +95,16 @@ def _plan_calls(n, v):
     return R.plans(n, v).groupBy("graph_id").agg(F.count(F.lit(1)).alias("plan_calls"))
 
 
-@query("batch_cost", "F5", oracle_with("gnodes", "deps", "verdicts") + _PLAN_CALLS_SQL + """,
-calls AS (SELECT n.graph_id, n.iteration, n.seq, count(d.dep_id) AS calls FROM gnodes n
-          LEFT JOIN deps d USING (graph_id, seq) GROUP BY ALL),
+@query("batch_cost", "F5", oracle_with("gnodes", "verdicts") + _PLAN_CALLS_SQL + """,
+calls AS (SELECT n.graph_id, n.iteration, n.seq, count(c.conv_id) FILTER (WHERE regexp_matches(c.text, '\\S')) AS calls FROM gnodes n
+          LEFT JOIN conversations c ON c.conv_id = n.okey AND c.role = 'assistant' GROUP BY ALL),
 pb AS (SELECT graph_id, iteration, max(calls) AS bm FROM calls GROUP BY ALL),
 g AS (SELECT graph_id, sum(bm) AS exec_steps FROM pb GROUP BY graph_id)
 SELECT graph_id, CAST(exec_steps AS BIGINT) AS exec_steps, plan_calls, CAST(plan_calls + exec_steps AS BIGINT) AS steps
 FROM g JOIN pc USING (graph_id)""")
 def q_batch_cost(spark, sf):
-    v, n, d, _ = _graph(spark, sf)
-    return M.batch_cost(n, d, _plan_calls(n, v))
+    v, n, _, _ = _graph(spark, sf)
+    return M.batch_cost(n, M.model_calls(n, read_table(spark, sf, "conversations")), _plan_calls(n, v))
 
 
 @query("derived_counters", "F7", oracle_with("gnodes", "verdicts") + _PLAN_CALLS_SQL + """
@@ -251,10 +251,9 @@ def q_failure_taxonomy(spark, sf):
 @query("end_reason", "F9", oracle_with("gnodes", "verdicts", "plans") + """,
 pc AS (SELECT graph_id, count(*) AS plan_calls FROM (
          SELECT graph_id, iteration FROM gnodes UNION SELECT graph_id, iteration FROM verdicts) GROUP BY graph_id),
-ans AS (SELECT graph_id, count(*) FILTER (WHERE ends_with(node_id, '_answer') AND status <> '') AS n_done
-        FROM gnodes GROUP BY graph_id),
-lst AS (SELECT graph_id, max(iteration) % 4 = 3 AS last_bad FROM plans GROUP BY graph_id)
-SELECT pc.graph_id, CASE WHEN coalesce(n_done, 0) > 0 THEN 'answer' WHEN last_bad THEN 'parse_error'
+ans AS (SELECT graph_id, arg_max(answer, seq) FILTER (WHERE ends_with(node_id, '_answer')) AS said FROM gnodes GROUP BY graph_id),
+lst AS (SELECT graph_id, arg_max(contains(text, 'node_statuses'), iteration) AS usable FROM plans GROUP BY graph_id)
+SELECT pc.graph_id, CASE WHEN coalesce(said, '') <> '' THEN 'answer' WHEN NOT usable THEN 'parse_error'
                          WHEN plan_calls >= 30 THEN 'max_iterations' ELSE 'incomplete' END AS reason
 FROM pc LEFT JOIN ans USING (graph_id) LEFT JOIN lst USING (graph_id)""")
 def q_end_reason(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from credsight.functions import text as X
 from credsight.operators import graph as G
+from credsight.operators.sessions import plan_nodes, usable
 from credsight.plans.catalog import query
 from credsight.sources.fixtures import chat_turns, dag_nodes, oracle_with, plan_texts, tasks
 from credsight.sources.tables import read_table
@@ -115,29 +116,53 @@ def q_text_json_block(spark, sf):
     return p.select("graph_id", "iteration", X.json_block(F.col("text")).alias("block"))
 
 
-@query("text_plan_parse", "C5,C6,C7,C8", oracle_with("plans") + """,
-expect AS (SELECT p.graph_id, p.iteration, p.iteration % 4 AS kind,
-                  (SELECT count(*) FROM nodes n WHERE n.graph_id = p.graph_id AND n.iteration = p.iteration - 1
-                     AND n.spec_id <> '' AND n.status IN ('Success', 'Uncertain', 'Not Found', 'Failed')) AS n_statuses,
-                  (SELECT count(*) FROM nodes n WHERE n.graph_id = p.graph_id AND n.iteration = p.iteration) AS n_nodes
-           FROM plans p)
-SELECT graph_id, iteration,
-       CASE WHEN kind = 3 THEN 'No JSON block found. Output a ```json block with node_statuses and nodes.' END AS error,
-       CASE WHEN kind = 3 THEN 0 ELSE n_statuses END AS n_statuses,
-       CASE WHEN kind = 3 THEN 0 ELSE n_nodes END AS n_nodes
-FROM expect""")
+# the twin parses the located block with DuckDB's JSON functions
+_PARSED_SQL = _BLOCK_SQL + """,
+j AS (SELECT graph_id, iteration, block,
+             CASE WHEN json_valid(block) THEN block WHEN NOT contains(block, '"') AND json_valid(replace(block, chr(39), '"'))
+                  THEN replace(block, chr(39), '"') END AS doc FROM blk),
+good AS (SELECT * FROM j WHERE json_type(doc, '$.node_statuses') = 'OBJECT' AND json_type(doc, '$.nodes') = 'ARRAY'),
+kept AS (SELECT graph_id, iteration, pos, n FROM (
+           SELECT graph_id, iteration, unnest(json_extract(doc, '$.nodes[*]')) AS n, generate_subscripts(json_extract(doc, '$.nodes[*]'), 1) AS pos FROM good)
+         WHERE json_extract_string(n, '$.description') IS NOT NULL AND json_extract_string(n, '$.prompt') IS NOT NULL)
+"""
+
+
+def _parsed(spark, sf):
+    """Replies with their block located and parsed once; every later column reads these."""
+    p = plan_texts(spark, sf).withColumn("blk", X.json_block(F.col("text")))
+    return p.withColumn("parsed", X.parse_plan(F.col("blk")))
+
+
+@query("text_plan_parse", "C5,C6,C7,C8", _PARSED_SQL + """
+SELECT j.graph_id, j.iteration,
+       CASE WHEN coalesce(block, '') = '' THEN 'No JSON block found. Output a ```json block with node_statuses and nodes.'
+            WHEN doc IS NULL THEN 'JSON parse failed. Check double quotes and escaping.'
+            WHEN good.graph_id IS NULL THEN 'JSON must contain ''node_statuses'' (object) and ''nodes'' (array).' END AS error,
+       (SELECT count(*) FROM good g, unnest(json_keys(g.doc, '$.node_statuses')) k(key) WHERE g.graph_id = j.graph_id AND g.iteration = j.iteration
+          AND json_extract_string(g.doc, '$.node_statuses."' || key || '"') IN ('Success', 'Uncertain', 'Not Found', 'Failed')) AS n_statuses,
+       (SELECT count(*) FROM kept k WHERE k.graph_id = j.graph_id AND k.iteration = j.iteration) AS n_nodes
+FROM j LEFT JOIN (SELECT graph_id, iteration FROM good) good USING (graph_id, iteration)""")
 def q_text_plan_parse(spark, sf):
-    p = plan_texts(spark, sf)
-    # locate and parse each reply once; every later column reads these
-    p = p.withColumn("blk", X.json_block(F.col("text")))
-    p = p.withColumn("parsed", X.parse_plan(F.col("blk")))
-    st = F.map_filter(F.col("parsed")["node_statuses"], lambda k, v: v.isin(*X.PLAN_STATUSES))
-    kept = F.filter(F.col("parsed")["nodes"], lambda n: n["description"].isNotNull() & n["prompt"].isNotNull())
+    p = _parsed(spark, sf)
+    st, kept = usable(F.col("parsed"))
     return p.select("graph_id", "iteration", X.plan_error_of(F.col("blk"), F.col("parsed")).alias("error"),
                     F.coalesce(F.size(st), F.lit(0)).cast("bigint").alias("n_statuses"),
                     F.coalesce(F.size(kept), F.lit(0)).cast("bigint").alias("n_nodes"))
 
 
+@query("plan_nodes", "C8", _PARSED_SQL + """,
+e AS (SELECT *, coalesce(json_extract_string(n, '$.id'), '') AS spec,
+             sum(CASE WHEN coalesce(json_extract_string(n, '$.id'), '') = '' THEN 1 ELSE 0 END) OVER (PARTITION BY graph_id ORDER BY iteration, pos) AS c FROM kept)
+SELECT graph_id, iteration, CAST(row_number() OVER (PARTITION BY graph_id, iteration ORDER BY pos) AS BIGINT) AS pos,
+       CASE WHEN spec = '' THEN 't' || CAST(c AS VARCHAR) ELSE spec END AS node_id, json_extract_string(n, '$.description') AS description,
+       coalesce(array_to_string(CAST(json_extract_string(n, '$.dependencies[*]') AS VARCHAR[]), ','), '') AS dependencies
+FROM e""")
+def q_plan_nodes(spark, sf):
+    n = plan_nodes(_parsed(spark, sf))
+    return n.select("graph_id", "iteration", "pos", "node_id", "description", F.array_join("dependencies", ",").alias("dependencies"))
+
+
 @query("text_summary", "C13", oracle_with("gnodes") + """
 SELECT graph_id, node_id, concat_ws(chr(10),
    CASE WHEN node_id <> '' THEN '[Node ' || node_id || '] ' || description END,

@@ -439,11 +439,15 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_texts(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     """plans(graph_id, iteration, text): one planner reply per (graph, batch),
     holding the batch's node specs and the verdicts on the previous batch as
-    JSON -- fenced, bare, single-quoted or missing, by iteration."""
+    JSON -- fenced, bare, single-quoted or missing, by iteration.  Some specs lack
+    the prompt, half of them the dependencies."""
     nodes = nodes if nodes is not None else dag_nodes(spark, sf_dir)
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     spec = F.concat(F.lit("{"), F.lit('"id": '), q(F.col("spec_id")), F.lit(', "description": '),
-                    q(F.col("description")), F.lit(', "prompt": '), q(F.col("prompt")), F.lit("}"))
+                    q(F.col("description")),
+                    F.when(F.col("okey") % 13 == 5, F.lit("")).otherwise(F.concat(F.lit(', "prompt": '), q(F.col("prompt")))),
+                    F.when(F.col("okey") % 2 == 0, F.concat(F.lit(', "dependencies": ["n'), (F.col("seq") - 1).cast("string"),
+                                                            F.lit('", "n1"]'))).otherwise(F.lit("")), F.lit("}"))
     specs = nodes.groupBy("graph_id", "iteration").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", spec.alias("s")))),
                                  lambda x: x["s"]), ", ").alias("specs"))
@@ -496,8 +500,10 @@ plans AS (
     SELECT sp.graph_id, sp.iteration,
            '{"node_statuses": {' || coalesce(st.sts, '') || '}, "nodes": [' || sp.specs || ']}' AS doc
     FROM (SELECT graph_id, iteration,
-                 string_agg('{"id": "' || spec_id || '", "description": "' || description || '", "prompt": "'
-                            || prompt || '"}', ', ' ORDER BY seq) AS specs
+                 string_agg('{"id": "' || spec_id || '", "description": "' || description || '"'
+                            || CASE WHEN okey % 13 = 5 THEN '' ELSE ', "prompt": "' || prompt || '"' END
+                            || CASE WHEN okey % 2 = 0 THEN ', "dependencies": ["n' || CAST(seq - 1 AS VARCHAR) || '", "n1"]' ELSE '' END
+                            || '}', ', ' ORDER BY seq) AS specs
           FROM nodes GROUP BY graph_id, iteration) sp
     LEFT JOIN (SELECT graph_id, iteration + 1 AS iteration,
                       string_agg('"' || spec_id || '": "' || CASE WHEN status = '' THEN 'Pending' ELSE status END || '"',
@@ -507,6 +513,100 @@ plans AS (
 
 ORACLE_DEPS.update({"turns": [], "plans": ["nodes"]})
 
+# ---------------------------------------------------------------------------
+# Logs of planners, executor runs and sessions
+# ---------------------------------------------------------------------------
+
+
+def planner_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log(conv_id, turn, role, text, error): assistant turns of conversations as
+    planner replies -- usable, broken, without JSON, of a wrong shape, empty plan,
+    missing, failed call -- and retry prompts after replies that cannot be parsed."""
+    c = read_table(spark, sf_dir, "conversations")
+    conv, turn, t = F.col("conv_id"), F.col("turn"), F.col("text")
+    # every third conversation has only failing replies, so that plans use up their attempts
+    kind = F.when(conv % 3 == 0, 1 + turn % 3).otherwise((conv * 5 + turn * 3) % 11)
+    doc = F.concat(F.lit('{"node_statuses": {"n'), turn.cast("string"), F.lit('": "Success"}, "nodes": [{"id": "q", "description": "look at '),
+                   F.length(t).cast("string"), F.lit('", "prompt": "p"}]}'))
+    fence = lambda x: F.concat(F.lit("Plan:\n```json\n"), x, F.lit("\n```"))
+    reply = (F.when(kind == 1, fence(F.lit('{"node_statuses": {"n1": "Success"}, "nodes": [}')))
+             .when(kind == 2, t).when(kind == 3, fence(F.lit('{"node_statuses": [], "nodes": []}')))
+             .when(kind == 9, fence(F.lit('{"node_statuses": {"x": "Maybe"}, "nodes": [{"description": "no prompt"}]}')))
+             .when(kind == 10, fence(F.translate(doc, '"', "'"))).when(kind.isin(7, 8), F.lit(None).cast("string")).otherwise(fence(doc)))
+    bot = F.col("role") == "assistant"
+    before = F.lag(F.when(bot, kind)).over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = F.when((F.col("role") == "user") & before.isin(1, 2, 3), F.concat(F.lit("[FORMAT WARNING] "), t)).otherwise(t)
+    return c.select("conv_id", "turn", "role", F.when(bot, reply).otherwise(asked).alias("text"),
+                    F.when(bot & (kind == 8), F.lit("connection reset")).alias("error"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log(run_id, us, event_id, kind): events of a user within three days as an executor run."""
+    e = read_table(spark, sf_dir, "events")
+    us = F.unix_micros(_utc(F.col("ts")))
+    t, i = F.col("event_type"), F.col("event_id")
+    kind = (F.when(t.isin("view", "click"), "turn").when(t == "signup", "empty")
+            .when(t == "error", F.when(i % 4 == 0, "overflow").when(i % 4 == 1, "exception").otherwise("error"))
+            .otherwise(F.when(i % 2 == 0, "finish").otherwise("turn")))
+    return e.select((F.col("user_id") * 100000 + F.floor(us / (3 * 86_400_000_000))).alias("run_id"), us.alias("us"), "event_id", kind.alias("kind"))
+
+
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log(user_id, us, event_id, kind, turns): a user's events as planner and batch events."""
+    e = read_table(spark, sf_dir, "events")
+    t, i = F.col("event_type"), F.col("event_id")
+    kind = (F.when(t == "view", "plan").when(t == "click", "batch").when(t == "signup", "empty")
+            .when(t == "error", F.when(i % 8 == 0, "context").when(i % 8 == 1, "exception").when(i % 8 == 2, "parse_error").otherwise("plan"))
+            .otherwise(F.when(i % 6 == 0, "answer").otherwise("batch")))
+    return e.select("user_id", F.unix_micros(_utc(F.col("ts"))).alias("us"), "event_id", kind.alias("kind"),
+                    F.floor("value").cast("bigint").alias("turns"))
+
+
+def _utc(c):
+    """A naive wall-clock timestamp read as UTC."""
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
+ORACLE_CTES["planner_log"] = """
+plog0 AS (
+  SELECT *, CASE WHEN conv_id % 3 = 0 THEN 1 + turn % 3 ELSE (conv_id * 5 + turn * 3) % 11 END AS kd,
+         '{"node_statuses": {"n' || CAST(turn AS VARCHAR) || '": "Success"}, "nodes": [{"id": "q", "description": "look at '
+         || CAST(length(text) AS VARCHAR) || '", "prompt": "p"}]}' AS doc
+  FROM conversations),
+planner_log AS (
+  SELECT conv_id, turn, role,
+    CASE WHEN role = 'assistant' THEN
+      CASE kd WHEN 1 THEN 'Plan:' || chr(10) || '```json' || chr(10) || '{"node_statuses": {"n1": "Success"}, "nodes": [}' || chr(10) || '```'
+              WHEN 2 THEN text
+              WHEN 3 THEN 'Plan:' || chr(10) || '```json' || chr(10) || '{"node_statuses": [], "nodes": []}' || chr(10) || '```'
+              WHEN 9 THEN 'Plan:' || chr(10) || '```json' || chr(10) || '{"node_statuses": {"x": "Maybe"}, "nodes": [{"description": "no prompt"}]}' || chr(10) || '```'
+              WHEN 10 THEN 'Plan:' || chr(10) || '```json' || chr(10) || replace(doc, '"', '''') || chr(10) || '```'
+              WHEN 7 THEN NULL WHEN 8 THEN NULL
+              ELSE 'Plan:' || chr(10) || '```json' || chr(10) || doc || chr(10) || '```' END
+         WHEN role = 'user' AND lag(CASE WHEN role = 'assistant' THEN kd END) OVER (PARTITION BY conv_id ORDER BY turn) IN (1, 2, 3)
+         THEN '[FORMAT WARNING] ' || text ELSE text END AS text,
+    CASE WHEN role = 'assistant' AND kd = 8 THEN 'connection reset' END AS error
+  FROM plog0)"""
+
+ORACLE_CTES["run_log"] = """
+run_log AS (
+  SELECT user_id * 100000 + CAST(floor(epoch_us(ts) / 259200000000.0) AS BIGINT) AS run_id, epoch_us(ts) AS us, event_id,
+         CASE event_type WHEN 'view' THEN 'turn' WHEN 'click' THEN 'turn' WHEN 'signup' THEN 'empty'
+              WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'overflow' WHEN 1 THEN 'exception' ELSE 'error' END
+              ELSE CASE WHEN event_id % 2 = 0 THEN 'finish' ELSE 'turn' END END AS kind
+  FROM events)"""
+
+ORACLE_CTES["session_log"] = """
+session_log AS (
+  SELECT user_id, epoch_us(ts) AS us, event_id,
+         CASE event_type WHEN 'view' THEN 'plan' WHEN 'click' THEN 'batch' WHEN 'signup' THEN 'empty'
+              WHEN 'error' THEN CASE event_id % 8 WHEN 0 THEN 'context' WHEN 1 THEN 'exception' WHEN 2 THEN 'parse_error' ELSE 'plan' END
+              ELSE CASE WHEN event_id % 6 = 0 THEN 'answer' ELSE 'batch' END END AS kind,
+         CAST(floor(value) AS BIGINT) AS turns
+  FROM events)"""
+
+ORACLE_DEPS.update({"planner_log": [], "run_log": [], "session_log": []})
+
 
 def dag_inputs(spark: SparkSession, sf_dir: str):
     """(nodes with resolved ids, deps, verdicts) for the DAG queries, as plain
