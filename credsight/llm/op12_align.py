@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from credsight.llm.common import map_arrow, stored, table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MEMO_CHARS, MEMO_ENTRIES, FRESH_ENTRIES, MAX_PAIRS = 64, 100_000, 60_000, 2_000_000
+MEMO_CHARS, MEMO_ENTRIES, FRESH_ENTRIES, MAX_PAIRS = 64, 250_000, 250_000, 2_000_000
 AT_ONCE = 400                     # chunks encoded as one text: the merge queues of both libraries stay small
 NO_TOKENS = (0, 0, 0, b"", b"")
 _PIECE = attrgetter("id", "begin", "end")
@@ -126,6 +126,7 @@ class Aligner:
             self.a_bytes[i] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(p) for p in pieces]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.width = len(pieces)
         self.code = np.uint32 if len(self.a_bytes) * self.width < 1 << 32 else np.uint64
         # chunks are independent only if no piece goes on with a space
@@ -141,32 +142,36 @@ class Aligner:
     def _chunks(self, text: str) -> list[str]:
         return chunks(text) if self.cut else [text]
 
-    def align(self, text: str) -> tuple | None:
-        """(A ids, A ends, B ids, B ends) of ``space + text``, ends in bytes; None where
+    def align(self, texts: list[str]) -> Iterator[tuple | None]:
+        """(A ids, A ends, B ids, B ends) of every ``space + text``, ends in bytes; None where
         the token bytes differ from it."""
-        raw = b" " + text.encode()
-        enc = self.a.encode(" " + text, add_special_tokens=False)
-        pieces = list(map(_PIECE, self.b.encode(text, return_type="proto").pieces))
-        a_tok = list(map(self.a_bytes.__getitem__, enc.ids))
-        b_tok = [self.b_bytes[i] for i, _, _ in pieces]
-        if b"".join(a_tok) != raw or b"".join(b_tok) != raw:
-            return None
-        a_span = np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(a_tok)).reshape(-1, 2)
-        if len(raw) != len(text) + 1:                     # characters to bytes
-            begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-            a_span = np.append(begins, len(raw))[a_span]
-        b = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(b_tok)).reshape(-1, 3)
-        sizes = [np.fromiter(map(len, t), np.int64, len(t)) for t in (a_tok, b_tok)]
-        # B's spans are those of the text without the added space
-        return (np.array(enc.ids, np.int64), token_ends(sizes[0], a_span[:, 0], a_span[:, 1]),
-                b[:, 0], token_ends(sizes[1], b[:, 1] + 1, b[:, 2] + 1))
+        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes
+        encodings = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        protos = self.b.encode(texts, return_type="proto", num_threads=1)
+        for text, enc, proto in zip(texts, encodings, protos):
+            raw = b" " + text.encode()
+            ids = enc.ids
+            pieces = list(map(_PIECE, proto.pieces))
+            a_tok = list(map(a_bytes, ids))
+            b_tok = [b_bytes[i] for i, _, _ in pieces]
+            if b"".join(a_tok) != raw or b"".join(b_tok) != raw:
+                yield None
+                continue
+            a_span = np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(a_tok)).reshape(-1, 2)
+            if len(raw) != len(text) + 1:                 # characters to bytes
+                begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                a_span = np.append(begins, len(raw))[a_span]
+            a_ids = np.array(ids, np.int64)
+            b = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(b_tok)).reshape(-1, 3)
+            # B's spans are those of the text without the added space
+            yield (a_ids, token_ends(self.a_size[a_ids], a_span[:, 0], a_span[:, 1]),
+                   b[:, 0], token_ends(self.b_size[b[:, 0]], b[:, 1] + 1, b[:, 2] + 1))
 
     def run(self, todo: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, groups as text, link codes) of every chunk, or ``NO_TOKENS``.
         Chunks are encoded side by side in one text, which both tokenizers cut between them."""
         found, base = [], 0
-        for k in range(0, len(todo), AT_ONCE):
-            x = self.align(" ".join(todo[k:k + AT_ONCE]))
+        for x in self.align([" ".join(todo[k:k + AT_ONCE]) for k in range(0, len(todo), AT_ONCE)]):
             if x is None:
                 found = None
                 break
@@ -263,7 +268,7 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
         out: dict[str, list] = {n: [] for n in ("a_ids", "a_ends", "b_ids", "b_ends", "cuts")}
         for t in batch.column(1):
             text = t.as_py()
-            found = al.align(text) if text else None
+            found = next(al.align([text])) if text else None
             rows = found if found is not None else [np.empty(0, np.int64)] * 4
             for name, r in zip(out, (*rows, np.intersect1d(rows[1], rows[3]))):
                 out[name].append(r.tolist())
