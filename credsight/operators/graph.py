@@ -4,8 +4,9 @@ Tables: ``nodes(graph_id, seq, iteration, spec_id|node_id, status, description,
 prompt, answer, explanation, key_steps, confidence, uncertainties, raw_text)``
 and ``deps(graph_id, seq, dep_pos, dep_id)`` (a node's dependency list).
 
-Numeric graph work (edges, depth, cycles, closure, counts) is joins and
-partial aggregates keyed by (graph_id, node), so no graph ever has to fit in
+Numeric graph work (edges, counts) is joins and partial aggregates keyed by
+(graph_id, node).  Depth, cycles and closure take small graphs in blocks and big
+ones, told apart by a count, through joins, so no big graph has to fit in
 one task.  Per-graph *text* (frontier lists, ledgers) is one string per
 graph by definition; a planner graph is bounded by the agent's iteration
 cap, which bounds those aggregates.
@@ -18,7 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credsight.session import stored
 
+#: graphs of more edges do not pass through one task as a whole
+BIG_GRAPH_EDGES = 200_000
 
 # Fixed values of the DAG format.
 AWAITING = "Awaiting Evaluation"
@@ -203,7 +207,7 @@ def nodes_per_batch(nodes: DataFrame) -> DataFrame:
 
 def _blocks(spark) -> int:
     """Blocks of graphs for the grouped passes: several per shuffle partition, so a
-    block is a fraction of a partition.  A graph itself is bounded by the plan cap."""
+    block is a fraction of a partition.  A graph itself is bounded by ``BIG_GRAPH_EDGES``."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -240,25 +244,72 @@ def _depth_block(nodes: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
                          "depth": shown[node], "processed": done[node]})
 
 
-def depths(nodes: DataFrame, e: DataFrame) -> DataFrame:
+def depths(nodes: DataFrame, e: DataFrame, big_edges: int = BIG_GRAPH_EDGES) -> DataFrame:
     """Longest path from a root by layered topological peeling.
 
-    Graphs are small (the planner's cap) and many: nodes and edges meet once,
-    in hash blocks of whole graphs, and one numpy pass peels all graphs of a
-    block level by level.  Nodes on or behind a cycle are never released; they
+    Most graphs are small (the planner's cap) and many: their nodes and edges meet
+    once, in hash blocks of whole graphs, and one numpy pass peels all graphs of a
+    block level by level.  Graphs of more than ``big_edges`` edges, found by a count,
+    are peeled by joins on (graph, node) instead (:func:`depths_by_level`), with the
+    same result.  Nodes on or behind a cycle are never released; they
     keep the depth their processed parents gave them (0 when none), and their
     graph is flagged cyclic.
 
     -> (graph_id, node_id, depth, processed)
     """
-    block = F.pmod(F.xxhash64("graph_id"), F.lit(_blocks(nodes.sparkSession))).alias("_blk")
-    n = nodes.select("graph_id", "node_id", block)
+    n = nodes.select("graph_id", "node_id")
+    e = stored(e.select("graph_id", "src", "dst"), "graph-edges")
+    big = _big_graphs(e, big_edges)
+    if big is None:
+        return _depths_in_blocks(n, e)
+    small = _depths_in_blocks(n.join(big, "graph_id", "left_anti"), e.join(big, "graph_id", "left_anti"))
+    return small.unionByName(depths_by_level(n.join(big, "graph_id", "left_semi"), e.join(big, "graph_id", "left_semi")))
+
+
+def _big_graphs(rows: DataFrame, limit: int) -> DataFrame | None:
+    """Graphs of more than ``limit`` rows (at most rows / limit of them); None where there is none."""
+    big = stored(rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("graph_id"), "graph-big")
+    return None if big.isEmpty() else big
+
+
+def _depths_in_blocks(n: DataFrame, e: DataFrame) -> DataFrame:
+    block = F.pmod(F.xxhash64("graph_id"), F.lit(_blocks(n.sparkSession))).alias("_blk")
+    n = n.select("graph_id", "node_id", block)
     ed = e.select(F.col("graph_id").alias("g"), F.col("src").alias("s"), F.col("dst").alias("t"), block.alias("_eblk"))
-    kind = nodes.schema["graph_id"].dataType.simpleString()
+    kind = n.schema["graph_id"].dataType.simpleString()
     return n.groupBy("_blk").cogroup(ed.groupBy("_eblk")).applyInPandas(
         _depth_block, f"graph_id {kind}, node_id string, depth bigint, processed boolean")
 
 
+def depths_by_level(n: DataFrame, e: DataFrame) -> DataFrame:
+    """The same by one step of joins per level, for graphs of any size.
+
+    The state is one row per node that still waits (parents not yet released, depth
+    so far).  The nodes released last meet their edges on (graph, src); what they
+    release is a partial aggregate per (graph, dst).  Every level is written, so the
+    lineage stays short and a lost executor repeats one step.  Rounds: the longest path.
+    """
+    into = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("left"))
+    wait = stored(n.distinct().join(into, ["graph_id", "node_id"], "left").select(
+        "graph_id", "node_id", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).cast("bigint").alias("depth")), "graph-wait")
+    done = []
+    while True:
+        free = stored(wait.where("left = 0").select("graph_id", "node_id", "depth"), "graph-level")
+        if free.isEmpty():
+            break
+        done.append(free.withColumn("processed", F.lit(True)))
+        given = (free.withColumnRenamed("node_id", "src").join(e, ["graph_id", "src"])
+                 .groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("k"), F.max("depth").alias("up")))
+        wait = stored(wait.where("left > 0").join(given, ["graph_id", "node_id"], "left").select(
+            "graph_id", "node_id", (F.col("left") - F.coalesce("k", F.lit(0))).alias("left"),
+            F.greatest("depth", F.coalesce(F.col("up") + 1, F.lit(0))).alias("depth")), "graph-wait")
+    out = wait.select("graph_id", "node_id", "depth", F.lit(False).alias("processed"))
+    for d in done:
+        out = out.unionByName(d)
+    # a node that is listed twice has two rows, as in the grouped pass
+    return n.join(out, ["graph_id", "node_id"]).select("graph_id", "node_id", "depth", "processed")
+
+
 def graph_depth(d: DataFrame) -> DataFrame:
     """Per graph: cyclic flag and max depth (0 when cyclic, as the caller records)."""
     g = d.groupBy("graph_id").agg(F.count_if(~F.col("processed")).alias("n_unprocessed"),
@@ -287,21 +338,47 @@ def _closure_block(dl: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"graph_id": keys["graph_id"].to_numpy()[seen // n], "seed_id": ids[seen // n], "node_id": ids[seen % n]})
 
 
-def transitive_deps(nodes: DataFrame, deps: DataFrame, seeds: DataFrame) -> DataFrame:
+def transitive_deps(nodes: DataFrame, deps: DataFrame, seeds: DataFrame, big_edges: int = BIG_GRAPH_EDGES) -> DataFrame:
     """Transitive dependencies of each seed node, including itself; ids
     not in the graph are included (they just do not expand); cycle-safe.
 
-    As in :func:`depths`, hash blocks of whole graphs meet once.
+    As in :func:`depths`, small graphs meet once in hash blocks, big ones go
+    through joins on (graph, node).
     ``seeds(graph_id, seed_id)``.  -> (graph_id, seed_id, node_id)
     """
-    block = F.pmod(F.xxhash64("graph_id"), F.lit(_blocks(nodes.sparkSession))).alias("_blk")
-    dl = dependency_lists(nodes, deps).select("graph_id", F.col("node_id").alias("x"), F.col("dep_id").alias("y"), block)
+    dl = stored(dependency_lists(nodes, deps).select("graph_id", "node_id", "dep_id"), "graph-deps")
+    seeds = seeds.select("graph_id", "seed_id")
+    big = _big_graphs(dl, big_edges)
+    if big is None:
+        return _closure_in_blocks(dl, seeds)
+    small = _closure_in_blocks(dl.join(big, "graph_id", "left_anti"), seeds.join(big, "graph_id", "left_anti"))
+    return small.unionByName(closure_by_step(dl.join(big, "graph_id", "left_semi"), seeds.join(big, "graph_id", "left_semi")))
+
+
+def _closure_in_blocks(dl: DataFrame, seeds: DataFrame) -> DataFrame:
+    block = F.pmod(F.xxhash64("graph_id"), F.lit(_blocks(dl.sparkSession))).alias("_blk")
+    x = dl.select("graph_id", F.col("node_id").alias("x"), F.col("dep_id").alias("y"), block)
     sd = seeds.select(F.col("graph_id").alias("g"), F.col("seed_id").alias("s"), block.alias("_sblk"))
-    kind = nodes.schema["graph_id"].dataType.simpleString()
-    return dl.groupBy("_blk").cogroup(sd.groupBy("_sblk")).applyInPandas(
+    kind = dl.schema["graph_id"].dataType.simpleString()
+    return x.groupBy("_blk").cogroup(sd.groupBy("_sblk")).applyInPandas(
         _closure_block, f"graph_id {kind}, seed_id string, node_id string")
 
 
+def closure_by_step(dl: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same by semi-naive steps: what was reached last meets its dependencies on
+    (graph, node), and what was reached before is taken out.  Every step is written.
+    Rounds: the longest shortest path from a seed."""
+    dl = dl.distinct().withColumnRenamed("node_id", "x")
+    front = stored(seeds.distinct().withColumn("node_id", F.col("seed_id")), "graph-reached")
+    seen = front
+    while not front.isEmpty():
+        step = (front.withColumnRenamed("node_id", "x").join(dl, ["graph_id", "x"])
+                .select("graph_id", "seed_id", F.col("dep_id").alias("node_id")).distinct())
+        front = stored(step.join(seen, ["graph_id", "seed_id", "node_id"], "left_anti"), "graph-reached")
+        seen = seen.unionByName(front)
+    return seen
+
+
 # ---------------------------------------------------------------------------
 # D12 status application
 # ---------------------------------------------------------------------------

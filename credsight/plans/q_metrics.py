@@ -13,6 +13,7 @@ from credsight.operators import sampling as K
 from credsight.plans.catalog import query
 from credsight.plans.q_graph import _CLOSURE_SQL, _DEPTH_SQL
 from credsight.sources.fixtures import chat_turns, dag_inputs, oracle_with, tokens, trajectories
+from credsight.session import stored
 from credsight.sources.tables import read_table
 
 ALPHA, MAX_TRAJ = 0.5, 11
@@ -25,12 +26,17 @@ def _graph(spark, sf):
 
 
 def _credit(spark, sf, with_depth=False):
-    v, n, d, seeds = _graph(spark, sf)
+    """Credit rows, written once: the queries read them several times."""
+    v, n, d, _ = _graph(spark, sf)
+    n = stored(n.select("graph_id", "seq", "iteration", "node_id", "answer"), "credit-nodes")
+    d = stored(d, "credit-deps")
+    seeds = G.answer_nodes(n).select("graph_id", F.col("answer_node_id").alias("seed_id"))
     cl = G.transitive_deps(n, d, seeds)
     fa = G.final_answer(n).select("graph_id", F.when(F.col("final_answer").isNotNull(), 1.0).otherwise(0.0).alias("R"))
     c = M.credit_shaping(n, cl, fa, ALPHA)
     if with_depth:
         c = c.join(G.depths(n, G.edges(n, d)).select("graph_id", "node_id", "depth"), ["graph_id", "node_id"])
+        c = stored(c, "credit")
     return c
 
 

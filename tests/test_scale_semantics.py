@@ -24,7 +24,7 @@ def test_search_answers_every_query(spark):
     qs = {i: r.integers(-3, 4, 4).astype(float) for i in range(-2500, 2000)} | {None: np.ones(4), 5000: np.zeros(4)}
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(docs)], "doc_id long, vec array<double>")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in qs.items()], "qid long, vec array<double>")
-    got = B.topk_search(corpus, queries, 3, query_block=700, corpus_block=25).collect()
+    got = B.topk_search(corpus, queries, 3, query_block=700, clusters=4, sample=25).collect()
     assert Counter(x.qid for x in got) == {q: 3 for q in qs}
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
     by = {}
