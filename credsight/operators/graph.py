@@ -408,52 +408,76 @@ def applicable_verdicts(nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
 # A8 serialise / deserialise, C14 state text, C16 ledger
 # ---------------------------------------------------------------------------
 
-NODE_JSON_SCHEMA = ("struct<nodes: map<string, struct<id: string, description: string, prompt: string, "
-                    "dependencies: array<string>, status: string, depth: bigint, "
-                    "query_doc: struct<answer: string, explanation: string, key_steps: string, "
-                    "confidence: string, uncertainties: string>, "
-                    "transcript: struct<raw_text: string, turns: bigint, failure_reason: string>, "
-                    "answer: string, explanation: string, key_steps: string, confidence: string, "
-                    "uncertainties: string>>, edges: array<array<string>>>")
+#: fields of a node document, with what a missing key stands for
+_DOC_TEXTS = ["description", "prompt", "status"]
+_DOC_ANSWER = ["answer", "explanation", "key_steps", "confidence", "uncertainties"]
+_DOC_KEYS = ["id", *_DOC_TEXTS, "dependencies", "depth", "query_doc", "transcript", *_DOC_ANSWER]
 
 
 def serialize(nodes: DataFrame, deps: DataFrame, e: DataFrame) -> DataFrame:
     """A8 to_dict: one JSON document per graph (nodes keyed by id in insertion
-    order, with the flat copies of the QueryDoc fields; edges as pairs)."""
+    order, with the flat copies of the QueryDoc fields; edges as pairs).
+
+    ``nodes`` may bring ``depth`` (D9), ``turns``, ``failure_reason``, and ``extra``, a JSON
+    object of further keys that are kept as they are; what it does not bring is 0 or null."""
+    for name, kind in (("depth", "bigint"), ("turns", "bigint"), ("failure_reason", "string"), ("extra", "string")):
+        if name not in nodes.columns:
+            nodes = nodes.withColumn(name, F.lit(None).cast(kind))
     dl = (dependency_lists(nodes, deps).groupBy("graph_id", "node_id")
           .agg(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))).alias("dl")))
     n = nodes.join(dl, ["graph_id", "node_id"], "left")
-    qd = F.struct("answer", "explanation", "key_steps", "confidence", "uncertainties")
-    node = F.struct(F.col("node_id").alias("id"), "description", "prompt",
-                    F.coalesce(F.transform("dl", lambda x: x["dep_id"]), F.array().cast("array<string>"))
-                    .alias("dependencies"),
-                    "status", F.lit(0).cast("bigint").alias("depth"), qd.alias("query_doc"),
-                    F.struct(F.col("raw_text"), F.lit(0).cast("bigint").alias("turns"),
-                             F.lit(None).cast("string").alias("failure_reason")).alias("transcript"),
-                    "answer", "explanation", "key_steps", "confidence", "uncertainties")
-    nm = n.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id", node.alias("v"))))
-                                   .alias("ns"))
-    ea = e.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("dst_seq", "dep_pos", "src", "dst")))
-                                   .alias("es"))
+    zero = F.lit(0).cast("bigint")
+    more = F.trim("extra")
+    node = F.when(F.length(more) > 2, F.concat(F.expr("substr(node, 1, length(node) - 1)"), F.lit(","), F.expr("substr(trim(extra), 2)"))) \
+        .otherwise(F.col("node"))
+    n = n.withColumn("node", F.to_json(F.struct(
+        F.col("node_id").alias("id"), "description", "prompt",
+        F.coalesce(F.transform("dl", lambda x: x["dep_id"]), F.array().cast("array<string>")).alias("dependencies"),
+        "status", F.coalesce("depth", zero).alias("depth"), F.struct(*_DOC_ANSWER).alias("query_doc"),
+        F.struct("raw_text", F.coalesce("turns", zero).alias("turns"), "failure_reason").alias("transcript"), *_DOC_ANSWER))) \
+        .withColumn("node", node)
+    key = F.expr("substr(to_json(array(node_id)), 2, length(to_json(array(node_id))) - 2)")
+    nm = n.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat(key, F.lit(":"), F.col("node")).alias("v")))).alias("ns"))
+    ea = e.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("dst_seq", "dep_pos", "src", "dst"))).alias("es"))
     g = nm.join(ea, "graph_id", "left")
-    doc = F.struct(
-        F.map_from_entries(F.transform("ns", lambda x: F.struct(x["node_id"], x["v"]))).alias("nodes"),
-        F.coalesce(F.transform("es", lambda x: F.array(x["src"], x["dst"])),
-                   F.array().cast("array<array<string>>")).alias("edges"))
-    return g.select("graph_id", F.to_json(doc).alias("doc"))
+    pairs = F.coalesce(F.to_json(F.transform("es", lambda x: F.array(x["src"], x["dst"]))), F.lit("[]"))
+    return g.select("graph_id", F.concat(F.lit('{"nodes":{'), F.array_join(F.transform("ns", lambda x: x["v"]), ","),
+                                         F.lit('},"edges":'), pairs, F.lit("}")).alias("doc"))
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """Nodes as their own JSON text by id, in document order, and the edges."""
+    return docs.select("graph_id", F.from_json("doc", "struct<nodes: map<string, string>, edges: array<array<string>>>").alias("g"))
 
 
 def deserialize(docs: DataFrame) -> DataFrame:
-    """A8 from_dict: JSON documents back to node rows (missing keys take defaults)."""
-    p = docs.select("graph_id", F.from_json("doc", NODE_JSON_SCHEMA).alias("g"))
-    n = p.select("graph_id", F.posexplode(F.map_entries("g.nodes")).alias("pos", "kv"),
-                 F.size("g.edges").alias("n_edges"))
-    v = F.col("kv.value")
-    return n.select("graph_id", (F.col("pos") + 1).alias("seq"), F.col("kv.key").alias("node_id"),
-                    F.coalesce(v["description"], F.lit("")).alias("description"),
-                    F.coalesce(v["status"], F.lit("")).alias("status"),
-                    F.coalesce(v["dependencies"], F.array().cast("array<string>")).alias("dependencies"),
-                    F.coalesce(v["query_doc"]["answer"], F.lit("")).alias("answer"), "n_edges")
+    """A8 from_dict: JSON documents back to node rows in document order.
+
+    A missing key takes its default: empty text, depth and turns 0, no dependencies, no
+    failure reason; answer fields are read from query_doc, or, where there is none, from
+    their flat copies.  Keys that are not of the format come back, sorted, as a JSON object in
+    ``extra`` (null if none)."""
+    n = _documents(docs).select("graph_id", F.size("g.edges").alias("n_edges"), F.posexplode(F.map_entries("g.nodes")).alias("pos", "kv"))
+    n = n.withColumn("d", F.try_parse_json("kv.value"))
+    get = lambda path, kind: F.try_variant_get("d", f"$.{path}", kind)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    has_doc = get("query_doc", "variant").isNotNull()
+    extra = F.map_filter(F.try_variant_get("d", "$", "map<string, variant>"), lambda k, v: ~k.isin(*_DOC_KEYS))
+    return n.select(
+        "graph_id", (F.col("pos") + 1).alias("seq"), F.col("kv.key").alias("node_id"), *[text(get(f, "string")).alias(f) for f in _DOC_TEXTS],
+        F.coalesce(get("dependencies", "array<string>"), F.array().cast("array<string>")).alias("dependencies"),
+        F.coalesce(get("depth", "bigint"), F.lit(0)).cast("bigint").alias("depth"),
+        *[text(F.when(has_doc, get(f"query_doc.{f}", "string")).otherwise(get(f, "string"))).alias(f) for f in _DOC_ANSWER],
+        text(get("transcript.raw_text", "string")).alias("raw_text"),
+        F.coalesce(get("transcript.turns", "bigint"), F.lit(0)).cast("bigint").alias("turns"),
+        get("transcript.failure_reason", "string").alias("failure_reason"),
+        F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra"), "n_edges")
+
+
+def deserialize_edges(docs: DataFrame) -> DataFrame:
+    """(graph_id, pos, src, dst): the edges of the documents, in order."""
+    e = _documents(docs).select("graph_id", F.posexplode("g.edges").alias("pos", "p"))
+    return e.select("graph_id", "pos", F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
 
 
 # Fixed value: state of a graph without nodes (C14).

@@ -230,19 +230,31 @@ def q_dag_batch_sizes(spark, sf):
     return G.nodes_per_batch(n)
 
 
-@query("dag_roundtrip", "A8", oracle_with("edges") + """,
-nd AS (SELECT n.graph_id, n.seq, n.node_id, n.status, n.answer, count(d.dep_id) AS n_deps
-       FROM gnodes n LEFT JOIN deps d USING (graph_id, seq) GROUP BY ALL),
-ne AS (SELECT graph_id, count(*) AS n_edges FROM edges GROUP BY graph_id)
-SELECT nd.graph_id, nd.seq, node_id, status, answer, CAST(n_deps AS INTEGER) AS n_deps,
-       CAST(coalesce(ne.n_edges, 0) AS INTEGER) AS n_edges
-FROM nd LEFT JOIN ne USING (graph_id)""")
+_ROUNDTRIP_SQL = ("""
+SELECT n.graph_id, n.seq, n.node_id, n.description, n.prompt, n.status, n.answer, n.explanation, n.key_steps, n.confidence, n.uncertainties,
+       n.raw_text, n.turns, n.failure_reason, n.extra, dep.depth, coalesce(x.deps, '') AS dependencies, coalesce(ne.n_edges, 0) AS n_edges
+FROM gnodes n JOIN dep USING (graph_id, node_id)
+LEFT JOIN (SELECT graph_id, seq, string_agg(dep_id, ',' ORDER BY dep_pos) AS deps FROM deps GROUP BY ALL) x ON x.graph_id = n.graph_id AND x.seq = n.seq
+LEFT JOIN (SELECT graph_id, CAST(count(*) AS INTEGER) AS n_edges FROM edges GROUP BY graph_id) ne ON ne.graph_id = n.graph_id""")
+
+
+@query("dag_roundtrip", "A8", oracle_with("edges", recursive=True) + _DEPTH_SQL + _ROUNDTRIP_SQL)
 def q_dag_roundtrip(spark, sf):
+    """Written and read back: every field, order, unknown keys."""
+    n, d = _g(spark, sf)
+    e = G.edges(n, d)
+    full = n.join(G.depths(n, e).select("graph_id", "node_id", "depth"), ["graph_id", "node_id"])
+    back = G.deserialize(G.serialize(full, d, e))
+    return back.select("graph_id", F.col("seq").cast("bigint").alias("seq"), "node_id", "description", "prompt", "status", "answer", "explanation",
+                       "key_steps", "confidence", "uncertainties", "raw_text", "turns", "failure_reason", "extra", "depth",
+                       F.array_join("dependencies", ",").alias("dependencies"), "n_edges")
+
+
+@query("dag_roundtrip_edges", "A8", oracle_with("edges") + """
+SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY dst_seq, dep_pos, src, dst) - 1 AS INTEGER) AS pos, src, dst FROM edges""")
+def q_dag_roundtrip_edges(spark, sf):
     n, d = _g(spark, sf)
-    docs = G.serialize(n, d, G.edges(n, d))
-    back = G.deserialize(docs)
-    return back.select("graph_id", "seq", "node_id", "status", "answer",
-                       F.size("dependencies").alias("n_deps"), "n_edges")
+    return G.deserialize_edges(G.serialize(n, d, G.edges(n, d)))
 
 
 @query("dag_state_text", "C14", oracle_with("gnodes", "deps") + _DL + """,

@@ -9,6 +9,7 @@ from credsight.functions.columns import r6, sql_r6
 from credsight.operators import graph as G
 from credsight.plans.catalog import query
 from credsight.plans.q_losses import _KL_RUNS, _steps_spark
+from credsight.session import stored
 from credsight.sources.fixtures import dag_deps, dag_nodes, oracle_with
 from credsight.streaming import stateful as K
 from credsight.streaming import streams as S
@@ -106,11 +107,15 @@ def q_stream_deadline_sessions(spark, sf):
 SELECT d.graph_id, count(*) AS n_deps, count(n.node_id) AS n_found
 FROM deps d LEFT JOIN gnodes n ON n.graph_id = d.graph_id AND n.node_id = d.dep_id GROUP BY d.graph_id""")
 def q_stream_static_lookup(spark, sf):
-    raw = dag_nodes(spark, sf)
+    """Nodes stored as two versions before the stream starts: every micro-batch finds both."""
+    raw = stored(dag_nodes(spark, sf), "l7-raw")
+    table = S.VersionedTable(spark, S.scratch(spark, "l7-nodes"), "graph_id long, node_id string")
     nodes = G.resolve_ids(raw)
+    for half in (0, 1):
+        table.append(nodes.where(F.col("seq") % 2 == half))
     path = S.materialise(dag_deps(spark, sf, raw), "l7-deps", partitions=8)
-    out = S.run_update(S.stream_static_lookup(S.stream_table(spark, path, max_files=2), nodes), "l7", ["graph_id"])
-    return out.select("graph_id", "n_deps", "n_found")
+    out = S.versioned_lookup(S.stream_table(spark, path, max_files=2), table, "l7")
+    return out.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_deps"), F.count_if("found").alias("n_found"))
 
 
 @query("stream_adaptive_kl", "L4", oracle_with("tok") + _KL_RUNS.format(horizon="10000.0") + f"""
@@ -193,13 +198,13 @@ def q_stream_role_deadline(spark, sf):
 
 
 def q_stream_validation(spark, sf):
-    from credsight.operators.rules import plans
+    """Plans arrive out of order, dealt over the files by a hash; the event time is the iteration."""
     from credsight.sources.fixtures import rule_inputs
-    n, d, v = rule_inputs(spark, sf)
-    d = d.checkpoint()                 # every micro-batch reads it
-    path = S.materialise(plans(n, v), "l8-plans", partitions=6)
-    out = S.validate_stream(S.stream_table(spark, path, max_files=2), n, d, v, "l8")
-    return out.select("graph_id", "iteration", "rule", "node_id", "message")
+    p = K.plan_messages(*rule_inputs(spark, sf)).withColumn("ts", F.timestamp_seconds("iteration"))
+    mixed = p.withColumn("arrival", F.timestamp_seconds(F.pmod(F.xxhash64("graph_id", "iteration"), F.lit(1_000_000))))
+    path = S.materialise_in_order(mixed, "l8-plans", "arrival", last=K.closing_row(mixed, "ts"))
+    st = K.timed(S.stream_table(spark, path, max_files=4), "ts", "100 days")
+    return K.run_stateful(K.validate_plans(st), "l8")
 
 
 def _register_validation():

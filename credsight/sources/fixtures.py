@@ -306,6 +306,10 @@ def dag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("okey") % 5 == 0, F.lit("")).otherwise(F.concat_ws(
             "\n", F.concat(F.lit("Searched "), p), F.concat(F.lit("Observed status "), s),
             F.concat(F.lit("Answer: "), answer))).alias("raw_text"),
+        (F.col("okey") % 9).alias("turns"), F.when(st == "Failed", F.lit("timeout")).alias("failure_reason"),
+        # keys that the document format does not know
+        F.when(F.col("okey") % 4 == 0, F.concat(F.lit('{"note":"k'), (F.col("okey") % 5).cast("string"), F.lit('","rank":'),
+                                                (F.col("okey") % 3).cast("string"), F.lit("}"))).alias("extra"),
     )
 
 
@@ -351,7 +355,9 @@ nodes AS (
          CASE WHEN status = 'Uncertain' THEN 'source conflict' ELSE '' END AS uncertainties,
          CASE WHEN okey % 5 = 0 THEN '' ELSE 'Searched ' || p || chr(10) || 'Observed status ' || s || chr(10)
               || 'Answer: ' || CASE WHEN status = 'Success' THEN 'A' || CAST(graph_id % 17 AS VARCHAR)
-                                    WHEN status = 'Uncertain' THEN 'maybe' ELSE '' END END AS raw_text
+                                    WHEN status = 'Uncertain' THEN 'maybe' ELSE '' END END AS raw_text,
+         okey % 9 AS turns, CASE WHEN status = 'Failed' THEN 'timeout' END AS failure_reason,
+         CASE WHEN okey % 4 = 0 THEN '{"note":"k' || CAST(okey % 5 AS VARCHAR) || '","rank":' || CAST(okey % 3 AS VARCHAR) || '}' END AS extra
   FROM (
     SELECT *,
       CASE WHEN p = '1-URGENT' AND s = 'F' THEN 'n' || CAST(seq AS VARCHAR) || '_answer'

@@ -1,4 +1,4 @@
-"""Keyed state with event-time timers: L3 (kept rows), L4, L5, L6.
+"""Keyed state with event-time timers: L3 (kept rows), L4, L5, L6, L8.
 
 Rows wait in state until the watermark has passed the moment that decides about
 them, so a result depends on event times alone, not on how the rows were dealt
@@ -11,12 +11,15 @@ named job goes on where it stopped.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from credsight.functions.columns import normalise_text
+from credsight.operators.rules import PENDING_STATUSES
 from credsight.streaming import streams as S
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -267,3 +270,157 @@ def adaptive_kl_in_order(steps: DataFrame, init: float, target: float, horizon:
 def month_start(step: Column) -> Column:
     """Event time of a step numbered yyyyMM."""
     return F.make_timestamp((step / 100).cast("int"), (step % 100).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
+
+# ---------------------------------------------------------------------------
+# L8 validation of plans as they arrive
+# ---------------------------------------------------------------------------
+
+PLAN_FIELDS = ("nodes array<struct<seq: long, node_id: string, exec_status: string, kd: string, kp: string, deps: array<string>>>, "
+               "verdicts array<struct<node_id: string, status: string>>")
+
+
+def plan_messages(nodes: DataFrame, deps: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(graph_id, iteration, nodes, verdicts): one row per plan, its texts normalised."""
+    dl = deps.groupBy("graph_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))), lambda x: x["dep_id"]).alias("deps"))
+    n = nodes.join(dl, ["graph_id", "seq"], "left").select("graph_id", "iteration", F.struct(
+        "seq", "node_id", "exec_status", normalise_text(F.col("description")).alias("kd"), normalise_text(F.col("prompt")).alias("kp"), "deps").alias("n"))
+    rows = n.unionByName(verdicts.select("graph_id", "iteration", F.struct("node_id", "status").alias("v")), allowMissingColumns=True)
+    return rows.groupBy("graph_id", "iteration").agg(F.array_sort(F.collect_list("n")).alias("nodes"), F.collect_list("v").alias("verdicts"))
+
+
+def _names(ids) -> str:
+    return "[" + ", ".join(f"'{i}'" for i in sorted(ids)) + "]"
+
+
+class PlanRules(StatefulProcessor):
+    """E1-E9 on the plans of a graph in the order of their iterations.
+
+    State instead of the stored graph: every id with its first and latest batch and
+    its status, the ids that await a verdict, the first batch of every normalised
+    (description, prompt), the latest batch.  A plan that arrives early waits until
+    the watermark has passed it.  Look-ups are by key; nothing is scanned again.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "iteration long", f"us long, {PLAN_FIELDS}")
+        self.known = handle.getMapState("known", "node_id string", "born long, latest long, status string")
+        self.awaiting = handle.getMapState("awaiting", "node_id string", "latest long")
+        self.texts = handle.getMapState("texts", "kd string, kp string", "iteration long")
+        self.batch = handle.getValueState("batch", "latest long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in rows:
+            self.waiting.updateValue((r.iteration,), (r.us, r.nodes, r.verdicts))
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _release(self, key, mark: int) -> Iterator[Row]:
+        plans = sorted(((tuple(k)[0], tuple(v)) for k, v in self.waiting.iterator()), key=lambda x: x[0])
+        for k, (us, nodes, verdicts) in plans:
+            if us >= mark:
+                self.handle.registerTimer(us // 1000 + 1)
+                break
+            verdicts = {v[0]: v[1] for v in verdicts or []}
+            for rule, node_id, message in self._check(k, nodes or [], verdicts):
+                yield Row(graph_id=key[0], iteration=k, rule=rule, node_id=node_id, message=message)
+            self._apply(k, nodes or [], verdicts)
+            self.waiting.removeKey((k,))
+
+    def _get(self, node_id: str) -> tuple | None:
+        return tuple(self.known.getValue((node_id,))) if self.known.containsKey((node_id,)) else None
+
+    def _check(self, k: int, nodes: list, verdicts: dict) -> Iterator[tuple]:
+        unjudged = {tuple(i)[0] for i in self.awaiting.keys()} - verdicts.keys()
+        if unjudged:
+            yield "R_STATUS", None, f"node_statuses must cover all awaiting ids; without a verdict: {_names(unjudged)}"
+            return
+        if not nodes:
+            yield "R_EMPTY", None, "plan must contain at least one new node; this one adds none"
+            return
+        refines = {n[1]: PARENT.match(n[1]) for n in nodes if "_refine" in n[1]}
+        parents = {i: _parent(m) for i, m in refines.items() if m}
+        alive = set()
+        for i, status in verdicts.items():
+            if status in PENDING_STATUSES and i not in parents.values():
+                if "_refine" in i:
+                    m = PARENT.match(i)
+                    spent = bool(m) and int(m.group(2)) >= 2
+                else:
+                    spent = self._get(f"{i}_refine1") is not None
+                if not spent:
+                    alive.add(i)
+        if alive:
+            yield "R_PENDING", None, f"unresolved this turn, but not addressed by any refine of the same plan: {_names(alive)}"
+        answers = [n[1] for n in nodes if n[1].endswith("_answer")]
+        if answers and len(nodes) > 1:
+            others = [n[1] for n in nodes if n[1] != answers[0]]
+            yield "R_ANSWER_ISOLATION", answers[0], f"answer node '{answers[0]}' must be planned alone in its batch; planned with it: {_names(others)}"
+        new = {n[1] for n in nodes}
+        for _, i, _, kd, kp, deps in nodes:
+            for d in deps or []:
+                if d == i:
+                    yield "DEP", i, f"node '{i}' depends on itself"
+                elif d in new:
+                    yield "DEP", i, f"node '{i}' depends on '{d}' of the SAME batch, which has no result yet"
+                elif self._get(d) is None:
+                    yield "DEP", i, f"node '{i}' depends on '{d}', an id that does not exist"
+            if i in refines:
+                yield from (("R_REFINE", i, f"refine node '{i}': {m}") for m in self._refine(i, refines[i], parents.get(i), verdicts))
+            if not i.endswith("_answer") and self.texts.containsKey((kd, kp)):
+                yield "R_DUP", i, f"node '{i}' has the same description AND prompt as an earlier node"
+
+    def _refine(self, i: str, m, parent: str | None, verdicts: dict) -> Iterator[str]:
+        if not m:
+            yield "the id is not of the form <parent>_refine<n>"
+        elif int(m.group(2)) > 2:
+            yield "a line has two refines at most"
+        elif (p := self._get(parent)) is None:
+            yield f"no parent '{parent}' in the graph"
+        else:
+            status = verdicts.get(parent) or p[2]
+            if status not in PENDING_STATUSES:
+                yield f"parent '{parent}' is '{status}', not unresolved"
+            if self._get(i) is not None:
+                yield "the id is in use"
+
+    def _apply(self, k: int, nodes: list, verdicts: dict) -> None:
+        """First the verdicts on the latest batch, then the new batch."""
+        latest = self.batch.get()[0] if self.batch.exists() else None
+        for i, status in verdicts.items():
+            at = self._get(i)
+            if at and at[1] == latest:
+                self.known.updateValue((i,), (at[0], at[1], status))
+                if self.awaiting.containsKey((i,)):
+                    self.awaiting.removeKey((i,))
+        for _, i, status, kd, kp, _ in nodes:
+            at = self._get(i)
+            self.known.updateValue((i,), (at[0] if at else k, k, status))
+            if status == "":
+                self.awaiting.updateValue((i,), (k,))
+            elif self.awaiting.containsKey((i,)):
+                self.awaiting.removeKey((i,))
+            if not i.endswith("_answer") and not self.texts.containsKey((kd, kp)):
+                self.texts.updateValue((kd, kp), (k,))
+        if nodes:
+            self.batch.update((k,))
+
+    def close(self) -> None:
+        pass
+
+
+PARENT = re.compile(r"^(.+?)_refine(\d+)$")
+
+
+def _parent(m) -> str:
+    n = int(m.group(2))
+    return m.group(1) if n == 1 else f"{m.group(1)}_refine{n - 1}"
+
+
+def validate_plans(plans: DataFrame, graph_type: str = "long") -> DataFrame:
+    """L8 over a stream of :func:`plan_messages` with ``us``, from :func:`timed`, the
+    event time being the iteration: the violations of the batch rules, each plan once."""
+    return plans.groupBy("graph_id").transformWithState(
+        PlanRules(), f"graph_id {graph_type}, iteration long, rule string, node_id string, message string", "append", "eventTime")

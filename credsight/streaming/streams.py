@@ -30,6 +30,11 @@ def _area(spark: SparkSession, name: str, job: str | None = None) -> str:
     return f"{base}/{STREAMS}/{name}-{job or uuid.uuid4().hex[:12]}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return _area(spark, name) + "/data"
+
+
 def _write_batch(batch: DataFrame, out: str, batch_id: int) -> None:
     """A micro-batch has a folder of its own; written again after a failure, it replaces itself."""
     batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
@@ -172,16 +177,63 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int = 5400) -> D
                     F.unix_micros(F.col("s.end")).alias("session_end_us"), "n_events"))
 
 
-def stream_static_lookup(dep_stream: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Arriving dependency rows joined with the stored nodes (stream-static
-    join); found / not found per row, aggregated per graph."""
-    hit = nodes.select("graph_id", F.col("node_id").alias("dep_id"), F.lit(1).alias("hit"))
-    j = dep_stream.join(hit, ["graph_id", "dep_id"], "left")
-    return j.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_deps"), F.count("hit").alias("n_found"))
+class VersionedTable:
+    """Rows stored version by version below a folder; a reader names the version it wants."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.fields = spark, path.rstrip("/"), T._parse_datatype_string(schema)
+
+    def version(self) -> int:
+        """The latest complete version, 0 before the first."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(conf)
+        done, v = 0, 1
+        while fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}/_SUCCESS")):
+            done, v = v, v + 1
+        return done
+
+    def append(self, rows: DataFrame) -> int:
+        v = self.version() + 1
+        rows.select(*self.fields.names).write.mode("overwrite").parquet(f"{self.path}/v={v}")
+        return v
+
+    def read(self, version: int) -> DataFrame:
+        """All rows of versions up to ``version``, with their version ``v``; later folders are not listed."""
+        if version == 0:
+            return self.spark.createDataFrame([], T.StructType([*self.fields.fields, T.StructField("v", T.IntegerType())]))
+        return (self.spark.read.schema(self.fields).option("basePath", self.path)
+                .parquet(*[f"{self.path}/v={k}" for k in range(1, version + 1)]).withColumn("v", F.col("v").cast("int")))
+
+
+def versioned_lookup(deps: DataFrame, nodes: VersionedTable, name: str, job: str | None = None) -> DataFrame:
+    """Arriving dependency rows (graph_id, dep_id, ..) joined with the nodes stored
+    when their micro-batch began.  The version is written down before the join, so a
+    micro-batch that runs again after a failure sees the same nodes; only the keys of
+    the graphs it touches are read.  -> the rows with found and version (of the lookup)."""
+    spark = deps.sparkSession
+    area = _area(spark, name, job)
+    pins = VersionedTable(spark, f"{area}/pins", "pinned int")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        # one pin per micro-batch, in order
+        if pins.version() <= batch_id:
+            pins.append(spark.createDataFrame([(nodes.version(),)], "pinned int"))
+        at = pins.read(batch_id + 1).where(F.col("v") == batch_id + 1).first()["pinned"]
+        graphs = batch.select("graph_id").distinct()
+        hit = (nodes.read(at).select("graph_id", F.col("node_id").alias("dep_id")).join(graphs, "graph_id", "left_semi")
+               .distinct().withColumn("found", F.lit(True)))
+        out = batch.join(hit, ["graph_id", "dep_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        _write_batch(out.withColumn("version", F.lit(at)), f"{area}/out", batch_id)
+
+    q = (deps.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    fields = T.StructType([*deps.schema.fields, T.StructField("found", T.BooleanType()), T.StructField("version", T.IntegerType())])
+    return _read_batches(spark, f"{area}/out", fields)
 
 
 # ---------------------------------------------------------------------------
-# L5 group-complete credit, L8 streaming plan validation
+# L5 group-complete credit (with a deadline: ``stateful``)
 # ---------------------------------------------------------------------------
 
 
@@ -204,27 +256,3 @@ def group_complete_stats(traj_stream: DataFrame, expected: DataFrame, name: str,
     return (j if incomplete else j.where("complete")).select(
         "uid", "g_n", F.when(one, F.lit(0.0)).otherwise(F.col("m")).alias("g_mean"),
         F.when(one, F.lit(1.0)).otherwise(F.col("s")).alias("g_std"), "complete")
-
-
-def validate_stream(plan_keys: DataFrame, nodes: DataFrame, deps: DataFrame, verdicts: DataFrame,
-                    name: str) -> DataFrame:
-    """Run the batch rules (E1-E9) on plans as they arrive.  Each
-    micro-batch restricts the stored tables to the graphs it touches
-    (semi-joins), validates those plans and appends their violations."""
-    from credsight.operators.rules import violations
-    spark = plan_keys.sparkSession
-    area = _area(spark, name)
-    out = f"{area}/out"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        keys = batch.select("graph_id", "iteration").distinct()
-        g = keys.select("graph_id").distinct()
-        n = nodes.join(g, "graph_id", "left_semi")
-        d = deps.join(g, "graph_id", "left_semi")
-        v = verdicts.join(g, "graph_id", "left_semi")
-        _write_batch(violations(n, d, v).join(keys, ["graph_id", "iteration"], "left_semi"), out, batch_id)
-
-    q = (plan_keys.writeStream.foreachBatch(sink).option("checkpointLocation", f"{area}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)

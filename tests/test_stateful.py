@@ -137,3 +137,57 @@ def test_the_state_provider_is_put_back(spark, tmp_path):
     with pytest.raises(Exception):
         K.run_stateful(S.stream_table(spark, path).select(F.raise_error(F.lit("no"))), "t-fail")
     assert spark.conf.get(K.PROVIDER, None) == before
+
+
+def test_validation_goes_on_after_a_stop(spark, tmp_path):
+    from credsight.operators import rules as R
+    from credsight.sources.fixtures import rule_inputs
+    n, d, v = rule_inputs(spark, "/root/testdata/sf0.001")
+    few = "graph_id % 9 = 0"
+    n, d, v = n.where(few), d.where(few), v.where(few)
+    want = sorted((map(tuple, R.violations(n, d, v).select("graph_id", "iteration", "rule", "node_id", "message").collect())), key=repr)
+    assert len({w[2] for w in want}) >= 5
+    p = K.plan_messages(n, d, v).withColumn("ts", F.timestamp_seconds("iteration")).cache()
+    path, job, seen = f"{tmp_path}/plans", uuid.uuid4().hex, 0
+    run = lambda: sorted(map(tuple, K.run_stateful(K.validate_plans(K.timed(
+        S.stream_table(spark, path), "ts", "1 second")), "t-l8", job).collect()), key=repr)
+    for part in (p.where("iteration <= 2"), p.where("iteration = 4 OR iteration = 3"), p.where("iteration > 4"), K.closing_row(p, "ts")):
+        part.coalesce(1).write.mode("append").parquet(path)
+        got = run()
+        assert len(got) >= seen and set(got) <= set(want)
+        seen = len(got)
+    assert got == want
+
+
+def test_a_node_stored_between_batches_is_found_from_then_on(spark, tmp_path):
+    table = S.VersionedTable(spark, f"{tmp_path}/nodes", "graph_id long, node_id string")
+    path, job = f"{tmp_path}/deps", uuid.uuid4().hex
+    schema = "graph_id long, seq long, dep_id string"
+    put = lambda rows, to, s: spark.createDataFrame(rows, s).coalesce(1).write.mode("append").parquet(to)
+    run = lambda: {r.seq: (r.found, r.version) for r in S.versioned_lookup(
+        S.stream_table(spark, path), table, "t-l7", job).collect()}
+    put([(1, 1, "a"), (1, 2, "b")], path, schema)
+    assert table.version() == 0 and run() == {1: (False, 0), 2: (False, 0)}
+    assert table.append(spark.createDataFrame([(1, "a"), (2, "b")], "graph_id long, node_id string")) == 1
+    put([(1, 3, "a"), (1, 4, "b")], path, schema)
+    assert run() == {1: (False, 0), 2: (False, 0), 3: (True, 1), 4: (False, 1)}
+    table.append(spark.createDataFrame([(1, "b"), (1, "a")], "graph_id long, node_id string"))
+    put([(1, 5, "b"), (1, 6, "a"), (2, 7, "b")], path, schema)
+    assert run() == {1: (False, 0), 2: (False, 0), 3: (True, 1), 4: (False, 1), 5: (True, 2), 6: (True, 2), 7: (True, 2)}
+
+
+def test_a_batch_that_runs_again_sees_the_same_version(spark, tmp_path, monkeypatch):
+    table = S.VersionedTable(spark, f"{tmp_path}/nodes", "graph_id long, node_id string")
+    path, job = f"{tmp_path}/deps", uuid.uuid4().hex
+    spark.createDataFrame([(1, 1, "a")], "graph_id long, seq long, dep_id string").write.parquet(path)
+    write = S._write_batch
+
+    def fail(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(S, "_write_batch", fail)
+    with pytest.raises(Exception, match="lost"):
+        S.versioned_lookup(S.stream_table(spark, path), table, "t-again", job)
+    monkeypatch.setattr(S, "_write_batch", write)
+    table.append(spark.createDataFrame([(1, "a")], "graph_id long, node_id string"))
+    assert [(r.found, r.version) for r in S.versioned_lookup(S.stream_table(spark, path), table, "t-again", job).collect()] == [(False, 0)]
