@@ -15,7 +15,7 @@ words is one shingle.  Documents are linked where
    largest component, ``LEADERS`` at most.  What is left is compared whole: the
    members outside the largest component, in blocks of ``BLOCK``, with all members,
    in salted runs of ``RUN``.  Pairs of one component are skipped, they cannot
-   change a component.
+   change a component; a task emits a link only where it connects two components.
 4. A compared pair is first *screened*: its 8-bit signatures (hashes other than
    the bands') are compared in batches of ``STEP``; after every batch the pair is
    dropped if the posterior probability that its similarity reaches the threshold,
@@ -56,7 +56,7 @@ from credsight.llm.common import U64, HashCache, hash_words, map_arrow, shingles
 
 K, PERCENT, RECALL, MAX_ROWS = 4, 80, 0.9999, 160
 CHECKS, STEP, MISS = 96, 16, 2e-5
-LEADERS, REST, BLOCK, RUN, HELD = 6, 2048, 256, 1024, 4_000_000       # HELD: shingles a job may hold at once
+LEADERS, REST, BLOCK, RUN, HELD = 6, 2048, 256, 256, 4_000_000       # HELD: shingles a job may hold at once
 U32 = np.uint32
 _CACHE = HashCache()
 
@@ -144,6 +144,7 @@ class Side:
 
     def __init__(self, rows: list[tuple]):
         self.fp = [r[0] for r in rows]
+        self.comp = [r[1] for r in rows]
         self.root = np.array([int.from_bytes(r[1][:8], "big") for r in rows], U64)
         self.root2 = np.array([int.from_bytes(r[1][8:], "big") for r in rows], U64)
         self.rest = np.array([r[2] for r in rows], bool)
@@ -172,14 +173,31 @@ def screen(a: Side, b: Side, least: list[int], percent: int) -> tuple[np.ndarray
     return i, j
 
 
-def confirm(a: Side, b: Side, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-    """Pairs that the full sets confirm."""
+class Merged:
+    """Components of a job's members while it runs: a pair that is connected already is not verified."""
+
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+
+def confirm(a: Side, b: Side, i: np.ndarray, j: np.ndarray, percent: int, merged: Merged) -> list[tuple[bytes, bytes]]:
+    """Pairs that the full sets confirm, of those that connect two components: at most
+    one fewer than there are members in the job."""
     out = []
     for x, y in zip(i.tolist(), j.tolist()):
+        u, v = merged.find(a.comp[x]), merged.find(b.comp[y])
+        if u == v:
+            continue
         s, t = np.frombuffer(a.sets[x], U64), np.frombuffer(b.sets[y], U64)
         c = len(np.intersect1d(s, t, assume_unique=True))
         if 100 * c >= percent * (len(s) + len(t) - c):
             out.append((a.fp[x], b.fp[y]))
+            merged.up[u] = v
     return out
 
 
@@ -196,7 +214,7 @@ def _jobs(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, kept, flow, size, out = None, [], None, [], 0, []
+        at, held, kept, flow, size, out, merged = None, [], None, [], 0, [], Merged()
 
         def compare() -> None:
             nonlocal kept, flow, size
@@ -205,7 +223,7 @@ def _jobs(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
                 b = Side(flow)
                 i, j = screen(kept, b, least, percent)
                 if verify:
-                    out.extend(confirm(kept, b, i, j, percent))
+                    out.extend(confirm(kept, b, i, j, percent, merged))
                 else:
                     hit0.update(i.tolist())
                     out.extend((*at, 1, *flow[y][:3]) for y in np.unique(j).tolist())
@@ -225,6 +243,7 @@ def _jobs(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
                     if at is not None:
                         close()
                     at, held, kept = (job, blk, salt), [], None
+                    merged.up.clear()
                 if side == 0:
                     held.append(tuple(member))
                 else:
