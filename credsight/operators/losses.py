@@ -12,13 +12,15 @@ nothing is sorted or windowed over the whole token table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credsight.functions.columns import clip, d, mix_hash
 from credsight.functions.ordering import running_sums
-from credsight.functions.columns import mix_hash, clip, d
+from credsight.session import stored
 
 AGG_MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm")
 
@@ -59,24 +61,20 @@ def agg_loss(df: DataFrame, loss: str, mask: str, mode: str, scale: float | None
                  else d(max(batch_num_tokens, 1)))
         return df.agg((F.sum(lm) / denom).alias("pg_loss"), *extra)
     if mode not in AGG_MODES:
-        raise ValueError(f"Invalid loss_agg_mode: {mode}")
-    metric_aggs = df.agg(*extra) if extra else None
-    per = df.groupBy("traj_id").agg(F.sum(lm).alias("s"), F.sum(mask).cast("double").alias("n"))
-    if mode == "seq-mean-token-sum":
-        v = F.when(F.col("n") > 0, F.col("s"))
-    elif mode == "seq-mean-token-mean":
-        v = F.when(F.col("n") > 0, F.col("s") / (F.col("n") + d(1e-8)))
+        raise ValueError(f"unknown loss aggregation {mode!r}; there are {', '.join(AGG_MODES)}")
+    # rows of single trajectories and, with the metrics, the grand total come from one pass over the tokens
+    g = df.rollup("traj_id").agg(F.grouping_id().alias("gid"), F.sum(lm).alias("s"), F.sum(mask).cast("double").alias("n"),
+                                 F.count(F.lit(1)).alias("width"), *extra)
+    one = F.col("gid") == 0
+    if mode in ("seq-mean-token-sum", "seq-mean-token-mean"):
+        per = F.col("s") if mode == "seq-mean-token-sum" else F.col("s") / (F.col("n") + d(1e-8))
+        gbs = F.count_if(one & (F.col("n") > 0)).cast("double") if global_batch_size is None else d(global_batch_size)
+        pg = F.try_divide(F.sum(F.when(one & (F.col("n") > 0), per)), F.nullif(gbs, d(0.0)))
     else:
-        v = None
-    if v is not None:
-        gbs = F.count_if(F.col("n") > 0).cast("double") if global_batch_size is None else d(global_batch_size)
-        out = per.agg(F.try_divide(F.sum(v), F.nullif(gbs, d(0.0))).alias("pg_loss"))
-    else:
-        sc = d(scale) if scale is not None else F.max(F.col("width")).cast("double")
-        if scale is None:
-            per = per.join(df.groupBy("traj_id").agg(F.count(F.lit(1)).alias("width")), "traj_id")
-        out = per.agg((F.sum("s") / sc).alias("pg_loss"))
-    return out.crossJoin(metric_aggs) if metric_aggs is not None else out
+        sc = d(scale) if scale is not None else F.max(F.when(one, F.col("width"))).cast("double")
+        pg = F.sum(F.when(one, F.col("s"))) / sc
+    names = [c for c in g.columns if c not in ("traj_id", "gid", "s", "n", "width")]
+    return g.agg(pg.alias("pg_loss"), *[F.max(F.when(~one, F.col(c))).alias(c) for c in names])
 
 
 def masked_mean(x: Column, m: str = "mask") -> Column:
@@ -220,23 +218,32 @@ def kl_cov_loss(tok: DataFrame, mode: str = "token-mean", adv: str = "adv",
     """The top max(1, floor(n * ratio)) valid tokens by covariance use
     -A*r + coef*|delta| instead of -A*r; reported KL = masked mean |delta|.
 
-    The top is found by distributed ranks, ties broken by (traj_id, pos).
+    The moments are taken once (one row), then a quantile sketch gives a cut below which
+    the top surely lies, and only the few tokens below it are ranked exactly, ties by
+    (traj_id, pos).  The top is everything up to the last of them, so the tokens are
+    neither sorted nor joined.
     """
     if kl_cov_ratio <= 0:
         raise ValueError("kl_cov_ratio must be > 0")
+    keep = [weights] if weights else []
+    tok = stored(tok.select("traj_id", "pos", "mask", "logp", "old_logp", F.col(adv).alias("adv"), *keep), "kl-cov")
     valid = tok.filter(F.col("mask") > 0)
-    mu = valid.agg(F.avg(adv).alias("mu_a"), F.avg("logp").alias("mu_l"),
-                   F.greatest(F.floor(F.count(F.lit(1)) * d(kl_cov_ratio)), F.lit(1)).alias("k"))
+    m = valid.agg(F.avg("adv"), F.avg("logp"), F.count(F.lit(1))).first()
+    low = -(F.col("adv") - F.lit(m[0])) * (F.col("logp") - F.lit(m[1]))
+    k = max(math.floor(m[2] * kl_cov_ratio), 1)
+    # the sketch's rank is off by at most n / accuracy
+    accuracy = min(1_000_000, max(10_000, math.ceil(2 / kl_cov_ratio)))
+    cut = valid.agg(F.percentile_approx(low, min(1.0, kl_cov_ratio + 2 / accuracy), accuracy)).first()[0]
+    cand = valid.select("traj_id", "pos", low.alias("low")).where(F.col("low") <= F.lit(cut))
+    last = running_sums(cand, ["low", "traj_id", "pos"]).where(F.col("_rank") <= k).agg(F.max(F.struct("low", "traj_id", "pos")).alias("x")).first()["x"]
+    hit = F.lit(False)
+    if last is not None:
+        hit = (F.col("mask") > 0) & (F.struct(low.alias("low"), "traj_id", "pos") <= F.struct(
+            F.lit(last[0]).alias("low"), F.lit(last[1]).cast(tok.schema["traj_id"].dataType).alias("traj_id"),
+            F.lit(last[2]).cast(tok.schema["pos"].dataType).alias("pos")))
     delta = F.col("logp") - F.col("old_logp")
-    keep = [weights] if weights else []
-    base = tok.select("traj_id", "pos", "mask", *keep, (-F.col(adv) * F.exp(delta)).alias("pg1"),
-                      F.abs(delta).alias("absd"))
-    cov = valid.crossJoin(F.broadcast(mu)).select(
-        "traj_id", "pos", "k", (-(F.col(adv) - F.col("mu_a")) * (F.col("logp") - F.col("mu_l"))).alias("low"))
-    top = (running_sums(cov, ["low", "traj_id", "pos"]).where(F.col("_rank") <= F.col("k"))
-           .select("traj_id", "pos", F.lit(1).alias("hit")))
-    pg = F.when(F.col("hit").isNotNull(), F.col("pg1") + d(ppo_kl_coef) * F.col("absd")).otherwise(F.col("pg1"))
-    t = base.join(top, ["traj_id", "pos"], "left").select("traj_id", "mask", "absd", _weighted(pg, weights).alias("pg"))
+    pg1, absd = -F.col("adv") * F.exp(delta), F.abs(delta)
+    t = tok.select("traj_id", "mask", absd.alias("absd"), _weighted(F.when(hit, pg1 + d(ppo_kl_coef) * absd).otherwise(pg1), weights).alias("pg"))
     return agg_loss(t, "pg", "mask", mode, extra=[masked_mean(F.col("absd")).alias("ppo_kl")])
 
 

@@ -247,3 +247,31 @@ FROM x JOIN traj USING (traj_id)""")
 def q_adv_remax(spark, sf):
     tok, traj = _tt(spark, sf)
     return _tok_out(A.remax(tok, traj), "adv", "ret")
+
+
+# M1 / M2: operators found by name ------------------------------------------
+
+_NAMED = {"grpo": "adv_grpo", "rloo": "adv_rloo", "remax": "adv_remax", "gae": "adv_gae"}
+
+
+def _by_name_sql() -> str:
+    from credsight.plans.catalog import ORACLES
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS estimator, traj_id, {sql_r6('sum(adv)')} AS adv_sum, count(*) AS n FROM ({ORACLES[q]}) GROUP BY traj_id" for name, q in _NAMED.items())
+
+
+@query("estimators_by_name", "M1", _by_name_sql())
+def q_estimators_by_name(spark, sf):
+    """The same inputs for every estimator; each takes the tables it asks for."""
+    from credsight.plans.registry import ESTIMATORS
+    tok, traj = _tt(spark, sf)
+    parts = []
+    for name in _NAMED:
+        a = ESTIMATORS.call(name, {"tok": tok, "traj": traj}, {"gamma": GAMMA, "lam": LAM} if name == "gae" else None)
+        a = a if "pos" in a.columns else A.to_tokens(tok, a)
+        parts.append(a.select("traj_id", r6(F.col("adv")).alias("adv")).groupBy("traj_id").agg(
+            r6(F.sum("adv")).alias("adv_sum"), F.count(F.lit(1)).alias("n")).withColumn("estimator", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("estimator", "traj_id", "adv_sum", "n")

@@ -5,14 +5,19 @@
   Names are strings or Enum members; an unknown name raises and lists the known.
 * M3 KL controller factory: ``fixed`` / ``adaptive``.
 
-Registered callables are DataFrame operators, ``(DataFrame..., **cfg) -> DataFrame``.
+Registered callables are DataFrame operators.  ``call(name, inputs, cfg)`` is their one
+signature: ``inputs`` names the tables at hand (``tok``, ``traj``, ``traj_ids``) and each operator takes
+those it asks for; ``cfg`` are its settings.
 """
 
 from __future__ import annotations
 
+import inspect
 from enum import Enum
 from functools import partial
 
+from pyspark.sql import DataFrame
+
 from credsight.operators import advantage as A
 from credsight.operators import losses as L
 
@@ -44,6 +49,18 @@ class Registry:
         except KeyError:
             raise ValueError(f"no {self.what} {key!r}; there are {', '.join(sorted(self.entries))}") from None
 
+    def call(self, name, inputs: dict[str, DataFrame], cfg: dict | None = None) -> DataFrame:
+        """Result of the operator under ``name``; a table it needs and does not get is an error."""
+        op, cfg = self.find(name), cfg or {}
+        asked = inspect.signature(op).parameters
+        missing = [p.name for p in asked.values() if p.default is p.empty and p.kind is p.POSITIONAL_OR_KEYWORD
+                   and p.name not in inputs and p.name not in cfg]
+        unknown = [c for c in cfg if c not in asked]
+        if missing or unknown:
+            raise ValueError(f"{self.what} {name!r}: " + "; ".join(
+                f"{what} {', '.join(x)}" for what, x in (("missing", missing), ("unknown", unknown)) if x))
+        return op(**{k: v for k, v in inputs.items() if k in asked}, **cfg)
+
 
 ESTIMATORS = Registry("estimator", replace=False)
 POLICY_LOSSES = Registry("policy loss", replace=True)

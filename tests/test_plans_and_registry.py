@@ -52,3 +52,16 @@ def test_loss_registry_and_kl_controller():
         Reg.kl_controller("adaptive", 0.1, 0.1, 0)
     with pytest.raises(NotImplementedError):
         Reg.kl_controller("other", 0.1)
+
+
+def test_operators_are_called_by_name(spark):
+    tok = spark.createDataFrame([(1, 0, 1, 2.0), (1, 1, 1, 1.0), (2, 0, 1, 4.0)], "traj_id long, pos long, mask int, reward double")
+    traj = spark.createDataFrame([(1, "g", 3.0, 1.0), (2, "g", 4.0, 2.0)], "traj_id long, uid string, score double, baseline double")
+    inputs = {"tok": tok, "traj": traj, "else": traj}
+    # one takes the trajectories, the other both tables
+    assert sorted(r.adv for r in Reg.ESTIMATORS.call("grpo", inputs, {"norm_by_std": False}).collect()) == [-0.5, 0.5]
+    assert sorted(r.adv for r in Reg.ESTIMATORS.call(Reg.AdvantageEstimator.REMAX, inputs).collect()) == [0.0, 2.0, 2.0]
+    with pytest.raises(ValueError, match="missing tok"):
+        Reg.ESTIMATORS.call("remax", {"traj": traj})
+    with pytest.raises(ValueError, match="unknown nothing"):
+        Reg.ESTIMATORS.call("grpo", inputs, {"nothing": 1})
