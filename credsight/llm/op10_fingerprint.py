@@ -117,7 +117,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     d = d.withColumn("rng", col.cast("int"))
     # the first row of every range: largest id, then least text
     heads = checkpointed(spark, d.groupBy("rng").agg(F.min(F.struct(
-        (-F.col("doc_id")).alias("neg"), F.col("text"), F.col("doc_id"))).alias("h")))
+        F.bitwise_not("doc_id").alias("falling"), F.col("text"), F.col("doc_id"))).alias("h")))     # no overflow, unlike the negative
     order = sorted(r[0] for r in heads.select("rng").collect())       # at most ranges + 1 numbers
     before = {r: order[i - 1] for i, r in enumerate(order)}           # the first range's head closes the last one
     to = spark.createDataFrame([(k, v) for k, v in before.items()] or [(-1, -1)], "rng int, to_rng int")
@@ -125,7 +125,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.col("to_rng").alias("rng"), F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text"),
         F.lit(True).alias("borrowed"))
     rows = d.select("rng", "doc_id", "text", F.lit(False).alias("borrowed")).unionByName(borrowed)
-    return (rows.repartition(ranges, "rng")
+    return (rows.repartitionById(len(bounds) + 2, "rng")               # a range is a partition
             .sortWithinPartitions("rng", "borrowed", F.col("doc_id").desc_nulls_last(), "text"))
 
 

@@ -178,16 +178,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     ``remove="spans"`` cuts the hit words out of their texts (a cut can bring
     words together, so the cut text is scanned again until it has no hit)."""
     names = docs.columns
+    pre = "_dc_"
+    while any(n.lower().startswith(pre) for n in names):        # columns of the caller's are not replaced
+        pre += "_"
     if remove == "documents":
-        found = scan(docs, benchmark, n, max_windows, prefix="_dc_")
-        return found.where(F.size("_dc_hit_words") == 0).select(*names)
+        found = scan(docs, benchmark, n, max_windows, prefix=pre)
+        return found.where(F.size(pre + "hit_words") == 0).select(*names)
     if remove != "spans":
         raise ValueError("remove must be 'documents' or 'spans'")
     spark = docs.sparkSession
     cur = docs
     while True:
-        found = checkpointed(spark, scan(cur, benchmark, n, max_windows, prefix="_dc_"))
-        if found.where(F.size("_dc_hit_words") > 0).limit(1).count() == 0:
+        found = checkpointed(spark, scan(cur, benchmark, n, max_windows, prefix=pre))
+        if found.where(F.size(pre + "hit_words") > 0).limit(1).count() == 0:
             return found.select(*names)
 
         def run(batch: pa.RecordBatch) -> dict:

@@ -68,6 +68,9 @@ def test_decontaminate_spans_and_documents(spark):
     assert not brute_hits(again[0].text, BENCH)[1]
     with pytest.raises(ValueError):
         op2.decontaminate(docs, bench, "none")
+    # a column of the helper's name comes back as it was
+    named = op2.decontaminate(docs.selectExpr("*", "doc_id * 2 AS _dc_hit_words"), bench, "spans")
+    assert all(r._dc_hit_words == 2 * r.doc_id for r in named.collect())
 
 
 def test_empty_benchmark_or_documents(spark):
@@ -173,6 +176,22 @@ def test_fingerprints_of_odd_rows(spark):
     assert one.near_next == 1.0 and one.edited_sha256 == sha("abcdef" + "ab")
 
 
+def test_fingerprints_of_the_least_and_the_largest_id(spark):
+    ids = [-2 ** 63, -2 ** 63 + 1, -1, 0, 2 ** 63 - 1]
+    got = {r.doc_id: r for r in op10.fingerprints(make_docs(spark, [(i, f"text of {k} words here") for k, i in enumerate(ids)]), 3).collect()}
+    assert sorted(got) == ids
+    text = {i: f"text of {k} words here" for k, i in enumerate(ids)}
+    for i, nxt in zip(ids, ids[-1:] + ids[:-1]):             # descending, the least is followed by the largest
+        m = len(text[i]) // 3
+        assert got[i].edited_sha256 == sha(text[i][:len(text[i]) - m] + text[nxt][:m])
+
+
+def test_fingerprint_ranges_are_partitions(spark):
+    d = op10.with_next(make_docs(spark, [(i, "x") for i in range(500)]), 20)
+    per = [{r.rng for r in p} for p in d.select("rng").rdd.glom().collect()]
+    assert sum(len(p) for p in per) == len(set().union(*per)) and max(map(len, per)) == 1
+
+
 def test_likeness_of_few_and_no_shingles():
     f = op10.fingerprint
     assert op10.likeness(f(""), f(None)) == 1.0 and op10.likeness(f(""), f("a")) == 0.0
