@@ -100,6 +100,32 @@ def schema_with(df: DataFrame, extra: str) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + list(new))
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores behind it until it clashes with none."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+_WORKER_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that lives on in the Python worker; :func:`only_caches_of` empties those of other owners."""
+    return _WORKER_CACHES.setdefault(owner, {})
+
+
+def only_caches_of(owner: str) -> None:
+    """Called in a task: frees what earlier stages of a job left in a reused worker."""
+    for name, cache in _WORKER_CACHES.items():
+        if name != owner:
+            cache.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -22,7 +22,7 @@ Texts without words (null, empty, punctuation only) have the empty set; they
 form one copy class, J = 1 among themselves and 0 to any other.  Repeated rows
 are documents of their own.  A null doc_id takes part; an id reported for a
 class is its least non-null one.  Extra columns are ignored by ``link`` and
-passed through by ``deduplicate``; their names must not begin with ``_nj``.
+passed through by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsight.llm.common import U64, HashCache, checkpointed, hash_words, map_arrow, shingles, table, words
+from credsight.llm.common import U64, HashCache, checkpointed, free_names, hash_words, map_arrow, shingles, table, words
 
 K, THRESHOLD, RECALL, MAX_ROWS, BLOCK = 5, 0.8, 0.999, 160, 256
 _CACHE = HashCache()
@@ -291,19 +291,23 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Rows of ``docs``, one document of each group: the one of least id."""
-    _, c = _labelled(docs, threshold, recall, block)
+    """Rows of ``docs``, one document of each group: the one of least id.  Texts without
+    words (null, empty, punctuation only) share nothing with others and all stay."""
     names = docs.columns
+    worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    bare, docs = docs.where(~worded), docs.where(worded)
+    _, c = _labelled(docs, threshold, recall, block)
     at_text = names.index("text")
+    ident, key = free_names(names, "_nj_id", "_nj_key")
 
     def run(batch: pa.RecordBatch) -> dict:
         keys = [set_print(text_set(t.as_py())) + i.as_py().encode()
                 for t, i in zip(batch.column(at_text), batch.column(len(names)))]
-        return {n: batch.column(i) for i, n in enumerate(names)} | {"_nj_key": keys}
+        return {n: batch.column(i) for i, n in enumerate(names)} | {key: keys}
 
-    keyed = map_arrow(docs.withColumn("_nj_id", _name()), run, T.StructType([*docs.schema.fields, T.StructField("_nj_key", T.BinaryType())]))
-    keep = c.select(F.col("keep_key").alias("_nj_key")).distinct()
-    return keyed.join(keep, "_nj_key").dropDuplicates(["_nj_key"]).select(*names)
+    keyed = map_arrow(docs.withColumn(ident, _name()), run, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    keep = c.select(F.col("keep_key").alias(key)).distinct()
+    return keyed.join(keep, key).dropDuplicates([key]).select(*names).unionByName(bare)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

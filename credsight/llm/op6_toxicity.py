@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsight.llm.common import U64, fold, label_sample, map_arrow, schema_with, table, words
+from credsight.llm.common import U64, fold, label_sample, map_arrow, schema_with, table, words, worker_cache
 
 MODULUS, HELD, THRESHOLD = 5, 0, 0.5
 LENGTH, STRIDE, HIDDEN, ATT = 32, 16, 8, 8
@@ -379,7 +379,7 @@ def _slices(docs: list[list[bytes]], most: int = 60_000):
         yield part
 
 
-_SCORERS: dict = {}
+_SCORERS = worker_cache("op6")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Net:

@@ -41,7 +41,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsight.llm.common import U64, HashCache, checkpointed, hash_words, map_arrow, schema_with, stored, table, words
+from credsight.llm.common import (
+    U64,
+    HashCache,
+    checkpointed,
+    free_names,
+    hash_words,
+    map_arrow,
+    only_caches_of,
+    schema_with,
+    stored,
+    table,
+    words,
+)
 
 THRESHOLD, SLOT_BITS, BLOCK, SLICE_WORDS = 0.8, 18, 256, 100_000
 _CACHE = HashCache()
@@ -59,6 +71,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     """Logarithmic token count by hash slot; 2**SLOT_BITS bytes for any input size."""
 
     def run(batches):
+        only_caches_of("op7")
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
             for a in range(0, b.num_rows, 100):
@@ -306,25 +319,26 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     level = rarity(docs)
     classes = stored(spark, line_classes(line_rows(docs, level, threshold)).drop("fp"), "line-classes")
     gone = later_matches(docs, classes, threshold, block)
+    names = docs.columns
+    ld_id, ld_h, ld_th, ld_lines = free_names(names, "_ld_id", "_ld_h", "_ld_th", "_ld_lines")
     kept = (classes.select("lid", "pos").join(gone, "lid", "left_anti")
-            .groupBy(F.col("pos.doc_id").alias("_ld_id"), F.col("pos.th").alias("_ld_h"))
-            .agg(F.collect_list("pos.line").alias("_ld_lines")))       # lines of one document
+            .groupBy(F.col("pos.doc_id").alias(ld_id), F.col("pos.th").alias(ld_h))
+            .agg(F.collect_list("pos.line").alias(ld_lines)))       # lines of one document
     kept = checkpointed(spark, kept)
     # only texts that lose a line meet the list of their lines; the others need no shuffle
-    d = docs.withColumn("_ld_th", F.xxhash64("text"))
+    d = docs.withColumn(ld_th, F.xxhash64("text"))
     has_words = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORDY)))
-    touched = (d.where("text is not null").select("doc_id", "_ld_th", has_words.alias("n"))
-               .join(kept.select("_ld_id", "_ld_h", F.size("_ld_lines").alias("k")),
-                     (F.col("_ld_th") == F.col("_ld_h")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
+    touched = (d.where("text is not null").select("doc_id", ld_th, has_words.alias("n"))
+               .join(kept.select(ld_id, ld_h, F.size(ld_lines).alias("k")),
+                     (F.col(ld_th) == F.col(ld_h)) & F.col("doc_id").eqNullSafe(F.col(ld_id)), "left")
                .where(F.col("n") != F.coalesce("k", F.lit(0))))
-    names = docs.columns
     at_text = names.index("text")
-    bits = _bitmap(touched, "_ld_th")
-    j = _by_bit(d, bits, "_ld_th", True).join(
-        kept, (F.col("_ld_th") == F.col("_ld_h")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left"
-    ).select(*names, F.coalesce("_ld_lines", F.array().cast("array<int>")).alias("_ld_lines"))
+    bits = _bitmap(touched, ld_th)
+    j = _by_bit(d, bits, ld_th, True).join(
+        kept, (F.col(ld_th) == F.col(ld_h)) & F.col("doc_id").eqNullSafe(F.col(ld_id)), "left"
+    ).select(*names, F.coalesce(ld_lines, F.array().cast("array<int>")).alias(ld_lines))
     # no list: every line stays
-    j = j.unionByName(_by_bit(d, bits, "_ld_th", False).select(*names, F.lit(None).cast("array<int>").alias("_ld_lines")))
+    j = j.unionByName(_by_bit(d, bits, ld_th, False).select(*names, F.lit(None).cast("array<int>").alias(ld_lines)))
 
     def run(batch: pa.RecordBatch) -> dict:
         text, total, removed = [], [], []

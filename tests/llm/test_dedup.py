@@ -8,9 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import EDGES, SF_SMALL, make_docs
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipe
-from credsight.llm import op1_bpe
+from credsight.llm import common, op1_bpe
 from credsight.llm import op2_decontaminate as op2
 from credsight.llm import op4_jaccard as op4
 from credsight.llm import op6_toxicity as op6
@@ -84,13 +85,39 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert left.columns == docs.columns
     kept = left.collect()
     groups = brute_groups(rows)
+    worded = [r for r in kept if words(r.text)]
     # one row per group; "null id text here" is a group without an id
-    assert len(kept) == len({c for *_, c, _ in groups})
-    assert [r.text for r in kept if r.doc_id is None] == ["null id text here"]
-    assert {r.doc_id for r in kept if r.doc_id is not None} == {c for *_, c, _ in groups if c is not None}
+    assert [r.text for r in worded if r.doc_id is None] == ["null id text here"]
+    bare = {c for (i, _, c, _), (_, t) in zip(groups, rows) if not words(t)}
+    assert sorted(r.doc_id for r in worded if r.doc_id is not None) == sorted(
+        {c for *_, c, _ in groups if c is not None} - bare)
+    assert sorted(repr((r.doc_id, r.text)) for r in kept if not words(r.text)) == sorted(repr(r) for r in rows if not words(r[1]))
     assert op4.deduplicate(make_docs(spark, [])).count() == 0 and op4.link(make_docs(spark, [])).count() == 0
 
 
+def test_texts_without_words_stay(spark):
+    rows = [(1, "!!!"), (2, "{}"), (3, None), (4, ""), (5, "!!!"), (6, "word"), (7, "Word.")]
+    docs = make_docs(spark, rows).withColumns({"_nj_id": F.lit(1), "_NJ_KEY": F.lit(2)})
+    left = op4.deduplicate(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_line_dedup_takes_any_column_names(spark):
+    docs = make_docs(spark, [(1, "a b c\nd e f"), (2, "x y z\na b c")]).withColumns({"_ld_th": F.lit("mine"), "_ld_lines": F.lit(3), "_ld_id": F.lit(4)})
+    out = op7.dedup_lines(docs, counts=False)
+    assert out.columns == docs.columns
+    assert {r.doc_id: (r.text, r._ld_th, r._ld_lines, r._ld_id) for r in out.collect()} == {
+        1: ("a b c\nd e f", "mine", 3, 4), 2: ("x y z", "mine", 3, 4)}
+
+
+def test_only_the_own_cache_is_left():
+    a, b = common.worker_cache("t-a"), common.worker_cache("t-b")
+    a["x"], b["y"] = 1, 2
+    common.only_caches_of("t-a")
+    assert a == {"x": 1} and b == {} and common.worker_cache("t-a") is a
+    assert op6._SCORERS is common.worker_cache("op6")
+
+
 def test_bands_reach_the_recall():
     bands, rows = op4.choose_bands()
     assert bands * rows <= op4.MAX_ROWS and 1 - (1 - op4.THRESHOLD ** rows) ** bands >= op4.RECALL
@@ -208,7 +235,8 @@ def test_stages_in_order_against_brute_force(spark, tmp_path):
     assert sorted(after) == sorted((i, want[i, t]) for i, t in before)
     before, after = (pairs(x) for x in kept["jaccard_join"])
     groups = brute_groups(before)
-    assert sorted(i for i, _ in after) == sorted({c for _, _, c, _ in groups})
+    assert sorted(i for i, t in after if words(t)) == sorted({c for (_, _, c, _), (_, t) in zip(groups, before) if words(t)})
+    assert sorted(i for i, t in after if not words(t)) == sorted(i for i, t in before if not words(t))
     before, after = (pairs(x) for x in kept["decontaminate"])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
     wins = op2.WindowSet({b" ".join(w[i:i + 10]): ["x"] for _, t in items if (w := words(t))
