@@ -8,7 +8,7 @@ stage's input.  Every stage but the last returns the columns of ``documents``.
 2. line_dedup: lines that match an earlier line go; a document stays even if no
    line is left (its text is then empty).
 3. jaccard_join: of every group of near-duplicate documents the one of least
-   id stays; texts without words are copies of each other.
+   id stays, and every text without words.
 4. decontaminate: documents with a benchmark window go.
 5. bpe: token ids of every remaining text and the digest of the decoded ids.
 """
