@@ -31,6 +31,18 @@ DEPS_NOT_FOUND = "[Upstream dependencies not found in graph]"
 CONTEXT_SEP = "\n\n---\n\n"
 REFINE_BUDGET = 3
 
+# Texts shown to the planner (C14 state, C15 delta, C16 ledger).
+EMPTY_GRAPH = "[Empty graph - initial planning]"
+NO_RESULTS = "[No new results]"
+STATE_HEAD, STATE_NODES = "Total nodes: ", "\n\n=== Executed Nodes ===\n"
+DELTA_CHANGES, DELTA_RESULTS = "=== Status Changes ===\n", "=== New Execution Results ===\n"
+LEDGER_HEAD, LEDGER_FRONTIER = "### Statuses\n", "\n\n### Frontier"
+LEDGER_BUDGET = "\n\n### Refine Budget (3 attempts max per line of inquiry: original + refine1 + refine2)\n"
+LEDGER_USED, LEDGER_REACHED = "/3 attempts used", " [BUDGET REACHED]"
+LEDGER_AWAITING, LEDGER_UNRESOLVED = "\nAwaiting Evaluation: ", "\nUnresolved (need refine if budget remains): "
+NODE_LINES = {"answer": "    Answer: ", "explanation": "    Explanation: ", "key_steps": "    Key Steps: ",
+              "confidence": "    Confidence: ", "uncertainties": "    Uncertainties: "}
+
 
 # ---------------------------------------------------------------------------
 # D1 edges, D2 lookup, D3 update
@@ -480,33 +492,32 @@ def deserialize_edges(docs: DataFrame) -> DataFrame:
     return e.select("graph_id", "pos", F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
 
 
-# Fixed value: state of a graph without nodes (C14).
-EMPTY_GRAPH = "[Empty graph - initial planning]"
-
-
-def state_text(nodes: DataFrame, deps: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
-    """C14: full graph state for the planner, nodes in insertion order.
-    ``graphs(graph_id)`` lists all graphs; one without nodes has a text of its own."""
+def _node_blocks(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """One text block per node (C14, C15), its dependencies listed in order.
+    -> (graph_id, iteration, seq, node_id, block)"""
     dl = (dependency_lists(nodes, deps).groupBy("graph_id", "node_id")
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))),
                                         lambda x: x["dep_id"]), ", ").alias("deps_str")))
     n = nodes.join(dl, ["graph_id", "node_id"], "left")
-    deps_part = F.when(F.col("deps_str").isNotNull(), F.concat(F.lit(" (deps: "), F.col("deps_str"), F.lit(")"))) \
-        .otherwise(F.lit(""))
+    asked = F.coalesce(F.concat(F.lit(" (deps: "), F.col("deps_str"), F.lit(")")), F.lit(""))
     status = F.when(F.col("status") == "", F.lit(AWAITING)).otherwise(F.col("status"))
     block = F.concat_ws(
-        "\n",
-        F.concat(F.lit("["), F.col("node_id"), F.lit("]: "), F.col("description")),
-        F.concat(F.lit("    Status: "), status, deps_part),
-        _line("    Answer: ", F.col("answer")), _line("    Explanation: ", F.col("explanation")),
-        _line("    Key Steps: ", F.col("key_steps")), _line("    Confidence: ", F.col("confidence")),
-        _line("    Uncertainties: ", F.col("uncertainties")), F.lit(""))
-    g = n.groupBy("graph_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))),
-                                 lambda x: x["b"]), "\n").alias("body"))
-    out = g.select("graph_id", F.concat(F.lit("Total nodes: "), F.col("n").cast("string"),
-                                        F.lit("\n\n=== Executed Nodes ===\n"), F.col("body")).alias("state_text"))
+        "\n", F.concat(F.lit("["), F.col("node_id"), F.lit("]: "), F.col("description")),
+        F.concat(F.lit("    Status: "), status, asked),
+        *[_line(label, F.col(name)) for name, label in NODE_LINES.items()], F.lit(""))
+    return n.select("graph_id", "iteration", "seq", "node_id", block.alias("block"))
+
+
+def _joined(order: str, text: str, sep: str) -> Column:
+    """The texts of a group in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), sep)
+
+
+def state_text(nodes: DataFrame, deps: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """C14: full graph state for the planner, nodes in insertion order.
+    ``graphs(graph_id)`` lists all graphs; one without nodes has a text of its own."""
+    g = _node_blocks(nodes, deps).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), _joined("seq", "block", "\n").alias("body"))
+    out = g.select("graph_id", F.concat(F.lit(STATE_HEAD), F.col("n").cast("string"), F.lit(STATE_NODES), F.col("body")).alias("state_text"))
     if graphs is None:
         return out
     return graphs.select("graph_id").distinct().join(out, "graph_id", "left").select(
@@ -522,41 +533,18 @@ def ledger_text(nodes: DataFrame) -> DataFrame:
         .alias("statuses"))
     rb = refine_budget(nodes).groupBy("graph_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seq", F.concat(
-            F.col("root"), F.lit(": "), F.col("attempts").cast("string"), F.lit("/3 attempts used"),
-            F.when(F.col("exhausted"), F.lit(" [BUDGET REACHED]")).otherwise(F.lit(""))).alias("l")))),
+            F.col("root"), F.lit(": "), F.col("attempts").cast("string"), F.lit(LEDGER_USED),
+            F.when(F.col("exhausted"), F.lit(LEDGER_REACHED)).otherwise(F.lit(""))).alias("l")))),
             lambda x: x["l"]), "\n").alias("budget"))
     fr = frontier(nodes)
     j = st.join(rb, "graph_id", "left").join(fr, "graph_id", "left")
-    budget = F.when(F.col("budget").isNotNull(), F.concat(
-        F.lit("\n\n### Refine Budget (3 attempts max per line of inquiry: original + refine1 + refine2)\n"),
-        F.col("budget"))).otherwise(F.lit(""))
-    aw = F.when(F.col("awaiting") != "", F.concat(F.lit("\nAwaiting Evaluation: "), F.col("awaiting")))
-    un = F.when(F.col("unresolved") != "", F.concat(F.lit("\nUnresolved (need refine if budget remains): "),
-                                                    F.col("unresolved")))
+    budget = F.when(F.col("budget").isNotNull(), F.concat(F.lit(LEDGER_BUDGET), F.col("budget"))).otherwise(F.lit(""))
+    aw = F.when(F.col("awaiting") != "", F.concat(F.lit(LEDGER_AWAITING), F.col("awaiting")))
+    un = F.when(F.col("unresolved") != "", F.concat(F.lit(LEDGER_UNRESOLVED), F.col("unresolved")))
     front = F.when((F.col("awaiting") != "") | (F.col("unresolved") != ""),
-                   F.concat(F.lit("\n\n### Frontier"), F.coalesce(aw, F.lit("")), F.coalesce(un, F.lit("")))
+                   F.concat(F.lit(LEDGER_FRONTIER), F.coalesce(aw, F.lit("")), F.coalesce(un, F.lit("")))
                    ).otherwise(F.lit(""))
-    return j.select("graph_id", F.concat(F.lit("### Statuses\n"), F.col("statuses"), budget, front).alias("ledger"))
-
-
-
-def _node_block(n: DataFrame, deps: DataFrame, nodes_all: DataFrame) -> DataFrame:
-    """One C14-style text block per node of ``n`` (deps listed in order)."""
-    dl = (dependency_lists(nodes_all, deps).groupBy("graph_id", "node_id")
-          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))),
-                                        lambda x: x["dep_id"]), ", ").alias("deps_str")))
-    j = n.join(dl, ["graph_id", "node_id"], "left")
-    deps_part = F.when(F.col("deps_str").isNotNull(), F.concat(F.lit(" (deps: "), F.col("deps_str"), F.lit(")"))) \
-        .otherwise(F.lit(""))
-    status = F.when(F.col("status") == "", F.lit(AWAITING)).otherwise(F.col("status"))
-    block = F.concat_ws(
-        "\n",
-        F.concat(F.lit("["), F.col("node_id"), F.lit("]: "), F.col("description")),
-        F.concat(F.lit("    Status: "), status, deps_part),
-        _line("    Answer: ", F.col("answer")), _line("    Explanation: ", F.col("explanation")),
-        _line("    Key Steps: ", F.col("key_steps")), _line("    Confidence: ", F.col("confidence")),
-        _line("    Uncertainties: ", F.col("uncertainties")), F.lit(""))
-    return j.select("graph_id", "iteration", "seq", "node_id", block.alias("block"))
+    return j.select("graph_id", F.concat(F.lit(LEDGER_HEAD), F.col("statuses"), budget, front).alias("ledger"))
 
 
 def delta_text(nodes: DataFrame, deps: DataFrame, applied: DataFrame, plans_df: DataFrame) -> DataFrame:
@@ -570,15 +558,13 @@ def delta_text(nodes: DataFrame, deps: DataFrame, applied: DataFrame, plans_df:
           .groupBy("graph_id", "iteration")
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "l"))), lambda x: x["l"]), "\n")
                .alias("changes")))
-    nb = (_node_block(nodes, deps, nodes).withColumn("iteration", F.col("iteration") + 1)
-          .groupBy("graph_id", "iteration")
-          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))),
-                                        lambda x: x["block"]), "\n").alias("results")))
+    nb = (_node_blocks(nodes, deps).withColumn("iteration", F.col("iteration") + 1)
+          .groupBy("graph_id", "iteration").agg(_joined("seq", "block", "\n").alias("results")))
     j = plans_df.join(ch, ["graph_id", "iteration"], "left").join(nb, ["graph_id", "iteration"], "left")
     parts = F.concat_ws(
         "\n",
-        F.when(F.col("changes").isNotNull(), F.concat(F.lit("=== Status Changes ===\n"), F.col("changes"), F.lit("\n"))),
-        F.when(F.col("results").isNotNull(), F.concat(F.lit("=== New Execution Results ===\n"), F.col("results"))))
+        F.when(F.col("changes").isNotNull(), F.concat(F.lit(DELTA_CHANGES), F.col("changes"), F.lit("\n"))),
+        F.when(F.col("results").isNotNull(), F.concat(F.lit(DELTA_RESULTS), F.col("results"))))
     return j.select("graph_id", "iteration",
-                    F.when(F.col("changes").isNull() & F.col("results").isNull(), F.lit("[No new results]"))
+                    F.when(F.col("changes").isNull() & F.col("results").isNull(), F.lit(NO_RESULTS))
                     .otherwise(parts).alias("delta"))
