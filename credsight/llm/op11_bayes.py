@@ -431,3 +431,20 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL,
 
 def op11_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
+
+
+_TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: every pair by its common shingles, then everything reachable; for small tables
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_TEXT}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + {K - 1}), ' ') AS g
+       FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - {K - 1}) + 1)) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN c cx ON cx.rid = x JOIN c cy ON cy.rid = y WHERE 100 * k >= {PERCENT} * (cx.n + cy.n - k)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(rid, t) AS (SELECT rid, rid FROM d UNION SELECT r.rid, b.y FROM reach r JOIN both_ways b ON b.x = r.t),
+comp AS (SELECT r.rid, min(d.doc_id) AS component_id FROM reach r JOIN d ON d.rid = r.t GROUP BY r.rid)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, comp.component_id, d.doc_id IS NOT DISTINCT FROM comp.component_id AS kept
+FROM d JOIN comp USING (rid) LEFT JOIN c USING (rid)
+"""

@@ -38,5 +38,6 @@ ORACLES = {
     "op2_decontaminate": op2_decontaminate.ORACLE,
     "op7_lines": op7_lines.ORACLE,
     "op9_chat": op9_chat.ORACLE,
+    "op11_bayes": op11_bayes.ORACLE,
     "op13_rank": op13_rank.ORACLE,
 }
