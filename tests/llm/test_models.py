@@ -166,3 +166,85 @@ def test_windows_cover_the_text_and_the_worst_counts():
     sc = m.Scorer(m.Net().fit(rows, epochs=3))
     low, high = sc.score(["calm words in a row " * 400, "calm words in a row " * 200 + "you vile creature " * 3 + "calm words " * 200])
     assert low < 0.5 < high and sc.score([None, "", "?!"]) == [0.0, 0.0, 0.0]
+
+
+def test_quality_dual_equals_a_plain_solver():
+    """Hinge loss with boxes by class: coordinate descent against projected gradient on the dense dual."""
+    r = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        y = int(r.random() < 0.5)
+        f = np.unique(np.concatenate([r.integers(0, 60, 12), r.integers(100 + 40 * y, 140 + 40 * y, 6), r.integers(100, 180, 3)]))
+        rows.append((f.astype(np.int32), y))
+    model, ratio = op3_quality.fit(rows)
+    y = np.array([1.0 if t else -1.0 for _, t in rows])
+    x = np.zeros((len(rows), 200))
+    for i, (f, _) in enumerate(rows):
+        x[i, f] = ratio[f]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    kernel = (x @ x.T + 1.0) * np.outer(y, y)                   # the bias is a constant feature
+    n1, n0 = (y > 0).sum(), (y < 0).sum()
+    box = np.where(y > 0, op3_quality.C * len(y) / (2 * n1), op3_quality.C * len(y) / (2 * n0))
+    alpha, step = np.zeros(len(y)), 1.0 / np.linalg.norm(kernel, 2)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (kernel @ alpha - 1.0), 0.0, box)
+    want = (x @ x.T + 1.0) @ (alpha * y)
+    got = [model.bias + model.weights[f].sum() / np.linalg.norm(ratio[f]) for f, _ in rows]
+    assert np.abs(np.array(got) - want).max() < 0.05
+    obj = lambda w2, m: 0.5 * w2 + (box * np.maximum(0, 1 - y * m)).sum()
+    w = x.T @ (alpha * y)
+    mine = np.zeros(200)
+    used = ratio[:200] != 0
+    mine[used] = model.weights[:200][used] / ratio[:200][used]
+    best = obj(w @ w + (alpha @ y) ** 2, want)
+    assert obj(mine @ mine + model.bias ** 2, np.array(got)) < best * 1.01 + 1e-6
+
+
+def test_language_prediction_is_brute_force(spark):
+    """Every prediction of a table from gram vectors built letter by letter."""
+    texts = {"x": ["abra cadabra", "bra bra cad", "Abracad!"], "y": ["lorem ipsum", "ipsum dolor lorem", "dolor"], "z": ["zzz éé zz", "éz zé"]}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame(rows + [(90, None, "x"), (91, "123", None), (92, "cad abra", None), (93, "loré", None)],
+                                 "doc_id long, text string, lang string").repartition(3)
+
+    def vector(text):
+        t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        t = f" {' '.join(t.split())} "
+        if not t.strip():
+            return None
+        return sum(op8_langid.gram_vector(t[i:i + 3]).astype(float) for i in range(len(t) - 2))
+
+    unit = lambda v: v / np.linalg.norm(v)
+    sums = {}
+    for _, t, lang in rows:
+        sums[lang] = sums.get(lang, 0) + unit(vector(t))
+    mean = np.mean([unit(v) for v in sums.values()], axis=0)
+    protos = {k: unit(unit(v) - mean) for k, v in sums.items()}
+    got = {r.doc_id: r.lang_pred for r in op8_langid.predict(docs, op8_langid.prototypes(docs), ["doc_id"]).collect()}
+    for i, t, *_ in docs.collect():
+        v = vector(t)
+        assert got[i] == (op8_langid.UND if v is None else max(sorted(protos), key=lambda k: protos[k] @ unit(v))), (i, t)
+
+
+def test_toxicity_scores_a_table_as_the_plain_network(spark):
+    """Every window of every text one by one through the network's own layers."""
+    r = np.random.default_rng(1)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choice(vocab, r.integers(1, 120)).tolist() + ["bad"] * (k % 3 == 0)) for k in range(40)] + ["bad", "", None, "!!!", "awful " * 300]
+    net = op6_toxicity.Net().fit([(t or "", int("bad" in (t or "") or "awful" in (t or ""))) for t in texts if t], epochs=1)
+    assert net.ready
+    docs = make_docs(spark, list(enumerate(texts)))
+    got = {x.doc_id: x.score for x in op6_toxicity.classify(docs, net, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        ws = op6_toxicity.words(t)
+        if not ws:
+            assert got[i] == 0.0
+            continue
+        best = -np.inf
+        for s in op6_toxicity.window_starts(len(ws)):
+            w = ws[s:s + op6_toxicity.LENGTH]
+            g = net.over_vocabulary(w, net.gates)
+            ids, mask = np.zeros((1, op6_toxicity.LENGTH), np.int64), np.zeros((1, op6_toxicity.LENGTH), np.float32)
+            ids[0, :len(w)], mask[0, :len(w)] = np.arange(len(w)), 1
+            best = max(best, float(net.run(g, ids, mask)[0]))
+        assert abs(got[i] - 1 / (1 + np.exp(-best))) < 1e-4, i
