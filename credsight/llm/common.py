@@ -36,12 +36,29 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+_WORKER_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that lives on in the Python worker; :func:`only_caches_of` empties those of other owners."""
+    return _WORKER_CACHES.setdefault(owner, {})
+
+
+def only_caches_of(owner: str) -> None:
+    """Called in a task: frees what earlier stages of a job left in a reused worker."""
+    for name, cache in _WORKER_CACHES.items():
+        if name != owner:
+            cache.clear()
+
+
 class HashCache(dict):
     """bytes -> 64-bit hash, computed on first use; emptied when full."""
 
-    def __init__(self, limit: int = 200_000, seed: int = 0):
+    def __init__(self, limit: int = 200_000, seed: int = 0, owner: str | None = None):
         super().__init__()
         self.limit, self.seed = limit, seed
+        if owner:
+            _WORKER_CACHES[owner] = self
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.limit:
@@ -111,21 +128,6 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
-_WORKER_CACHES: dict[str, dict] = {}
-
-
-def worker_cache(owner: str) -> dict:
-    """A dict that lives on in the Python worker; :func:`only_caches_of` empties those of other owners."""
-    return _WORKER_CACHES.setdefault(owner, {})
-
-
-def only_caches_of(owner: str) -> None:
-    """Called in a task: frees what earlier stages of a job left in a reused worker."""
-    for name, cache in _WORKER_CACHES.items():
-        if name != owner:
-            cache.clear()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsight.llm.common import map_arrow, schema_with, table
+from credsight.llm.common import map_arrow, only_caches_of, schema_with, table, worker_cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -123,7 +123,8 @@ class Codec:
 
     MEMO = 400_000      # entries of one generation; two are kept, so frequent pre-tokens stay
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memo: int = MEMO):
+        self.most = memo
         self.ranks = load_ranks(path)
         self.find = regex.compile(pattern).findall
         self.piece = {str(i).encode(): b for b, i in self.ranks.items()}
@@ -135,7 +136,7 @@ class Codec:
         if got is None:
             got = b" ".join(b"%d" % x for x in encode_pretoken(t.encode(), self.ranks))
         if len(t) <= 64:
-            if len(self.memo) >= self.MEMO:
+            if len(self.memo) >= self.most:
                 self.memo, self.older = {}, self.memo
             self.memo[t] = got
         return got
@@ -153,14 +154,15 @@ class Codec:
         return b"".join(map(self.piece.__getitem__, ids.split()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS = worker_cache("op1")
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memo: int = Codec.MEMO) -> Codec:
     """One codec per Python worker, kept between tasks."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    key = path, pattern, memo
+    if key not in _CODECS:
+        _CODECS[key] = Codec(*key)
+    return _CODECS[key]
 
 
 def _source(path: str | None, pattern: str | None) -> tuple[str, str]:
@@ -201,13 +203,15 @@ def decode(frame: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None,
-               keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Encode, decode the ids again and return both digests with the id count."""
+               keep: tuple[str, ...] = ("doc_id",), text: str = "text", memo: int = Codec.MEMO) -> DataFrame:
+    """Encode, decode the ids again and return both digests with the id count; ``memo``
+    bounds the pre-tokens that a worker remembers."""
     path, pattern = _source(path, pattern)
     d = docs.select(*keep, F.col(text).alias("_llm_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        c = codec(path, pattern)
+        only_caches_of("op1")
+        c = codec(path, pattern, memo)
         n, ids_sha, dec_sha = [], [], []
         for t in batch.column(len(keep)):
             ids = c.encode(t.as_py() or "")

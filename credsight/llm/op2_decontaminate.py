@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsight.llm.common import U64, WORD_BYTES, checkpointed, map_arrow, schema_with, table, words
+from credsight.llm.common import U64, WORD_BYTES, checkpointed, map_arrow, only_caches_of, schema_with, table, words
 
 N = 10
 MAX_WINDOWS = 500_000
@@ -135,6 +135,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
                          spark.sparkContext.applicationId)
 
         def run(batch: pa.RecordBatch, handle=handle, first=k == 0) -> dict:
+            only_caches_of("op2")
             ws_set = _window_set(handle)
             cols = {c: batch.column(i) for i, c in enumerate(names)}
             old = None if first else [batch.column(len(names) + j).to_pylist() for j in (1, 2)]

@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsight.llm.common import U64, HashCache, checkpointed, free_names, hash_words, map_arrow, shingles, table, words
+from credsight.llm.common import U64, HashCache, checkpointed, free_names, hash_words, map_arrow, only_caches_of, shingles, table, words
 
 K, THRESHOLD, RECALL, MAX_ROWS, BLOCK = 5, 0.8, 0.999, 160, 256
-_CACHE = HashCache()
+_CACHE = HashCache(owner="op4")
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_rows: int = MAX_ROWS) -> tuple[int, int]:
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(doc_id, key, fp, bands): ``key`` tells rows of one id and set from others."""
 
     def run(batch: pa.RecordBatch) -> dict:
+        only_caches_of("op4")
         mult = _multipliers(bands * rows)
         fp, bh = [], []
         for t in batch.column(1):
@@ -291,11 +292,14 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Rows of ``docs``, one document of each group: the one of least id.  Texts without
-    words (null, empty, punctuation only) share nothing with others and all stay."""
+    """Rows of ``docs``, one document of each group: the one of least id.  A text without
+    words (empty, punctuation only) is a copy of equal texts alone; null texts all stay."""
     names = docs.columns
     worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
     bare, docs = docs.where(~worded), docs.where(worded)
+    # partial aggregates: however many empty texts there are, each task sends one
+    first = F.min_by(F.struct(*names), F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id"))
+    bare = bare.where("text IS NULL").unionByName(bare.where("text IS NOT NULL").groupBy("text").agg(first.alias("r")).select("r.*"))
     _, c = _labelled(docs, threshold, recall, block)
     at_text = names.index("text")
     ident, key = free_names(names, "_nj_id", "_nj_key")

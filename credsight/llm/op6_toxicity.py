@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsight.llm.common import U64, fold, label_sample, map_arrow, schema_with, table, words, worker_cache
+from credsight.llm.common import U64, fold, label_sample, map_arrow, only_caches_of, schema_with, table, words, worker_cache
 
 MODULUS, HELD, THRESHOLD = 5, 0, 0.5
 LENGTH, STRIDE, HIDDEN, ATT = 32, 16, 8, 8
@@ -396,6 +396,7 @@ def classify(docs: DataFrame, net: Net, keep: list[str],
     d = docs.select(*keep, F.col("text").alias("_llm_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
+        only_caches_of("op6")
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)

@@ -56,7 +56,7 @@ from credsight.llm.common import (
 )
 
 THRESHOLD, SLOT_BITS, BLOCK, SLICE_WORDS = 0.8, 18, 256, 100_000
-_CACHE = HashCache()
+_CACHE = HashCache(owner="op7")
 _EPS = 1e-9
 #: a line with a word (see ``common.WORD_BYTES``)
 _WORDY = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
