@@ -8,7 +8,7 @@ stage's input.  Every stage but the last returns the columns of ``documents``.
 2. line_dedup: lines that match an earlier line go; a document stays even if no
    line is left (its text is then empty).
 3. jaccard_join: of every group of near-duplicate documents the one of least
-   id stays, and every text without words.
+   id stays; texts without words are copies of equal texts alone, and null texts all stay.
 4. decontaminate: documents with a benchmark window go.
 5. bpe: token ids of every remaining text and the digest of the decoded ids.
 """
@@ -46,9 +46,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_bpe.round_trip(docs)
+    return op1_bpe.round_trip(docs, memo=MEMO)
 
 
+#: pre-tokens that a worker remembers in the last stage; fewer than alone, as workers hold what other stages left
+MEMO = 150_000
+
 STAGES = [
     ("toxicity", toxicity),
     ("line_dedup", line_dedup),
