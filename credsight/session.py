@@ -83,14 +83,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 SCRATCH, STREAMS = "credsight-tables", "credsight-streams"
 
 
-def clean_up(spark: SparkSession, streams: bool = False) -> list[str]:
+def clean_up(spark: SparkSession, streams: bool = False, also: tuple[str, ...] = ()) -> list[str]:
     """Remove the tables that :func:`stored` left, with ``streams`` also the
-    offsets, state and output of all streams.  Frames that still read them become
+    offsets, state and output of all streams, and the folders named in ``also``.  Frames that still read them become
     unreadable, so call it when their results are written.  Returns the folders removed."""
     base = checkpoint_dir(spark).rstrip("/")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = []
-    for name in (SCRATCH, STREAMS) if streams else (SCRATCH,):
+    for name in (SCRATCH, *([STREAMS] if streams else []), *also):
+        if not name or "/" in name or name.startswith("."):
+            raise ValueError(f"{name!r} is no folder directly below the checkpoint folder")
         path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
         if path.getFileSystem(conf).delete(path, True):
             gone.append(name)
