@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsight.llm import op1_bpe, op2_decontaminate, op4_jaccard, op6_toxicity, op7_lines
-from credsight.llm.common import table
+from credsight.llm.common import free_names, table
 from credsight.session import checkpoint_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = op6_toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
-    return op6_toxicity.classify(docs, net, docs.columns, ("_tox_score", "_tox")).where("_tox = 0").select(*docs.columns)
+    score, toxic = free_names(docs.columns, "_tox_score", "_tox")
+    return op6_toxicity.classify(docs, net, docs.columns, (score, toxic)).where(F.col(toxic) == 0).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
