@@ -257,6 +257,12 @@ def test_stages_in_order_against_brute_force(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in after} == {r.doc_id: len(codec.encode(r.text or "").split()) for r in before}
 
 
+def test_toxicity_stage_takes_any_column_names(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumns({"_tox": F.lit(7), "_Tox_Score": F.lit("s")})
+    out = pipe.toxicity(spark, docs, SF_SMALL)
+    assert out.columns == docs.columns and {(r._tox, r._Tox_Score) for r in out.select("_tox", "_Tox_Score").collect()} == {(7, "s")}
+
+
 def test_stages_take_empty_tables(spark):
     docs = make_docs(spark, [])
     for name, stage in pipe.STAGES:
