@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -143,6 +144,14 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver's JVM collect frames that nobody holds any more: Spark's cleaner then
+    removes the shuffle files of their finished stages, which otherwise stay until
+    the JVM happens to collect them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Like ``checkpointed``, as a Parquet table: half the bytes, and later
     steps read only their columns.  The files stay in the shared folder below

@@ -46,6 +46,7 @@ from credsight.llm.common import (
     HashCache,
     checkpointed,
     free_names,
+    free_shuffles,
     hash_words,
     map_arrow,
     only_caches_of,
@@ -276,6 +277,7 @@ def later_matches(docs: DataFrame, classes: DataFrame, threshold: float, block:
     """(lid) of the classes whose first line matches an earlier line."""
     spark = docs.sparkSession
     cand = stored(spark, candidates(classes, threshold), "line-candidates")
+    free_shuffles(spark)
     wanted = _by_bit(classes.select("lid", "pos"), _bitmap(cand, "lid"), "lid", True).join(
         cand.select("lid").distinct(), "lid")
     # near copies of a line share most of their prefix: buckets with the same members are kept once
@@ -318,6 +320,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     spark = docs.sparkSession
     level = rarity(docs)
     classes = stored(spark, line_classes(line_rows(docs, level, threshold)).drop("fp"), "line-classes")
+    free_shuffles(spark)
     gone = later_matches(docs, classes, threshold, block)
     names = docs.columns
     ld_id, ld_h, ld_th, ld_lines = free_names(names, "_ld_id", "_ld_h", "_ld_th", "_ld_lines")
@@ -325,6 +328,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
             .groupBy(F.col("pos.doc_id").alias(ld_id), F.col("pos.th").alias(ld_h))
             .agg(F.collect_list("pos.line").alias(ld_lines)))       # lines of one document
     kept = checkpointed(spark, kept)
+    free_shuffles(spark)
     # only texts that lose a line meet the list of their lines; the others need no shuffle
     d = docs.withColumn(ld_th, F.xxhash64("text"))
     has_words = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORDY)))
