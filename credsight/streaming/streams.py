@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credsight.session import STREAMS, checkpoint_dir
+from credsight.session import STREAMS, checkpoint_dir, stored
 
 
 def _area(spark: SparkSession, name: str, job: str | None = None) -> str:
@@ -82,8 +82,10 @@ def run_append(sdf: DataFrame, name: str, job: str | None = None) -> DataFrame:
 def materialise_in_order(df: DataFrame, name: str, ts: str, parts: int = 6, files: int = 4, last: DataFrame | None = None) -> str:
     """Write a derived table as ``parts`` successive appends in the order of ``ts``, cut at
     its quantiles, so a file stream with ``max_files=files`` sees about one part a micro-batch.
-    ``last``, a closing row, is appended at the end."""
+    ``last``, a closing row, is appended at the end.  The table is derived once: the
+    quantiles and the parts are read from a stored copy."""
     path = _area(df.sparkSession, name) + "/data"
+    df = stored(df, name)
     # parts - 1 numbers, whatever the table's size
     at = F.unix_micros(ts)
     bounds = sorted(set(df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
