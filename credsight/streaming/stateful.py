@@ -6,16 +6,25 @@ over files and micro-batches; what comes later than the watermark allows is
 dropped by Spark.  Every operator emits a row once (append mode) and evicts its
 state by a timer.  State lives in RocksDB under the job's checkpoint folder, so a
 named job goes on where it stopped.
+
+Keys are many and small (a group, a user, a graph), and every look at the state
+is a message to the JVM.  So keys meet in hash buckets (:func:`in_buckets`): a
+bucket appends what arrives as one value, has one timer, and settles all of its
+keys when that goes off.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from credsight.functions.columns import normalise_text
@@ -59,7 +68,93 @@ def timed(sdf: DataFrame, ts: str, late: str) -> DataFrame:
             .withColumn("us", F.unix_micros(ts)))
 
 
-class Rounds(StatefulProcessor):
+#: buckets of keys; a named job keeps the number it began with
+BUCKETS = 1024
+#: rows of one value in the state, and of one frame of output
+CHUNK = 20_000
+#: stands for a missing order column, which sorts first
+NO_K = -2 ** 63
+
+
+def in_buckets(rows: DataFrame, keys: list[str], columns: list[str]):
+    """``columns`` of the rows, grouped by a bucket of their keys, with all keys as the JSON text ``id``;
+    event times stay, as Spark drops late rows by them."""
+    times = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.TimestampType) and f.name not in columns]
+    return rows.select(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket"),
+                       F.to_json(F.struct(*keys)).alias("id"), *columns, *times).groupBy("bucket")
+
+
+class Buckets(StatefulProcessor):
+    """Rows (id, us, ..) of a bucket wait until the timer at the earliest moment that may
+    decide about one of them; then :meth:`settle` takes the rows of every id.
+
+    A row that just arrived is never decided before its own time, so what arrives is
+    only appended: it is read when the timer goes off, in the same micro-batch if due.
+    """
+
+    def __init__(self, columns: list[str], out: list[str]):
+        self.columns, self.out = columns, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.due = handle.getValueState("due", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            new = list(pdf[self.columns].itertuples(index=False, name=None))
+            self.waiting.appendValue((pickle.dumps(new, 5),))
+            low = int(pdf["us"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            ms, due = first // 1000 + 1, self.due.get()
+            if due is None or ms < due[0]:
+                if due is not None:
+                    self.handle.deleteTimer(due[0])
+                self._wake(ms)
+        return iter(())
+
+    def _wake(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held: dict[str, list[tuple]] = {}
+        for value in self.waiting.get():
+            for r in pickle.loads(value[0]):
+                held.setdefault(r[0], []).append(r[1:])
+        left, wake, out = [], [], []
+        for row in self.settle(held, mark, left, wake):
+            out.append(row)
+            if len(out) >= CHUNK:
+                yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
+        if left:
+            self.waiting.put([(pickle.dumps(left[i:i + CHUNK], 5),) for i in range(0, len(left), CHUNK)])
+        else:
+            self.waiting.clear()
+        if wake:
+            self._wake(min(wake) // 1000 + 1)
+        else:
+            self.due.clear()
+
+    def settle(self, held: dict[str, list[tuple]], mark: int, left: list[tuple], wake: list[int]) -> Iterator[tuple]:
+        """Output of the rows that the watermark has passed; the others are put into
+        ``left`` and the moments that decide about them into ``wake``."""
+        raise NotImplementedError
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.out, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+class Rounds(Buckets):
     """Rows of a key, ordered by (us, k), fall into rounds.
 
     A round opens with the first row after the one before has ended.  It closes at
@@ -68,61 +163,57 @@ class Rounds(StatefulProcessor):
     turns a closed round (complete or not) or such a row into output.
     """
 
-    def __init__(self, fields: str, emit: Callable, size: int | None, timeout: int, retention: int):
-        self.fields, self.emit = fields, emit
-        self.names = [f.split()[0] for f in fields.split(", ")]
-        self.size, self.timeout, self.retention = size, timeout, retention
+    def __init__(self, fields: list[str], out: list[str], emit: Callable, size: int | None, timeout: int, retention: int):
+        super().__init__(["id", *fields], out)
+        self.emit, self.size, self.timeout, self.retention = emit, size, timeout, retention
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", self.fields)
-        self.until = handle.getValueState("until", "us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [tuple(r[n] for n in self.names) for r in rows]
-        yield from self._settle(key, new, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _wake(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000 + 1)
+        super().init(handle)
+        self.until = handle.getValueState("until", "ends binary")
+
+    def settle(self, held, mark, left, wake):
+        ends = self.until.get()
+        ends = pickle.loads(ends[0]) if ends is not None else {}
+        kept = {}
+        for key in held.keys() | ends.keys():
+            rows = sorted(held.get(key, ()), key=lambda r: r[:2])
+            at, until, close = yield from self._close(key, rows, ends.get(key), mark)
+            if at < len(rows):
+                left.extend((key, *r) for r in rows[at:])
+                wake.append(close)
+            if until is not None and (until >= mark or at < len(rows)):
+                kept[key] = until
+                if until >= mark:
+                    wake.append(until)
+        if kept:
+            self.until.update((pickle.dumps(kept, 5),))
+        elif ends:
+            self.until.clear()
 
-    def _settle(self, key, new: list[tuple], mark: int) -> Iterator[Row]:
-        """Close every round that the watermark has passed and keep the rest."""
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        rows = sorted(held + new, key=lambda r: r[:2])
-        until = self.until.get()[0] if self.until.exists() else None
-        while rows:
+    def _close(self, key: str, rows: list[tuple], until: int | None, mark: int):
+        """Close every round that the watermark has passed -> (rows used, end of the last round's
+        retention, moment at which the open round closes)."""
+        times = [r[0] for r in rows]
+        at, close = 0, None
+        while at < len(rows):
             if until is not None:
-                gone = [r for r in rows if r[0] <= until]
-                for r in gone:
+                j = bisect_right(times, until, at)
+                for r in rows[at:j]:
                     yield from self.emit(key, [r], "late", until)
-                rows = rows[len(gone):]
-                if not rows:
+                at = j
+                if at == len(rows):
                     break
-            end = rows[0][0] + self.timeout
-            inside = [r for r in rows if r[0] <= end][:self.size]
-            full = len(inside) == self.size
-            close = inside[-1][0] if full else end
+            end = times[at] + self.timeout
+            j = bisect_right(times, end, at)
+            if self.size is not None:
+                j = min(j, at + self.size)
+            full = j - at == self.size
+            close = times[j - 1] if full else end
             if close >= mark:                      # rows of that time or before may still come
-                self._wake(close)
                 break
-            yield from self.emit(key, inside, "complete" if full else "timeout", close)
-            rows, until = rows[len(inside):], close + self.retention
-        if rows:
-            self.rows.put(rows)
-        elif self.rows.exists():
-            self.rows.clear()
-        if until is not None and (until >= mark or rows):
-            self.until.update((until,))
-            if until >= mark:
-                self._wake(until)
-        elif self.until.exists():
-            self.until.clear()
-
-    def close(self) -> None:
-        pass
+            yield from self.emit(key, rows[at:j], "complete" if full else "timeout", close)
+            at, until = j, close + self.retention
+        return at, until, close
 
 
 # ---------------------------------------------------------------------------
@@ -137,7 +228,7 @@ def _group_stats(scores: list[float]) -> tuple[float, float]:
     return mean, math.sqrt(math.fsum((s - mean) ** 2 for s in scores) / (len(scores) - 1))
 
 
-CREDIT_FIELDS = "us long, k long, score double, planner boolean, dummy boolean, gen string, violations long"
+CREDIT_FIELDS = ["us", "k", "score", "planner", "dummy", "gen", "violations"]
 
 
 class Credit:
@@ -149,7 +240,7 @@ class Credit:
     def __call__(self, key, rows, state, close):
         if state == "late":
             for r in rows:
-                yield Row(traj_id=r[1], state=state, g_n=None, adv=None)
+                yield r[1], state, None, None
             return
         scored, counted, seen = [], [], set()
         for _, k, score, planner, dummy, gen, violations in rows:
@@ -166,7 +257,7 @@ class Credit:
         mean, std = _group_stats(counted)
         for k, score, dummy in scored:
             adv = 0.0 if self.penalty and dummy else (score - mean) / (std + EPS)
-            yield Row(traj_id=k, state=state, g_n=len(rows), adv=adv)
+            yield k, state, len(rows), adv
 
 
 def group_credit(rollouts: DataFrame, keys: list[str], size: int, timeout_s: int, retention_s: int,
@@ -181,13 +272,19 @@ def group_credit(rollouts: DataFrame, keys: list[str], size: int, timeout_s: int
     -> (traj_id, state complete | timeout | late, g_n, adv)
     """
     extra = {"planner": "boolean", "dummy": "boolean", "gen": "string", "violations": "long"}
-    r = rollouts.withColumn("k", F.col("traj_id"))
+    r = rollouts.withColumn("k", F.coalesce("traj_id", F.lit(NO_K)))
     for name, kind in extra.items():
         if name not in r.columns:
             r = r.withColumn(name, F.lit(None).cast(kind))
-    return r.groupBy(*keys).transformWithState(
-        Rounds(CREDIT_FIELDS, Credit(penalty), size, timeout_s * SECOND, retention_s * SECOND),
-        "traj_id long, state string, g_n long, adv double", "append", "eventTime")
+    r = r.withColumn("violations", F.coalesce("violations", F.lit(0)))
+    return _order_back(in_buckets(r, keys, CREDIT_FIELDS).transformWithStateInPandas(
+        Rounds(CREDIT_FIELDS, ["k", "state", "g_n", "adv"], Credit(penalty), size, timeout_s * SECOND, retention_s * SECOND),
+        "k long, state string, g_n long, adv double", "append", "eventTime"), "traj_id")
+
+
+def _order_back(out: DataFrame, name: str) -> DataFrame:
+    """The order column under its own name, null where it was missing."""
+    return out.withColumn("k", F.when(F.col("k") != NO_K, F.col("k"))).withColumnRenamed("k", name)
 
 
 # ---------------------------------------------------------------------------
@@ -196,28 +293,35 @@ def group_credit(rollouts: DataFrame, keys: list[str], size: int, timeout_s: int
 
 
 def _session(key, rows, state, close):
-    yield Row(key=key[0], session_start_us=rows[0][0], session_end_us=close, last_event_us=rows[-1][0], n_events=len(rows))
+    yield key, rows[0][0], close, rows[-1][0], len(rows)
 
 
 def deadline_sessions(events: DataFrame, key: str, order: str, timeout_s: int = 5400) -> DataFrame:
     """A session ends ``timeout_s`` after its first event, whatever happens in it;
     the next event opens another.  Emitted when the deadline has passed."""
-    return events.withColumn("k", F.col(order)).groupBy(key).transformWithState(
-        Rounds("us long, k long", _session, None, timeout_s * SECOND, -1),
-        "key long, session_start_us long, session_end_us long, last_event_us long, n_events long", "append", "eventTime"
-    ).withColumnRenamed("key", key)
+    names = ["session_start_us", "session_end_us", "last_event_us", "n_events"]
+    rows = events.withColumn("k", F.coalesce(order, F.lit(NO_K)))
+    out = in_buckets(rows, [key], ["us", "k"]).transformWithStateInPandas(
+        Rounds(["us", "k"], ["id", *names], _session, None, timeout_s * SECOND, -1),
+        "id string, " + ", ".join(f"{n} long" for n in names), "append", "eventTime")
+    return out.select(_key_back(events, key), *names)
+
+
+def _key_back(rows: DataFrame, key: str) -> Column:
+    return F.from_json("id", T.StructType([rows.schema[key]]))[key].alias(key)
 
 
 def _kept(key, rows, state, close):
     if state != "late":
-        yield Row(k=rows[0][1])
+        yield (rows[0][1],)
 
 
 def first_per_window(events: DataFrame, keys: list[str], order: str, window_s: int) -> DataFrame:
     """L3 with the kept row: the first event of a key stays, those up to ``window_s``
     after it are repeats, the next one stays again.  -> (order)"""
-    return events.withColumn("k", F.col(order)).groupBy(*keys).transformWithState(
-        Rounds("us long, k long", _kept, 1, 0, window_s * SECOND), "k long", "append", "eventTime").withColumnRenamed("k", order)
+    rows = events.withColumn("k", F.coalesce(order, F.lit(NO_K)))
+    return _order_back(in_buckets(rows, keys, ["us", "k"]).transformWithStateInPandas(
+        Rounds(["us", "k"], ["k"], _kept, 1, 0, window_s * SECOND), "k long", "append", "eventTime"), order)
 
 
 # ---------------------------------------------------------------------------
