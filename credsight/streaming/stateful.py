@@ -15,6 +15,7 @@ keys when that goes off.
 
 from __future__ import annotations
 
+import json
 import math
 import pickle
 import re
@@ -379,10 +380,6 @@ def month_start(step: Column) -> Column:
 # L8 validation of plans as they arrive
 # ---------------------------------------------------------------------------
 
-PLAN_FIELDS = ("nodes array<struct<seq: long, node_id: string, exec_status: string, kd: string, kp: string, deps: array<string>>>, "
-               "verdicts array<struct<node_id: string, status: string>>")
-
-
 def plan_messages(nodes: DataFrame, deps: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(graph_id, iteration, nodes, verdicts): one row per plan, its texts normalised."""
     dl = deps.groupBy("graph_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))), lambda x: x["dep_id"]).alias("deps"))
@@ -396,55 +393,64 @@ def _names(ids) -> str:
     return "[" + ", ".join(f"'{i}'" for i in sorted(ids)) + "]"
 
 
-class PlanRules(StatefulProcessor):
-    """E1-E9 on the plans of a graph in the order of their iterations.
+class Graph:
+    """What the rules need of a graph's earlier plans: every id with its first and latest batch
+    and its status, the ids that await a verdict, the normalised (description, prompt) of all
+    nodes but answers, the latest batch."""
 
-    State instead of the stored graph: every id with its first and latest batch and
-    its status, the ids that await a verdict, the first batch of every normalised
-    (description, prompt), the latest batch.  A plan that arrives early waits until
-    the watermark has passed it.  Look-ups are by key; nothing is scanned again.
-    """
+    __slots__ = ("known", "awaiting", "texts", "batch")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "iteration long", f"us long, {PLAN_FIELDS}")
-        self.known = handle.getMapState("known", "node_id string", "born long, latest long, status string")
-        self.awaiting = handle.getMapState("awaiting", "node_id string", "latest long")
-        self.texts = handle.getMapState("texts", "kd string, kp string", "iteration long")
-        self.batch = handle.getValueState("batch", "latest long")
+    def __init__(self, state: tuple | None = None):
+        self.known, self.awaiting, self.texts, self.batch = state or ({}, set(), set(), None)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.updateValue((r.iteration,), (r.us, r.nodes, r.verdicts))
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+    def state(self) -> tuple:
+        return self.known, self.awaiting, self.texts, self.batch
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def _release(self, key, mark: int) -> Iterator[Row]:
-        plans = sorted(((tuple(k)[0], tuple(v)) for k, v in self.waiting.iterator()), key=lambda x: x[0])
-        for k, (us, nodes, verdicts) in plans:
-            if us >= mark:
-                self.handle.registerTimer(us // 1000 + 1)
-                break
-            verdicts = {v[0]: v[1] for v in verdicts or []}
-            for rule, node_id, message in self._check(k, nodes or [], verdicts):
-                yield Row(graph_id=key[0], iteration=k, rule=rule, node_id=node_id, message=message)
-            self._apply(k, nodes or [], verdicts)
-            self.waiting.removeKey((k,))
+class PlanRules(Buckets):
+    """E1-E9 on the plans of a graph in the order of their iterations.
 
-    def _get(self, node_id: str) -> tuple | None:
-        return tuple(self.known.getValue((node_id,))) if self.known.containsKey((node_id,)) else None
+    A plan that arrives early waits until the watermark has passed it.  Of the stored
+    graph only a :class:`Graph` is kept, one value per graph in map state: a settled
+    bucket reads and writes those of the graphs that have plans due.
+    """
 
-    def _check(self, k: int, nodes: list, verdicts: dict) -> Iterator[tuple]:
-        unjudged = {tuple(i)[0] for i in self.awaiting.keys()} - verdicts.keys()
+    def __init__(self):
+        super().__init__(["id", "us", "iteration", "plan"], ["id", "iteration", "rule", "node_id", "message"])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.graphs = handle.getMapState("graphs", "id string", "graph binary")
+
+    def settle(self, held, mark, left, wake):
+        for key, rows in held.items():
+            # a plan that came again replaces the one that waits
+            plans = sorted({r[1]: r for r in rows}.items())
+            n = next((i for i, (_, r) in enumerate(plans) if r[0] >= mark), len(plans))
+            if n < len(plans):
+                wake.append(plans[n][1][0])
+                left.extend((key, *r) for _, r in plans[n:])
+            if not n:
+                continue
+            stored = self.graphs.getValue((key,))
+            g = Graph(pickle.loads(stored[0]) if stored is not None else None)
+            for k, (_, _, plan) in plans[:n]:
+                plan = json.loads(plan)
+                nodes, verdicts = plan.get("nodes") or [], {v.get("node_id"): v.get("status") for v in plan.get("verdicts") or []}
+                for rule, node_id, message in self._check(g, k, nodes, verdicts):
+                    yield key, k, rule, node_id, message
+                self._apply(g, k, nodes, verdicts)
+            self.graphs.updateValue((key,), (pickle.dumps(g.state(), 5),))
+
+    def _check(self, g: Graph, k: int, nodes: list, verdicts: dict) -> Iterator[tuple]:
+        unjudged = g.awaiting - verdicts.keys()
         if unjudged:
             yield "R_STATUS", None, f"node_statuses must cover all awaiting ids; without a verdict: {_names(unjudged)}"
             return
         if not nodes:
             yield "R_EMPTY", None, "plan must contain at least one new node; this one adds none"
             return
-        refines = {n[1]: PARENT.match(n[1]) for n in nodes if "_refine" in n[1]}
+        refines = {n["node_id"]: PARENT.match(n["node_id"]) for n in nodes if "_refine" in n["node_id"]}
         parents = {i: _parent(m) for i, m in refines.items() if m}
         alive = set()
         for i, status in verdicts.items():
@@ -453,66 +459,63 @@ class PlanRules(StatefulProcessor):
                     m = PARENT.match(i)
                     spent = bool(m) and int(m.group(2)) >= 2
                 else:
-                    spent = self._get(f"{i}_refine1") is not None
+                    spent = f"{i}_refine1" in g.known
                 if not spent:
                     alive.add(i)
         if alive:
             yield "R_PENDING", None, f"unresolved this turn, but not addressed by any refine of the same plan: {_names(alive)}"
-        answers = [n[1] for n in nodes if n[1].endswith("_answer")]
+        answers = [n["node_id"] for n in nodes if n["node_id"].endswith("_answer")]
         if answers and len(nodes) > 1:
-            others = [n[1] for n in nodes if n[1] != answers[0]]
+            others = [n["node_id"] for n in nodes if n["node_id"] != answers[0]]
             yield "R_ANSWER_ISOLATION", answers[0], f"answer node '{answers[0]}' must be planned alone in its batch; planned with it: {_names(others)}"
-        new = {n[1] for n in nodes}
-        for _, i, _, kd, kp, deps in nodes:
-            for d in deps or []:
+        new = {n["node_id"] for n in nodes}
+        for n in nodes:
+            i = n["node_id"]
+            for d in n.get("deps") or []:
                 if d == i:
                     yield "DEP", i, f"node '{i}' depends on itself"
                 elif d in new:
                     yield "DEP", i, f"node '{i}' depends on '{d}' of the SAME batch, which has no result yet"
-                elif self._get(d) is None:
+                elif d not in g.known:
                     yield "DEP", i, f"node '{i}' depends on '{d}', an id that does not exist"
             if i in refines:
-                yield from (("R_REFINE", i, f"refine node '{i}': {m}") for m in self._refine(i, refines[i], parents.get(i), verdicts))
-            if not i.endswith("_answer") and self.texts.containsKey((kd, kp)):
+                yield from (("R_REFINE", i, f"refine node '{i}': {m}") for m in self._refine(g, i, refines[i], parents.get(i), verdicts))
+            if not i.endswith("_answer") and (n.get("kd"), n.get("kp")) in g.texts:
                 yield "R_DUP", i, f"node '{i}' has the same description AND prompt as an earlier node"
 
-    def _refine(self, i: str, m, parent: str | None, verdicts: dict) -> Iterator[str]:
+    def _refine(self, g: Graph, i: str, m, parent: str | None, verdicts: dict) -> Iterator[str]:
         if not m:
             yield "the id is not of the form <parent>_refine<n>"
         elif int(m.group(2)) > 2:
             yield "a line has two refines at most"
-        elif (p := self._get(parent)) is None:
+        elif (p := g.known.get(parent)) is None:
             yield f"no parent '{parent}' in the graph"
         else:
             status = verdicts.get(parent) or p[2]
             if status not in PENDING_STATUSES:
                 yield f"parent '{parent}' is '{status}', not unresolved"
-            if self._get(i) is not None:
+            if i in g.known:
                 yield "the id is in use"
 
-    def _apply(self, k: int, nodes: list, verdicts: dict) -> None:
+    def _apply(self, g: Graph, k: int, nodes: list, verdicts: dict) -> None:
         """First the verdicts on the latest batch, then the new batch."""
-        latest = self.batch.get()[0] if self.batch.exists() else None
         for i, status in verdicts.items():
-            at = self._get(i)
-            if at and at[1] == latest:
-                self.known.updateValue((i,), (at[0], at[1], status))
-                if self.awaiting.containsKey((i,)):
-                    self.awaiting.removeKey((i,))
-        for _, i, status, kd, kp, _ in nodes:
-            at = self._get(i)
-            self.known.updateValue((i,), (at[0] if at else k, k, status))
+            at = g.known.get(i)
+            if at and at[1] == g.batch:
+                g.known[i] = at[0], at[1], status
+                g.awaiting.discard(i)
+        for n in nodes:
+            i, status, text = n["node_id"], n.get("exec_status"), (n.get("kd"), n.get("kp"))
+            at = g.known.get(i)
+            g.known[i] = at[0] if at else k, k, status
             if status == "":
-                self.awaiting.updateValue((i,), (k,))
-            elif self.awaiting.containsKey((i,)):
-                self.awaiting.removeKey((i,))
-            if not i.endswith("_answer") and not self.texts.containsKey((kd, kp)):
-                self.texts.updateValue((kd, kp), (k,))
+                g.awaiting.add(i)
+            else:
+                g.awaiting.discard(i)
+            if not i.endswith("_answer"):
+                g.texts.add(text)
         if nodes:
-            self.batch.update((k,))
-
-    def close(self) -> None:
-        pass
+            g.batch = k
 
 
 PARENT = re.compile(r"^(.+?)_refine(\d+)$")
@@ -526,5 +529,7 @@ def _parent(m) -> str:
 def validate_plans(plans: DataFrame, graph_type: str = "long") -> DataFrame:
     """L8 over a stream of :func:`plan_messages` with ``us``, from :func:`timed`, the
     event time being the iteration: the violations of the batch rules, each plan once."""
-    return plans.groupBy("graph_id").transformWithState(
-        PlanRules(), f"graph_id {graph_type}, iteration long, rule string, node_id string, message string", "append", "eventTime")
+    rows = plans.withColumn("plan", F.to_json(F.struct("nodes", "verdicts")))
+    out = in_buckets(rows, ["graph_id"], ["us", "iteration", "plan"]).transformWithStateInPandas(
+        PlanRules(), "id string, iteration long, rule string, node_id string, message string", "append", "eventTime")
+    return out.select(_key_back(plans, "graph_id").cast(graph_type).alias("graph_id"), "iteration", "rule", "node_id", "message")
