@@ -614,11 +614,12 @@ session_log AS (
 ORACLE_DEPS.update({"planner_log": [], "run_log": [], "session_log": []})
 
 
-def dag_inputs(spark: SparkSession, sf_dir: str):
+def dag_inputs(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None):
     """(nodes with resolved ids, deps, verdicts) for the DAG queries, as plain
-    plans: each query scans and shuffles only the columns it reads."""
+    plans: each query scans and shuffles only the columns it reads.  A query that
+    reads most of them several times brings ``raw``, the stored nodes."""
     from credsight.operators.graph import resolve_ids
-    raw = dag_nodes(spark, sf_dir)
+    raw = raw if raw is not None else dag_nodes(spark, sf_dir)
     return resolve_ids(raw), dag_deps(spark, sf_dir, raw), dag_verdicts(spark, sf_dir, raw)
 
 
@@ -628,7 +629,8 @@ RULE_COLUMNS = ["graph_id", "seq", "iteration", "node_id", "exec_status", "descr
 
 def rule_inputs(spark: SparkSession, sf_dir: str):
     """Inputs of the rule plans: nodes and verdicts, which several rules read,
-    are narrowed and written once."""
-    n, d, v = dag_inputs(spark, sf_dir)
+    are narrowed and written once; so is what all inputs are derived from."""
+    raw = stored(dag_nodes(spark, sf_dir).select("okey", "spec_id", "status", *[c for c in RULE_COLUMNS if c != "node_id"]), "rule-raw")
+    n, d, v = dag_inputs(spark, sf_dir, raw)
     return (stored(n.select(*RULE_COLUMNS), "rule-nodes"), d.select("graph_id", "seq", "dep_pos", "dep_id"),
             stored(v.select("graph_id", "iteration", "node_id", "status"), "rule-verdicts"))
