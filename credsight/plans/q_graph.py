@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from credsight.operators import graph as G
 from credsight.plans.catalog import query
+from credsight.session import stored
 from credsight.sources.fixtures import dag_inputs, dag_nodes, dag_verdicts, oracle_with  # noqa: F401
 
 
@@ -240,10 +241,12 @@ LEFT JOIN (SELECT graph_id, CAST(count(*) AS INTEGER) AS n_edges FROM edges GROU
 
 @query("dag_roundtrip", "A8", oracle_with("edges", recursive=True) + _DEPTH_SQL + _ROUNDTRIP_SQL)
 def q_dag_roundtrip(spark, sf):
-    """Written and read back: every field, order, unknown keys."""
-    n, d = _g(spark, sf)
-    e = G.edges(n, d)
-    full = n.join(G.depths(n, e).select("graph_id", "node_id", "depth"), ["graph_id", "node_id"])
+    """Written and read back: every field, order, unknown keys.  Nodes, dependencies, edges and
+    depths are each read by several steps, so each is derived once."""
+    n, d, _ = dag_inputs(spark, sf, stored(dag_nodes(spark, sf), "roundtrip-raw"))
+    n, d = stored(n, "roundtrip-nodes"), stored(d, "roundtrip-deps")
+    e = stored(G.edges(n, d), "roundtrip-edges")
+    full = stored(n.join(G.depths(n, e).select("graph_id", "node_id", "depth"), ["graph_id", "node_id"]), "roundtrip-full")
     back = G.deserialize(G.serialize(full, d, e))
     return back.select("graph_id", F.col("seq").cast("bigint").alias("seq"), "node_id", "description", "prompt", "status", "answer", "explanation",
                        "key_steps", "confidence", "uncertainties", "raw_text", "turns", "failure_reason", "extra", "depth",
