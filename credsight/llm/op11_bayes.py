@@ -23,8 +23,10 @@ words is one shingle.  Documents are linked where
    verified on the full shingle sets; in the last round these travel only for
    members of surviving pairs.
 5. Components come from contraction: every node points to the neighbour that comes
-   first by a hash (another one each step), the links are renamed, loops and
-   repeats go, until none is left.  Minima are partial aggregates, and they are
+   first, the links are renamed, loops and repeats go, until none is left.  The
+   order is that of the prints, then of hashes, another one after every ``SAME``
+   steps: links are mostly stars around leaders, and where the order stays, the leaves
+   of a star that point past its middle have all met one step later.  Minima are partial aggregates, and they are
    written before they are joined, so that the join of a node with very many links
    can be split at run time.
 
@@ -56,6 +58,7 @@ from credsight.llm.common import U64, HashCache, hash_words, map_arrow, shingles
 
 K, PERCENT, RECALL, MAX_ROWS = 4, 80, 0.9999, 160
 CHECKS, STEP, MISS = 96, 16, 2e-5
+SAME = 3
 LEADERS, REST, BLOCK, RUN, HELD = 6, 2048, 256, 256, 4_000_000       # HELD: shingles a job may hold at once
 U32 = np.uint32
 _CACHE = HashCache()
@@ -272,10 +275,11 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     cur, steps = edges.where("a <> b"), []
     while True:
-        turn = F.lit(len(steps))
+        turn = len(steps) // SAME
+        rank = lambda c: F.xxhash64(c, F.lit(turn)) if turn else F.col(c)  # noqa: B023, E731
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("k"), "b")).alias("m"))
-        to = stored(spark, first.select("a", F.when(F.col("m.k") < F.xxhash64("a", turn), F.col("m.b")).otherwise(F.col("a")).alias("to")), "op11-to")
+        first = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("k"), "b")).alias("m"))
+        to = stored(spark, first.select("a", F.when(F.col("m.k") < rank("a"), F.col("m.b")).otherwise(F.col("a")).alias("to")), "op11-to")
         steps.append(to)
         cur = stored(spark, cur.join(to, "a").select("b", F.col("to").alias("x")).join(to.withColumnRenamed("a", "b"), "b")
                      .select(F.col("x").alias("a"), F.col("to").alias("b")).where("a <> b").distinct(), "op11-renamed")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from llm_cases import EDGES, SF_SMALL, make_docs
 
 from credsight.llm import op11_bayes as op11
@@ -168,6 +169,20 @@ def test_components_of_stars_chains_and_loops(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values())) and all(k in v for k, v in have.items())
 
 
+def test_components_of_stars_take_few_steps(spark, monkeypatch):
+    """Leader rounds give stars; their leaves meet in a few steps, whatever the prints are."""
+    name = lambda *k: xxhash.xxh3_128_digest(repr(k).encode())
+    edges = [(name(s), name(s, i)) for s in range(8) for i in range(100)]
+    steps, write = [], op11.stored
+    monkeypatch.setattr(op11, "stored", lambda sp, df, what: steps.append(what) or write(sp, df, what))
+    got = {bytes(x.fp): bytes(x.root) for x in op11.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert len(got) == 8 * 101
+    for s in range(8):
+        assert len({got[name(s)]} | {got[name(s, i)] for i in range(100)}) == 1
+    assert len(set(got.values())) == 8
+    assert steps.count("op11-renamed") <= 2
+
+
 def test_empty_table(spark):
     docs = make_docs(spark, [(1, "x")]).where("false")
     assert op11.link(docs).collect() == [] and op11.deduplicate(docs).collect() == []
