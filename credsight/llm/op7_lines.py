@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,12 @@ from pyspark.sql import types as T
 
 from credsight.llm.common import (
     U64,
-    HashCache,
+    WORD_BYTES,
     checkpointed,
     free_names,
     free_shuffles,
-    hash_words,
     map_arrow,
+    mix,
     only_caches_of,
     schema_with,
     stored,
@@ -56,17 +57,85 @@ from credsight.llm.common import (
     words,
 )
 
-THRESHOLD, SLOT_BITS, BLOCK, SLICE_WORDS = 0.8, 18, 256, 100_000
-_CACHE = HashCache(owner="op7")
+THRESHOLD, SLOT_BITS, BLOCK, SLICE_BYTES = 0.8, 18, 256, 1 << 20
+#: words of more bytes are hashed one by one
+LONG = 64
 _EPS = 1e-9
-#: a line with a word (see ``common.WORD_BYTES``)
-_WORDY = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+#: a line with a word (see ``common.WORD_BYTES``), from its first word on
+_WORDY = r"[0-9A-Za-z\x{80}-\x{10FFFF}][^\n]*"
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
+# -- words of lines, some thousand lines at a time -------------------------
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def span_hashes(t: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``size`` bytes that begin at ``start``, eight bytes at a time."""
+    at = np.ndarray((len(t) + 1,), "<u8", t + bytes(8), strides=(1,))      # the eight bytes from every place on
+    h = mix((at[start] & _MASK[np.minimum(size, 8)]) ^ (size.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    for a in range(8, LONG, 8):
+        more = np.flatnonzero(size > a)
+        if not len(more):
+            break
+        h[more] = mix(h[more] * U64(0xBF58476D1CE4E5B9) + (at[start[more] + a] & _MASK[np.minimum(size[more] - a, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(t[start[i]:start[i] + size[i]])
+    return h
+
+
+def _lines(off: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, line number, begin, end) of the lines of the documents text[off[i]:off[i + 1]]."""
+    feed = np.flatnonzero(text == 10)
+    doc = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, feed, "right") - 1])
+    begin = np.concatenate([off[:-1], feed + 1])
+    order = np.lexsort((begin, doc))
+    doc, begin = doc[order], begin[order]
+    end = off[doc + 1].copy()
+    same = doc[1:] == doc[:-1]
+    end[:-1][same] = begin[1:][same] - 1
+    return doc, np.arange(len(doc)) - np.searchsorted(doc, doc), begin, end
+
+
+def line_words(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document number, line number, number of words; hashes of all these words) of the lines
+    with words, about ``size`` bytes of whole lines at a time.  The words are those of ``common.words``."""
+    if not len(texts):
+        return
+    wide = pa.types.is_large_string(texts.type)
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        off, text = offsets[first:last + 1] - offsets[first], data[offsets[first]:offsets[last]]
+        doc, number, begin, end = _lines(off, text)
+        piece = begin // size                                     # of a longer document some lines at a time
+        cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(begin)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            lo, hi = begin[a], end[b - 1]
+            t = text[lo:hi].tobytes().translate(WORD_BYTES)
+            word = np.frombuffer(t, np.uint8) != 32
+            head, tail = word.copy(), word.copy()
+            head[1:] &= ~word[:-1]
+            tail[:-1] &= ~word[1:]
+            at = begin[a:b] - lo                                  # a line begins: texts lie side by side
+            head[at[at < len(t)]] = word[at[at < len(t)]]
+            tail[at[at > 0] - 1] = word[at[at > 0] - 1]
+            start = np.flatnonzero(head)
+            k = np.searchsorted(start, end[a:b] - lo) - np.searchsorted(start, at)
+            some = k > 0
+            if some.any():
+                yield (doc[a:b][some] + first, number[a:b][some], k[some],
+                       span_hashes(t, start, np.flatnonzero(tail) + 1 - start))
+        first = last
+
+
 # -- 1. rarity -------------------------------------------------------------
 def rarity(docs: DataFrame) -> np.ndarray:
     """Logarithmic token count by hash slot; 2**SLOT_BITS bytes for any input size."""
@@ -75,8 +144,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         only_caches_of("op7")
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
-            for a in range(0, b.num_rows, 100):
-                h = hash_words([w for t in b.column(0).slice(a, 100).to_pylist() for w in words(t)], _CACHE)
+            for *_, h in line_words(b.column(0)):
                 counts += np.bincount((h >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
@@ -94,7 +162,7 @@ def ordered_sets(h: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np
     """Distinct tokens of each line, rarest first: (line, token hash)."""
     key = (line.astype(U64) << U64(44)) | (level[(h >> U64(64 - SLOT_BITS)).astype(np.int64)].astype(U64) << U64(38)) \
         | (h >> U64(26))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k, s = key[order], h[order]
     if ((k[1:] == k[:-1]) & (s[1:] != s[:-1])).any():      # equal leading bits: order by the whole hash
         order = np.lexsort((h, key))
@@ -107,23 +175,6 @@ def prefix_size(n, threshold: float):
     return n - np.ceil(threshold * n - _EPS).astype(np.int64) + 1
 
 
-def _slices(texts: list[str | None]):
-    """(document number, line number, words) of the lines with words, about SLICE_WORDS words at a time."""
-    rows, n = [], 0
-    for d, t in enumerate(texts):
-        if t is not None:
-            for i, line in enumerate(t.split("\n")):
-                ws = words(line)
-                if ws:
-                    rows.append((d, i, ws))
-                    n += len(ws)
-                    if n >= SLICE_WORDS:
-                        yield rows
-                        rows, n = [], 0
-    if rows:
-        yield rows
-
-
 _LINE = ("fp binary, doc_id long, th long, line int, n int, prefix array<int>, b0 long, b1 long, b2 long, b3 long")
 
 
@@ -132,18 +183,16 @@ def line_rows(docs: DataFrame, level: np.ndarray, threshold: float) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(level)     # 2**SLOT_BITS bytes
 
     def run(batches):
+        only_caches_of("op7")
         for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
-                ids, ths = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for rows in _slices(part.column(2).to_pylist()):
-                    yield batch_of(rows, ids, ths)
-
-    def batch_of(rows, ids, ths):
-        h = hash_words([w for r in rows for w in r[2]], _CACHE)
-        line = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+            for doc, number, k, h in line_words(b.column(2)):
+                at = pa.array(doc)
+                yield batch_of(b.column(0).take(at), b.column(1).take(at), number, k, h)
+
+    def batch_of(ids, ths, number, k, h):
+        line = np.repeat(np.arange(len(k)), k)
         line, tok = ordered_sets(h, line, shared.value)
-        begin = np.searchsorted(line, np.arange(len(rows)))
+        begin = np.searchsorted(line, np.arange(len(k)))
         n = np.diff(np.append(begin, len(tok)))
         take = prefix_size(n, threshold)
         offsets = np.concatenate([[0], np.cumsum(take)])
@@ -151,10 +200,9 @@ def line_rows(docs: DataFrame, level: np.ndarray, threshold: float) -> DataFrame
         bit = tok & U64(255)
         one = U64(1) << (bit & U64(63))
         maps = [np.bitwise_or.reduceat(np.where((bit >> U64(6)) == k, one, U64(0)), begin).view(np.int64) for k in range(4)]
-        fps = [xxhash.xxh3_128_digest(tok[s:s + k].tobytes()) for s, k in zip(begin.tolist(), n.tolist())]
+        fps = [xxhash.xxh3_128_digest(tok[s:s + size].tobytes()) for s, size in zip(begin.tolist(), n.tolist())]
         return pa.RecordBatch.from_arrays([
-            pa.array(fps, pa.binary()), pa.array([ids[r[0]] for r in rows], pa.int64()),
-            pa.array([ths[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+            pa.array(fps, pa.binary()), ids, ths, pa.array(number.astype(np.int32)),
             pa.array(n.astype(np.int32)),
             pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((tok[at] & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
             *[pa.array(m) for m in maps]],
@@ -230,6 +278,7 @@ def _by_bit(frame: DataFrame, bitmap: np.ndarray, column: str, value: bool, bits
     at = frame.columns.index(column)
 
     def run(batches):
+        only_caches_of("op7")
         for b in batches:
             s = np.mod(b.column(at).fill_null(0).to_numpy(zero_copy_only=False), 1 << bits)
             yield b.filter(pa.array(((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool) == value))
@@ -245,12 +294,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     j = d.join(by_doc, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "lines")
 
     def run(batch: pa.RecordBatch) -> dict:
+        only_caches_of("op7")
         lids, sets = [], []
-        for t, ls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            split = t.split("\n")
-            for x in ls:
-                lids.append(x["lid"])
-                sets.append(np.unique(hash_words(words(split[x["line"]]), _CACHE)).tobytes())
+        want = [{x["line"]: x["lid"] for x in ls} for ls in batch.column(1).to_pylist()]
+        for doc, number, k, h in line_words(batch.column(0)):
+            ends = np.cumsum(k)
+            for d, i, a, b in zip(doc.tolist(), number.tolist(), (ends - k).tolist(), ends.tolist()):
+                if i in want[d]:
+                    s = np.sort(h[a:b])
+                    lids.append(want[d][i])
+                    sets.append(s[np.append(True, s[1:] != s[:-1])].tobytes())
         return {"lid": lids, "set": sets}
 
     return map_arrow(j, run, "lid long, set binary").dropDuplicates(["lid"])
@@ -266,7 +319,7 @@ def _matches(members: list[tuple], cross: bool, threshold: float) -> list[int]:
             a, b = sets[k], sets[j]
             if cross and members[j][0] == m[0] or min(len(a), len(b)) < threshold * max(len(a), len(b)) - _EPS:
                 continue
-            c = len(np.intersect1d(a, b, assume_unique=True))
+            c = np.count_nonzero(b[np.minimum(b.searchsorted(a), len(b) - 1)] == a)      # both are sorted and have tokens
             if c >= threshold * (len(a) + len(b) - c) - _EPS:
                 out.append(m[1])
                 break
@@ -296,6 +349,7 @@ def later_matches(docs: DataFrame, classes: DataFrame, threshold: float, block:
             .repartition(n, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj"))
 
     def verify(batches):
+        only_caches_of("op7")
         at, group = None, []
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
@@ -331,7 +385,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     free_shuffles(spark)
     # only texts that lose a line meet the list of their lines; the others need no shuffle
     d = docs.withColumn(ld_th, F.xxhash64("text"))
-    has_words = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORDY)))
+    has_words = F.regexp_count("text", F.lit(_WORDY))
     touched = (d.where("text is not null").select("doc_id", ld_th, has_words.alias("n"))
                .join(kept.select(ld_id, ld_h, F.size(ld_lines).alias("k")),
                      (F.col(ld_th) == F.col(ld_h)) & F.col("doc_id").eqNullSafe(F.col(ld_id)), "left")
@@ -341,10 +395,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     j = _by_bit(d, bits, ld_th, True).join(
         kept, (F.col(ld_th) == F.col(ld_h)) & F.col("doc_id").eqNullSafe(F.col(ld_id)), "left"
     ).select(*names, F.coalesce(ld_lines, F.array().cast("array<int>")).alias(ld_lines))
-    # no list: every line stays
-    j = j.unionByName(_by_bit(d, bits, ld_th, False).select(*names, F.lit(None).cast("array<int>").alias(ld_lines)))
-
     def run(batch: pa.RecordBatch) -> dict:
+        only_caches_of("op7")
         text, total, removed = [], [], []
         for t, ls in zip(batch.column(at_text), batch.column(len(names))):
             t, ls = t.as_py(), ls.as_py()
@@ -353,16 +405,21 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
                 total.append(0)
                 removed.append(0)
                 continue
-            lines = t.split("\n")
-            ls = None if ls is None else set(ls)
-            stay = lines if ls is None else [x for i, x in enumerate(lines) if i in ls or not words(x)]
+            lines, ls = t.split("\n"), set(ls)
+            stay = [x for i, x in enumerate(lines) if i in ls or not words(x)]
             text.append("\n".join(stay))
             total.append(len(lines))
             removed.append(len(lines) - len(stay))
         return {n: batch.column(i) for i, n in enumerate(names)} | {"text": text} | (
             {"n_lines": total, "n_removed": removed} if counts else {})
 
-    return map_arrow(j, run, schema_with(docs, "n_lines long, n_removed long") if counts else docs.schema)
+    schema = schema_with(docs, "n_lines long, n_removed long") if counts else docs.schema
+    # the other texts stay as they are, and need no second pass through Python
+    whole = _by_bit(d, bits, ld_th, False)
+    feeds = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    if counts:
+        whole = whole.withColumns({"n_lines": F.coalesce(feeds + 1, F.lit(0)).cast("long"), "n_removed": F.lit(0).cast("long")})
+    return map_arrow(j, run, schema).unionByName(whole.select(*schema.names))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

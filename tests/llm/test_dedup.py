@@ -4,6 +4,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +221,48 @@ def test_ordered_sets_are_distinct_and_in_one_order(lines):
         rank[i] = mine
 
 
+ODD = ["", "\n", "\n\n", "a", "a\n", "\na b\n\n!!\nC", "x y", "ends here", "Starts", "é É ü\u2028z", "x" * 300 + " " + "x" * 301,
+       "abcdefgh abcdefghi abcdefg\nABCDEFGH " + "q" * 64 + " " + "q" * 65, None, "1\r\n2", "!", "ab" * 40 + "\n" + "line of words\n" * 60]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("cut", [0, 3])
+def test_line_words_are_the_words_of_the_lines(size, cut):
+    """Texts lie side by side in a batch; words neither cross them nor change with the slices."""
+    for kind in (pa.string(), pa.large_string()):
+        texts = pa.array(ODD * 2, kind).slice(cut)
+        want = [(d, i, w) for d, t in enumerate(texts.to_pylist()) for i, x in enumerate((t or "").split("\n")) for w in words(x)]
+        got = [(d, i, h) for doc, number, k, hs in op7.line_words(texts, size)
+               for d, i, h in zip(np.repeat(doc, k).tolist(), np.repeat(number, k).tolist(), hs.tolist())]
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        of = dict(zip((r[2] for r in want), (r[2] for r in got)))
+        assert [of[r[2]] for r in want] == [r[2] for r in got] and len(set(of.values())) == len(of)
+    assert list(op7.line_words(pa.array([], pa.string()))) == [] and list(op7.line_words(pa.array([None], pa.string()))) == []
+
+
+def python_above_python(spark, df):
+    """Whether a stage of the plan of ``df`` feeds one Python worker from another."""
+    plan = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+    return any("MapInArrow" in a and "MapInArrow" in b for a, b in zip(plan, plan[1:])) or any(
+        "MapInArrow" in a and "Project" in b and "MapInArrow" in c for a, b, c in zip(plan, plan[1:], plan[2:]))
+
+
+def test_a_task_of_line_dedup_holds_one_python_worker(spark):
+    docs = make_docs(spark, [(1, "one two three\nfour five six"), (2, "one two three"), (3, None), (4, ""), (5, "a\n\nb")])
+    out = op7.dedup_lines(docs)
+    assert not python_above_python(spark, out)
+    assert key(tuple(r) for r in out.select("doc_id", "text", "n_lines", "n_removed").collect()) == key(
+        [(1, "one two three\nfour five six", 2, 0), (2, "", 1, 1), (3, None, 0, 0), (4, "", 1, 0), (5, "a\n\nb", 3, 0)])
+
+
+def test_toxicity_sends_a_kept_text_once(spark):
+    docs = make_docs(spark, [(1, "some words"), (2, None)])
+    out = op6.classify(docs, op6.Net(), docs.columns)
+    fed = [x for x in out._jdf.queryExecution().analyzed().toString().split("\n") if "MapInArrow" in x]
+    assert len(fed) == 1 and "_llm_text" not in out._jdf.queryExecution().analyzed().toString()
+    assert [(r.doc_id, r.text, r.predicted) for r in out.orderBy("doc_id").collect()] == [(1, "some words", 0), (2, None, 0)]
+
+
 # -- pipeline --------------------------------------------------------------
 def test_stages_in_order_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
