@@ -393,14 +393,16 @@ def classify(docs: DataFrame, net: Net, keep: list[str],
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(net)                # a few MB, fixed by the model's size
     key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
-    d = docs.select(*keep, F.col("text").alias("_llm_text"))
+    # a text that is kept travels once
+    at = keep.index("text") if "text" in keep else len(keep)
+    d = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col("text").alias("_llm_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         only_caches_of("op6")
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
-        text = batch.column(len(keep))
+        text = batch.column(at)
         score = []
         for a in range(0, len(text), 256):
             score += _SCORERS[key].score(text[a:a + 256].to_pylist())
