@@ -94,21 +94,23 @@ def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(mix(s))
 
 
-#: rows that a function of ``map_arrow`` gets at once
-ROWS = 1000
+#: rows at once where whole texts are returned; a multiple of what models score together (256)
+ROWS = 1024
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | T.StructType) -> DataFrame:
-    """``fn(batch) -> {column: values}`` over Arrow batches of every partition, ``ROWS`` rows at a
-    time: what a task holds of its results is bounded by them."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | T.StructType,
+              rows: int | None = None) -> DataFrame:
+    """``fn(batch) -> {column: values}`` over Arrow batches of every partition; with ``rows`` so
+    many rows at a time, which bounds the results that a task holds."""
     struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                out = fn(whole.slice(a, ROWS))
+            size = rows or whole.num_rows
+            for a in range(0, whole.num_rows, size or 1):
+                out = fn(whole.slice(a, size))
                 cols = [out[f.name] if isinstance(out[f.name], (pa.Array, pa.ChunkedArray))
                         else pa.array(out[f.name], type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)

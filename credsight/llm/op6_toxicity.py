@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsight.llm.common import U64, fold, label_sample, map_arrow, only_caches_of, schema_with, table, words, worker_cache
+from credsight.llm.common import ROWS, U64, fold, label_sample, map_arrow, only_caches_of, schema_with, table, words, worker_cache
 
 MODULUS, HELD, THRESHOLD = 5, 0, 0.5
 LENGTH, STRIDE, HIDDEN, ATT = 32, 16, 8, 8
@@ -409,7 +409,7 @@ def classify(docs: DataFrame, net: Net, keep: list[str],
         return {c: batch.column(i) for i, c in enumerate(keep)} | {
             names[0]: score, names[1]: [int(s >= THRESHOLD) for s in score]}
 
-    return map_arrow(d, run, schema_with(docs.select(*keep), f"{names[0]} double, {names[1]} int"))
+    return map_arrow(d, run, schema_with(docs.select(*keep), f"{names[0]} double, {names[1]} int"), ROWS)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

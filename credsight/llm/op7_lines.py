@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credsight.llm.common import (
+    ROWS,
     U64,
     WORD_BYTES,
     checkpointed,
@@ -419,7 +420,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     feeds = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     if counts:
         whole = whole.withColumns({"n_lines": F.coalesce(feeds + 1, F.lit(0)).cast("long"), "n_removed": F.lit(0).cast("long")})
-    return map_arrow(j, run, schema).unionByName(whole.select(*schema.names))
+    return map_arrow(j, run, schema, ROWS).unionByName(whole.select(*schema.names))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
