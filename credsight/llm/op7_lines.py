@@ -13,9 +13,9 @@ or more to it.
    set size and a 256-bit map of its tokens.
 3. Classes that share a prefix token (32 bits of its hash) are candidates if
    their sizes, the token's positions and the bit maps allow the threshold
-   (each is an upper bound of the overlap, so nothing is lost).  A left semi
-   join only says which class has a candidate in which bucket; pairs are never
-   listed.
+   (each is an upper bound of the overlap, the positions where the token is the
+   first one that both have, so nothing is lost).  A left semi join only says
+   which class has a candidate in which bucket; pairs are never listed.
 4. Only these classes' token sets are read again and brought together by
    bucket, in blocks of at most ``BLOCK`` classes; each is compared with the
    earlier ones until one matches.  A class that matches an earlier one goes.
@@ -59,6 +59,8 @@ from credsight.llm.common import (
 )
 
 THRESHOLD, SLOT_BITS, BLOCK, SLICE_BYTES = 0.8, 18, 256, 1 << 20
+#: counters that travel in one row
+PART_BITS = 12
 #: words of more bytes are hashed one by one
 LONG = 64
 _EPS = 1e-9
@@ -147,15 +149,27 @@ def rarity(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for *_, h in line_words(b.column(0)):
                 counts += np.bincount((h >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-        slot = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
-
-    rows = (docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot")
-            .agg(F.sum("n").alias("n")).select("slot", F.ceil(F.log2(F.col("n") + 1)).cast("int")).collect())
-    out = np.zeros(1 << SLOT_BITS, np.uint8)
-    for slot, level in rows:
-        out[slot] = min(level, 63)
-    return out
+        yield from parts(enumerate(counts.reshape(-1, 1 << PART_BITS)))
+
+    def parts(found):
+        rows = [(k, x.tobytes()) for k, x in found if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()),
+                                          pa.array([x for _, x in rows], pa.binary())], ["part", "numbers"])
+
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+        yield from parts((k, np.minimum(np.ceil(np.log2(x + 1)), 63).astype(np.uint8)) for k, x in total.items())
+
+    # a part of the counters, whole in one row, is added up in one task
+    rows = (docs.select("text").mapInArrow(run, "part int, numbers binary").repartition("part")
+            .mapInArrow(added, "part int, numbers binary").collect())
+    out = np.zeros((1 << SLOT_BITS - PART_BITS, 1 << PART_BITS), np.uint8)
+    for part, levels in rows:
+        out[part] = np.frombuffer(levels, np.uint8)
+    return out.ravel()
 
 
 # -- 2. lines --------------------------------------------------------------
@@ -253,8 +267,8 @@ def _possible(rows: DataFrame, words: list[str], threshold: float) -> DataFrame:
     lost = lambda x, y: sum(  # noqa: E731  tokens of x that y cannot have
         (F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in words), F.lit(0))
     fits = ((na >= nb * threshold - _EPS) & (nb >= na * threshold - _EPS)
-            # the first common prefix token may be earlier: tokens before it still count on both sides
-            & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= need)
+            # a pair is looked for at its first common token only: all it shares comes from there on
+            & (F.least(na - ia, nb - ib) >= need)
             & (na - lost("a", "b") >= need) & (nb - lost("b", "a") >= need))
     return a.join(b, (token("a") == token("b")) & (F.col("a.lid") != F.col("b.lid"))
                   & ((na == _BIG) | (nb == _BIG) | fits), "left_semi").select(F.shiftright("p", 32).alias("bucket"), "lid")

@@ -240,6 +240,34 @@ def test_line_words_are_the_words_of_the_lines(size, cut):
     assert list(op7.line_words(pa.array([], pa.string()))) == [] and list(op7.line_words(pa.array([None], pa.string()))) == []
 
 
+def test_candidates_meet_at_their_first_common_token(spark):
+    """Near copies share most of a prefix, yet are listed only where no earlier token can be shared."""
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(0, 60, 2):
+        line = r.sample(vocab, 45)
+        rows += [(d, " ".join(line)), (d + 1, " ".join(line[:-1] + [f"only{d}"]))]
+    docs = make_docs(spark, rows)
+    level = op7.rarity(docs)
+    classes = op7.line_classes(op7.line_rows(docs, level, 0.8)).drop("fp").cache()
+    listed = {(x.bucket, x.lid) for x in op7.candidates(classes, 0.8).collect()}
+    prefix = {x.lid: [t for t in x.prefix] for x in classes.collect()}
+    assert len(prefix) == 60 and all(len(t) == 10 for t in prefix.values())
+    assert {lid for _, lid in listed} == set(prefix)            # every class has its near copy
+    # sets of 45 need 40 in common, so the first one of them is among the first six
+    assert all(prefix[lid].index(bucket) < 6 for bucket, lid in listed)
+
+
+def test_rarity_counts_every_slot(spark):
+    docs = make_docs(spark, [(i, "often " * 3 + f"word{i}\nagain word{i}") for i in range(40)] + [(99, None), (100, "")])
+    counts = np.zeros(1 << op7.SLOT_BITS, np.int64)
+    for *_, h in op7.line_words(pa.array([t for (t,) in docs.select("text").collect()])):
+        np.add.at(counts, (h >> np.uint64(64 - op7.SLOT_BITS)).astype(np.int64), 1)
+    assert np.array_equal(op7.rarity(docs.repartition(3)), np.ceil(np.log2(counts + 1)).astype(np.uint8))
+    assert not op7.rarity(make_docs(spark, [])).any()
+
+
 def python_above_python(spark, df):
     """Whether a stage of the plan of ``df`` feeds one Python worker from another."""
     plan = df._jdf.queryExecution().sparkPlan().toString().split("\n")
