@@ -121,7 +121,7 @@ class Codec:
     Ids travel as decimal text joined by spaces, the form the digests use.
     """
 
-    MEMO = 400_000      # entries of one generation; two are kept, so frequent pre-tokens stay
+    MEMO = 800_000      # entries of one generation; two are kept, so frequent pre-tokens stay
 
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
         self.most = memo

@@ -33,6 +33,19 @@ def test_long_pretokens_without_white_space():
         assert ids(t) == LIB.encode_ordinary(t)
 
 
+def test_memo_keeps_the_words_of_a_large_share_of_texts(monkeypatch):
+    """One worker's share of 0.5 GB has hundreds of thousands of distinct pre-tokens: each takes the queue once."""
+    asked = []
+    monkeypatch.setattr(op1_bpe, "encode_pretoken", lambda piece, ranks: asked.append(piece) or [len(piece)])
+    c = op1_bpe.Codec(P.path(op1_bpe.VOCABULARY), P.PATTERN)
+    text = [" ".join(f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}{chr(97 + i // 456976)}"
+                     for i in range(a, a + 100_000)) for a in range(0, 700_000, 100_000)]
+    first = [c.encode(t) for t in text]
+    assert len(set(asked)) == len(asked) >= 700_000
+    asked.clear()
+    assert [c.encode(t) for t in text] == first and not asked
+
+
 def test_round_trip_rows(spark):
     got = op1_bpe.round_trip(make_docs(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
